@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from math import gcd, lcm
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,6 +21,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read but never repeat.
+
+    ``withColumns`` would do, but Catalyst copies a column's expression into every
+    filter on it that it pushes down, stage by stage. A one-row generator stops that.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def text_array(values: Sequence[str]) -> Column:
     """A list of words as one array literal."""
     return F.expr("array(" + ",".join(_quote(v) for v in values) + ")")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from promptloom.functions import names as N
 from promptloom.functions.draws import (
     ChoiceTable, chance, digits, draw, draw_below, let, number_at, pick, pick_word, rest,
-    sample_array, sample_indices, text_array, word_at,
+    sample_array, sample_indices, text_array, with_computed, word_at,
 )
 from promptloom.functions.text import base_type
 from promptloom.sources import schemas as S
@@ -403,10 +403,11 @@ def generate_items(
     key, table, fields = F.col("item_id"), F.col("_table"), F.col("table_fields")
     count = draw_below(max_cols - min_cols + 1, seed, key, "ncols") + min_cols
 
-    items = (
-        ids.select(F.col(id_col).alias("item_id"))
-        .withColumn("_table", draw_table(key, seed, vocab))
-        .withColumn("table_fields", draw_fields(key, seed, vocab, table, count, max_cols))
+    items = ids.select(F.col(id_col).alias("item_id")).withColumn(
+        "_table", draw_table(key, seed, vocab)
+    )
+    items = with_computed(
+        items, {"table_fields": draw_fields(key, seed, vocab, table, count, max_cols)}
     )
     if csn == 5:
         items = items.withColumn("_join_table", draw_table(key, seed, vocab, "j_"))
