@@ -8,7 +8,7 @@ from promptloom.functions import scoring as P
 from promptloom.functions.draws import with_computed
 
 ITEM_INPUT = (
-    "item_id", "source_csn", "table_name", "select", "order_by", "sql_statement", "where",
+    "item_id", "source_csn", "command_set", "table_name", "select", "order_by", "sql_statement", "where",
     "join_table",
 )
 

@@ -153,8 +153,8 @@ class PairVocabulary:
     novel_tables: tuple = ("river", "green", "moon", "bread", "quick")
     fields: dict = field(
         default_factory=lambda: {
-            "age": "years", "cost": "price", "score": "points", "height": "tallness",
-            "width": "breadth", "length": "extent", "level": "tier", "rank": "place",
+            "volume": "loudness", "cost": "price", "score": "points", "height": "tallness",
+            "width": "breadth", "length": "extent", "floor": "storey", "badge": "emblem",
             "kind": "sort", "state": "condition", "city": "town", "email": "mail",
             "phone": "line", "month": "period", "brand": "make", "group": "set",
             "model": "version", "speed": "pace",
