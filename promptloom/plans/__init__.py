@@ -1,4 +1,4 @@
 """Check queries, one module per job."""
 
-from promptloom.plans import corrupt, items, scores  # noqa: F401
+from promptloom.plans import corrupt, items, rewrites, scores  # noqa: F401
 from promptloom.plans.base import CHECKS  # noqa: F401
