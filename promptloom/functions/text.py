@@ -27,9 +27,13 @@ def no_punctuation(text: Column) -> Column:
     return F.translate(text, PUNCTUATION, " " * len(PUNCTUATION))
 
 
+# What a word is made of (letters and digits of any script, underscore).
+WORD = "([\\p{L}\\p{N}_]+)"
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased runs of word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?U)(\\w+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
 
 
 def blank_words(text: Column) -> Column:

@@ -131,11 +131,10 @@ def output_similarity(outputs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def sweep_by_input_similarity(words: DataFrame, vectors: DataFrame, target: str) -> DataFrame:
     """Words with the cosine to a target word, lowest first."""
-    goal = vectors.where(F.col("word") == target).select(F.col("vector").alias("goal"))
+    goal = vectors.where(F.col("word") == target).select("vector").scalar()
     return (
         words.join(vectors, "word")
-        .withColumn("_one", F.lit(1))
-        .join(goal.withColumn("_one", F.lit(1)), "_one")
+        .withColumn("goal", goal)
         .select("word", cosine(F.col("vector"), F.col("goal")).alias("similarity"))
         .orderBy("similarity", "word")
     )
