@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptloom.functions.draws import chance, digest, draw
 
-SPLIT_BUCKETS = 1 << 16
-
-
 def quick_rows(df: DataFrame, order_col: str, n: int = 100) -> DataFrame:
     """The first ``n`` rows by a key (a distributed top-n, no full sort)."""
     return df.orderBy(order_col).limit(n)
@@ -65,35 +60,39 @@ def split_exact(
     buckets without sorting; only the two buckets a cut falls into are ranked row by
     row, so no task ever sees more than about n / 65536 rows for ranking.
     """
-    spark = df.sparkSession
     keyed = df.withColumn("_u", draw(seed, F.col(key), "split")).withColumn(
         "_bucket", F.shiftright("_u", 16).cast("int")
     )
-    sizes = dict(keyed.groupBy("_bucket").count().collect())  # at most 65536 rows
-    n = sum(sizes.values())
-    n_test = math.ceil(n * test)
-    cuts = [n_test, n_test + math.ceil((n - n_test) * validation)]
-    rows, seen, straddling = [], 0, []
-    for bucket in sorted(sizes):
-        first, last = seen, seen + sizes[bucket]
-        rows.append((bucket, first))
-        if any(first < cut < last for cut in cuts):
-            straddling.append(bucket)
-        seen = last
-    starts = spark.createDataFrame(rows or [(0, 0)], "_bucket int, _start long")
+    # At most 65536 rows, so one task can add them up and a broadcast can carry them.
+    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.lit(0)).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    first_cut = F.ceil(F.col("_n") * F.lit(test))
+    second_cut = first_cut + F.ceil((F.col("_n") - first_cut) * F.lit(validation))
+    starts = (
+        sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .withColumn("_n", F.sum("_size").over(whole))
+        .withColumns({"_cut1": first_cut, "_cut2": second_cut})
+        .withColumn(
+            "_on_cut",
+            F.col("_cut1").between(F.col("_start") + 1, F.col("_start") + F.col("_size") - 1)
+            | F.col("_cut2").between(F.col("_start") + 1, F.col("_start") + F.col("_size") - 1),
+        )
+    )
 
     def named(rank: Column) -> Column:
         return (
-            F.when(rank < cuts[0], F.lit("test"))
-            .when(rank < cuts[1], F.lit("validation"))
+            F.when(rank < F.col("_cut1"), F.lit("test"))
+            .when(rank < F.col("_cut2"), F.lit("validation"))
             .otherwise(F.lit("train"))
         )
 
-    placed = keyed.join(F.broadcast(starts), "_bucket")  # bounded by SPLIT_BUCKETS rows
-    on_cut = F.col("_bucket").isin(straddling) if straddling else F.lit(False)
-    whole = placed.where(~on_cut).withColumn("split", named(F.col("_start")))
+    placed = keyed.join(F.broadcast(starts), "_bucket")
+    clear = placed.where(~F.col("_on_cut")).withColumn("split", named(F.col("_start")))
     order = Window.partitionBy("_bucket").orderBy("_u", key)
-    ranked = placed.where(on_cut).withColumn(
+    ranked = placed.where("_on_cut").withColumn(
         "split", named(F.col("_start") + F.row_number().over(order) - 1)
     )
-    return whole.unionByName(ranked).drop("_u", "_bucket", "_start")
+    return clear.unionByName(ranked).select(*df.columns, "split")
