@@ -388,8 +388,8 @@ def reconstruction_error(spark, sf):
 
 # ------------------------------------------------------------------------ curves, ranks
 _CURVE = (
-    "c AS (SELECT event_type || (user_id % 5) AS experiment, day(ts) AS k, "
-    "round(1 - 1.0 / (1 + day(ts)) - avg(value) / 5000, 6) AS similarity FROM events GROUP BY ALL)"
+    "c AS (SELECT experiment, k, round(1 - 1.0 / (1 + k) - v / 5000, 6) AS similarity FROM "
+    "(SELECT event_type || (user_id % 5) AS experiment, day(ts) AS k, avg(value) AS v FROM events GROUP BY ALL))"
 )
 
 
