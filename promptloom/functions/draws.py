@@ -101,21 +101,30 @@ class ChoiceTable:
         return F.get(self.words, place)
 
 
-# ---------------------------------------------------------- many draws per row: digits
-def digits(seed: int, key: Column, slot: str, count: int) -> Column:
-    """Hex digits for ``count`` numbers, four to one md5 (``seed:key:slot:0``, ``...:1``)."""
-    blocks = [digest(seed, key, slot, str(j)) for j in range((count + 3) // 4)]
-    return blocks[0] if len(blocks) == 1 else F.concat(*blocks)
-
-
-def digits_at(block: Column, k: Column) -> Column:
-    """The eight digits of element ``k``."""
-    return F.substr(block, k * F.lit(8) + F.lit(1), F.lit(8))
-
-
-def number_at(block: Column, k: Column) -> Column:
-    """The 32-bit number of element ``k``."""
-    return F.conv(digits_at(block, k), 16, 10).cast("bigint")
+# ------------------------------------------------------------------ many draws per row
+# One md5 serves four numbers. The arrays are spelled out element by element, because
+# lambdas over arrays are interpreted and these expressions are the costly ones: keep
+# them in a projection of their own and let lambdas read the finished columns.
+def digests(seed: int, key: Column, slot: str, count: int) -> list[Column]:
+    """md5 of ``seed:key:slot:0``, ``...:1`` and so on."""
+    return [digest(seed, key, slot, str(j)) for j in range(count)]
+
+
+def numbers(seed: int, key: Column, slot: str, count: int) -> Column:
+    """``count`` 32-bit numbers."""
+    blocks = digests(seed, key, slot, (count + 3) // 4)
+    return F.array(*[hex_number(blocks[k // 4], 1 + 8 * (k % 4)) for k in range(count)])
+
+
+def sort_keys(seed: int, key: Column, slot: str, count: int) -> Column:
+    """``count`` (up to 1000) keys whose order is a drawn order; each ends in its index."""
+    blocks = digests(seed, key, slot, (count + 3) // 4)
+    return F.array(
+        *[
+            F.concat(F.substring(blocks[k // 4], 1 + 8 * (k % 4), 8), F.lit(f"{k:03d}"))
+            for k in range(count)
+        ]
+    )
 
 
 def rest(number: Column, divisor: int) -> Column:
@@ -130,28 +139,10 @@ def indices(count: Column) -> Column:
     )
 
 
-def drawn_order(count: Column, block: Column) -> Column:
-    """0 .. count-1 (count up to 1000) in drawn order: a sort by the digits of the index."""
-    keys = F.transform(
-        indices(count),
-        lambda k: F.concat(digits_at(block, k), F.lpad(k.cast("string"), 3, "0")),
-    )
-    return F.transform(F.sort_array(keys), lambda key: F.substring(key, 9, 3).cast("int"))
-
-
-def sample_array(
-    values: Column, count: Column, seed: int, key: Column, slot: str, bound: int
-) -> Column:
-    """``count`` elements without replacement, in drawn order (``bound``: the longest array)."""
-    return let(
-        F.struct(
-            values.alias("v"), count.alias("n"), digits(seed, key, slot, bound).alias("block")
-        ),
-        lambda s: F.transform(
-            F.slice(drawn_order(F.size(s["v"]), s["block"]), F.lit(1), s["n"]),
-            lambda k: F.get(s["v"], k),
-        ),
-    )
+def sample_array(values: Column, keys: Column, count: Column) -> Column:
+    """``count`` elements without replacement, in the order of the drawn sort keys."""
+    order = F.slice(F.sort_array(F.slice(keys, F.lit(1), F.size(values))), F.lit(1), count)
+    return F.transform(order, lambda k: F.get(values, F.substring(k, 9, 3).cast("int")))
 
 
 def strides(n: int) -> list[int]:

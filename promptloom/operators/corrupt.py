@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from promptloom.functions import names as N, text as T, tokens as K
 from promptloom.functions.draws import (
-    ChoiceTable, digits, draw, draw_below, let, number_at, pick, pick_word, rest, sample_indices,
+    ChoiceTable, digest, draw, draw_below, let, numbers, pick, pick_word, sample_indices,
     text_array, with_computed, word_at,
 )
 from promptloom.operators import generate as G
@@ -55,44 +55,39 @@ def make_base_items(
     tables = ChoiceTable([[name, synonym] for name, synonym in words.tables.items()])
     names = ChoiceTable([[name, synonym] for name, synonym in words.fields.items()])
 
-    def field(at: Column, block: Column, k: Column) -> Column:
+    def field(at: Column, number: Column) -> Column:
         return F.struct(
             names.at(at, F.lit(0)).alias("name"),
-            word_at(words.types, number_at(block, k)).alias("type"),
+            word_at(words.types, number).alias("type"),
             names.at(at, F.lit(1)).alias("synonym"),
             F.lit(use_synonyms_field).alias("use_synonym"),
         )
 
-    drawn = F.struct(
-        sample_indices(len(words.fields), F.lit(num_fields), seed, key, "b_field").alias("at"),
-        digits(seed, key, "b_field", num_fields).alias("block"),
-    )
     place = draw_below(len(words.tables), seed, key, "b_table")
+    draws = {
+        "_at": sample_indices(len(words.fields), F.lit(num_fields), seed, key, "b_field"),
+        "_field": numbers(seed, key, "b_field", num_fields),
+        "table_name": F.struct(
+            tables.at(place, F.lit(0)).alias("name"),
+            tables.at(place, F.lit(1)).alias("synonym"),
+            F.lit(use_synonyms_table).alias("use_synonym"),
+        ),
+        **G.clause_draws(key, seed, num_fields, use_order_by, use_where),
+    }
+    drawn = ids.select(F.col(id_col).alias("item_id")).withColumns(draws)
     items = with_computed(
-        ids.select(F.col(id_col).alias("item_id")),
-        {
-            "table_name": F.struct(
-                tables.at(place, F.lit(0)).alias("name"),
-                tables.at(place, F.lit(1)).alias("synonym"),
-                F.lit(use_synonyms_table).alias("use_synonym"),
-            ),
-            "table_fields": let(
-                drawn, lambda s: F.transform(s["at"], lambda at, k: field(at, s["block"], k))
-            ),
-        },
+        drawn, {"table_fields": F.zip_with(F.col("_at"), F.col("_field"), field)}
     )
     no_order = G.empty_array(S.ORDER)
     condition = f"struct<field:{S.FIELD},operator:string,literal:string>"
     conditions = (
-        G.draw_conditions(key, seed, fields, num_fields, max_conditions=1)
+        G.draw_conditions(fields, max_conditions=1)
         if use_where
         else G.empty_array(condition)
     )
     clauses = {"_conditions": conditions}
     if use_aggregates:
-        clauses["select"] = G.draw_select(
-            key, seed, fields, num_fields, True, use_synonyms_field
-        )
+        clauses["select"] = G.draw_select(fields, True, use_synonyms_field)
     else:
         clauses["select"] = F.transform(
             fields,
@@ -117,12 +112,16 @@ def make_base_items(
     if use_aggregates:
         items = items.withColumns(
             {
-                "_agg_all": G.draw_agg_phrases(key, seed, vocab, select, num_fields),
-                "order_by": G.draw_order(key, seed, select, num_fields) if use_order_by else no_order,
+                "_agg_all": G.draw_agg_phrases(vocab, select),
+                "order_by": G.draw_order(select) if use_order_by else no_order,
             }
         ).withColumns(
             {
-                "order_by_phrase": G.draw_order_phrases(key, seed, vocab, order, num_fields),
+                "order_by_phrase": (
+                    G.draw_order_phrases(vocab, order)
+                    if use_order_by
+                    else F.array().cast("array<string>")
+                ),
                 "agg_phrases": F.filter(F.col("_agg_all"), lambda p: p.isNotNull()),
             }
         )
@@ -334,10 +333,7 @@ class Features:
     def where_literal(self) -> dict:
         clean = F.get("where_literals", F.lit(0))
         kind = T.base_type(F.get("where_fields", F.lit(0))["type"])
-        wrong = let(
-            F.struct(kind.alias("t"), digits(self.seed, self.key, "c_literal", 4).alias("b")),
-            lambda s: G.draw_literal(s["t"], s["b"], F.lit(0)),
-        )
+        wrong = G.draw_literal(kind, digest(self.seed, self.key, "c_literal", "0"))
         sql = T.replace_first_after(F.col("sql_statement"), "WHERE", clean, wrong)
         return edit(clean, wrong, sql=sql)
 
@@ -391,7 +387,7 @@ def promise_of(feature: str) -> str:
 
 def corrupt_candidates(
     ids: DataFrame,
-    feature: str,
+    features=tuple(FEATURES),
     seed: int = 7,
     *,
     id_col: str = "item_id",
@@ -402,40 +398,37 @@ def corrupt_candidates(
     words: PairVocabulary = PAIRS,
     vocab: Vocabulary = DEFAULT,
 ) -> DataFrame:
-    """All base items of a feature with its edit, also those it could not change."""
-    if feature not in FEATURES:
-        raise ValueError(f"unknown feature: {feature}")
-    make, options = FEATURES[feature]
-    if options.get("use_join"):
-        base = G.generate_items(
-            ids, 5, seed, id_col=id_col, vocab=vocab, use_synonyms_table=use_synonyms_table,
-            use_synonyms_field=use_synonyms_field,
-        ).select(*BASE_COLUMNS)
-    else:
-        base = make_base_items(
-            ids, seed, id_col=id_col, num_fields=num_fields, words=words, vocab=vocab,
-            use_synonyms_table=use_synonyms_table, use_synonyms_field=use_synonyms_field, **options,
-        )
-    parts = make(Features(seed, words, vocab, use_novel_names))
-    none = F.lit(None).cast("string")
-    edited = with_computed(
-        base,
-        {
-            "feature_name": F.lit(feature),
-            "clean_token": parts["clean"],
-            "corrupt_token": parts["corrupt"],
-            "answer_token": parts["answer"],
-            "corrupt_english_prompt": parts.get("english", none),
-            "corrupt_create_statement": parts.get("create", none),
-            "corrupt_sql_statement": parts.get("sql", none),
-            "corrupt_join_table": parts.get("join", none),
-        },
-    )
+    """All base items of the features with their edits; ``kept`` tells whether the edit
+    changed what its feature promises.
+
+    Features that start from the same base items share them: the items are drawn once
+    and give one row per feature in place.
+    """
+    unknown = set(features) - set(FEATURES)
+    if unknown:
+        raise ValueError(f"unknown feature: {sorted(unknown)}")
+    groups: dict[tuple, list[str]] = {}
+    for feature in features:
+        groups.setdefault(tuple(sorted(FEATURES[feature][1])), []).append(feature)
+    edits = Features(seed, words, vocab, use_novel_names)
+    synonyms = {"use_synonyms_table": use_synonyms_table, "use_synonyms_field": use_synonyms_field}
+    parts = []
+    for options, group in groups.items():
+        if "use_join" in options:
+            items = G.generate_items(ids, 5, seed, id_col=id_col, vocab=vocab, **synonyms)
+            base = items.select(*BASE_COLUMNS)
+        else:
+            base = make_base_items(
+                ids, seed, id_col=id_col, num_fields=num_fields, words=words, vocab=vocab,
+                **synonyms, **dict.fromkeys(options, True),
+            )
+        rows = F.array(*[_edit_row(f, FEATURES[f][0](edits)) for f in group])
+        parts.append(base.select("*", F.inline(rows)))
 
     def changed(corrupt: str, clean: str) -> Column:
         return F.coalesce(F.col(corrupt) != F.col(clean), F.lit(False))
 
-    return edited.withColumns(
+    edited = reduce(DataFrame.unionByName, parts).withColumns(
         {
             "changed_prompt": changed("corrupt_english_prompt", "english_prompt"),
             "changed_ddl": changed("corrupt_create_statement", "create_statement"),
@@ -443,26 +436,42 @@ def corrupt_candidates(
             "use_novel_names": F.lit(use_novel_names),
         }
     )
+    return edited.withColumn("kept", kept_promise())
+
+
+def _edit_row(feature: str, parts: dict) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(feature).alias("feature_name"),
+        parts["clean"].alias("clean_token"),
+        parts["corrupt"].alias("corrupt_token"),
+        parts["answer"].alias("answer_token"),
+        parts.get("english", none).alias("corrupt_english_prompt"),
+        parts.get("create", none).alias("corrupt_create_statement"),
+        parts.get("sql", none).alias("corrupt_sql_statement"),
+        parts.get("join", none).alias("corrupt_join_table"),
+    )
+
+
+def kept_promise() -> Column:
+    """Did the pair change the text its feature promises to change?"""
+    feature = F.col("feature_name")
+    return (
+        F.when(feature.isin(*DDL_FEATURES), F.col("changed_ddl"))
+        .when(F.startswith(feature, F.lit("Eng")), F.col("changed_prompt"))
+        .otherwise(F.col("changed_sql"))
+    )
 
 
 def corrupt_items(ids: DataFrame, features=tuple(FEATURES), seed: int = 7, **options) -> DataFrame:
-    """Clean/corrupt pairs of the named features, one plan per feature, in one table."""
-    parts = [
-        corrupt_candidates(ids, f, seed, **options).where(F.col(promise_of(f))) for f in features
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Clean/corrupt pairs of the named features, in one table."""
+    return corrupt_candidates(ids, features, seed, **options).where("kept").drop("kept")
 
 
 def feature_counts(ids: DataFrame, features=tuple(FEATURES), seed: int = 7, **options) -> DataFrame:
     """Per feature: base items, pairs, and rows the feature could not change."""
-    parts = [
-        corrupt_candidates(ids, f, seed, **options).select(
-            "feature_name", F.col(promise_of(f)).alias("kept")
-        )
-        for f in features
-    ]
     return (
-        reduce(DataFrame.unionByName, parts)
+        corrupt_candidates(ids, features, seed, **options)
         .groupBy("feature_name")
         .agg(
             F.count("*").alias("candidates"),
@@ -474,12 +483,7 @@ def feature_counts(ids: DataFrame, features=tuple(FEATURES), seed: int = 7, **op
 
 def sanity_violations(pairs: DataFrame) -> DataFrame:
     """Pairs that do not change what their feature promises; a healthy table has none."""
-    promised = F.lit(False)
-    for feature in FEATURES:
-        promised = F.when(F.col("feature_name") == feature, F.col(promise_of(feature))).otherwise(
-            promised
-        )
-    return pairs.where(~promised)
+    return pairs.where(~kept_promise())
 
 
 def clean_view(pairs: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptloom.functions import names as N
 from promptloom.functions.draws import (
-    ChoiceTable, chance, digits, draw, draw_below, let, number_at, pick, pick_word, rest,
-    sample_array, sample_indices, text_array, with_computed, word_at,
+    ChoiceTable, chance, digests, draw, draw_below, hex_number, let, numbers, pick_word, rest,
+    sample_array, sample_indices, sort_keys, text_array, with_computed, word_at,
 )
 from promptloom.functions.text import base_type
 from promptloom.sources import schemas as S
@@ -33,21 +33,26 @@ def draw_table(key: Column, seed: int, vocab: Vocabulary, prefix: str = "") -> C
     """A table and one of its synonyms (underscores read as spaces)."""
     names = text_array([t[0] for t in vocab.tables])
     synonyms = ChoiceTable([[s.replace("_", " ") for s in t[1]] for t in vocab.tables])
-    return let(
-        draw_below(len(vocab.tables), seed, key, prefix + "table"),
-        lambda at: F.struct(
-            F.get(names, at).alias("name"),
-            synonyms.at(at, draw(seed, key, prefix + "table_syn")).alias("synonym"),
-            F.lit(False).alias("use_synonym"),
-        ),
+    at = draw_below(len(vocab.tables), seed, key, prefix + "table")
+    return F.struct(
+        F.get(names, at).alias("name"),
+        synonyms.at(at, draw(seed, key, prefix + "table_syn")).alias("synonym"),
+        F.lit(False).alias("use_synonym"),
     )
 
 
-def draw_fields(
-    key: Column, seed: int, vocab: Vocabulary, table: Column, count: Column, bound: int,
-    prefix: str = "",
-) -> Column:
-    """``count`` different fields in drawn order, each with one type and one synonym.
+def field_draws(
+    key: Column, seed: int, vocab: Vocabulary, count: Column, bound: int, prefix: str = ""
+) -> dict[str, Column]:
+    """What :func:`draw_fields` reads: places in the vocabulary and a number per field."""
+    return {
+        f"_{prefix}at": sample_indices(len(vocab.fields), count, seed, key, prefix + "field"),
+        f"_{prefix}field": numbers(seed, key, prefix + "field", bound),
+    }
+
+
+def draw_fields(vocab: Vocabulary, table: Column, prefix: str = "") -> Column:
+    """Different fields in drawn order, each with one type and one synonym.
 
     A field that has the table's name gets the ending ``_field``.
     """
@@ -55,10 +60,10 @@ def draw_fields(
     types = ChoiceTable([f[1] for f in vocab.fields])
     synonyms = ChoiceTable([[s.replace("_", " ") for s in f[2]] for f in vocab.fields])
 
-    def one(at: Column, number: Column, table_name: Column) -> Column:
+    def one(at: Column, number: Column) -> Column:
         name = F.get(names, at)
         return F.struct(
-            F.when(name == table_name, F.concat(name, F.lit("_field")))
+            F.when(name == table["name"], F.concat(name, F.lit("_field")))
             .otherwise(name)
             .alias("name"),
             types.at(at, number).alias("type"),
@@ -66,17 +71,13 @@ def draw_fields(
             F.lit(False).alias("use_synonym"),
         )
 
-    bound_values = F.struct(
-        table["name"].alias("t"),
-        sample_indices(len(vocab.fields), count, seed, key, prefix + "field").alias("at"),
-        digits(seed, key, prefix + "field", bound).alias("block"),
-    )
-    return let(
-        bound_values,
-        lambda s: F.transform(
-            s["at"], lambda at, k: let(number_at(s["block"], k), lambda n: one(at, n, s["t"]))
-        ),
-    )
+    places = F.col(f"_{prefix}at")
+    return F.zip_with(places, first_of(F.col(f"_{prefix}field"), places), one)
+
+
+def first_of(values: Column, like: Column) -> Column:
+    """As many values as ``like`` has elements."""
+    return F.slice(values, F.lit(1), F.size(like))
 
 
 def create_statement(table: Column, fields: Column) -> Column:
@@ -98,10 +99,40 @@ def drawn_aggregate(sql_type: Column, number: Column, by_base_type: bool = False
     )
 
 
+def clause_draws(
+    key: Column, seed: int, bound: int, order_by: bool, where: bool
+) -> dict[str, Column]:
+    """Numbers and sort keys the clauses of a row read."""
+    out = {
+        "_sel": sort_keys(seed, key, "sel", bound),
+        "_nsel": draw(seed, key, "nsel"),
+        "_agg": numbers(seed, key, "agg", bound),
+        "_aphr": numbers(seed, key, "aphr", bound),
+    }
+    if order_by:
+        out |= {
+            "_osel": sort_keys(seed, key, "osel", bound),
+            "_nord": draw(seed, key, "nord"),
+            "_odir": draw(seed, key, "odir"),
+            "_ophr": numbers(seed, key, "ophr", bound),
+        }
+    if where:
+        out |= {
+            "_wsel": sort_keys(seed, key, "wsel", bound),
+            "_nwhere": draw(seed, key, "nwhere"),
+            "_wval": F.array(*digests(seed, key, "wval", MAX_CONDITIONS)),
+        }
+    return out
+
+
+def drawn_count(number: Column, most: Column) -> Column:
+    """1 .. most."""
+    return (1 + number % most).cast("int")
+
+
 def draw_select(
-    key: Column, seed: int, fields: Column, bound: int, use_aggregates: bool, use_synonyms: bool,
-    by_base_type: bool = False,
-) -> Column:
+    fields: Column, use_aggregates: bool, use_synonyms: bool, by_base_type: bool = False
+) -> Column:
     """1..n of the table's fields, in drawn order, each with an aggregate or none.
 
     A field reads as its synonym with probability one half.
@@ -116,16 +147,9 @@ def draw_select(
             (n % 2 == 0 if use_synonyms else F.lit(False)).alias("use_synonym"),
         )
 
-    def drawn(s: Column) -> Column:
-        count = 1 + draw_below(F.size(s["f"]), seed, key, "nsel")
-        chosen = sample_array(s["f"], count, seed, key, "sel", bound)
-        return F.transform(
-            chosen, lambda f, k: let(number_at(s["block"], k), lambda n: one(f, n))
-        )
-
-    return let(
-        F.struct(fields.alias("f"), digits(seed, key, "agg", bound).alias("block")), drawn
-    )
+    count = drawn_count(F.col("_nsel"), F.size(fields))
+    chosen = sample_array(fields, F.col("_sel"), count)
+    return F.zip_with(chosen, F.slice("_agg", F.lit(1), count), one)
 
 
 def select_sql(table: Column, select: Column) -> Column:
@@ -137,29 +161,18 @@ def select_sql(table: Column, select: Column) -> Column:
     )
 
 
-def draw_agg_phrases(
-    key: Column, seed: int, vocab: Vocabulary, select: Column, bound: int
-) -> Column:
+def draw_agg_phrases(vocab: Vocabulary, select: Column) -> Column:
     """One phrase per select field, NULL where the field has no aggregate."""
 
-    def one(f: Column, block: Column, k: Column) -> Column:
-        return F.when(
-            f["aggregate"] != "",
-            let(
-                number_at(block, k),
-                lambda n: F.coalesce(
-                    *[
-                        F.when(f["aggregate"] == agg, word_at(vocab.agg_phrases[agg], n))
-                        for agg in AGGREGATES
-                    ]
-                ),
-            ),
-        )
+    def one(f: Column, n: Column) -> Column:
+        phrase = F.lit(None).cast("string")
+        for agg in AGGREGATES:
+            phrase = F.when(f["aggregate"] == agg, word_at(vocab.agg_phrases[agg], n)).otherwise(
+                phrase
+            )
+        return F.when(f["aggregate"] != "", phrase)
 
-    return let(
-        F.struct(select.alias("s"), digits(seed, key, "aphr", bound).alias("block")),
-        lambda s: F.transform(s["s"], lambda f, k: one(f, s["block"], k)),
-    )
+    return F.zip_with(select, first_of(F.col("_aphr"), select), one)
 
 
 def english_select(template: Column, table: Column, select: Column, phrases: Column) -> Column:
@@ -180,18 +193,13 @@ def english_select(template: Column, table: Column, select: Column, phrases: Col
 
 
 # ------------------------------------------------------------------------ ORDER BY
-def draw_order(key: Column, seed: int, fields: Column, bound: int) -> Column:
+def draw_order(fields: Column) -> Column:
     """1..n fields in drawn order, one direction for all of them."""
-
-    def drawn(s: Column) -> Column:
-        count = 1 + draw_below(F.size(s["f"]), seed, key, "nord")
-        return F.transform(
-            sample_array(s["f"], count, seed, key, "osel", bound),
-            lambda f: F.struct(f["name"].alias("name"), s["asc"].alias("asc")),
-        )
-
-    asc = draw_below(2, seed, key, "odir") == 1
-    return let(F.struct(fields.alias("f"), asc.alias("asc")), drawn)
+    chosen = sample_array(fields, F.col("_osel"), drawn_count(F.col("_nord"), F.size(fields)))
+    return F.transform(
+        chosen,
+        lambda f: F.struct(f["name"].alias("name"), (F.col("_odir") % 2 == 1).alias("asc")),
+    )
 
 
 def order_sql(order: Column) -> Column:
@@ -205,9 +213,7 @@ def order_sql(order: Column) -> Column:
     )
 
 
-def draw_order_phrases(
-    key: Column, seed: int, vocab: Vocabulary, order: Column, bound: int
-) -> Column:
+def draw_order_phrases(vocab: Vocabulary, order: Column) -> Column:
     """One phrase of the field's direction per order field."""
 
     def one(f: Column, n: Column) -> Column:
@@ -215,12 +221,7 @@ def draw_order_phrases(
             word_at(vocab.desc_phrases(), n)
         )
 
-    return let(
-        F.struct(order.alias("o"), digits(seed, key, "ophr", bound).alias("block")),
-        lambda s: F.transform(
-            s["o"], lambda f, k: let(number_at(s["block"], k), lambda n: one(f, n))
-        ),
-    )
+    return F.zip_with(order, first_of(F.col("_ophr"), order), one)
 
 
 def english_order(order: Column, phrases: Column) -> Column:
@@ -232,10 +233,9 @@ def english_order(order: Column, phrases: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- WHERE
-def draw_literal(kind: Column, block: Column, k: Column) -> Column:
-    """A literal for a base type, from four numbers of a digit block."""
-    a, b, c = (number_at(block, k * F.lit(4) + F.lit(i)) for i in range(3))
-    hex_text = F.substr(block, k * F.lit(32) + F.lit(1), F.lit(32))
+def draw_literal(kind: Column, hex_text: Column) -> Column:
+    """A literal for a base type, from the digits of one md5."""
+    a, b, c = (hex_number(hex_text, start) for start in (1, 9, 17))
     date = F.concat(
         F.lit("'"),
         (2000 + a % 24).cast("string"),
@@ -276,34 +276,22 @@ def drawn_operator(kind: Column, number: Column) -> Column:
     )
 
 
-def draw_conditions(
-    key: Column, seed: int, fields: Column, bound: int, max_conditions: int = MAX_CONDITIONS
-) -> Column:
+def draw_conditions(fields: Column, max_conditions: int = MAX_CONDITIONS) -> Column:
     """1..min(max, n) conditions: array of (field, operator, literal)."""
 
-    def one(f: Column, kind: Column, block: Column, k: Column) -> Column:
-        # The literal uses the first three numbers of its four, the operator the last.
+    def one(f: Column, hex_text: Column) -> Column:
+        # The literal uses the first three numbers of the md5, the operator the last.
+        kind = base_type(f["type"])
         return F.struct(
             f.alias("field"),
-            drawn_operator(kind, number_at(block, k * F.lit(4) + F.lit(3))).alias("operator"),
-            draw_literal(kind, block, k).alias("literal"),
+            drawn_operator(kind, hex_number(hex_text, 25)).alias("operator"),
+            draw_literal(kind, hex_text).alias("literal"),
         )
 
-    def drawn(s: Column) -> Column:
-        most = F.least(F.lit(max_conditions), F.size(s["f"]))
-        chosen = sample_array(
-            s["f"], 1 + draw_below(most, seed, key, "nwhere"), seed, key, "wsel", bound
-        )
-        return F.transform(
-            chosen, lambda f, k: let(base_type(f["type"]), lambda t: one(f, t, s["block"], k))
-        )
-
-    return let(
-        F.struct(
-            fields.alias("f"), digits(seed, key, "wval", 4 * max_conditions).alias("block")
-        ),
-        drawn,
-    )
+    most = F.least(F.lit(max_conditions), F.size(fields))
+    count = drawn_count(F.col("_nwhere"), most)
+    chosen = sample_array(fields, F.col("_wsel"), count)
+    return F.zip_with(chosen, F.slice("_wval", F.lit(1), count), one)
 
 
 def condition_text(c: Column) -> Column:
@@ -403,22 +391,28 @@ def generate_items(
     key, table, fields = F.col("item_id"), F.col("_table"), F.col("table_fields")
     count = draw_below(max_cols - min_cols + 1, seed, key, "ncols") + min_cols
 
-    items = ids.select(F.col(id_col).alias("item_id")).withColumn(
-        "_table", draw_table(key, seed, vocab)
-    )
-    items = with_computed(
-        items, {"table_fields": draw_fields(key, seed, vocab, table, count, max_cols)}
-    )
+    # All numbers a row draws, then its table; the clauses read finished columns.
+    draws = {
+        "_table": draw_table(key, seed, vocab),
+        **field_draws(key, seed, vocab, count, max_cols),
+        **clause_draws(key, seed, max_cols, order_by=csn > 1, where=csn > 3),
+    }
+    if csn == 5:
+        other_count = draw_below(MAX_JOIN_COLUMNS, seed, key, "j_ncols") + 1
+        draws["_join_table"] = draw_table(key, seed, vocab, "j_")
+        draws["_j_pair"] = draw(seed, key, "j_pair")
+        draws |= field_draws(key, seed, vocab, other_count, MAX_JOIN_COLUMNS, "j_")
+    items = ids.select(F.col(id_col).alias("item_id")).withColumns(draws)
+    tables = {"table_fields": draw_fields(vocab, table)}
     if csn == 5:
-        items = items.withColumn("_join_table", draw_table(key, seed, vocab, "j_"))
+        tables["_join_fields"] = draw_fields(vocab, F.col("_join_table"), "j_")
+    items = with_computed(items, tables)
 
     # Clauses: each draws from the table's own fields.
     as_synonym = draw_below(10, seed, key, "use_tsyn") < 8 if use_synonyms_table else F.lit(False)
     clauses = {
         "create_statement": create_statement(table, fields),
-        "select": draw_select(
-            key, seed, fields, max_cols, aggregates, use_synonyms_field, aggregates_by_base_type
-        ),
+        "select": draw_select(fields, aggregates, use_synonyms_field, aggregates_by_base_type),
         "table_name": F.struct(
             table["name"].alias("name"),
             table["synonym"].alias("synonym"),
@@ -432,34 +426,28 @@ def generate_items(
             if total is not None and csn != 5
             else chance(order_by_probability, seed, key, "has_order")
         )
-        clauses["order_by"] = F.when(has_order, draw_order(key, seed, fields, max_cols)).otherwise(
-            empty_array(S.ORDER)
-        )
+        clauses["order_by"] = F.when(has_order, draw_order(fields)).otherwise(empty_array(S.ORDER))
     if csn >= 4:
         kind = f"struct<field:{S.FIELD},operator:string,literal:string>"
         clauses["_conditions"] = F.when(
-            chance(where_probability, seed, key, "has_where"),
-            draw_conditions(key, seed, fields, max_cols),
+            chance(where_probability, seed, key, "has_where"), draw_conditions(fields)
         ).otherwise(empty_array(kind))
     if csn == 5:
-        clauses["_join_fields"] = draw_fields(
-            key, seed, vocab, F.col("_join_table"),
-            draw_below(MAX_JOIN_COLUMNS, seed, key, "j_ncols") + 1, MAX_JOIN_COLUMNS, "j_",
-        )
+        clauses["_pairs"] = equal_type_pairs(fields, F.col("_join_fields"))
     items = items.withColumns(clauses)
 
     # Phrases and the join pair, drawn once the clauses stand.
     select, order = F.col("select"), F.col("order_by")
     phrases = {
-        "_agg_all": draw_agg_phrases(key, seed, vocab, select, max_cols),
+        "_agg_all": draw_agg_phrases(vocab, select),
         "order_by_phrase": F.lit(None).cast("array<string>"),
     }
     if csn > 1:
-        phrases["order_by_phrase"] = draw_order_phrases(key, seed, vocab, order, max_cols)
+        phrases["order_by_phrase"] = draw_order_phrases(vocab, order)
     if csn == 5:
-        phrases["join_condition"] = pick(
-            equal_type_pairs(fields, F.col("_join_fields")), seed, key, "j_pair"
-        )
+        pairs = F.col("_pairs")
+        place = F.col("_j_pair") % F.greatest(F.size(pairs), F.lit(1))
+        phrases["join_condition"] = F.get(pairs, place.cast("int"))
     items = items.withColumns(phrases)
 
     # Texts. Double spaces and the trailing space of sets 2/3 without ORDER BY stay.

@@ -49,23 +49,19 @@ def _standard(csn: int):
         if csn >= 4:
             out.append(F.array_join("where", "|").alias("conditions"))
         if csn == 5:
-            pairs = G.equal_type_pairs(F.col("table_fields"), F.col("_other"))
-            other = G.draw_fields(
-                F.col("item_id"), 7, V.DEFAULT, _join_table(7), _join_count(7), 4, "j_"
+            count = draw_below(G.MAX_JOIN_COLUMNS, 7, F.col("item_id"), "j_ncols") + 1
+            df = df.withColumns(
+                {
+                    "_join_table": G.draw_table(F.col("item_id"), 7, V.DEFAULT, "j_"),
+                    **G.field_draws(F.col("item_id"), 7, V.DEFAULT, count, G.MAX_JOIN_COLUMNS, "j_"),
+                }
             )
-            df = df.withColumn("_other", other)
+            other = G.draw_fields(V.DEFAULT, F.col("_join_table"), "j_")
+            pairs = G.equal_type_pairs(F.col("table_fields"), other)
             out += [F.col("join_table.name").alias("join_name"), F.size(pairs).alias("equal_type_pairs")]
         return df.select(*out)
 
 
-def _join_table(seed: int):
-    return G.draw_table(F.col("item_id"), seed, V.DEFAULT, "j_")
-
-
-def _join_count(seed: int):
-    return draw_below(G.MAX_JOIN_COLUMNS, seed, F.col("item_id"), "j_ncols") + 1
-
-
 for _csn in range(1, 6):
     _standard(_csn)
 

@@ -250,7 +250,8 @@ def feature_sql(feature: str, base: str, novel: bool = False, seed: int = 7) ->
         clean = "join_table.name"
         wrong = other([t[0] for t in DEFAULT.tables], f"[{clean}]", "c_join")
         once = first(s, "'JOIN ' || clean || ' ON '", "'JOIN ' || wrong || ' ON '")
-        sq = f"(SELECT {first('q', chr(39) + ' = ' + chr(39) + ' || clean || ' + repr('.'), chr(39) + ' = ' + chr(39) + ' || wrong || ' + repr('.'))} FROM (SELECT {once} AS q))"
+        owner = first("q", "' = ' || clean || '.'", "' = ' || wrong || '.'")
+        sq = f"(SELECT {owner} FROM (SELECT {once} AS q))"
         jn = "wrong"
     return (
         f"SELECT '{feature}' AS feature_name, item_id, clean AS clean_token, wrong AS corrupt_token, {answer} AS answer_token, "
