@@ -53,7 +53,7 @@ for _name in GROUPS:
     "corrupt_counts",
     "K18 F9",
     lambda: f"WITH {O.candidates_ctes()} SELECT feature_name, count(*) AS candidates, "
-    "count_if(kept) AS pairs, count_if(NOT kept) AS dropped FROM cand GROUP BY feature_name",
+    "count(*) FILTER (WHERE kept) AS pairs, count(*) FILTER (WHERE NOT kept) AS dropped FROM cand GROUP BY feature_name",
 )
 def corrupt_counts(spark, sf):
     return C.feature_counts(order_ids(spark, sf))

@@ -88,7 +88,7 @@ def token_rates(spark, sf):
 @check(
     "token_coverage",
     "A10 A11",
-    f"WITH {_TOKENS} SELECT dataset, \"column\", count(*) AS num_tokens, count_if(coalesce(n, 0) < 5) AS num_rare "
+    f"WITH {_TOKENS} SELECT dataset, \"column\", count(*) AS num_tokens, count(*) FILTER (WHERE coalesce(n, 0) < 5) AS num_rare "
     "FROM tok LEFT JOIN bg USING (token) GROUP BY ALL",
 )
 def token_coverage(spark, sf):
@@ -250,7 +250,7 @@ def fields_per_table(spark, sf):
 @check(
     "join_share",
     "F1",
-    lambda: f"WITH {items_ctes(5, **SYN)} SELECT count(*) AS rows, count_if(contains(sql_statement, 'JOIN')) AS with_word, "
+    lambda: f"WITH {items_ctes(5, **SYN)} SELECT count(*) AS rows, count(*) FILTER (WHERE contains(sql_statement, 'JOIN')) AS with_word, "
     "round(avg(contains(sql_statement, 'JOIN')::INT), 6) AS share FROM items",
 )
 def join_share(spark, sf):

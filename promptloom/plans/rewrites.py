@@ -241,7 +241,7 @@ def sql_similarity(spark, sf):
     lambda: _pairs_sql()
     + _similarity_ctes()
     + "SELECT source, coalesce(round(avg(CASE WHEN item_id % 7 > 0 THEN eight_point END), 6), 0) AS mean_similarity, "
-    "count_if(item_id % 7 > 0) AS successes, round(count_if(item_id % 7 > 0) / count(*), 6) AS success_rate "
+    "count(*) FILTER (WHERE item_id % 7 > 0) AS successes, round(count(*) FILTER (WHERE item_id % 7 > 0) / count(*), 6) AS success_rate "
     "FROM sim GROUP BY source",
 )
 def similarity_by_kind(spark, sf):

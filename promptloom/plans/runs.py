@@ -84,8 +84,8 @@ def latents(spark, sf):
 @check(
     "failures_by_position",
     "A15",
-    f"WITH {TRIES} SELECT pos, count(*) AS tries, count_if(NOT same) AS fails, "
-    "round(100.0 * count_if(NOT same) / count(*), 2) AS failure_rate FROM tries GROUP BY pos",
+    f"WITH {TRIES} SELECT pos, count(*) AS tries, count(*) FILTER (WHERE NOT same) AS fails, "
+    "round(100.0 * count(*) FILTER (WHERE NOT same) / count(*), 2) AS failure_rate FROM tries GROUP BY pos",
 )
 def failures_by_position(spark, sf):
     return R.failure_rates(tries(spark, sf), "pos")
@@ -94,8 +94,8 @@ def failures_by_position(spark, sf):
 @check(
     "failures_by_head",
     "A16",
-    f"WITH {TRIES} SELECT layer, head, pos, count(*) AS tries, count_if(NOT same) AS fails, "
-    "round(100.0 * count_if(NOT same) / count(*), 2) AS failure_rate FROM tries GROUP BY ALL HAVING count_if(NOT same) > 0",
+    f"WITH {TRIES} SELECT layer, head, pos, count(*) AS tries, count(*) FILTER (WHERE NOT same) AS fails, "
+    "round(100.0 * count(*) FILTER (WHERE NOT same) / count(*), 2) AS failure_rate FROM tries GROUP BY ALL HAVING count(*) FILTER (WHERE NOT same) > 0",
 )
 def failures_by_head(spark, sf):
     return R.failure_rates(tries(spark, sf), "layer", "head", "pos", only_failing=True)
