@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from promptloom.operators.generate import generate_items
@@ -10,6 +12,16 @@ from promptloom.operators.score import score_rows, self_check
 from promptloom.sources.corpus import from_flat, read_corpus, to_flat, write_corpus
 
 
+# Generators by name (ids → items) and scorers by name (rows with predictions → scores).
+GENERATORS = {f"cs{csn}": partial(generate_items, csn=csn) for csn in range(1, 6)}
+SCORERS = {"points": score_rows}
+
+
+def checked_set(ids: DataFrame, generator: str, scorer: str = "points", **options) -> DataFrame:
+    """Self-check of a registered generator with a registered scorer."""
+    return self_check(GENERATORS[generator](ids, **options), SCORERS[scorer])
+
+
 def build_dataset(
     spark: SparkSession,
     path: str,

@@ -160,3 +160,22 @@ def corrupt_length_check(spark, sf):
     return C.length_check(
         C.corrupt_items(order_ids(spark, sf), GROUPS["prompt"] + GROUPS["definition"])
     )
+
+
+def _characters(texts):
+    """A stand-in tokenizer: one token per character, its code as the id."""
+    return [[ord(c) for c in text] for text in texts]
+
+
+@check(
+    "corrupt_token_ids",
+    "K22 X3",
+    lambda: "WITH "
+    + O.candidates_ctes(GROUPS["prompt"])
+    + " SELECT feature_name, item_id, unicode(clean_token) AS clean_token_id, "
+    "unicode(corrupt_token) AS corrupt_token_id FROM cand WHERE kept",
+)
+def corrupt_token_ids(spark, sf):
+    # Offset 1 skips the token of the leading space, as it skips a start mark.
+    pairs = C.with_token_ids(C.corrupt_items(order_ids(spark, sf), GROUPS["prompt"]), _characters, 1)
+    return pairs.select("feature_name", "item_id", "clean_token_id", "corrupt_token_id")

@@ -78,15 +78,22 @@ def error_detection_probe(spark, sf):
 
 @check(
     "stored_corpus",
-    "S7 S8 S9 S13 W5",
-    lambda: f"WITH {items_ctes(1, syn_table=True, syn_field=True)} SELECT item_id, sql_statement, 'test' AS split FROM items WHERE "
+    "S7 S8 S9 W5 X4 P4",
+    lambda: f"WITH {items_ctes(1, syn_table=True, syn_field=True)} SELECT item_id, 'test' AS split, "
+    "'### Instruction: ' || english_prompt || ' ### Context: ' || create_statement || ' ### Response: ' || sql_statement "
+    "AS text FROM items WHERE "
     + chance(0.1, 7, "item_id", "split_test"),
 )
 def stored_corpus(spark, sf):
     folder = f"{shared_folder(spark)}/corpus-{spark.sparkContext.applicationId}"
     flat = M.split_by_hash(D.to_flat(items(spark, sf, 1), "item_id"), "item_id")
     D.write_corpus(flat, folder, "cs1")
-    return D.read_corpus(spark, folder, "cs1", "test").select("item_id", "sql_statement", "split")
+
+    def training(rows):
+        text = T.training_text(F.col("english_prompt"), F.col("create_statement"), F.col("sql_statement"))
+        return rows.select("item_id", "split", text.alias("text"))
+
+    return D.read_corpus(spark, folder, "cs1", "test", mapper=training)
 
 
 @check(

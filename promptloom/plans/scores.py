@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from promptloom.operators import score as SC
-from promptloom.plans.base import check, items, r6
+from promptloom.operators.dataset import checked_set
+from promptloom.plans.base import ITEM_OPTIONS, check, items, order_ids, r6
 from promptloom.plans.oracle.items import items_ctes
 from promptloom.plans.oracle.scores import score_ctes
 
@@ -103,12 +104,15 @@ def evaluation_summary(spark, sf):
 
 @check(
     "ground_truth_check",
-    "A3",
+    "A3 X1",
     "SELECT * FROM (VALUES (1), (2), (3)) AS t(source_csn), "
     "(SELECT count(*) AS n, 100.0::DOUBLE AS accuracy_pct FROM orders)",
 )
 def ground_truth_check(spark, sf):
-    parts = [SC.self_check(items(spark, sf, c)) for c in (1, 2, 3)]
+    parts = [
+        checked_set(order_ids(spark, sf), name, "points", **ITEM_OPTIONS)
+        for name in ("cs1", "cs2", "cs3")
+    ]
     return reduce(DataFrame.unionByName, parts).withColumn("accuracy_pct", r6("accuracy_pct"))
 
 

@@ -65,15 +65,22 @@ def write_corpus(flat: DataFrame, path: str, dataset: str) -> None:
 
 
 def read_corpus(
-    spark: SparkSession, path: str, dataset: str | None = None, split: str | None = None
+    spark: SparkSession,
+    path: str,
+    dataset: str | None = None,
+    split: str | None = None,
+    mapper: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """A dataset or one split of it; other folders are never opened (partition pruning)."""
+    """A dataset or one split of it; other folders are never opened (partition pruning).
+
+    ``mapper`` turns the rows into what the caller trains on, e.g. one text column.
+    """
     df = spark.read.parquet(path)
     if dataset is not None:
         df = df.where(F.col("dataset") == dataset)
     if split is not None:
         df = df.where(F.col("split") == split)
-    return df
+    return df if mapper is None else df.transform(mapper)
 
 
 def write_documents(df: DataFrame, path: str) -> None:
