@@ -175,6 +175,29 @@ def readability(text: Column, words: Column) -> Column:
     )
 
 
+HOT_WORDS = 1000
+
+
+def with_counts(rows: DataFrame, key: str, unigrams: DataFrame) -> DataFrame:
+    """Adds the background ``count`` of each ``token``, 0 when unknown.
+
+    The most frequent words stand in nearly every text. They get their counts from a
+    broadcast of fixed size; in the join of all other words their rows take part with a
+    key of their own text, which matches nothing and spreads them evenly.
+    """
+    hot = unigrams.orderBy(F.desc("count"), "token").limit(HOT_WORDS)
+    hot = hot.select("token", F.col("count").alias("_hot"))
+    own = F.concat(F.lit("\x00"), F.col(key).cast("string"))
+    marked = rows.join(F.broadcast(hot), "token", "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col("token")).otherwise(own)
+    )
+    return (
+        marked.join(unigrams.withColumnRenamed("token", "_key"), "_key", "left")
+        .withColumn("count", F.coalesce("_hot", "count", F.lit(0)))
+        .drop("_hot", "_key")
+    )
+
+
 def text_metrics(df: DataFrame, key: str, column: str, unigrams: DataFrame) -> DataFrame:
     """(key, rarity, lexical_density, readability) per text.
 
@@ -188,15 +211,15 @@ def text_metrics(df: DataFrame, key: str, column: str, unigrams: DataFrame) -> D
         readability(F.col(column), F.col("_words")).alias("readability"),
     )
     total = unigrams.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
-    rarity = (
+    counted = (
         worded.select(key, F.explode("_words").alias("token"))
         .groupBy(key, "token")
         .agg(F.count("*").alias("n"))
-        .join(unigrams, "token", "left")
+    )
+    rarity = (
+        with_counts(counted, key, unigrams)
         .withColumn("_total", total)
-        .withColumn(
-            "_rarity", F.log((F.col("_total") + 1) / (F.coalesce("count", F.lit(0)) + 1))
-        )
+        .withColumn("_rarity", F.log((F.col("_total") + 1) / (F.col("count") + 1)))
         .groupBy(key)
         .agg((F.sum(F.col("_rarity") * F.col("n")) / F.sum("n")).alias("rarity"))
     )

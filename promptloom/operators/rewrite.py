@@ -107,23 +107,27 @@ def output_similarity(outputs: DataFrame, vectors: DataFrame) -> DataFrame:
     counted = words.groupBy("item_id", F.col("w.x").alias("x"), F.col("w.y").alias("y")).agg(
         F.count("*").alias("n")
     )
-    different = counted.where("x <> y").select("x", "y").distinct()
+    other = counted.where("x <> y")
     similar = (
-        different.join(vectors.select(F.col("word").alias("x"), F.col("vector").alias("vx")), "x")
+        other.select("x", "y")
+        .distinct()
+        .join(vectors.select(F.col("word").alias("x"), F.col("vector").alias("vx")), "x")
         .join(vectors.select(F.col("word").alias("y"), F.col("vector").alias("vy")), "y")
         .select("x", "y", cosine(F.col("vx"), F.col("vy")).alias("sim"))
     )
-    score = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.coalesce("sim", F.lit(0.0)))
+    # Equal words, often the bulk, stay out of the join.
+    scored = other.join(similar, ["x", "y"], "left").select(
+        "item_id", "n", F.coalesce("sim", F.lit(0.0)).alias("sim")
+    )
+    equal = counted.where("x = y").select("item_id", "n", F.lit(1.0).alias("sim"))
+    nothing = counted.where("x is null").select("item_id", F.lit(0).alias("n"), F.lit(0.0).alias("sim"))
     return (
-        counted.join(similar, ["x", "y"], "left")
+        scored.unionByName(equal)
+        .unionByName(nothing)
         .groupBy("item_id")
         .agg(
             F.coalesce(
-                F.try_divide(
-                    F.sum(F.when(F.col("x").isNotNull(), score * F.col("n"))),
-                    F.sum(F.when(F.col("x").isNotNull(), F.col("n"))),
-                ),
-                F.lit(0.0),
+                F.try_divide(F.sum(F.col("sim") * F.col("n")), F.sum("n")), F.lit(0.0)
             ).alias("similarity")
         )
     )

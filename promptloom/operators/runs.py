@@ -155,7 +155,7 @@ def latent_weights(latents: DataFrame, layer: str = "layer") -> DataFrame:
     """
     rows = latents.groupBy(layer).agg(F.count("*").alias("_rows"))
     sums = feature_rows(latents).groupBy(layer, "feature").agg(F.sum("act").alias("_sum"))
-    return sums.join(F.broadcast(rows), layer).select(
+    return sums.join(rows, layer).select(
         layer, "feature", (F.col("_sum") / F.col("_rows")).alias("weight")
     )
 
@@ -262,16 +262,17 @@ def rotated_partner(rows: DataFrame, batch: str, place: str, value: str) -> Data
     """Adds ``partner``: the value of the next row of the batch, the first for the last.
 
     ``place`` counts 0 .. n-1 within a batch. The partner comes by an equi-join on
-    (batch, place), which spreads a large batch over all tasks.
+    (batch, place), which spreads a large batch over all tasks; only the last row of
+    each batch is joined to the first one by batch.
     """
-    sizes = rows.groupBy(batch).agg(F.count("*").alias("_n"))
-    following = rows.select(batch, F.col(place).alias("_next"), F.col(value).alias("partner"))
-    return (
-        rows.join(sizes, batch)
-        .withColumn("_next", (F.col(place) + 1) % F.col("_n"))
-        .join(following, [batch, "_next"])
-        .drop("_n", "_next")
+    following = rows.select(
+        batch, (F.col(place) - 1).alias(place), F.col(value).alias("partner"), F.lit(1).alias("_found")
     )
+    first = rows.where(F.col(place) == 0).select(batch, F.col(value).alias("partner"))
+    paired = rows.join(following, [batch, place], "left")
+    inner = paired.where(F.col("_found").isNotNull()).drop("_found")
+    last = paired.where(F.col("_found").isNull()).drop("_found", "partner").join(first, batch)
+    return inner.unionByName(last)
 
 
 def target_ranks(logits: DataFrame, target: Column, *by: str) -> DataFrame:
