@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from promptloom.functions.draws import strides
-from promptloom.operators.corrupt import CREATE_WORDS, DDL_FEATURES, FEATURES, promise_of
+from promptloom.operators.corrupt import CREATE_WORDS, FEATURES, promise_of
 from promptloom.plans.oracle import items as O
 from promptloom.sources.vocabulary import AGGREGATES, DEFAULT, PAIRS
 
@@ -284,5 +284,3 @@ def candidates_ctes(features=tuple(FEATURES), name: str = "cand", **options) ->
         selects.append(f"SELECT *, {CORRUPT_OF[promise_of(feature)]} AS kept FROM {rows}")
     return ", ".join([*ctes, f"{name} AS ({' UNION ALL '.join(selects)})"])
 
-
-__all__ = ["DDL_FEATURES", "base_ctes", "candidates_ctes"]
