@@ -63,8 +63,9 @@ def test_sampled_indices_differ(spark, n):
 
 def test_sample_array_is_uniform(spark):
     values = F.array(*[F.lit(i) for i in range(5)])
-    picked = D.sample_array(values, F.lit(2), 3, F.col("id"), "s", 5)
-    rows = spark.range(20000).select(F.explode(picked).alias("v")).groupBy("v").count().collect()
+    keyed = spark.range(20000).withColumn("keys", D.sort_keys(3, F.col("id"), "s", 5))
+    picked = D.sample_array(values, F.col("keys"), F.lit(2))
+    rows = keyed.select(F.explode(picked).alias("v")).groupBy("v").count().collect()
     assert all(abs(r["count"] - 8000) < 400 for r in rows)
 
 

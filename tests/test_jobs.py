@@ -1,6 +1,7 @@
 """Jobs end to end: determinism, corruption invariants, run summaries, storage, streams."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ def test_score_stream_equals_batch(spark, tmp_path):
     columns = [*[c for c in SC.ITEM_INPUT if c != "command_set"], "kind", "generated"]
     rows = items.join(preds, "item_id").select(*columns)
     rows.write.parquet(str(tmp_path / "in"))
-    query = ST.score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), tmp_path.name + "-s")
+    query = ST.score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), f"score-{uuid.uuid4().hex}")
     query.awaitTermination(120)
     streamed = {r.item_id: r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {r.item_id: r.score for r in SC.score_predictions(items, preds).collect()}
@@ -240,7 +241,7 @@ def test_rewrite_stream_equals_batch(spark, tmp_path):
     base = C.make_base_items(ids(spark, 10))
     prompts = base.select("item_id", T.prompt_text(F.col("english_prompt"), F.col("create_statement")).alias("prompt"))
     prompts.write.parquet(str(tmp_path / "in"))
-    query = ST.rewrite_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), tmp_path.name + "-r", ("SwapEng1",))
+    query = ST.rewrite_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), f"rewrite-{uuid.uuid4().hex}", ("SwapEng1",))
     query.awaitTermination(120)
     streamed = sorted(r.rewritten for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert streamed == sorted(r.rewritten for r in W.rewrite_prompts(prompts, ("SwapEng1",)).collect())
