@@ -244,7 +244,7 @@ def decode(pieces: bytes) -> str:
     return pieces.decode("utf-8", errors="replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, with_ids: bool = False) -> DataFrame:
@@ -256,16 +256,18 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, with_ids: bool = Fal
     vocabulary (a file of fixed size) is broadcast once.
     """
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    stored = read_vocabulary(vocabulary_path)
+    name = hashlib.sha256(repr((stored["merges"], stored["added"])).encode()).hexdigest()
+    vocabulary = spark.sparkContext.broadcast(stored)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(vocabulary.id)
-        if encoder is None:
+        if name not in _ENCODERS:  # a worker keeps one from task to task
             _ENCODERS.clear()
-            encoder = _ENCODERS[vocabulary.id] = Encoder(vocabulary.value)
+            _ENCODERS[name] = Encoder(vocabulary.value)
+        encoder = _ENCODERS[name]
         for batch in slices(batches):
             done = encode_batch(encoder, batch["text"])
             texts = [decode(d[2]) for d in done]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from promptloom.llm import bpe
+from promptloom.llm import bpe, decontaminate, pii
 from promptloom.llm.registry import QUERIES, SQL, query, read
 
 __all__ = ["QUERIES", "SQL"]
@@ -13,3 +13,14 @@ __all__ = ["QUERIES", "SQL"]
 @query("op10_bpe")
 def op10_bpe(spark, sf):
     return bpe.encode_documents(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_pii")
+def op2_pii(spark, sf):
+    return pii.report(read(spark, sf, "documents")).drop("found")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf):
+    found = decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.drop("items", "spans")
