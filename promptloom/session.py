@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,25 +28,37 @@ def local_session(app: str = "promptloom", cores: str = "*", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+    """The folder that all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = _LOCAL.get("folder") or tempfile.mkdtemp(prefix="promptloom-")
-        _LOCAL["folder"] = folder
-    return folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/promptloom-shared").rstrip("/")
+
+
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_LOCAL: dict[str, str] = {}
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder: cuts the lineage, survives lost
+    executors. The shuffle files behind it are dropped as soon as the table is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has made and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if "/stored-" not in path:
+                raise ValueError(f"not a stored table: {path}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
