@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from promptloom.llm import bpe, decontaminate, pii
+from promptloom.llm import bpe, decontaminate, jaccard, licenses, lm, neighbours, pii, repeats, toxicity, urls
 from promptloom.llm.registry import QUERIES, SQL, query, read
 
 __all__ = ["QUERIES", "SQL"]
@@ -20,7 +20,42 @@ def op2_pii(spark, sf):
     return pii.report(read(spark, sf, "documents")).drop("found")
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark, sf):
+    return toxicity.report(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op4_licenses")
+def op4_licenses(spark, sf):
+    return licenses.report(read(spark, sf, "documents"))
+
+
+@query("op5_neighbours")
+def op5_neighbours(spark, sf):
+    return neighbours.search(read(spark, sf, "embeddings"), "vec_id % 20 = 0")
+
+
 @query("op6_decontamination")
 def op6_decontamination(spark, sf):
     found = decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.drop("items", "spans")
+
+
+@query("op8_urls")
+def op8_urls(spark, sf):
+    return urls.judge(read(spark, sf, "pages"))
+
+
+@query("op9_repeats")
+def op9_repeats(spark, sf):
+    return repeats.remove_repeats(read(spark, sf, "documents"))
+
+
+@query("op7_jaccard")
+def op7_jaccard(spark, sf):
+    return jaccard.near_duplicates(read(spark, sf, "documents"))
+
+
+@query("op1_lm")
+def op1_lm(spark, sf):
+    return lm.score_documents(read(spark, sf, "documents"), "crc32(cast(doc_id AS string)) % 10 = 0")

@@ -63,7 +63,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 class Words:
     """Words of a batch. ``data``: their bytes, ``offsets``: where each begins in ``data``,
-    ``bounds``: text ``d`` has the words ``bounds[d]`` to ``bounds[d + 1]``."""
+    ``bounds``: text ``d`` has the words ``bounds[d]`` to ``bounds[d + 1]``. ``raw``: all bytes, the parting ones
+    too, ``starts``: where each word begins in them."""
 
     def __init__(self, texts: pa.Array, apart: np.ndarray = WHITE, lower: bool = False):
         raw, ends = text_bytes(texts)
@@ -75,6 +76,7 @@ class Words:
         first = ends[:-1][ends[:-1] < len(raw)]  # a word never goes on from one text to the next
         begins[first] |= kept[first]
         starts = np.flatnonzero(begins)
+        self.raw, self.starts = raw, starts
         self.data = raw[kept]
         self.offsets = np.append((np.cumsum(kept) - 1)[starts], len(self.data)).astype(np.int64)
         self.bounds = np.searchsorted(starts, ends)
@@ -102,12 +104,16 @@ class Words:
         values = (self.data.astype(np.uint64) + np.uint64(1)) * _powers(seed, int(lengths.max()))[place]
         return mix(np.add.reduceat(values, self.offsets[:-1]) + lengths.astype(np.uint64))
 
-    def joined(self, words: np.ndarray | None, text: int) -> bytes:
-        """Kept words of one text joined by single spaces; ``words``: keep flags of its words."""
-        lo, hi = self.bounds[text], self.bounds[text + 1]
-        offsets = self.offsets
-        parts = [self.data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi) if words is None or words[i - lo]]
-        return b" ".join(parts)
+    def joined(self, kept: np.ndarray) -> list[bytes]:
+        """The kept words of each text joined by single spaces."""
+        lengths = np.diff(self.offsets)
+        data = self.data[np.repeat(kept, lengths)]
+        sizes = lengths[kept]
+        spaced = np.full(len(data) + len(sizes), 0x20, np.uint8)
+        spaced[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+        ends = np.concatenate([[0], np.cumsum(np.where(kept, lengths + 1, 0))])[self.bounds]
+        whole = spaced.tobytes()
+        return [whole[lo : max(lo, hi - 1)] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _powers(seed: int, most: int) -> np.ndarray:
@@ -158,3 +164,15 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     """A list array of ``counts[i]`` values in row i."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The bytes of an array, place by place of all its values, so that shuffles compress them."""
+    raw = np.ascontiguousarray(values)
+    return raw.view(np.uint8).reshape(len(raw), raw.dtype.itemsize).T.tobytes()
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()

@@ -1,4 +1,3 @@
-import os
 import random
 
 import pytest
@@ -24,10 +23,8 @@ DOCUMENT_TYPE = T.StructType(
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("llm-tests", cores="4", spark__sql__shuffle__partitions="4")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+    folder = str(tmp_path_factory.mktemp("shared"))
+    return local_session("tests", spark__checkpoint__dir=folder)
 
 
 @pytest.fixture(scope="session")
@@ -64,5 +61,3 @@ def nasty(spark):
 def rows_of(df, *names):
     return sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
 
-
-os.environ.setdefault("TZ", "UTC")

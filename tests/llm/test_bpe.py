@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from promptloom.llm import bpe
 from promptloom.llm.queries import QUERIES
+
 from .conftest import rows_of, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

@@ -4,6 +4,7 @@ import re
 
 from promptloom.llm import decontaminate
 from promptloom.llm.queries import QUERIES
+
 from .conftest import nasty_texts, rows_of, table
 
 NAMES = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

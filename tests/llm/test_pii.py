@@ -6,6 +6,7 @@ import pytest
 
 from promptloom.llm import pii
 from promptloom.llm.queries import QUERIES
+
 from .conftest import rows_of, table
 
 PATTERNS = {
