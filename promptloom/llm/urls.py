@@ -66,7 +66,7 @@ def rule_verdict(rule: Column, rules=RULES) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits per character."""
-    total = F.length(text)
+    total = F.greatest(F.length(text), F.lit(1))
     parts = F.transform(
         F.array_distinct(F.split(text, "")),
         lambda c: (total - F.length(F.replace(text, c, F.lit("")))) / total,
