@@ -1,12 +1,14 @@
 """Prompt rewrites as Column expressions.
 
 Swaps of table and field in the instruction give NULL when a name is not found; all
-other rewrites then leave the prompt unchanged. Replacements are literal and touch the
-first occurrence only.
+other rewrites then leave the prompt unchanged. Words are whole words: a name that
+contains another one, or a marker word, is never torn apart. Names are replaced at
+their first occurrence only.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -18,11 +20,11 @@ from promptloom.functions.text import (
 from promptloom.sources.vocabulary import PAIRS
 
 # Where names stand in the prompt of a base item.
-TABLE_SAID = "from the (\\w+)"
-FIRST_SAID = "show me the (\\w+)"
-SECOND_SAID = "and (\\w+)"
-FIRST_ASKED = "(?:show|select|get|display)\\s+(?:me the\\s+)?(\\w+)"
-SECOND_ASKED = "and\\s+(\\w+)"
+TABLE_SAID = "\\bfrom the (\\w+)"
+FIRST_SAID = "\\bshow me the (\\w+)"
+SECOND_SAID = "\\band (\\w+)"
+FIRST_ASKED = "\\b(?:show|select|get|display)\\s+(?:me the\\s+)?(\\w+)"
+SECOND_ASKED = "\\band\\s+(\\w+)"
 TABLE_DEFINED = "CREATE TABLE (\\w+)"
 FIRST_DEFINED = "\\(\\s*(\\w+)"
 SECOND_DEFINED = ",\\s*(\\w+)"
@@ -57,10 +59,40 @@ def context_of(text: Column) -> Column:
     return between(text, CONTEXT_MARK, RESPONSE_MARK)
 
 
+def replace_first_word(text: Column, old: Column, new: Column) -> Column:
+    """The first occurrence of a name as a whole word replaced; unchanged without one."""
+
+    def replaced(s: Column) -> Column:
+        at = F.regexp_instr(s["t"], F.concat(F.lit("\\b"), s["o"], F.lit("\\b")))
+        return let(
+            F.struct(s["t"].alias("t"), s["o"].alias("o"), s["n"].alias("n"), at.alias("at")),
+            lambda b: F.when(b["at"] < 1, b["t"]).otherwise(
+                F.concat(
+                    F.left(b["t"], b["at"] - 1), b["n"], F.substr(b["t"], b["at"] + F.length(b["o"]))
+                )
+            ),
+        )
+
+    return let(F.struct(text.alias("t"), old.alias("o"), new.alias("n")), replaced)
+
+
+def replace_words(text: Column, old: str, new: Column) -> Column:
+    """Every occurrence of a word (as a whole word) or of a sign replaced."""
+    parts = F.split(text, f"\\b{old}\\b" if old.isalpha() else re.escape(old))
+
+    def rejoined(s: Column) -> Column:
+        behind = F.transform(
+            F.slice(s["p"], F.lit(2), F.size(s["p"])), lambda p: F.concat(s["n"], p)
+        )
+        return F.concat(F.get(s["p"], F.lit(0)), F.array_join(behind, ""))
+
+    return let(F.struct(parts.alias("p"), new.alias("n")), rejoined)
+
+
 def swap(text: Column, table: Column, field: Column) -> Column:
     """Exchange the first occurrences of the two words, through a placeholder."""
-    text = replace_first(text, field, F.lit(PLACEHOLDER))
-    text = replace_first(text, table, field)
+    text = replace_first_word(text, field, F.lit(PLACEHOLDER))
+    text = replace_first_word(text, table, field)
     return replace_first(text, F.lit(PLACEHOLDER), table)
 
 
@@ -109,14 +141,14 @@ def replace_in_instruction(text: Column, field: Column, word: Column) -> Column:
     """The first occurrence before the context mark, replaced by a word."""
     head = before_first(text, CONTEXT_MARK)
     tail = F.substr(text, F.length(head) + 1)
-    return F.when(field.isNull(), text).otherwise(F.concat(replace_first(head, field, word), tail))
+    return F.when(field.isNull(), text).otherwise(F.concat(replace_first_word(head, field, word), tail))
 
 
 def replace_in_context(text: Column, pattern: str, word: Column) -> Column:
     def replaced(section: Column) -> Column:
         return let(
             found(section, pattern),
-            lambda f: F.when(f.isNotNull(), replace_first(section, f, word)),
+            lambda f: F.when(f.isNotNull(), replace_first_word(section, f, word)),
         )
 
     return edit_context(text, replaced)
@@ -126,7 +158,7 @@ def replace_function_words(text: Column) -> Column:
     """Function words in the instruction replaced, everywhere they occur in it."""
     section = instruction_of(text)
     for old, new in FUNCTION_WORDS.items():
-        section = F.replace(section, F.lit(old), F.lit(new))
+        section = F.regexp_replace(section, f"\\b{old}\\b", new)
     head = F.concat(before_first(text, INSTRUCTION_MARK), F.lit(INSTRUCTION_MARK))
     tail = F.concat(F.lit(CONTEXT_MARK), after_first(after_first(text, INSTRUCTION_MARK), CONTEXT_MARK))
     return F.coalesce(F.concat(head, section, tail), text)

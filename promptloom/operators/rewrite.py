@@ -40,7 +40,7 @@ def sweep_prompts(prompts: DataFrame, sweep: str) -> DataFrame:
             "item_id",
             F.lit(sweep).alias("sweep"),
             "word",
-            F.replace("_base", F.lit(old), F.col("word")).alias("rewritten"),
+            R.replace_words(F.col("_base"), old, F.col("word")).alias("rewritten"),
         )
     )
 
@@ -90,12 +90,16 @@ def word_vectors(token_vectors: DataFrame) -> DataFrame:
     )
 
 
-def output_similarity(outputs: DataFrame, vectors: DataFrame) -> DataFrame:
+SALTS = 64
+
+
+def output_similarity(outputs: DataFrame, vectors: DataFrame, salts: int = SALTS) -> DataFrame:
     """Similarity of two outputs word by word: 1 for equal words, else the cosine of their
     vectors; the shorter output sets the length; nothing to compare gives 0.
 
     ``outputs``: item_id, a, b. ``vectors``: word, vector. Cosines are computed once per
-    distinct pair of different words, so a frequent word costs no more than a rare one.
+    distinct pair of different words. A pair that very many items hold is dealt out over
+    ``salts`` keys, each with a copy of the pair's cosine.
     """
     zipped = F.arrays_zip(
         F.slice("_a", F.lit(1), F.least(F.size("_a"), F.size("_b"))).alias("x"),
@@ -108,16 +112,23 @@ def output_similarity(outputs: DataFrame, vectors: DataFrame) -> DataFrame:
         F.count("*").alias("n")
     )
     other = counted.where("x <> y")
+    # A frequent word stands in many pairs: its vector is copied to every salt, too.
+    salt = F.pmod(F.xxhash64("x", "y"), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     similar = (
         other.select("x", "y")
         .distinct()
-        .join(vectors.select(F.col("word").alias("x"), F.col("vector").alias("vx")), "x")
-        .join(vectors.select(F.col("word").alias("y"), F.col("vector").alias("vy")), "y")
+        .select("x", "y", salt)
+        .join(vectors.select(F.col("word").alias("x"), F.col("vector").alias("vx"), every), ["x", "salt"])
+        .join(vectors.select(F.col("word").alias("y"), F.col("vector").alias("vy"), every), ["y", "salt"])
         .select("x", "y", cosine(F.col("vx"), F.col("vy")).alias("sim"))
     )
     # Equal words, often the bulk, stay out of the join.
-    scored = other.join(similar, ["x", "y"], "left").select(
-        "item_id", "n", F.coalesce("sim", F.lit(0.0)).alias("sim")
+    own = F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int").alias("salt")
+    scored = (
+        other.select("item_id", "x", "y", "n", own)
+        .join(similar.select("x", "y", "sim", every), ["x", "y", "salt"], "left")
+        .select("item_id", "n", F.coalesce("sim", F.lit(0.0)).alias("sim"))
     )
     equal = counted.where("x = y").select("item_id", "n", F.lit(1.0).alias("sim"))
     nothing = counted.where("x is null").select("item_id", F.lit(0).alias("n"), F.lit(0.0).alias("sim"))

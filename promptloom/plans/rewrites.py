@@ -8,7 +8,7 @@ from promptloom.functions import rewriting as R, text as T
 from promptloom.functions.draws import draw_below
 from promptloom.operators import corrupt as C, rewrite as W
 from promptloom.plans.base import check, items, order_ids, r6
-from promptloom.plans.oracle.corrupt import base_ctes, first
+from promptloom.plans.oracle.corrupt import base_ctes
 from promptloom.plans.oracle.items import items_ctes, pick_word, words
 from promptloom.sources.tables import spread, table
 from promptloom.sources.vocabulary import PAIRS
@@ -27,56 +27,43 @@ def prompts(spark, sf):
     )
 
 
-def _swap_sql(text: str, t: str, f: str) -> str:
-    return first(first(first(text, f, "'TEMP'"), t, f), "'TEMP'", t)
-
-
 def _rewrite_sql() -> str:
-    ins = "string_split(string_split(prompt, '### Instruction:')[2], '### Context:')[1]"
-    ctx = "string_split(string_split(prompt, '### Context:')[2], '### Response:')[1]"
-    cols = {"ins": ins, "ctx": ctx, "head": "string_split(prompt, '### Context:')[1]"}
-    staged = "SELECT *, " + ", ".join(f"{e} AS {a}" for a, e in cols.items()) + " FROM prompts"
-    names = {
-        "t_said": "regexp_extract(lower(ins), 'from the (\\w+)', 1)",
-        "f1_said": "regexp_extract(lower(ins), 'show me the (\\w+)', 1)",
-        "f2_said": "regexp_extract(lower(ins), 'and (\\w+)', 1)",
-        "t_def": "regexp_extract(ctx, 'CREATE TABLE (\\w+)', 1)",
-        "f1_def": "regexp_extract(ctx, '\\(\\s*(\\w+)', 1)",
-        "f2_def": "regexp_extract(ctx, ',\\s*(\\w+)', 1)",
-    }
-    staged = "SELECT *, " + ", ".join(f"{e} AS {a}" for a, e in names.items()) + f" FROM ({staged})"
+    """What each rewrite must give, built from the item's own names and not by searching."""
+    f1, f2, t = "table_fields[1].name", "table_fields[2].name", "tbl.name"
+    y1, y2 = "table_fields[1].type", "table_fields[2].type"
 
-    def in_ctx(new: str) -> str:
-        return f"head || '### Context:' || {new} || '### Response:' || string_split(prompt, '### Response:')[2]"
+    def said(a, b, c):
+        start = "'show me the ' || {} || ' and ' || {} || ' from the ' || {} || ' table'"
+        # What stands behind the table: the order, with the names as they were.
+        rest = f"substr(english_prompt, length({start.format(f1, f2, t)}) + 1)"
+        return f"{start.format(a, b, c)} || {rest}"
 
-    tail = "substr(prompt, length(head) + 1)"
+    def made(a, b, c):
+        return f"'CREATE TABLE ' || {c} || ' ( ' || {a} || ' ' || {y1} || ', ' || {b} || ' ' || {y2} || ' )'"
+
+    def prompt(instruction="english_prompt", context="create_statement"):
+        return f"'### Instruction: ' || {instruction} || ' ### Context: ' || {context} || ' ### Response: '"
 
     def w(slot):
         return pick_word(PAIRS.random_words, 7, "item_id", slot)
 
-    instr = "ins"
-    for old, new in R.FUNCTION_WORDS.items():
-        instr = f"replace({instr}, '{old}', '{new}')"
+    functions = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in R.FUNCTION_WORDS.items())
+    by_word = (
+        f"array_to_string(list_transform(string_split(english_prompt, ' '), lambda w: CASE w {functions} ELSE w END), ' ')"
+    )
     kinds = {
-        "SwapEng1": _swap_sql("prompt", "t_said", "f1_said"),
-        "SwapEng2": _swap_sql("prompt", "t_said", "f2_said"),
-        "SwapCreate1": in_ctx(_swap_sql("ctx", "t_def", "f1_def")),
-        "SwapCreate2": in_ctx(_swap_sql("ctx", "t_def", "f2_def")),
-        "RandomEng1": first("head", "f1_said", w("r_eng1")) + f" || {tail}",
-        "RandomEng2": first("head", "f2_said", w("r_eng2")) + f" || {tail}",
-        "RandomCreate1": in_ctx(first("ctx", "f1_def", w("r_create1"))),
-        "RandomCreate2": in_ctx(first("ctx", "f2_def", w("r_create2"))),
-        "FunctionWords": f"'### Instruction:' || {instr} || '### Context:' || string_split(prompt, '### Context:')[2]",
+        "SwapEng1": prompt(said(t, f2, f1)),
+        "SwapEng2": prompt(said(f1, t, f2)),
+        "SwapCreate1": prompt(context=made(t, f2, f1)),
+        "SwapCreate2": prompt(context=made(f1, t, f2)),
+        "RandomEng1": prompt(said(w("r_eng1"), f2, t)),
+        "RandomEng2": prompt(said(f1, w("r_eng2"), t)),
+        "RandomCreate1": prompt(context=made(w("r_create1"), f2, t)),
+        "RandomCreate2": prompt(context=made(f1, w("r_create2"), t)),
+        "FunctionWords": prompt(by_word),
     }
-    rows = " UNION ALL ".join(
-        f"SELECT item_id, '{k}' AS kind, ({_wrap(e)}) AS rewritten FROM staged" for k, e in kinds.items()
-    )
-    return PROMPTS + f", staged AS ({staged}) {rows}"
-
-
-def _wrap(expression: str) -> str:
-    # CASE ... END || x needs brackets around the CASE part.
-    return expression.replace("CASE WHEN", "(CASE WHEN").replace(" END", " END)")
+    rows = " UNION ALL ".join(f"SELECT item_id, '{k}' AS kind, {e} AS rewritten FROM base" for k, e in kinds.items())
+    return f"WITH {BASE} {rows}"
 
 
 @check("prompt_rewrites", "R1 R2 R3 R4 R5 R6 R7 X2", _rewrite_sql)
@@ -86,13 +73,19 @@ def prompt_rewrites(spark, sf):
 
 def _sweep(name: str, covers: str):
     old, new_words = R.SWEEPS[name]
+    # The words of a prompt stand between single blanks; a sign may touch a word.
+    swept = (
+        f"array_to_string(list_transform(string_split(p, ' '), lambda w: CASE WHEN w = '{old}' THEN word ELSE w END), ' ')"
+        if old.isalpha()
+        else f"replace(p, '{old}', word)"
+    )
 
     @check(
         f"sweep_{name}",
         covers,
         lambda: PROMPTS
-        + f"SELECT item_id, word, md5(replace(replace(prompt, 'show me', 'select'), '{old}', word)) AS digest "
-        f"FROM prompts, unnest({words(new_words)}) AS t(word)",
+        + f"SELECT item_id, word, md5({swept}) AS digest FROM (SELECT item_id, replace(prompt, 'show me', 'select') AS p "
+        f"FROM prompts), unnest({words(new_words)}) AS t(word)",
     )
     def run(spark, sf):
         return W.sweep_prompts(prompts(spark, sf), name).select(
@@ -235,20 +228,52 @@ def sql_similarity(spark, sf):
     )
 
 
+def _answer(prompt):
+    """A stand-in for a model: the SQL that a prompt's own words ask for."""
+    field1 = R.found(prompt, "show me the (\\w+)")
+    field2 = R.found(prompt, R.SECOND_SAID)
+    return F.concat(F.lit("SELECT "), field1, F.lit(", "), field2, F.lit(" FROM "), R.found(prompt, R.TABLE_DEFINED))
+
+
+def _answer_sql() -> str:
+    """The same answers, from the item's names: a rewrite that the stand-in can't read gives none."""
+    f1, f2, t = "table_fields[1].name", "table_fields[2].name", "tbl.name"
+
+    def w(slot):
+        return pick_word(PAIRS.random_words, 7, "item_id", slot)
+
+    names = {
+        "SwapEng1": (t, f2, t), "SwapEng2": (f1, t, t), "SwapCreate1": (f1, f2, f1), "SwapCreate2": (f1, f2, f2),
+        "RandomEng1": (w("r_eng1"), f2, t), "RandomEng2": (f1, w("r_eng2"), t),
+        "RandomCreate1": (f1, f2, t), "RandomCreate2": (f1, f2, t), "FunctionWords": None,
+    }
+
+    def text(parts):
+        return "'SELECT ' || {} || ', ' || {} || ' FROM ' || {}".format(*parts) if parts else "NULL::VARCHAR"
+
+    rows = " UNION ALL ".join(
+        f"SELECT item_id, '{kind}' AS kind, {text((f1, f2, t))} AS a, {text(parts)} AS b FROM base"
+        for kind, parts in names.items()
+    )
+    return f"WITH {BASE}, p AS (SELECT item_id, kind AS source, a, b FROM ({rows})) "
+
+
 @check(
     "similarity_by_kind",
     "A26",
-    lambda: _pairs_sql()
+    lambda: _answer_sql()
     + _similarity_ctes()
-    + "SELECT source, coalesce(round(avg(CASE WHEN item_id % 7 > 0 THEN eight_point END), 6), 0) AS mean_similarity, "
-    "count(*) FILTER (WHERE item_id % 7 > 0) AS successes, round(count(*) FILTER (WHERE item_id % 7 > 0) / count(*), 6) AS success_rate "
-    "FROM sim GROUP BY source",
+    + "SELECT p.source AS kind, coalesce(round(avg(CASE WHEN p.b IS NOT NULL THEN eight_point END), 6), 0) AS mean_similarity, "
+    "count(p.b) AS successes, round(count(p.b) / count(*), 6) AS success_rate "
+    "FROM p JOIN sim USING (item_id, source) GROUP BY p.source",
 )
 def similarity_by_kind(spark, sf):
-    rows = W.compare_sql(pairs(spark, sf)).withColumn(
-        "similarity", F.when(F.col("item_id") % 7 > 0, F.col("eight_point"))
+    # Answers to the rewritten prompts against the answer to the prompt as it was.
+    rows = W.rewrite_prompts(prompts(spark, sf)).select(
+        "kind", _answer(F.col("prompt")).alias("a"), _answer(F.col("rewritten")).alias("b")
     )
-    out = W.similarity_summary(rows, "source")
+    scored = W.compare_sql(rows).withColumn("similarity", F.when(F.col("b").isNotNull(), F.col("eight_point")))
+    out = W.similarity_summary(scored, "kind")
     return out.withColumns(
         {"mean_similarity": r6("mean_similarity"), "success_rate": r6("success_rate")}
     )
