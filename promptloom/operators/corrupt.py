@@ -23,7 +23,6 @@ from promptloom.sources.vocabulary import AGGREGATES, DEFAULT, PAIRS, PairVocabu
 # Words that take the place of CREATE, and of the comma in a table definition.
 CREATE_WORDS = ("MAKE", "BUILD", "GENERATE", "CONSTRUCT")
 SEPARATORS = (":",)
-AGGREGATE_CALL = "(\\w+)\\((\\w+)\\)"
 
 BASE_COLUMNS = (
     "item_id", "command_set", "table_name", "table_fields", "create_statement", "select",
@@ -180,6 +179,11 @@ def edit(clean: Column, corrupt: Column, answer: Column | None = None, **texts:
     return {"clean": clean, "corrupt": corrupt, "answer": clean if answer is None else answer, **texts}
 
 
+def replace_end(text: Column, old: Column, new: Column) -> Column:
+    """The text with its known end exchanged."""
+    return F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(old)), new)
+
+
 class Features:
     """The edits by feature name, for one seed and vocabulary."""
 
@@ -245,39 +249,45 @@ class Features:
             sql=T.replace_first_after(F.col("sql_statement"), "ORDER BY", chosen, wrong),
         )
 
-    def order_direction(self, last: bool) -> dict:
+    def order_direction(self, second: bool, phrases_spoken: bool) -> dict:
+        """Turn one direction, in the SQL and in the prompt, each at its own place.
+
+        Items with aggregates end with a phrase and a field for each part of the order;
+        the others end with ``in <direction> order``.
+        """
         order, phrases = F.col("order_by"), F.col("order_by_phrase")
-        place = F.least(F.lit(1 if last else 0), F.size(order) - 1)
+        place = F.least(F.lit(1 if second else 0), F.size(order) - 1)
         asc = F.get(order, place)["asc"]
         clean = F.when(asc, F.lit("ASC")).otherwise(F.lit("DESC"))
         wrong = F.when(asc, F.lit("DESC")).otherwise(F.lit("ASC"))
-        phrase = F.get(phrases, place)
-        redrawn = F.when(
-            asc, pick_word(self.vocab.desc_phrases(), self.seed, self.key, "c_phrase")
-        ).otherwise(pick_word(self.vocab.asc_phrases(), self.seed, self.key, "c_phrase"))
-        other = (
-            F.when(phrase == "ascending", F.lit("descending"))
-            .when(phrase == "descending", F.lit("ascending"))
-            .otherwise(redrawn)
-        )
-        sql = F.col("sql_statement")
-        replaced = (
-            T.replace_last(sql, clean, wrong)
-            if last
-            else T.replace_first_after(sql, "ORDER BY", clean, wrong)
-        )
-        return edit(
-            clean, wrong, sql=replaced, english=T.replace_first(F.col("english_prompt"), phrase, other)
+        turned = F.transform(
+            order,
+            lambda f, i: F.struct(
+                f["name"].alias("name"), F.when(i == place, ~f["asc"]).otherwise(f["asc"]).alias("asc")
+            ),
         )
+        sql = replace_end(F.col("sql_statement"), G.order_sql(order), G.order_sql(turned))
+        english = F.col("english_prompt")
+        if phrases_spoken:
+            other = F.when(
+                asc, pick_word(self.vocab.desc_phrases(), self.seed, self.key, "c_phrase")
+            ).otherwise(pick_word(self.vocab.asc_phrases(), self.seed, self.key, "c_phrase"))
+            said = F.transform(phrases, lambda p, i: F.when(i == place, other).otherwise(p))
+            english = replace_end(english, G.english_order(order, phrases), G.english_order(order, said))
+        else:
+            words = {"ASC": "ascending order", "DESC": "descending order"}
+            before, after = (
+                F.when(c == "ASC", F.lit(words["ASC"])).otherwise(F.lit(words["DESC"])) for c in (clean, wrong)
+            )
+            english = replace_end(english, before, after)
+        return edit(clean, wrong, sql=sql, english=english)
 
     # -- aggregates
     def _call(self, second: bool) -> tuple[Column, Column, Column]:
         """Aggregate, field and number of the first or second ``AGG(field)``."""
-        sql = F.col("sql_statement")
-        aggs = F.regexp_extract_all(sql, F.lit(AGGREGATE_CALL), F.lit(1))
-        fields = F.regexp_extract_all(sql, F.lit(AGGREGATE_CALL), F.lit(2))
-        at = F.least(F.lit(1 if second else 0), F.size(aggs) - 1)
-        return F.get(aggs, at), F.get(fields, at), at
+        called = F.filter("select", lambda f: f["aggregate"] != "")
+        at = F.least(F.lit(1 if second else 0), F.size(called) - 1)
+        return F.get(called, at)["aggregate"], F.get(called, at)["name"], at
 
     def aggregate_function(self, second: bool) -> dict:
         agg, field, at = self._call(second)
@@ -296,12 +306,25 @@ class Features:
         def call(name: Column) -> Column:
             return F.concat(name, F.lit("("), field, F.lit(")"))
 
+        # The phrases by field again, the one of this call exchanged.
+        select, phrases = F.col("select"), F.col("agg_phrases")
+        before = F.transform(
+            select,
+            lambda f, i: F.when(
+                f["aggregate"] != "",
+                F.size(F.filter(F.slice(select, F.lit(1), i), lambda g: g["aggregate"] != "")),
+            ),
+        )
+        said = F.transform(before, lambda k: F.get(phrases, k))
+        exchanged = F.transform(before, lambda k: F.when(k == at, phrase).otherwise(F.get(phrases, k)))
         return edit(
             agg,
             wrong,
             sql=F.replace("sql_statement", call(agg), call(wrong)),
             english=T.replace_first(
-                F.col("english_prompt"), F.get(F.col("agg_phrases"), at), phrase
+                F.col("english_prompt"),
+                G.spoken_fields(select, said),
+                G.spoken_fields(select, exchanged),
             ),
         )
 
@@ -361,9 +384,9 @@ FEATURES: dict[str, tuple[Callable[[Features], dict], dict]] = {
     "DefFieldName": (Features.def_field_name, {}),
     "DefOrderByField1": (lambda f: f.order_field(0), {"use_order_by": True}),
     "DefOrderByField2": (lambda f: f.order_field(1), {"use_order_by": True, "use_aggregates": True}),
-    "DefOrderByDirection1": (lambda f: f.order_direction(False), {"use_order_by": True}),
+    "DefOrderByDirection1": (lambda f: f.order_direction(False, False), {"use_order_by": True}),
     "DefOrderByDirection2": (
-        lambda f: f.order_direction(True), {"use_order_by": True, "use_aggregates": True},
+        lambda f: f.order_direction(True, True), {"use_order_by": True, "use_aggregates": True},
     ),
     "DefAggregateFunction1": (lambda f: f.aggregate_function(False), {"use_aggregates": True}),
     "DefAggregateFunction2": (lambda f: f.aggregate_function(True), {"use_aggregates": True}),
@@ -425,17 +448,8 @@ def corrupt_candidates(
         rows = F.array(*[_edit_row(f, FEATURES[f][0](edits)) for f in group])
         parts.append(base.select("*", F.inline(rows)))
 
-    def changed(corrupt: str, clean: str) -> Column:
-        return F.coalesce(F.col(corrupt) != F.col(clean), F.lit(False))
-
-    edited = reduce(DataFrame.unionByName, parts).withColumns(
-        {
-            "changed_prompt": changed("corrupt_english_prompt", "english_prompt"),
-            "changed_ddl": changed("corrupt_create_statement", "create_statement"),
-            "changed_sql": changed("corrupt_sql_statement", "sql_statement"),
-            "use_novel_names": F.lit(use_novel_names),
-        }
-    )
+    edited = with_changes(reduce(DataFrame.unionByName, parts))
+    edited = edited.withColumn("use_novel_names", F.lit(use_novel_names))
     return edited.withColumn("kept", kept_promise())
 
 
@@ -481,35 +495,68 @@ def feature_counts(ids: DataFrame, features=tuple(FEATURES), seed: int = 7, **op
     )
 
 
-def sanity_violations(pairs: DataFrame) -> DataFrame:
-    """Pairs that do not change what their feature promises; a healthy table has none."""
-    return pairs.where(~kept_promise())
+def with_changes(pairs: DataFrame) -> DataFrame:
+    """Which texts a pair changes, read off its texts."""
 
+    def changed(corrupt: str, clean: str) -> Column:
+        return F.coalesce(F.col(corrupt) != F.col(clean), F.lit(False))
 
-def clean_view(pairs: DataFrame) -> DataFrame:
-    """The clean side as (prompt, answer) texts."""
-    return pairs.select(
-        "feature_name",
-        "item_id",
-        T.prompt_text(F.col("english_prompt"), F.col("create_statement")).alias("prompt"),
-        F.col("sql_statement").alias("answer"),
+    return pairs.withColumns(
+        {
+            "changed_prompt": changed("corrupt_english_prompt", "english_prompt"),
+            "changed_ddl": changed("corrupt_create_statement", "create_statement"),
+            "changed_sql": changed("corrupt_sql_statement", "sql_statement"),
+        }
     )
 
 
-def corrupt_view(pairs: DataFrame) -> DataFrame:
-    """The corrupt side: each corrupt text where there is one, else the clean one."""
+def sanity_violations(pairs: DataFrame) -> DataFrame:
+    """Pairs that do not change what their feature promises, judged by the texts of any
+    table of pairs (a stored one, or all candidates); a healthy table has none."""
+    return with_changes(pairs).where(~kept_promise())
+
+
+def _sides() -> dict[str, Column]:
+    """Prompt and answer of both sides; each corrupt text where there is one, else the clean one."""
     english = F.coalesce("corrupt_english_prompt", "english_prompt")
     create = F.coalesce("corrupt_create_statement", "create_statement")
+    return {
+        "clean_prompt": T.prompt_text(F.col("english_prompt"), F.col("create_statement")),
+        "clean_answer": F.col("sql_statement"),
+        "corrupt_prompt": T.prompt_text(english, create),
+        "corrupt_answer": F.coalesce("corrupt_sql_statement", "sql_statement"),
+    }
+
+
+def both_views(pairs: DataFrame) -> DataFrame:
+    """Both sides of each pair side by side, as (prompt, answer) texts."""
+    sides = [text.alias(name) for name, text in _sides().items()]
+    return pairs.select("feature_name", "item_id", *sides)
+
+
+def _view(pairs: DataFrame, side: str) -> DataFrame:
+    texts = _sides()
     return pairs.select(
-        "feature_name",
-        "item_id",
-        T.prompt_text(english, create).alias("prompt"),
-        F.coalesce("corrupt_sql_statement", "sql_statement").alias("answer"),
-    )
+        "feature_name", "item_id", texts[f"{side}_prompt"].alias("prompt"),
+        texts[f"{side}_answer"].alias("answer"),
+    )
 
 
-def with_token_positions(pairs: DataFrame, tokenize=K.word_tokens, token=lambda word: word) -> DataFrame:
-    """Where the clean token stands in the prompt and the answer token behind it.
+def clean_view(pairs: DataFrame) -> DataFrame:
+    """The clean side as (prompt, answer) texts."""
+    return _view(pairs, "clean")
+
+
+def corrupt_view(pairs: DataFrame) -> DataFrame:
+    """The corrupt side as (prompt, answer) texts."""
+    return _view(pairs, "corrupt")
+
+
+def with_token_positions(
+    pairs: DataFrame, tokenize=K.word_tokens, token=lambda word: word, keep_tokens: bool = False
+) -> DataFrame:
+    """Where the clean token stands in the prompt and the answer token behind it; with
+    ``keep_tokens`` also the tokens of prompt and answer, as ``tokens``.
 
     ``tokenize`` maps a text column to a token array and ``token`` a word to its token,
     so a model's tokenizer fits in. Positions are zero-based, -1 when absent. Table
@@ -545,6 +592,7 @@ def with_token_positions(pairs: DataFrame, tokenize=K.word_tokens, token=lambda
                 in_answer >= 0, F.size("_prompt") + in_answer - 1
             ).otherwise(F.lit(K.UNKNOWN)),
             "prompt_length": F.size("_prompt"),
+            **({"tokens": F.concat("_prompt", "_answer")} if keep_tokens else {}),
         }
     ).drop("_prompt", "_answer", "_clean")
 
@@ -562,9 +610,9 @@ def with_token_ids(pairs: DataFrame, encode, offset: int = 0) -> DataFrame:
 
 def length_check(pairs: DataFrame, tokenize=K.word_tokens) -> DataFrame:
     """Token lengths per feature over clean and corrupt prompts; ``lengths`` should be 1."""
-    both = clean_view(pairs).unionByName(corrupt_view(pairs))
+    both = F.array(*[F.size(tokenize(_sides()[f"{side}_prompt"])) for side in ("clean", "corrupt")])
     return (
-        both.withColumn("length", F.size(tokenize(F.col("prompt"))))
+        pairs.select("feature_name", F.explode(both).alias("length"))
         .groupBy("feature_name")
         .agg(
             F.count_distinct("length").alias("lengths"),

@@ -175,10 +175,10 @@ def draw_agg_phrases(vocab: Vocabulary, select: Column) -> Column:
     return F.zip_with(select, first_of(F.col("_aphr"), select), one)
 
 
-def english_select(template: Column, table: Column, select: Column, phrases: Column) -> Column:
-    """The template with the spoken field list and the table."""
+def spoken_fields(select: Column, phrases: Column) -> Column:
+    """The fields as they are said, each behind its phrase if it has one."""
     words = F.zip_with(select, phrases, lambda f, p: F.concat_ws(" ", p, N.display_name(f)))
-    spoken = let(
+    return let(
         words,
         lambda w: F.concat(
             F.when(
@@ -188,7 +188,11 @@ def english_select(template: Column, table: Column, select: Column, phrases: Col
             F.get(w, F.size(w) - 1),
         ),
     )
-    text = F.replace(template, F.lit("[fields]"), spoken)
+
+
+def english_select(template: Column, table: Column, select: Column, phrases: Column) -> Column:
+    """The template with the spoken field list and the table."""
+    text = F.replace(template, F.lit("[fields]"), spoken_fields(select, phrases))
     return F.replace(text, F.lit("[table]"), N.display_name(table))
 
 

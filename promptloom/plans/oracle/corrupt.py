@@ -159,8 +159,8 @@ def first_after(text: str, mark: str, old: str, new: str) -> str:
     )
 
 
-def last(text: str, old: str, new: str) -> str:
-    return f"reverse({first(f'reverse({text})', f'reverse({old})', f'reverse({new})')})"
+def end(text: str, old: str, new: str) -> str:
+    return f"substr({text}, 1, length({text}) - length({old})) || {new}"
 
 
 def other(pool, used: str, slot: str, seed: int = 7) -> str:
@@ -205,21 +205,29 @@ def feature_sql(feature: str, base: str, novel: bool = False, seed: int = 7) ->
         )
         en, sq = f"replace({e}, {said}, wrong)", first_after(s, "ORDER BY", "clean", "wrong")
     elif feature.startswith("DefOrderByDirection"):
-        at = "1" if feature.endswith("1") else "least(2, len(order_by))"
+        second = feature.endswith("2")
+        at = "least(2, len(order_by))" if second else "1"
         clean = f"CASE WHEN order_by[{at}].asc THEN 'ASC' ELSE 'DESC' END"
         wrong = f"CASE WHEN order_by[{at}].asc THEN 'DESC' ELSE 'ASC' END"
-        phrase = f"order_by_phrase[{at}]"
-        drawn = (
-            f"CASE {phrase} WHEN 'ascending' THEN 'descending' WHEN 'descending' THEN 'ascending' ELSE "
-            f"CASE WHEN clean = 'ASC' THEN {O.pick_word(DEFAULT.desc_phrases(), seed, 'item_id', 'c_phrase')} "
-            f"ELSE {O.pick_word(DEFAULT.asc_phrases(), seed, 'item_id', 'c_phrase')} END END"
+        parts = (
+            "array_to_string(list_transform(order_by, lambda f, k: f.name || CASE WHEN f.asc {} THEN ' ASC' ELSE ' DESC' END), ', ')"
         )
-        en = first(e, phrase, drawn)
-        sq = first_after(s, "ORDER BY", "clean", "wrong") if feature.endswith("1") else last(s, "clean", "wrong")
+        sq = end(s, parts.format(""), parts.format(f"<> (k = {at})"))
+        if second:
+            said = "array_to_string(list_transform(order_by, lambda f, k: ' ' || {} || ' ' || f.name), ',')"
+            drawn = (
+                f"CASE WHEN clean = 'ASC' THEN {O.pick_word(DEFAULT.desc_phrases(), seed, 'item_id', 'c_phrase')} "
+                f"ELSE {O.pick_word(DEFAULT.asc_phrases(), seed, 'item_id', 'c_phrase')} END"
+            )
+            one = f"CASE WHEN k = {at} THEN {drawn} ELSE order_by_phrase[k] END"
+            en = end(e, said.format("order_by_phrase[k]"), said.format(one))
+        else:
+            words = "CASE {} WHEN 'ASC' THEN 'ascending' ELSE 'descending' END || ' order'"
+            en = end(e, words.format("clean"), words.format("wrong"))
     elif feature.startswith("DefAggregate"):
-        calls = [f"regexp_extract_all({s}, '(\\w+)\\((\\w+)\\)', {g})" for g in (1, 2)]
-        at = "1" if feature.endswith("1") else f"least(2, len({calls[0]}))"
-        agg, field = f"({calls[0]})[{at}]", f"({calls[1]})[{at}]"
+        called = "list_filter(range(1, len(sel) + 1), lambda k: sel[k].aggregate <> '')"
+        at = f"({called})[" + ("1" if feature.endswith("1") else f"least(2, len({called}))") + "]"
+        agg, field = f"sel[{at}].aggregate", f"sel[{at}].name"
         if "Function" in feature:
             clean, wrong = agg, other(AGGREGATES, f"[{agg}]", "c_agg")
             n = O.draw(seed, "item_id", "c_aphr")
@@ -227,7 +235,18 @@ def feature_sql(feature: str, base: str, novel: bool = False, seed: int = 7) ->
                 f"WHEN '{a}' THEN {O.word_at(DEFAULT.agg_phrases[a], n)}" for a in AGGREGATES
             ) + " END"
             sq = f"replace({s}, clean || '(' || {field} || ')', wrong || '(' || {field} || ')')"
-            en = first(e, f"agg_phrases[{at}]", phrase)
+            # The whole prompt again, with another phrase for this field.
+            swapped = (
+                f"list_transform(spoken, lambda x, k: CASE WHEN k = {at} THEN {phrase} || ' ' || {O.shown('sel[k]')} ELSE x END)"
+            )
+            ordered = (
+                "coalesce(array_to_string(list_transform(order_by, lambda f, k: ' ' || order_by_phrase[k] || ' ' || f.name), ','), '')"
+            )
+            en = (
+                f"(SELECT replace(replace({O.pick_word(DEFAULT.select_templates, seed, 'item_id', 'tpl')}, '[fields]', "
+                f"CASE WHEN len(sp) > 1 THEN array_to_string(list_slice(sp, 1, len(sp) - 1), ', ') || ' and ' ELSE '' END "
+                f"|| sp[len(sp)]), '[table]', {shown_table}) || ' ' || {ordered} FROM (SELECT {swapped} AS sp))"
+            )
         else:
             clean, wrong = field, other(fields, f"[{field}]", "c_field")
             said = (
@@ -267,7 +286,7 @@ CORRUPT_OF = {
 }
 
 
-def candidates_ctes(features=tuple(FEATURES), name: str = "cand", **options) -> str:
+def candidates_ctes(features=tuple(FEATURES), name: str = "cand", novel: bool = False, **options) -> str:
     """One relation with all candidates of the features and whether the promise is kept."""
     ctes, selects, made = [], [], {}
     for feature in features:
@@ -276,11 +295,12 @@ def candidates_ctes(features=tuple(FEATURES), name: str = "cand", **options) ->
         if base not in made:
             made[base] = True
             if opts.get("use_join"):
-                ctes.append(O.items_ctes(5, name=base))
+                named = {k: options[k] for k in ("syn_table", "syn_field") if k in options}
+                ctes.append(O.items_ctes(5, name=base, **named))
             else:
                 ctes.append(base_ctes(base, **opts, **options))
         rows = f"c_{feature}"
-        ctes.append(f"{rows} AS ({feature_sql(feature, base)})")
+        ctes.append(f"{rows} AS ({feature_sql(feature, base, novel)})")
         selects.append(f"SELECT *, {CORRUPT_OF[promise_of(feature)]} AS kept FROM {rows}")
     return ", ".join([*ctes, f"{name} AS ({' UNION ALL '.join(selects)})"])
 
