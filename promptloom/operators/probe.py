@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from promptloom.functions.draws import chance
-from promptloom.operators.sampling import shuffled
+from promptloom.session import stored
 
 
 def labelled(correct: DataFrame, errors: DataFrame, text: str, prompt: str = "prompt") -> DataFrame:
@@ -24,36 +25,65 @@ def labelled(correct: DataFrame, errors: DataFrame, text: str, prompt: str = "pr
 def feature_index(rows: DataFrame, representation: str = "representation") -> DataFrame:
     """(feature, idx): all feature keys, sorted, numbered from 0.
 
-    Distinct keys are as many as the model has weights, which live in one vector on
-    the driver anyway; only they are numbered in one task.
+    Keys are dealt out by ranges; each range is numbered in a task of its own and moved by
+    the number of keys in the ranges before it.
     """
     keys = rows.select(F.explode(F.map_keys(representation)).alias("feature")).distinct()
-    order = Window.orderBy("feature")
-    return keys.withColumn("idx", F.row_number().over(order) - 1)
+    keys = stored(keys.repartitionByRange("feature").withColumn("_range", F.spark_partition_id()))
+    # One row per range, so one task can add them up and a broadcast can carry them.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = keys.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_moved")
+    )
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("feature"))
+    return keys.withColumn("_place", place).join(F.broadcast(moved), "_range").select(
+        "feature", (F.col("_moved") + F.col("_place") - 1).cast("int").alias("idx")
+    )
 
 
-@F.udf(VectorUDT())
-def _sparse(size, pairs):
-    return Vectors.sparse(size, [(p.idx, p.value) for p in pairs])
+# Fixed value: how a sparse vector is stored (type 0).
+_SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def feature_vectors(
+def feature_entries(
     rows: DataFrame, index: DataFrame, key: str, label: str, size: int,
     representation: str = "representation",
 ) -> DataFrame:
-    """(key, label, features): one sparse vector per row; a row's own map bounds its size."""
+    """(key, label, features): one sparse vector per row, as the struct vectors are stored in;
+    a row's own map bounds its size."""
     entries = rows.select(key, label, F.explode_outer(representation).alias("feature", "value"))
     pairs = F.collect_list(
         F.when(F.col("idx").isNotNull(), F.struct("idx", F.col("value").cast("double").alias("value")))
     )
+    vector = F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"),
+        F.col("_pairs")["idx"].alias("indices"), F.col("_pairs")["value"].alias("values"),
+    )
     return (
         entries.join(index, "feature", "left")
         .groupBy(key, label)
         .agg(F.array_sort(pairs).alias("_pairs"))
-        .select(key, label, _sparse(F.lit(size), F.col("_pairs")).alias("features"))
+        .select(key, label, vector.cast(_SPARSE).alias("features"))
     )
 
 
+def as_vectors(table: DataFrame, *columns: str) -> DataFrame:
+    """A table of :func:`feature_entries` that was stored, its structs read as vectors."""
+    kinds = {f.name: f.dataType for f in table.schema.fields}
+    schema = StructType([StructField(c, VectorUDT() if c == "features" else kinds[c]) for c in columns])
+    return table.sparkSession.read.schema(schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def is_test(key: Column, seed: int, share: float) -> Column:
+    """The seeded shuffle of the rows, as far as the split needs it: a draw per row."""
+    return chance(share, seed, key, "probe_split")
+
+
+def strongest(weights: DataFrame, top_k: int) -> DataFrame:
+    """The ``top_k`` (idx, importance) with the largest importance, the smaller idx among equals."""
+    return weights.orderBy(F.desc("importance"), "idx").limit(top_k)
+
+
 def accuracy(predictions: DataFrame, label: str = "label") -> DataFrame:
     hit = (F.col("prediction") == F.col(label)).cast("int")
     return predictions.agg(F.avg(hit).alias("accuracy"), F.count("*").alias("rows"))
@@ -77,23 +107,20 @@ def train_probe(
     the features with the largest absolute weight (mean over classes when there are
     more than two). The penalty matches one unit of squared weights against the summed
     loss, so it shrinks with the number of training rows."""
-    index = feature_index(rows, representation).persist()
+    index = stored(feature_index(rows, representation))
     size = index.count()
-    data = feature_vectors(rows, index, key, label, size, representation).withColumn(
-        "_test", chance(test, seed, F.col(key), "probe_split")
-    )
-    train = data.where(~F.col("_test")).persist()
-    n = train.count()
+    entries = feature_entries(rows, index, key, label, size, representation)
+    table = stored(entries.withColumn("test", is_test(F.col(key), seed, test)))
+    data = as_vectors(table, key, label, "features", "test")
+    train = data.where("NOT test")
     model = LogisticRegression(
-        labelCol=label, maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False
+        labelCol=label, maxIter=max_iter, regParam=1.0 / max(train.count(), 1), standardization=False
     ).fit(train)
-    train.unpersist()
-    predictions = model.transform(data.where("_test")).select(key, label, "prediction")
+    predictions = model.transform(data.where("test")).select(key, label, "prediction")
+    # The weights of a model come to the driver in one piece; their ranking doesn't stay there.
     weights = abs(model.coefficientMatrix.toArray()).mean(axis=0)
-    strongest = sorted(range(size), key=lambda i: (-weights[i], i))[:top_k]
-    top = rows.sparkSession.createDataFrame(
-        [(i, float(weights[i])) for i in strongest], "idx int, importance double"
-    )
+    rows_of = [(i, float(w)) for i, w in enumerate(weights)]
+    top = strongest(rows.sparkSession.createDataFrame(rows_of, "idx int, importance double"), top_k)
     top_features = top.join(index, "idx").select("feature", "importance")
     return Probe(model, predictions, accuracy(predictions, label), top_features)
 
@@ -102,7 +129,7 @@ def detect_errors(
     correct: DataFrame, errors: DataFrame, key: str, text: str, represent, top_k: int = 5,
     seed: int = 42,
 ) -> Probe:
-    """Error detection: labelled union, seeded shuffle, probe on ``represent(prompt)``."""
-    rows = shuffled(labelled(correct, errors, text), key, seed)
+    """Error detection: labelled union, split by a seeded draw, probe on ``represent(prompt)``."""
+    rows = labelled(correct, errors, text)
     mapped: Column = represent(F.col("prompt"))
     return train_probe(rows.withColumn("representation", mapped), key, top_k=top_k, seed=seed)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import text as T
 from promptloom.operators import probe as B, sampling as M
-from promptloom.plans.base import check, items
+from promptloom.plans.base import check, items, r6
 from promptloom.plans.oracle.items import chance, items_ctes
-from promptloom.session import shared_folder
+from promptloom.plans.profiles import pieces
+from promptloom.session import shared_folder, stored
 from promptloom.sources import corpus as D
 from promptloom.sources.tables import table
 
@@ -68,6 +69,59 @@ def prediction_accuracy(spark, sf):
     return B.accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
 
 
+_SURFACE = {
+    "commas": "length(regexp_replace(text, '[^,]', '', 'g'))",
+    "digits": "length(regexp_replace(text, '[^0-9]', '', 'g'))",
+    "dots": "length(regexp_replace(text, '[^.]', '', 'g'))",
+    "lines": "length(text) - length(replace(text, chr(10), ''))",
+    "marks": "length(regexp_replace(text, '[^#*%@]', '', 'g'))",
+    "words": "len(" + pieces("text") + ")",
+}
+
+
+@check(
+    "probe_vectors",
+    "M1 U3b",
+    "WITH v AS (SELECT doc_id, quality AS label, ["
+    + ", ".join(f"({n})::DOUBLE" for n in _SURFACE.values())
+    + "] AS n FROM documents JOIN labels USING (doc_id)) SELECT doc_id, label, "
+    "array_to_string(list_filter(range(6), lambda i: n[i + 1] > 0), ' ') AS indices, "
+    "round(list_sum(list_transform(n, lambda x, i: i * ln(1 + x))), 6) AS weighed FROM v",
+)
+def probe_vectors(spark, sf):
+    correct, errors = _parts(spark, sf)
+    rows = B.labelled(correct, errors, "text").withColumn("representation", _represent(F.col("prompt")))
+    index = stored(B.feature_index(rows))
+    entries = B.feature_entries(rows, index, "doc_id", "label", 6)
+    weighed = F.zip_with("features.indices", "features.values", lambda i, x: (i + 1) * x)
+    return entries.select(
+        "doc_id", "label", F.array_join("features.indices", " ").alias("indices"),
+        r6(F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)).alias("weighed"),
+    )
+
+
+@check(
+    "probe_split",
+    "M2 T5",
+    lambda: "SELECT doc_id, (" + chance(0.2, 42, "doc_id", "probe_split") + ") AS test FROM labels",
+)
+def probe_split(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", B.is_test(F.col("doc_id"), 42, 0.2).alias("test"))
+
+
+@check(
+    "ranked_weights",
+    "T4",
+    "SELECT p_partkey AS idx, round(abs(p_retailprice - 1500), 6) AS importance FROM part "
+    "ORDER BY importance DESC, idx LIMIT 25",
+)
+def ranked_weights(spark, sf):
+    weights = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("idx"), r6(F.abs(F.col("p_retailprice") - 1500)).alias("importance")
+    )
+    return B.strongest(weights, 25)
+
+
 @check("error_detection_probe", "M1 M2 T4 T5 A31")
 def error_detection_probe(spark, sf):
     correct, errors = _parts(spark, sf)
