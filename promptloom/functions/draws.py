@@ -117,11 +117,12 @@ def numbers(seed: int, key: Column, slot: str, count: int) -> Column:
 
 
 def sort_keys(seed: int, key: Column, slot: str, count: int) -> Column:
-    """``count`` (up to 1000) keys whose order is a drawn order; each ends in its index."""
+    """``count`` keys whose order is a drawn order; each ends in its index, as wide as it must be."""
+    width = max(3, len(str(count - 1)))
     blocks = digests(seed, key, slot, (count + 3) // 4)
     return F.array(
         *[
-            F.concat(F.substring(blocks[k // 4], 1 + 8 * (k % 4), 8), F.lit(f"{k:03d}"))
+            F.concat(F.substring(blocks[k // 4], 1 + 8 * (k % 4), 8), F.lit(f"{k:0{width}d}"))
             for k in range(count)
         ]
     )
@@ -142,7 +143,7 @@ def indices(count: Column) -> Column:
 def sample_array(values: Column, keys: Column, count: Column) -> Column:
     """``count`` elements without replacement, in the order of the drawn sort keys."""
     order = F.slice(F.sort_array(F.slice(keys, F.lit(1), F.size(values))), F.lit(1), count)
-    return F.transform(order, lambda k: F.get(values, F.substring(k, 9, 3).cast("int")))
+    return F.transform(order, lambda k: F.get(values, F.substring(k, 9, 10).cast("int")))
 
 
 def strides(n: int) -> list[int]:

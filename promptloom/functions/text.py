@@ -46,9 +46,6 @@ def blank_words(text: Column) -> Column:
     )
 
 
-def replace_all(text: Column, old: Column, new: Column) -> Column:
-    return F.replace(text, old, new)
-
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
     """Replace the first occurrence; unchanged when there is none."""
@@ -65,10 +62,6 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     )
 
 
-def replace_last(text: Column, old: Column, new: Column) -> Column:
-    """Replace the last occurrence, by replacing the first one in reversed text."""
-    return F.reverse(replace_first(F.reverse(text), F.reverse(old), F.reverse(new)))
-
 
 def after_first(text: Column, mark: str) -> Column:
     """Text behind the first ``mark``; NULL without it."""

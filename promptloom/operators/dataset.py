@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from promptloom.operators.generate import generate_items
 from promptloom.operators.sampling import split_by_hash, split_exact
 from promptloom.operators.score import score_rows, self_check
+from promptloom.session import discard, stored
 from promptloom.sources.corpus import from_flat, read_corpus, to_flat, write_corpus
 
 
+SPLITS = ("train", "validation", "test")  # fixed values
 # Generators by name (ids → items) and scorers by name (rows with predictions → scores).
 GENERATORS = {f"cs{csn}": partial(generate_items, csn=csn) for csn in range(1, 6)}
 SCORERS = {"points": score_rows}
@@ -40,13 +42,24 @@ def build_dataset(
     ``generator(ids, csn, seed, ...)`` and ``scorer(rows)`` are plain functions over
     DataFrames, so others can take their place. The check reads the stored rows.
     """
-    items = generator(
-        spark.range(rows).withColumnRenamed("id", "item_id"), csn, seed, total=rows,
-        use_synonyms_table=use_synonyms, use_synonyms_field=use_synonyms,
-    )
-    flat = to_flat(items, "item_id", "source_csn")
-    split = split_exact if exact_split else split_by_hash
-    write_corpus(split(flat, "item_id", seed), path, dataset)
+    ids = spark.range(rows).withColumnRenamed("id", "item_id")
+
+    def flat(some: DataFrame) -> DataFrame:
+        items = generator(
+            some, csn, seed, total=rows,
+            use_synonyms_table=use_synonyms, use_synonyms_field=use_synonyms,
+        )
+        return to_flat(items, "item_id", "source_csn")
+
+    if exact_split:
+        # The split depends on the id alone: ids are split, then every item is made once.
+        placed = stored(split_exact(ids, "item_id", seed))
+        for name in SPLITS:
+            own = placed.where(F.col("split") == name).select("item_id")
+            write_corpus(flat(own).withColumn("split", F.lit(name)), path, dataset)
+        discard(placed)
+    else:
+        write_corpus(split_by_hash(flat(ids), "item_id", seed), path, dataset)
     train = read_corpus(spark, path, dataset, "train")
     back = from_flat(train, "item_id", "source_csn").withColumns(
         {

@@ -175,17 +175,18 @@ def readability(text: Column, words: Column) -> Column:
     )
 
 
+#: Words whose background counts are broadcast, by default.
 HOT_WORDS = 1000
 
 
-def with_counts(rows: DataFrame, key: str, unigrams: DataFrame) -> DataFrame:
+def with_counts(rows: DataFrame, key: str, unigrams: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     """Adds the background ``count`` of each ``token``, 0 when unknown.
 
-    The most frequent words stand in nearly every text. They get their counts from a
-    broadcast of fixed size; in the join of all other words their rows take part with a
-    key of their own text, which matches nothing and spreads them evenly.
+    The ``hot_words`` most frequent words stand in nearly every text. They get their counts
+    from a broadcast of that size; in the join of all other words their rows take part with
+    a key of their own text, which matches nothing and spreads them evenly.
     """
-    hot = unigrams.orderBy(F.desc("count"), "token").limit(HOT_WORDS)
+    hot = unigrams.orderBy(F.desc("count"), "token").limit(hot_words)
     hot = hot.select("token", F.col("count").alias("_hot"))
     own = F.concat(F.lit("\x00"), F.col(key).cast("string"))
     marked = rows.join(F.broadcast(hot), "token", "left").withColumn(
@@ -252,7 +253,3 @@ def word_share(df: DataFrame, column: str, word: str) -> DataFrame:
         F.count_if(has).alias("with_word"),
         F.coalesce(F.avg(has.cast("int")), F.lit(0.0)).alias("share"),
     )
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

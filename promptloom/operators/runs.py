@@ -259,27 +259,32 @@ def sweep_curve(similarities: DataFrame) -> DataFrame:
 
 
 def rotated_partner(rows: DataFrame, batch: str, place: str, value: str) -> DataFrame:
-    """Adds ``partner``: the value of the next row of the batch, the first for the last.
+    """Adds ``partner``: the value of the next row of the batch by place, the first for the last.
 
-    ``place`` counts 0 .. n-1 within a batch. The partner comes by an equi-join on
-    (batch, place), which spreads a large batch over all tasks; only the last row of
-    each batch is joined to the first one by batch.
+    Places may have gaps and start anywhere; equal places go by value. One window: a batch is
+    what a model takes in at once, so it fits a task.
     """
-    following = rows.select(
-        batch, (F.col(place) - 1).alias(place), F.col(value).alias("partner"), F.lit(1).alias("_found")
+    order = Window.partitionBy(batch).orderBy(place, value)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.struct(F.lead(value).over(order).alias("v"), F.lead(F.lit(1)).over(order).alias("there"))
+    return (
+        rows.withColumns({"_next": following, "_first": F.first(value).over(whole)})
+        .withColumn("partner", F.when(F.col("_next.there") == 1, F.col("_next.v")).otherwise(F.col("_first")))
+        .drop("_next", "_first")
     )
-    first = rows.where(F.col(place) == 0).select(batch, F.col(value).alias("partner"))
-    paired = rows.join(following, [batch, place], "left")
-    inner = paired.where(F.col("_found").isNotNull()).drop("_found")
-    last = paired.where(F.col("_found").isNull()).drop("_found", "partner").join(first, batch)
-    return inner.unionByName(last)
 
 
-def target_ranks(logits: DataFrame, target: Column, *by: str) -> DataFrame:
-    """Rank of the target among all scores of a group: one more than the scores above it."""
+def target_ranks(logits: DataFrame, target: Column, *by: str, salts: int = 32) -> DataFrame:
+    """Rank of the target among all scores of a group: one more than the scores above it.
+
+    Group keys are few (layers), so each is dealt out over ``salts`` keys for the join; the
+    counts of the parts are summed.
+    """
     goal = logits.where(target).groupBy(*by).agg(F.max("logit").alias("target_logit"))
+    every = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = logits.withColumn("_salt", F.pmod(F.xxhash64(*logits.columns), F.lit(salts)).cast("int"))
     return (
-        logits.join(goal, list(by))
+        salted.join(every, [*by, "_salt"])
         .groupBy(*by)
         .agg(
             F.first("target_logit").alias("target_logit"),

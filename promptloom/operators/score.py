@@ -68,7 +68,7 @@ def strict_score() -> Column:
 
     ORDER BY (when the item has one) must be there once; in sets 4 and 5, which have
     no other points, WHERE conditions, the joined table, the table and the SELECT
-    fields must be in the text.
+    fields must be in the text, names as whole words.
     """
     norm = F.col("_norm")
     wants_order = F.coalesce(F.size("order_by"), F.lit(0)) > 0
@@ -82,14 +82,18 @@ def strict_score() -> Column:
         F.col("possible") > 0,
         (F.col("earned") + P.STEP_POINTS) / (F.col("possible") + P.STEP_POINTS),
     )
-    fields = F.transform("select", lambda f: F.upper(f["name"]))
+
+    def named(word: Column) -> Column:  # as a whole word
+        return F.regexp_instr(norm, F.concat(F.lit("\\b"), F.upper(word), F.lit("\\b"))) > 0
+
+    fields = F.transform("select", lambda f: f["name"])
     conditions = F.coalesce(F.col("where"), F.array().cast("array<string>"))
     has_join = F.col("join_table").isNotNull()
     checks = (
-        P.point(F.contains(norm, F.upper(F.col("table_name")["name"])))
-        + P.count_where(fields, lambda f: F.contains(norm, f))
+        P.point(named(F.col("table_name")["name"]))
+        + P.count_where(fields, named)
         + P.count_where(conditions, lambda c: F.contains(norm, F.upper(c)))
-        + P.point(has_join & F.contains(norm, F.concat(F.lit("JOIN "), F.upper(F.col("join_table.name")))))
+        + P.point(has_join & named(F.concat(F.lit("join "), F.col("join_table.name"))))
         + P.point(order_ok)
     )
     of = F.lit(2) + F.size(fields) + F.size(conditions) + P.point(has_join)
@@ -129,6 +133,16 @@ def mean_scores(scored: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def with_truth_score(scored: DataFrame) -> DataFrame:
+    """Adds ``truth_score``, the score of the ground truth itself, in the same row."""
+    own = ("earned", "possible", "strict_score", "exact")
+    kept = scored.drop(*own).withColumnsRenamed({"score": "_score", "generated": "_generated"})
+    truth = score_rows(kept.withColumn("generated", F.col("sql_statement"))).drop(*own, "generated")
+    return truth.withColumnRenamed("score", "truth_score").withColumnsRenamed(
+        {"_score": "score", "_generated": "generated"}
+    )
+
+
 def evaluation_summary(scored: DataFrame, truth_score: str = "truth_score") -> DataFrame:
     """Percentages of full scores, mean score and mean ground-truth score; 0 when empty."""
 

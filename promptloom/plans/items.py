@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -131,6 +132,15 @@ def aggregates_by_base_type(spark, sf):
     )
 
 
+# Size of the space: all vocabularies multiplied.
+_PRODUCT = math.prod(
+    (
+        len(V.DEFAULT.tables), len(V.DEFAULT.fields), len(V.DEFAULT.select_templates),
+        len(V.DEFAULT.order_phrases), sum(map(len, V.DEFAULT.agg_phrases.values())),
+    )
+)
+
+
 @check(
     "vocabulary_coverage",
     "S1 S2 S3 S4 S5 S6",
@@ -142,9 +152,10 @@ def aggregates_by_base_type(spark, sf):
     "SELECT 'agg_phrases', unnest(agg_phrases) FROM items) "
     f", sizes AS (SELECT * FROM (VALUES ('tables', {len(V.DEFAULT.tables)}), ('fields', {len(V.DEFAULT.fields)}), "
     f"('order_phrases', {len(V.DEFAULT.order_phrases)}), "
-    f"('agg_phrases', {sum(map(len, V.DEFAULT.agg_phrases.values()))})) AS t(vocabulary, size)) "
-    "SELECT vocabulary, size, count(DISTINCT word) AS used, "
-    "round(count(DISTINCT word) / size, 6) AS coverage FROM sizes JOIN used USING (vocabulary) "
+    f"('agg_phrases', {sum(map(len, V.DEFAULT.agg_phrases.values()))}), "
+    f"('select_templates', {len(V.DEFAULT.select_templates)}), ('product', {_PRODUCT})) AS t(vocabulary, size)) "
+    "SELECT vocabulary, size, nullif(count(DISTINCT word), 0) AS used, "
+    "round(nullif(count(DISTINCT word), 0) / size, 6) AS coverage FROM sizes LEFT JOIN used USING (vocabulary) "
     "GROUP BY vocabulary, size",
 )
 def vocabulary_coverage(spark, sf):
@@ -166,7 +177,7 @@ def vocabulary_coverage(spark, sf):
     counts = used.groupBy("vocabulary").agg(F.count_distinct("word").alias("used"))
     return (
         V.vocabulary_sizes(spark)
-        .join(counts, "vocabulary")
+        .join(counts, "vocabulary", "left")  # items don't keep their template
         .select("vocabulary", "size", "used", r6(F.col("used") / F.col("size")).alias("coverage"))
     )
 

@@ -111,9 +111,10 @@ def score_ctes(csn: int, kinds=KINDS, source: str = "items", name: str = "scored
     n_order = "len(string_split(norm, 'ORDER BY')) - 1"
     order_ok = f"CASE WHEN len(onames) > 0 THEN {n_order} = 1 ELSE {n_order} = 0 END"
     checks = (
-        "contains(norm, tname)::INT + len(list_filter(select_fields, lambda f: contains(norm, upper(f.name))))"
+        "regexp_matches(norm, '\\b' || tname || '\\b')::INT + "
+        "len(list_filter(select_fields, lambda f: regexp_matches(norm, '\\b' || upper(f.name) || '\\b')))"
         " + len(list_filter(coalesce(where_texts, []), lambda c: contains(norm, upper(c))))"
-        " + coalesce(contains(norm, 'JOIN ' || upper(join_table.name)), false)::INT"
+        " + coalesce(regexp_matches(norm, '\\bJOIN ' || upper(join_table.name) || '\\b'), false)::INT"
         f" + ({order_ok})::INT"
     )
     of = "2 + len(select_fields) + len(coalesce(where_texts, [])) + (join_table IS NOT NULL)::INT"

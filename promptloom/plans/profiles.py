@@ -325,51 +325,81 @@ _TRAIN = (
     + ", lambda w: length(w)) AS p, list_transform("
     + _TOK.format("sql_statement")
     + ", lambda w: length(w)) AS s FROM items), r AS (SELECT item_id, p, list_append(s, 1) AS r FROM t), "
-    "k AS (SELECT item_id, list_slice(r, 1, 60) AS a, list_slice(p, 1, greatest(60 - len(r), 0)) AS k FROM r)"
+    "k AS (SELECT item_id, list_slice(r, 1, {n}) AS a, list_slice(p, 1, greatest({n} - len(r), 0)) AS k FROM r)"
 )
+# The lengths that models are trained at, and short ones that cut every row.
+TRAINING_LENGTH, ENCODER_LENGTH = 512, 450
 
 
-@check(
-    "training_rows",
-    "P6 P11 X3",
-    lambda: f"WITH {items_ctes(2, **SYN)}, {_TRAIN} SELECT item_id, "
-    "array_to_string(list_concat(list_concat(k, a), list_transform(range(60 - len(k) - len(a)), lambda i: 0)), ' ') AS input_ids, "
-    "array_to_string(list_concat(list_concat(list_transform(k, lambda x: -100), a), "
-    "list_transform(range(60 - len(k) - len(a)), lambda i: -100)), ' ') AS labels, len(k) + len(a) AS used FROM k",
-)
-def training_rows(spark, sf):
+def _training_sql(n: int, source: str) -> str:
+    return (
+        f"WITH {source}, {_TRAIN.replace('{n}', str(n))} SELECT item_id, "
+        f"array_to_string(list_concat(list_concat(k, a), list_transform(range({n} - len(k) - len(a)), lambda i: 0)), ' ') AS input_ids, "
+        f"array_to_string(list_concat(list_concat(list_transform(k, lambda x: -100), a), "
+        f"list_transform(range({n} - len(k) - len(a)), lambda i: -100)), ' ') AS labels, len(k) + len(a) AS used FROM k"
+    )
+
+
+def _training_rows(rows, max_len):
     def ids(text):  # the length of a word stands in for its id
         return F.transform(K.word_tokens(text), lambda w: F.length(w))
 
     prompt = T.raw_prompt(F.col("english_prompt"), F.col("create_statement"))
-    row = K.training_row(ids(prompt), ids(F.col("sql_statement")), end=1, pad=0, max_len=60)
+    row = K.training_row(ids(prompt), ids(F.col("sql_statement")), end=1, pad=0, max_len=max_len)
     used = F.aggregate("r.attention_mask", F.lit(0), lambda a, b: a + b)
-    return (
-        items(spark, sf, 2)
-        .select("item_id", row.alias("r"))
-        .select(
-            "item_id",
-            F.array_join("r.input_ids", " ").alias("input_ids"),
-            F.array_join("r.labels", " ").alias("labels"),
-            used.alias("used"),
-        )
+    return rows.select("item_id", row.alias("r")).select(
+        "item_id",
+        F.array_join("r.input_ids", " ").alias("input_ids"),
+        F.array_join("r.labels", " ").alias("labels"),
+        used.alias("used"),
     )
 
 
+@check("training_rows", "P6 P11 X3", lambda: _training_sql(60, items_ctes(2, **SYN)))
+def training_rows(spark, sf):
+    return _training_rows(items(spark, sf, 2), 60)
+
+
 @check(
-    "padded_tokens",
-    "P11",
-    "WITH t AS (SELECT conv_id, turn, list_transform(" + pieces("text") + ", lambda w: length(w)) AS l FROM conversations) "
-    "SELECT conv_id, turn, array_to_string(list_concat(list_slice(l, 1, 45), list_transform(range(greatest(45 - len(l), 0)), "
-    "lambda i: 0)), ' ') AS ids FROM t",
+    "training_rows_full",
+    "P6 P11 X3",
+    lambda: _training_sql(
+        TRAINING_LENGTH,
+        "items AS (SELECT doc_id AS item_id, text AS english_prompt, lang AS create_statement, source AS sql_statement FROM documents)",
+    ),
 )
-def padded_tokens(spark, sf):
-    lengths = F.transform(T.blank_words(F.col("text")), lambda w: F.length(w))
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.array_join(K.fixed_length(lengths, 45), " ").alias("ids")
+def training_rows_full(spark, sf):
+    # Whole documents as prompts: many are longer than the cap, so rows are cut and padded.
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("text").alias("english_prompt"),
+        F.col("lang").alias("create_statement"), F.col("source").alias("sql_statement"),
+    )
+    return _training_rows(rows, TRAINING_LENGTH)
+
+
+def _padded_sql(n: int, keys: str, source: str) -> str:
+    return (
+        f"WITH t AS (SELECT {keys}, list_transform(" + pieces("text") + f", lambda w: length(w)) AS l FROM {source}) "
+        f"SELECT {keys}, array_to_string(list_concat(list_slice(l, 1, {n}), list_transform(range(greatest({n} - len(l), 0)), "
+        "lambda i: 0)), ' ') AS ids FROM t"
     )
 
 
+def _padded(rows, n, *keys):
+    lengths = F.transform(T.blank_words(F.col("text")), lambda w: F.length(w))
+    return rows.select(*keys, F.array_join(K.fixed_length(lengths, n), " ").alias("ids"))
+
+
+@check("padded_tokens", "P11", _padded_sql(45, "conv_id, turn", "conversations"))
+def padded_tokens(spark, sf):
+    return _padded(table(spark, sf, "conversations"), 45, "conv_id", "turn")
+
+
+@check("padded_tokens_full", "P11", lambda: _padded_sql(ENCODER_LENGTH, "doc_id", "documents"))
+def padded_tokens_full(spark, sf):
+    return _padded(table(spark, sf, "documents"), ENCODER_LENGTH, "doc_id")
+
+
 _NAMES = "list_distinct([lower(regexp_extract(text, '(?i)CREATE\\s+TABLE\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)), lower(regexp_extract(text, '(?i)\\bFROM\\s+([A-Za-z_][A-Za-z0-9_]*)', 1))])"
 KEYWORDS = ("CREATE", "TABLE", "SELECT", "FROM", "ORDER", "BY", "WHERE", "JOIN", "AS")
 

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from promptloom.functions import text as T
 from promptloom.functions.vectors import round_nested
 from promptloom.operators import runs as R
 from promptloom.plans.base import check, r6
+from promptloom.session import shared_folder
+from promptloom.sources import corpus as D
 from promptloom.sources.tables import table
 
+def through_files(spark, documents, schema):
+    """Documents written to a folder of their own in the shared one, and read back."""
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    D.write_documents(documents, folder)
+    return D.read_documents(spark, folder, schema)
+
+
 # ------------------------------------------------------------------ derived run tables
 TRIES = (
     "tries AS (SELECT l_linenumber AS layer, l_suppkey % 8 AS head, l_partkey % 20 AS pos, "
@@ -159,13 +170,22 @@ def top_edges_per_batch(spark, sf):
 @check(
     "consistent_edges",
     "A17 T3",
-    f"WITH {EDGES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY abs(score) DESC, "
-    "from_edge, to_edge) AS rank FROM edges) WHERE rank <= 45) SELECT from_edge, to_edge, round(avg(score), 6) AS mean_score "
-    "FROM top GROUP BY ALL HAVING count(DISTINCT batch) = (SELECT count(DISTINCT batch) FROM top)",
+    f"WITH {EDGES}, wide AS (SELECT batch % 3 AS batch, from_edge, to_edge, round(sum(abs(score)), 4) AS score FROM edges GROUP BY ALL), "
+    "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY abs(score) DESC, "
+    "from_edge, to_edge) AS rank FROM wide) WHERE rank <= 45), mean AS (SELECT from_edge, to_edge, round(avg(score), 6) AS mean_score "
+    "FROM top GROUP BY ALL HAVING count(DISTINCT batch) = (SELECT count(DISTINCT batch) FROM top)) "
+    "SELECT *, row_number() OVER (ORDER BY abs(mean_score) DESC, from_edge, to_edge) AS rank FROM mean",
 )
 def consistent_edges(spark, sf):
-    out = R.consistent_edges(R.top_edges(edges(spark, sf), 45))
-    return out.withColumn("mean_score", r6("mean_score"))
+    wide = (
+        edges(spark, sf)
+        .groupBy((F.col("batch") % 3).alias("batch"), "from_edge", "to_edge")
+        .agg(F.round(F.sum(F.abs("score")), 4).alias("score"))
+    )
+    out = R.consistent_edges(R.top_edges(wide, 45)).withColumn("mean_score", r6("mean_score"))
+    # As many rows as there are kinds of edges: 60 by the way they are made.
+    order = Window.orderBy(F.desc(F.abs("mean_score")), "from_edge", "to_edge")
+    return out.withColumn("rank", F.row_number().over(order))
 
 
 @check(
@@ -193,18 +213,20 @@ def node_scores(spark, sf):
 )
 def edge_documents(spark, sf):
     # One document per batch; a batch has at most 60 edges by the way they are made.
-    nested = (
+    edge = F.struct("from_edge", "to_edge", (F.col("score") / 3).alias("score"))
+    documents = (
         edges(spark, sf)
         .groupBy("batch")
-        .agg(
-            F.collect_list(
-                F.struct("from_edge", "to_edge", (F.col("score") / 3).alias("score"))
-            ).alias("edges")
+        .agg(F.collect_list(edge).alias("edges"))
+        .select(
+            F.create_map(F.lit("batch"), F.col("batch").cast("string")).alias("metadata"),
+            F.create_map(F.lit("top"), F.lit("60")).alias("parameters"),
+            "edges",
         )
     )
-    text = nested.select("batch", F.to_json("edges").alias("j"))
-    schema = "array<struct<from_edge:string,to_edge:string,score:double>>"
-    return R.edges_of_documents(text.select("batch", F.from_json("j", schema).alias("edges")))
+    stored = through_files(spark, documents, D.EDGE_RESULT)
+    batch = F.col("metadata")["batch"].cast("int").alias("batch")
+    return R.edges_of_documents(stored.select(batch, "edges"))
 
 
 # ------------------------------------------------------------------------- attributions
@@ -436,11 +458,13 @@ def sweep_curves(spark, sf):
 @check(
     "rotated_partners",
     "J5 W6",
-    "SELECT o_orderkey, o_orderkey // 16 AS batch, coalesce(lead(o_custkey) OVER w, first_value(o_custkey) OVER w) AS partner "
-    "FROM orders WINDOW w AS (PARTITION BY o_orderkey // 16 ORDER BY o_orderkey)",
+    "WITH r AS (SELECT o_orderkey, o_custkey, o_orderkey // 16 AS batch FROM orders WHERE o_orderkey % 5 > 0) "
+    "SELECT o_orderkey, batch, coalesce(lead(o_custkey) OVER w, first_value(o_custkey) OVER w) AS partner "
+    "FROM r WINDOW w AS (PARTITION BY batch ORDER BY o_orderkey)",
 )
 def rotated_partners(spark, sf):
-    rows = table(spark, sf, "orders").select(
+    # Rows left out make places with gaps, and batches without a place 0.
+    rows = table(spark, sf, "orders").where("o_orderkey % 5 > 0").select(
         "o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / 16).alias("batch"),
         (F.col("o_orderkey") % 16).alias("place"),
     )
@@ -558,10 +582,13 @@ def nested(spark, sf):
     "FROM embeddings e, unnest(range(4)) AS a(l), unnest(range(4)) AS b(h), unnest(range(4)) AS c(p)",
 )
 def patching_rows(spark, sf):
-    rounded = nested(spark, sf).select(
-        "vec_id", round_nested(F.col("results"), 8, depth=3).alias("results")
+    documents = nested(spark, sf).select(
+        F.create_map(F.lit("vec_id"), F.col("vec_id").cast("string")).alias("metadata"),
+        round_nested(F.col("results"), 8, depth=3).alias("results"),
     )
-    return R.patching_rows(rounded)
+    stored = through_files(spark, documents, D.PATCHING_RESULT)
+    vec_id = F.col("metadata")["vec_id"].cast("long").alias("vec_id")
+    return R.patching_rows(stored.select(vec_id, "results"))
 
 
 @check(
@@ -585,8 +612,9 @@ def patching_matrix(spark, sf):
 )
 def event_documents(spark, sf):
     parsed = F.from_json("props", "k int")
-    return (
+    statistics = (
         table(spark, sf, "events")
         .groupBy("event_type", (parsed["k"] % 10).alias("k"))
         .agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     )
+    return through_files(spark, statistics, "event_type string, k int, n long, total double")

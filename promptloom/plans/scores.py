@@ -94,11 +94,7 @@ def mean_scores(spark, sf):
     "round(avg(score) * 100, 6) AS mean_score_pct, 100.0::DOUBLE AS truth_score_pct FROM scored",
 )
 def evaluation_summary(spark, sf):
-    truth = SC.self_scores(items(spark, sf, 2)).select(
-        "item_id", F.col("score").alias("truth_score")
-    )
-    both = scored(spark, sf, 2).join(truth, "item_id")
-    summary = SC.evaluation_summary(both)
+    summary = SC.evaluation_summary(SC.with_truth_score(scored_in_place(spark, sf, 2)))
     return summary.select("n", *[r6(c).alias(c) for c in summary.columns if c.endswith("_pct")])
 
 

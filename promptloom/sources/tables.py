@@ -9,13 +9,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """Enough partitions for all cores when the files give fewer.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows dealt out evenly over ``partitions``, by default as many as a shuffle has.
 
-    For jobs that do much work per row: a small file is one partition and one task.
-    Large inputs already have more partitions than cores and pass unchanged.
+    For jobs that do much work for each narrow row (generation from ids): the files of such
+    a table say nothing about the work in it.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted)
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

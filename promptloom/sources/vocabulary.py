@@ -1,7 +1,9 @@
 """Vocabularies the generators draw from, and their dimension tables.
 
 All of them are parameters: pass other lists to :class:`Vocabulary` and every
-job draws from those. The built-in lists come from short word lists and rules.
+job draws from those. The built-in lists come from short word lists and rules: the first 311
+products of the field rules and the first 293 of the table rules, so that 311 is a prime and
+every step visits all fields. The type labels cover all branches of the type-dependent draws.
 """
 
 from __future__ import annotations
@@ -20,22 +22,22 @@ _OWNERS = (
     "project", "sensor", "shipment", "ticket",
 )
 _FIELD_NOUNS = (  # noun, SQL types, two synonyms of the noun
-    ("id", ("INTEGER", "BIGINT", "UUID", "SERIAL"), ("identifier", "key")),
-    ("name", ("VARCHAR(100)", "TEXT"), ("title", "label")),
-    ("code", ("CHAR(8)", "VARCHAR(20)"), ("reference", "short_code")),
-    ("status", ("VARCHAR(20)", "ENUM"), ("state", "condition")),
-    ("amount", ("DECIMAL(10,2)", "NUMERIC"), ("sum_of_money", "volume")),
-    ("price", ("DECIMAL", "FLOAT"), ("cost", "charge")),
-    ("rate", ("FLOAT", "DOUBLE"), ("ratio", "pace")),
-    ("date", ("DATE", "DATETIME"), ("day", "calendar_day")),
-    ("moment", ("TIMESTAMP", "DATETIME"), ("point_in_time", "instant")),
-    ("tally", ("INTEGER", "BIGINT"), ("number", "how_often")),
-    ("note", ("TEXT", "LONGTEXT"), ("remark", "comment")),
+    ("id", ("INTEGER", "BIGINT", "UUID", "SERIAL", "BIGSERIAL", "SMALLINT"), ("identifier", "key")),
+    ("name", ("VARCHAR(100)", "TEXT", "VARCHAR(50)", "VARCHAR(255)"), ("title", "label")),
+    ("code", ("CHAR(8)", "VARCHAR(20)", "CHAR(2)", "BINARY"), ("reference", "short_code")),
+    ("status", ("VARCHAR(30)", "ENUM", "CHAR(1)", "TINYINT"), ("state", "condition")),
+    ("amount", ("DECIMAL(10,2)", "NUMERIC", "DECIMAL(12,2)", "NUMERIC(10,2)", "NUMERIC(12,2)", "MONEY"), ("sum_of_money", "volume")),
+    ("price", ("DECIMAL", "FLOAT", "DECIMAL(8,2)", "REAL"), ("cost", "charge")),
+    ("rate", ("FLOAT", "DOUBLE", "DECIMAL(5,4)", "DOUBLE PRECISION"), ("ratio", "pace")),
+    ("date", ("DATE", "DATETIME", "YEAR"), ("day", "calendar_day")),
+    ("moment", ("TIMESTAMP", "DATETIME", "TIME", "INTERVAL"), ("point_in_time", "instant")),
+    ("tally", ("INTEGER", "BIGINT", "MEDIUMINT", "INT"), ("number", "how_often")),
+    ("note", ("TEXT", "LONGTEXT", "MEDIUMTEXT", "VARCHAR(1000)"), ("remark", "comment")),
     ("flag", ("BOOLEAN", "TINYINT(1)"), ("marker", "switch")),
-    ("token", ("UUID", "CHAR"), ("secret_key", "handle")),
-    ("payload", ("JSON", "JSONB", "BLOB"), ("content", "body")),
-    ("score", ("NUMERIC(5,2)", "DOUBLE"), ("grade", "points")),
-    ("city", ("VARCHAR", "POINT"), ("town", "place")),
+    ("token", ("UUID", "CHAR", "CHAR(64)", "VARCHAR(64)"), ("secret_key", "handle")),
+    ("payload", ("JSON", "JSONB", "BLOB", "BYTEA", "LONGBLOB", "XML"), ("content", "body")),
+    ("score", ("NUMERIC(5,2)", "DOUBLE", "NUMERIC(3,1)", "DECIMAL(4,1)"), ("grade", "points")),
+    ("city", ("VARCHAR", "POINT", "GEOMETRY", "POLYGON", "INET", "VARCHAR(80)"), ("town", "place")),
 )
 _TABLE_AREAS = (
     "archived", "current", "daily", "external", "foreign", "global", "internal", "local",

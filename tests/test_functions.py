@@ -24,7 +24,6 @@ def test_text(spark):
     sql = lit("SELECT a FROM t WHERE a = 1")
     assert value(spark, T.replace_first_after(sql, "WHERE", lit("a"), lit("b"))) == "SELECT a FROM t WHERE b = 1"
     assert value(spark, T.replace_first_after(lit("x a"), "WHERE", lit("a"), lit("b"))) == "x a"
-    assert value(spark, T.replace_last(lit("ASC, b ASC"), lit("ASC"), lit("DESC"))) == "ASC, b DESC"
     assert value(spark, T.replace_first(lit("a.c abc"), lit("a.c"), lit("$1\\"))) == "$1\\ abc"
     assert value(spark, T.base_type(lit("varchar(50)"))) == "VARCHAR"
     assert value(spark, T.no_punctuation(lit("a,b-c_d"))) == "a b c d"
