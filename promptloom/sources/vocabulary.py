@@ -24,18 +24,18 @@ _OWNERS = (
 _FIELD_NOUNS = (  # noun, SQL types, two synonyms of the noun
     ("id", ("INTEGER", "BIGINT", "UUID", "SERIAL", "BIGSERIAL", "SMALLINT"), ("identifier", "key")),
     ("name", ("VARCHAR(100)", "TEXT", "VARCHAR(50)", "VARCHAR(255)"), ("title", "label")),
-    ("code", ("CHAR(8)", "VARCHAR(20)", "CHAR(2)", "BINARY"), ("reference", "short_code")),
-    ("status", ("VARCHAR(30)", "ENUM", "CHAR(1)", "TINYINT"), ("state", "condition")),
-    ("amount", ("DECIMAL(10,2)", "NUMERIC", "DECIMAL(12,2)", "NUMERIC(10,2)", "NUMERIC(12,2)", "MONEY"), ("sum_of_money", "volume")),
-    ("price", ("DECIMAL", "FLOAT", "DECIMAL(8,2)", "REAL"), ("cost", "charge")),
-    ("rate", ("FLOAT", "DOUBLE", "DECIMAL(5,4)", "DOUBLE PRECISION"), ("ratio", "pace")),
+    ("code", ("CHAR(8)", "VARCHAR(20)", "CHAR(2)", "VARCHAR(12)"), ("reference", "short_code")),
+    ("status", ("VARCHAR(30)", "ENUM", "CHAR(1)", "VARCHAR(10)"), ("state", "condition")),
+    ("amount", ("DECIMAL(10,2)", "NUMERIC", "DECIMAL(12,2)", "NUMERIC(10,2)", "NUMERIC(12,2)", "DECIMAL(15,2)"), ("sum_of_money", "volume")),
+    ("price", ("DECIMAL", "FLOAT", "DECIMAL(8,2)", "NUMERIC(8,2)"), ("cost", "charge")),
+    ("rate", ("FLOAT", "DOUBLE", "DECIMAL(5,4)", "DECIMAL(5,2)"), ("ratio", "pace")),
     ("date", ("DATE", "DATETIME", "YEAR"), ("day", "calendar_day")),
     ("moment", ("TIMESTAMP", "DATETIME", "TIME", "INTERVAL"), ("point_in_time", "instant")),
-    ("tally", ("INTEGER", "BIGINT", "MEDIUMINT", "INT"), ("number", "how_often")),
+    ("tally", ("INTEGER", "BIGINT", "SMALLINT", "NUMERIC(10)"), ("number", "how_often")),
     ("note", ("TEXT", "LONGTEXT", "MEDIUMTEXT", "VARCHAR(1000)"), ("remark", "comment")),
     ("flag", ("BOOLEAN", "TINYINT(1)"), ("marker", "switch")),
     ("token", ("UUID", "CHAR", "CHAR(64)", "VARCHAR(64)"), ("secret_key", "handle")),
-    ("payload", ("JSON", "JSONB", "BLOB", "BYTEA", "LONGBLOB", "XML"), ("content", "body")),
+    ("payload", ("JSON", "JSONB", "BLOB", "BYTEA", "BINARY", "TEXT"), ("content", "body")),
     ("score", ("NUMERIC(5,2)", "DOUBLE", "NUMERIC(3,1)", "DECIMAL(4,1)"), ("grade", "points")),
     ("city", ("VARCHAR", "POINT", "GEOMETRY", "POLYGON", "INET", "VARCHAR(80)"), ("town", "place")),
 )
