@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from promptloom.llm import bpe, decontaminate, jaccard, licenses, lm, neighbours, pii, repeats, toxicity, urls
+from promptloom.llm import bpe, decontaminate, jaccard, licenses, lm, neighbours, oracle, pii, repeats, toxicity, urls
 from promptloom.llm.registry import QUERIES, SQL, query, read
 
 __all__ = ["QUERIES", "SQL"]
@@ -35,7 +35,7 @@ def op5_neighbours(spark, sf):
     return neighbours.search(read(spark, sf, "embeddings"), "vec_id % 20 = 0")
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", oracle.DECONTAMINATION)
 def op6_decontamination(spark, sf):
     found = decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.drop("items", "spans")
@@ -46,12 +46,12 @@ def op8_urls(spark, sf):
     return urls.judge(read(spark, sf, "pages"))
 
 
-@query("op9_repeats")
+@query("op9_repeats", oracle.REPEATS)
 def op9_repeats(spark, sf):
     return repeats.remove_repeats(read(spark, sf, "documents"))
 
 
-@query("op7_jaccard")
+@query("op7_jaccard", oracle.JACCARD)
 def op7_jaccard(spark, sf):
     return jaccard.near_duplicates(read(spark, sf, "documents"))
 
