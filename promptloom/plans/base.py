@@ -46,7 +46,10 @@ def order_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str, csn: int, **options) -> DataFrame:
-    """The plan of the standard items; building a plan once per session saves time."""
+    """The plan of the standard items; building a plan once per session saves time. Plans
+    of a session before are dropped."""
+    if _ITEMS and next(iter(_ITEMS))[0] != spark.sparkContext.applicationId:
+        _ITEMS.clear()
     key = (spark.sparkContext.applicationId, sf, csn, tuple(sorted(options.items())))
     if key not in _ITEMS:
         _ITEMS[key] = generate_items(order_ids(spark, sf), csn, **{**ITEM_OPTIONS, **options})

@@ -161,5 +161,6 @@ def cached_counts(spark, sf):
     def build():
         return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
-    D.cached_result(spark, folder, "priority_counts", {"sf": sf}, build)
-    return D.cached_result(spark, folder, "priority_counts", {"sf": sf}, build)
+    inputs = (f"{sf}/orders.parquet",)
+    D.cached_result(spark, folder, "priority_counts", {}, build, inputs)
+    return D.cached_result(spark, folder, "priority_counts", {}, build, inputs)

@@ -99,14 +99,25 @@ EDGE_RESULT = (
 PATCHING_RESULT = "metadata map<string,string>, results array<array<array<double>>>"
 
 
+def version_of(spark: SparkSession, path: str) -> list:
+    """Path, time of the last change and length of a file or folder of files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = files.getFileStatus(place)
+    return [path, status.getModificationTime(), files.getContentSummary(place).getLength()]
+
+
 def cached_result(
-    spark: SparkSession, folder: str, name: str, arguments: dict, build: Callable[[], DataFrame]
-) -> DataFrame:
+    spark: SparkSession, folder: str, name: str, arguments: dict, build: Callable[[], DataFrame],
+    inputs: tuple[str, ...] = (),
+) -> DataFrame:
     """The stored result of ``name`` with these arguments, built and stored when missing.
 
-    The folder must be shared by all executors; the key is a hash of the arguments.
+    The folder must be shared by all executors; the key is a hash of the arguments and of
+    the versions of the ``inputs`` (paths), so changed inputs are computed anew.
     """
-    text = json.dumps([name, arguments], sort_keys=True, default=str)
+    versions = [version_of(spark, path) for path in inputs]
+    text = json.dumps([name, arguments, versions], sort_keys=True, default=str)
     path = f"{folder}/{name}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
     done = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
