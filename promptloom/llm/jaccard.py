@@ -374,6 +374,8 @@ def near_duplicates(
     texts connects what any of them is linked to. Ties don't arise: the component is named after
     its smallest doc_id. Other columns aren't read; an empty table gives an empty one.
     """
+    if not 80 <= similarity <= 100:  # the size classes are a quarter apart
+        raise ValueError("similarity must be 80 to 100 hundredths")
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     described = stored(describe(docs.select("doc_id", "text"), size, frequent_share))
     frequent = frequent_shingles(described, frequent_most)
