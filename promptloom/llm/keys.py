@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from promptloom.llm.words import pack, slices, unpack
 
-_SCHEMA = "shard int, keys binary, owners binary, leaders binary, followed binary"
+SCHEMA = "shard int, keys binary, owners binary, leaders binary, followed binary"
 _NAMES = ["shard", "keys", "owners", "leaders", "followed"]
 #: Shards for each shuffle partition, so that partitions come out even.
 SHARDS_PER_PARTITION = 2
@@ -34,52 +36,49 @@ def _groups(values: np.ndarray) -> np.ndarray:
     return first
 
 
-def pairs(
-    docs: DataFrame,
-    owner: str,
-    keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
-    more: list[str] | None = None,
-) -> DataFrame:
-    """Packed pairs of all batches. ``keys_of`` gives the keys of a batch and the row of each, the
-    rows in ascending order; the batch comes sorted by ``owner``, without null owners."""
+def pack_pairs(batch: pa.RecordBatch, owner: str, keys_of: Callable, shards: int) -> pa.RecordBatch | None:
+    """Packed pairs of a batch. ``keys_of`` gives the keys of a batch and the row of each, the rows
+    in ascending order; it gets the batch sorted by ``owner``, without null owners."""
+    batch = batch.filter(pa.compute.is_valid(batch[owner]))
+    batch = batch.take(pa.compute.array_sort_indices(batch[owner]))
+    keys, rows = keys_of(batch)
+    if not len(keys):
+        return None
+    ids = batch[owner].to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, owners = keys[order], ids[rows[order]]
+    first = _groups(keys)
+    different = first | _groups(owners)
+    heads = np.flatnonzero(first)
+    leader_of = np.repeat(owners[heads], np.diff(np.append(heads, len(keys))))
+    follows = different & ~first
+    lead, led = keys[heads], owners[heads]
+    followed = np.add.reduceat(follows, heads) > 0
+    edges = _shard_edges(lead, shards)
+    rest = [keys[follows], owners[follows], leader_of[follows]]
+    found = []
+    for shard in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(edges[shard], edges[shard + 1])
+        found.append((shard, pack(lead[part]), pack(led[part]), b"", pack(followed[part])))
+    step = max(-(-len(rest[0]) // shards), 4096)
+    for at in range(0, len(rest[0]), step):  # any shard will do
+        part = slice(at, at + step)
+        found.append(((int(ids[0]) + at // step) % shards, *(pack(r[part]) for r in rest), b""))
+    kinds = [pa.int32()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], _NAMES)
+
+
+def pairs(docs: DataFrame, owner: str, keys_of: Callable) -> DataFrame:
+    """Packed pairs of all batches of (owner, text); see ``pack_pairs``."""
     shards = shards_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            batch = batch.filter(pa.compute.is_valid(batch[owner]))
-            batch = batch.take(pa.compute.array_sort_indices(batch[owner]))
-            keys, rows = keys_of(batch)
-            if not len(keys):
-                continue
-            ids = batch[owner].to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, owners = keys[order], ids[rows[order]]
-            first = _groups(keys)
-            different = first | _groups(owners)
-            heads = np.flatnonzero(first)
-            leader_of = np.repeat(owners[heads], np.diff(np.append(heads, len(keys))))
-            follows = different & ~first
-            lead, led = keys[heads], owners[heads]
-            followed = np.add.reduceat(follows, heads) > 0
-            edges = _shard_edges(lead, shards)
-            rest = [keys[follows], owners[follows], leader_of[follows]]
-            where = int(ids[0]) % shards
-            columns: list[list] = [[], [], [], [], []]
-            for shard in np.flatnonzero(np.diff(edges)).tolist():
-                part = slice(edges[shard], edges[shard + 1])
-                for column, value in zip(columns, (shard, pack(lead[part]), pack(led[part]), b"", pack(followed[part]))):
-                    column.append(value)
-            step = -(-len(rest[0]) // shards) if len(rest[0]) else 1
-            step = max(step, 4096)
-            for at in range(0, len(rest[0]), step):
-                part = slice(at, at + step)
-                row = ((where + at // step) % shards, pack(rest[0][part]), pack(rest[1][part]), pack(rest[2][part]), b"")
-                for column, value in zip(columns, row):
-                    column.append(value)
-            kinds = [pa.int32()] + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _NAMES)
-
-    return docs.select(owner, "text", *(more or [])).mapInArrow(run, _SCHEMA)
+            packed = pack_pairs(batch, owner, keys_of, shards)
+            if packed is not None:
+                yield packed
+
+    return docs.select(owner, "text").mapInArrow(run, SCHEMA)
 
 
 def _shard_edges(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
@@ -123,51 +122,132 @@ def _leaders(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return keys, owners, least, shared
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _by_shard(entries: DataFrame, run, schema: str) -> DataFrame:
-    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return entries.repartition(_partitions(entries), "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
+def buckets_of(df: DataFrame) -> int:
+    """Buckets of owners: a prime not much above the shuffle partitions, so that ids with a step
+    between them spread as well."""
+    count = _partitions(df) + 1
+    while any(count % k == 0 for k in range(2, int(count**0.5) + 1)):
+        count += 1
+    return count
+
+
+def _by_bucket(owners: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, owners, values), packed, of each bucket that has any; by owner, then value."""
+    order = np.lexsort((values, owners, owners % buckets))
+    owners, values = owners[order], values[order]
+    edges = np.searchsorted(owners % buckets, np.arange(buckets + 1))
+    return [
+        (k, pack(owners[edges[k] : edges[k + 1]]), pack(values[edges[k] : edges[k + 1]]))
+        for k in np.flatnonzero(np.diff(edges)).tolist()
+    ]
+
+
+#: Pairs that a task gathers over its shards before it deals them out to buckets.
+GATHERED = 4_000_000
+
+
+def _dealt(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pairs (owners, values) of one shard after another, in a row for each bucket."""
+    kinds, parts = (pa.int32(), pa.binary(), pa.binary()), []
+
+    def rows() -> pa.RecordBatch:
+        owners, values = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*_by_bucket(owners, values, buckets)), kinds)], names)
+
+    for owners, values in found:
+        if len(owners):
+            parts.append((owners, values))
+        if sum(len(p[0]) for p in parts) >= GATHERED:
+            yield rows()
+            parts.clear()
+    if parts:
+        yield rows()
 
 
 def held(entries: DataFrame, later: bool) -> DataFrame:
-    """(owner, keys): the keys, packed, that an owner shares with others; with ``later`` only those
-    that a smaller owner holds too. An owner has one row for each shard."""
+    """(bucket, owners, keys), packed: the keys that owners share with others; with ``later`` only
+    those that a smaller owner holds too. One row for each task and bucket of owners."""
+    buckets = buckets_of(entries)
+
+    def shares(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        keys, owners, least, shared = _leaders(rows)
+        wanted = owners > least if later else shared
+        rest = [r for r in rows if r["leaders"]]
+        keys = np.concatenate([keys[wanted], _joined(rest, "keys", np.uint64)])
+        return np.concatenate([owners[wanted], _joined(rest, "owners", np.int64)]), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _shards(batches):
-            keys, owners, least, shared = _leaders(rows)
-            wanted = owners > least if later else shared
-            rest = [r for r in rows if r["leaders"]]
-            keys = np.concatenate([keys[wanted], _joined(rest, "keys", np.uint64)])
-            owners = np.concatenate([owners[wanted], _joined(rest, "owners", np.int64)])
-            if not len(keys):
-                continue
-            order = np.lexsort((keys, owners))
-            keys, owners = keys[order], owners[order]
-            heads = np.flatnonzero(_groups(owners))
-            offsets = (np.append(heads, len(keys)) * 8).astype(np.int64)
-            blobs = pa.Array.from_buffers(
-                pa.large_binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(keys.tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(owners[heads]), blobs.cast(pa.binary())], ["owner", "keys"])
-
-    return _by_shard(entries, run, "owner long, keys binary")
+        yield from _dealt(map(shares, _shards(batches)), buckets, ["bucket", "owners", "keys"])
+
+    return _by_shard(entries, run, "bucket int, owners binary, keys binary")
+
+
+class Found:
+    """The keys that were found for the owners of a bucket."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.select(["owners", "keys"]).to_pylist()
+        owners, keys = _joined(rows, "owners", np.int64), _joined(rows, "keys", np.uint64)
+        order = np.argsort(owners, kind="stable")
+        self.owners, self.keys = owners[order], keys[order]
+
+    def of(self, owner: int | None) -> np.ndarray:
+        if owner is None:
+            return self.keys[:0]
+        lo, hi = np.searchsorted(self.owners, [owner, owner + 1])
+        return self.keys[lo:hi]
+
+
+def meet(docs: DataFrame, owner: str, found: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Rows of ``run(batch, found)`` for all batches of (owner, text), each with what ``held`` has
+    found for their owners. Rows without an owner are spread by their text and find nothing."""
+    buckets = buckets_of(docs)
+    by_owner = F.pmod(F.col(owner), F.lit(buckets))
+    bucket = F.coalesce(by_owner, F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("int")
+
+    def together(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        own = Found(rows)
+        parts = [run(batch, own) for batch in slices(texts.combine_chunks().select([owner, "text"]).to_batches())]
+        return pa.Table.from_batches([p for p in parts if p is not None], schema=empty)
+
+    empty = to_arrow_schema(_parse_datatype_string(schema))
+    texts = docs.select(bucket.alias("bucket"), owner, "text")
+    return texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(together, schema)
 
 
 def links(entries: DataFrame) -> DataFrame:
-    """(a, b), a > b: each owner of a key is tied to the smallest owner, over the leader of its
-    batch. Owners of one key are so connected, with one link each."""
+    """(a, b), a > b, each once: every owner of a key is tied to the smallest owner, over the leader
+    of its batch. Owners of one key are so connected, with one link each."""
+    buckets = buckets_of(entries)
+
+    def ties(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        _, owners, least, _ = _leaders(rows)
+        rest = [r for r in rows if r["leaders"]]
+        a = np.concatenate([owners[owners > least], _joined(rest, "owners", np.int64)])
+        return _once(a, np.concatenate([least[owners > least], _joined(rest, "leaders", np.int64)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(map(ties, _shards(batches)), buckets, ["shard", "a", "b"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches):
-            _, owners, least, _ = _leaders(rows)
-            rest = [r for r in rows if r["leaders"]]
-            a = np.concatenate([owners[owners > least], _joined(rest, "owners", np.int64)])
-            b = np.concatenate([least[owners > least], _joined(rest, "leaders", np.int64)])
-            if not len(a):
-                continue
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = _groups(a) | _groups(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
-
-    return _by_shard(entries, run, "a long, b long").distinct()
+            a, b = _once(_joined(rows, "a", np.int64), _joined(rows, "b", np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    packed = _by_shard(entries, run, "shard int, a binary, b binary")
+    return _by_shard(packed, merged, "a long, b long")
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = _groups(a) | _groups(b)
+    return a[new], b[new]

@@ -22,14 +22,12 @@ Runs longer than two symbols are left as they are: their length can depend on wo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from promptloom.llm import keys
-from promptloom.llm.words import WHITE, Words, mix, sequence_hashes, slices, window_starts
+from promptloom.llm.words import WHITE, Words, mix, sequence_hashes, window_starts
 from promptloom.session import discard, stored
 
 #: Words of a window, words that a symbol stands for at most, words at an edge whose symbols differ.
@@ -115,30 +113,18 @@ def _anchor_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return names[new], rows[new]
 
 
-def _flagged(words: Words, names: np.ndarray, starts: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Flags of the windows whose name is in the list of their text."""
+def _flagged(words: Words, names: np.ndarray, starts: np.ndarray, ids: pa.Array, found: keys.Found) -> np.ndarray:
+    """Flags of the windows whose name was found for the document of their text."""
     flags = np.zeros(len(names), bool)
     bounds = np.searchsorted(starts, words.bounds)
-    for row in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-        wanted = np.concatenate([np.frombuffer(b, np.uint64) for b in lists[row].as_py()])
-        lo, hi = bounds[row], bounds[row + 1]
-        flags[lo:hi] = np.isin(names[lo:hi], wanted)
+    for row, owner in enumerate(ids.to_pylist()):
+        wanted = found.of(owner)
+        if len(wanted):
+            lo, hi = bounds[row], bounds[row + 1]
+            flags[lo:hi] = np.isin(names[lo:hi], wanted)
     return flags
 
 
-def _candidate_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    words = Words(batch["text"], WHITE)
-    starts, names = anchors(words)
-    flags = _flagged(words, names, starts, batch["found"])
-    return _window_keys(words, starts[flags]), _rows_of(words, starts[flags])
-
-
-def _with_found(docs: DataFrame, found: DataFrame, kept: str) -> DataFrame:
-    """(doc_id, text, found): each document with its lists of packed keys, null without any."""
-    lists = found.groupBy(F.col("owner").alias("found_id")).agg(F.collect_list("keys").alias("found"))
-    return docs.join(lists, docs["doc_id"] == lists["found_id"], kept).select("doc_id", "text", "found")
-
-
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of every row of ``docs``.
 
@@ -148,39 +134,44 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     take none from others. Other columns aren't read; an empty table gives an empty one.
     """
     texts = docs.select("doc_id", "text")
+    shards = keys.shards_of(docs)
+
+    def candidates(batch: pa.RecordBatch, found: keys.Found) -> pa.RecordBatch | None:
+        def keys_of(own: pa.RecordBatch):
+            words = Words(own["text"], WHITE)
+            starts, names = anchors(words)
+            starts = starts[_flagged(words, names, starts, own["doc_id"], found)]
+            return _window_keys(words, starts), _rows_of(words, starts)
+
+        return keys.pack_pairs(batch, "doc_id", keys_of, shards)
+
     shared = stored(keys.held(keys.pairs(texts, "doc_id", _anchor_keys), later=False))
-    candidates = _with_found(texts, shared, "inner")
-    later = stored(keys.held(_pairs_of(candidates), later=True))
+    later = stored(keys.held(keys.meet(texts, "doc_id", shared, candidates, keys.SCHEMA), later=True))
     discard(shared)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch["text"], WHITE)
-            kept = np.ones(len(words), bool)
-            if batch["found"].null_count < batch.num_rows:
-                starts = window_starts(words.bounds, WINDOW)
-                at = starts[_flagged(words, _window_keys(words, starts), starts, batch["found"])]
-                change = np.zeros(len(words) + 1, np.int64)
-                change[at] += 1
-                change[at + WINDOW] -= 1
-                kept = np.cumsum(change)[:-1] <= 0
-            removed = np.concatenate([[0], np.cumsum(~kept)])[words.bounds]
-            joined = words.joined(kept)
-            columns = [
-                batch["doc_id"],
-                pa.array(words.counts, pa.int64()),
-                pa.array(np.diff(removed), pa.int64()),
-                pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()),
-            ]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array([j.decode("utf-8") for j in joined], pa.string()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return _with_found(texts, later, "left").mapInArrow(run, schema)
-
-
-def _pairs_of(candidates: DataFrame) -> DataFrame:
-    return keys.pairs(candidates, "doc_id", _candidate_keys, ["found"])
+    def cleaned(batch: pa.RecordBatch, found: keys.Found) -> pa.RecordBatch:
+        words = Words(batch["text"], WHITE)
+        kept = np.ones(len(words), bool)
+        if len(found.keys):
+            starts = window_starts(words.bounds, WINDOW)
+            at = starts[_flagged(words, _window_keys(words, starts), starts, batch["doc_id"], found)]
+            change = np.zeros(len(words) + 1, np.int64)
+            change[at] += 1
+            change[at + WINDOW] -= 1
+            kept = np.cumsum(change)[:-1] <= 0
+        removed = np.concatenate([[0], np.cumsum(~kept)])[words.bounds]
+        joined = words.joined(kept)
+        columns = [
+            batch["doc_id"],
+            pa.array(words.counts, pa.int64()),
+            pa.array(np.diff(removed), pa.int64()),
+            pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()),
+        ]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+        if with_text:
+            columns.append(pa.array([j.decode("utf-8") for j in joined], pa.string()))
+            names.append("kept")
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return keys.meet(texts, "doc_id", later, cleaned, schema)
