@@ -1,7 +1,8 @@
 """Toxicity by a learned lexicon that also catches misspelled terms.
 
-Learning, from a bounded sample of the labelled rows: words that stand in toxic texts far more often
-than chance allows make the lexicon, and a logistic model weighs what the lexicon finds in a text.
+Learning, from a bounded sample of the labelled rows: words, and beginnings of words, that stand in
+toxic texts far more often than chance allows make the lexicon (a beginning is written with a star),
+and a logistic model weighs what the lexicon finds in a text.
 
 Scoring, map-only over all rows: the lexicon is a trie. Every different word of a batch is a
 Levenshtein automaton, run over the trie from its root; a branch is left as soon as no state is
@@ -18,12 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from promptloom.llm.words import PUNCTUATION, Words, slices
+from promptloom.llm.words import PUNCTUATION, Words, mix, sequence_hashes, slices
+from promptloom.session import discard, stored
 
 #: Labelled rows that are learned from: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
 #: Terms of the lexicon at most, and toxic texts that a term must stand in.
-LEXICON_TERMS, LEAST_TEXTS = 400, 3
+LEXICON_TERMS, LEAST_TEXTS = 200, 3
+#: Words of a shingle, and orders of shingles, by which near copies are told in the sample.
+SHINGLE, SKETCHES = 5, 4
+#: Letters of a beginning of a word that can be a term.
+STEM_LETTERS = range(3, 9)
 #: Words on either side of a hit that make its context.
 CONTEXT = 8
 
@@ -35,8 +41,9 @@ QUOTED_WEIGHT, REPORTED_WEIGHT, ADDRESSED_WEIGHT = 0.3, 0.6, 1.3
 
 
 def allowed_edits(term: str) -> int:
-    """Edits at which a word still counts as the term: short terms have too many neighbours."""
-    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+    """Edits at which a word still counts as the term: short terms have too many neighbours, and
+    beginnings of words have too many continuations."""
+    return 0 if len(term) < 4 or term.endswith("*") else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
@@ -47,26 +54,24 @@ class Lexicon:
         self.root: dict = {}
         for number, term in enumerate(terms):
             node = self.root
-            for letter in term:
+            for letter in term.removesuffix("*"):
                 node = node.setdefault(letter, {})
-            node[""] = number
+            node["begin" if term.endswith("*") else "whole"] = number
         self.reach = max([0, *map(allowed_edits, terms)])
         self.known: dict[str, tuple[int, int] | None] = {}
         # A word within k edits of a term has one of k + 1 parts of the term in its place or close by.
         patterns = set()
         for term in terms:
+            if term.endswith("*"):
+                patterns.add(f"^{re.escape(term[:-1])}")
+                continue
             k = allowed_edits(term)
             cuts = [round(j * len(term) / (k + 1)) for j in range(k + 2)]
             parts = [term[a:b] for a, b in zip(cuts, cuts[1:])]
-            if k < 2:
-                patterns |= {f"^{re.escape(parts[0])}", f"{re.escape(parts[-1])}$"}
-            else:
-                patterns |= {re.escape(part) for part in parts}
+            # No more than k letters are too many or too few before a part; bytes are counted.
+            patterns |= {f"^.{{{max(0, at - k)},{4 * (at + k)}}}{re.escape(part)}" for at, part in zip(cuts[1:], parts[1:-1])}
+            patterns |= {f"^{re.escape(parts[0])}", f"{re.escape(parts[-1])}$"}
         self.filter = "|".join(sorted(patterns))
-        self.lengths = (
-            min([0, *(len(t) - allowed_edits(t) for t in terms)]),
-            max([0, *(4 * (len(t) + allowed_edits(t)) for t in terms)]),
-        )
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the term nearest to the word, of equal ones the first; None if all are
@@ -91,10 +96,11 @@ class Lexicon:
         while todo:
             node, state = todo.pop()
             for letter, below in node.items():
-                if letter == "":
+                if letter == "whole" or letter == "begin":
                     term = below
                     for edits in range(allowed_edits(self.terms[term]) + 1):
-                        if state[edits] >> size & 1:
+                        # The whole word, or as much of it as the term has letters.
+                        if state[edits] >> (size if letter == "whole" else len(self.terms[term]) - 1) & 1:
                             if best is None or (edits, term) < best[::-1]:
                                 best = (term, edits)
                             break
@@ -118,12 +124,9 @@ class Lexicon:
             return []
         spelled = words.array().dictionary_encode()
         different = spelled.dictionary
-        sizes = pa.compute.binary_length(different).to_numpy(zero_copy_only=False)
-        maybe = np.flatnonzero((sizes >= self.lengths[0]) & (sizes <= self.lengths[1]))
-        some = different.take(pa.array(maybe)).cast(pa.large_binary())
-        wanted = pa.compute.match_substring_regex(some, self.filter).to_numpy(zero_copy_only=False)
+        wanted = pa.compute.match_substring_regex(different, self.filter).to_numpy(zero_copy_only=False)
         found = {}
-        for k in maybe[wanted].tolist():
+        for k in np.flatnonzero(wanted).tolist():
             near = self.nearest(different[k].as_py().decode("utf-8", errors="replace"))
             if near is not None:
                 found[k] = near
@@ -155,25 +158,26 @@ def context_weight(words: Words, at: int, text: int) -> float:
     return weight
 
 
-FEATURES = ("exact", "misspelled", "terms", "density")
+FEATURES = ("exact", "misspelled", "begun", "terms", "density")
 
 
 def features(lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
-    """What the lexicon finds in each text: logarithms of the weighed exact and misspelled hits,
-    of the different terms, and of the weighed hits per hundred words. All 0 without a hit."""
+    """What the lexicon finds in each text: logarithms of the weighed hits that are exact, misspelled
+    and beginnings of words, of the different terms, and of the weighed hits per hundred words. All
+    0 without a hit."""
     words = Words(texts, PUNCTUATION, lower=True)
-    found = np.zeros((len(texts), 4))
+    found = np.zeros((len(texts), len(FEATURES)))
     hits = lexicon.hits(words)
     if hits:
         places = np.searchsorted(words.bounds, [h[0] for h in hits], "right") - 1
         terms: dict[int, set[int]] = {}
         for (at, term, edits), text in zip(hits, places.tolist()):
             weight = context_weight(words, at, text)
-            found[text, 0 if edits == 0 else 1] += weight
+            found[text, 2 if lexicon.terms[term].endswith("*") else 0 if edits == 0 else 1] += weight
             terms.setdefault(text, set()).add(term)
         for text, own in terms.items():
-            found[text, 2] = len(own)
-        found[:, 3] = 100 * found[:, :2].sum(axis=1) / np.maximum(words.counts, 20)
+            found[text, 3] = len(own)
+        found[:, 4] = 100 * found[:, :3].sum(axis=1) / np.maximum(words.counts, 20)
     return np.log1p(found)
 
 
@@ -208,31 +212,74 @@ def is_held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, m0, m1, ...): the smallest shingle of each text under several orders, 0
+    without words. Near copies share most of them."""
+    for batch in slices(batches):
+        words = Words(batch["text"], PUNCTUATION, lower=True)
+        shingles, text = sequence_hashes(words.hashes(), SHINGLE), words.text_of()
+        at = np.flatnonzero(text[: len(shingles)] == text[SHINGLE - 1 :]) if len(shingles) else np.zeros(0, np.int64)
+        shingles, text = shingles[at], text[at]
+        bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        some = np.flatnonzero(np.diff(bounds))
+        columns = [batch["doc_id"], batch["toxic"]]
+        for salt in range(SKETCHES):
+            least = np.zeros(batch.num_rows, np.uint64)
+            if len(some):
+                order = mix(shingles ^ mix(np.full(1, salt + 1, np.uint64)))
+                least[some] = np.minimum.reduceat(order, bounds[some])
+            columns.append(pa.array(least.view(np.int64)))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", *(f"m{k}" for k in range(SKETCHES))])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents that aren't held out, each different
-    text once. The ids (12 bytes a row, ``rows`` of them) are broadcast, the texts are not."""
+    """(text, toxic) of at most ``rows`` labelled documents that aren't held out, of copies and near
+    copies mostly one: else the words of a text with many copies would look like terms. Texts of
+    fewer than SHINGLE words count once. The ids (12 bytes a row, ``rows`` of them) are broadcast,
+    the texts are not; they are only read again."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~is_held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     ids = ids.select(F.col("doc_id").alias("labelled_id"), F.col("toxic").cast("int").alias("toxic"))
     own = docs.select("doc_id", "text").where("text IS NOT NULL")
-    joined = own.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
-    return joined.groupBy("text").agg(F.max("toxic").alias("toxic"))
+
+    def with_text(chosen: DataFrame) -> DataFrame:
+        return own.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
+
+    names = [f"m{k}" for k in range(SKETCHES)]
+    left = with_text(ids).mapInArrow(_sketches, "doc_id long, toxic int, " + ", ".join(f"{n} long" for n in names))
+    for name in names:  # a toxic text stays rather than a clean one, of equal ones the smaller id
+        least = F.min(F.struct((-F.col("toxic")).alias("o"), "doc_id", "toxic", *names)).alias("r")
+        left = left.groupBy(name).agg(least).select("r.doc_id", "r.toxic", *(f"r.{n}" for n in names))
+    chosen = left.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = with_text(chosen.withColumnRenamed("doc_id", "labelled_id"))
+    return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("text", "toxic")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n_toxic, n_clean): texts of each kind that hold each word, and each beginning."""
     for batch in slices(batches):
         words = Words(batch["text"], PUNCTUATION, lower=True)
         if not len(words):
             continue
         spelled = words.array().dictionary_encode()
-        numbers, count = spelled.indices.to_numpy().astype(np.int64), len(spelled.dictionary)
-        pairs = np.unique(words.text_of() * count + numbers)
-        toxic = batch["toxic"].to_numpy().astype(np.int64)[pairs // count]
         names = spelled.dictionary.cast(pa.binary()).cast(pa.string())
-        sums = [np.bincount(pairs % count, weights=w, minlength=count).astype(np.int64) for w in (toxic, 1 - toxic)]
-        kept = pa.array(sums[0] + sums[1] > 0)
-        columns = [names, pa.array(sums[0]), pa.array(sums[1])]
-        yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], ["term", "n_toxic", "n_clean"])
+        text, numbers = words.text_of(), spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = pa.compute.utf8_length(names).to_numpy(zero_copy_only=False)
+        for size in (None, *STEM_LETTERS):
+            if size is None:
+                terms, which, own = names, numbers, slice(None)
+            else:
+                begun = pa.compute.utf8_slice_codeunits(names, 0, size).dictionary_encode()
+                terms = pa.compute.binary_join_element_wise(begun.dictionary, "*", "")
+                long = letters[numbers] > size
+                which, own = begun.indices.to_numpy(zero_copy_only=False).astype(np.int64)[numbers[long]], long
+            pairs = np.unique(text[own] * len(terms) + which)
+            kind = toxic[pairs // len(terms)] if len(pairs) else pairs
+            sums = [np.bincount(pairs % len(terms), weights=w, minlength=len(terms)).astype(np.int64) for w in (kind, 1 - kind)]
+            kept = pa.array(sums[0] + sums[1] > 0)
+            columns = [terms, pa.array(sums[0]), pa.array(sums[1])]
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], ["term", "n_toxic", "n_clean"])
 
 
 def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
@@ -256,15 +303,29 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
     )
     lift = ((a + 0.5) / (n_toxic + 1)) / ((b + 0.5) / (n_clean + 1))
     rated = counts.select("term", "a", "b", ratio.alias("ratio"), lift.alias("lift"))
-    tested = F.lit(max(2.0, float(rated.count())))
-    chosen = rated.where((F.col("a") >= LEAST_TEXTS) & (F.col("lift") >= 5) & (F.col("ratio") >= 2 * F.log(tested)))
-    return [r["term"] for r in chosen.orderBy(F.desc("ratio"), "term").limit(most).collect()]
+    tested = sample.agg(F.sum(F.length("text")).alias("n")).first()["n"]  # more than there are terms
+    strong = (F.col("a") >= LEAST_TEXTS) & (F.col("lift") >= 5) & (F.col("ratio") >= 2 * F.log(F.lit(float(tested))))
+    best = rated.where(strong).orderBy(F.desc("ratio"), "term").limit(20 * most).collect()
+    return chosen_terms([(r["term"], r["ratio"]) for r in best], most)
+
+
+def chosen_terms(rated: list[tuple[str, float]], most: int) -> list[str]:
+    """Of terms that say the same the best: a word before its beginnings, unless these are much
+    better, and a beginning before the words and longer beginnings under it."""
+    kept: dict[str, float] = {}
+    for term, ratio in sorted(rated, key=lambda r: (-r[1] * (0.9 if r[0].endswith("*") else 1.0), r[0])):
+        stem = term.removesuffix("*")
+        under = any(k.endswith("*") and stem.startswith(k[:-1]) for k in kept)
+        above = term.endswith("*") and any(k.removesuffix("*").startswith(stem) for k in kept)
+        if not under and not above and len(kept) < most:
+            kept[term] = ratio
+    return list(kept)
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Lexicon and weights from the labelled sample. The driver gets the lexicon and four figures
+    """Lexicon and weights from the labelled sample, which is stored once. The driver gets the lexicon and five figures
     for each sampled text (``rows`` at most)."""
-    sample = labelled_sample(docs, labels, rows)
+    sample = stored(labelled_sample(docs, labels, rows))
     terms = learn_lexicon(sample)
     lexicon = docs.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
@@ -275,8 +336,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     schema = ", ".join(f"{n} double" for n in FEATURES) + ", toxic int"
     found = sample.mapInArrow(run, schema).groupBy(*FEATURES, "toxic").count().orderBy(*FEATURES, "toxic").collect()
+    discard(sample)
     many = [r["count"] for r in found]
-    values = np.repeat(np.array([r[:4] for r in found], float).reshape(-1, 4), many, axis=0)
+    values = np.repeat(np.array([r[: len(FEATURES)] for r in found], float).reshape(-1, len(FEATURES)), many, axis=0)
     return Model(terms, logistic(values, np.repeat(np.array([r["toxic"] for r in found], float), many)))
 
 

@@ -21,11 +21,11 @@ def edits(a, b):
     return row[-1]
 
 
-TERMS = ["zorb", "zorbel", "quagmire", "wretchling", "wretchlings", "ab", "éclairé"]
+TERMS = ["zorb", "zorbel", "quagmire", "wretchling", "wretchlings", "ab", "éclairé", "quam*", "zorbé*"]
 
 
 def nearest(word):
-    near = [(edits(word, t), n) for n, t in enumerate(TERMS)]
+    near = [(edits(word, t) if t[-1] != "*" else 0 if word.startswith(t[:-1]) else 9, n) for n, t in enumerate(TERMS)]
     near = [(e, n) for e, n in near if e <= toxicity.allowed_edits(TERMS[n])]
     return min(near)[::-1] if near else None
 
@@ -35,7 +35,7 @@ def test_automata_find_the_nearest_term():
     lexicon = toxicity.Lexicon(TERMS)
     found = 0
     for _ in range(6000):
-        word = list(draw.choice(TERMS))
+        word = list(draw.choice(TERMS).replace("*", "ent"))
         for _ in range(draw.randint(0, 4)):
             at = draw.randint(0, len(word))
             word[at : at + draw.randint(0, 1)] = draw.choice(["", draw.choice("zorbelquagmirwtchnsé")])
@@ -49,7 +49,7 @@ def test_the_filter_before_the_automata_loses_nothing():
     draw = random.Random(2)
     words = []
     for _ in range(3000):
-        word = list(draw.choice(TERMS))
+        word = list(draw.choice(TERMS).replace("*", "ent"))
         for _ in range(draw.randint(0, 2)):
             at = draw.randint(0, len(word))
             word[at : at + draw.randint(0, 1)] = draw.choice(["", draw.choice("zorbé")])
@@ -67,6 +67,11 @@ def test_context():
     assert quoted < plain < addressed
 
 
+def test_beginnings_stand_for_their_words():
+    rated = [("grolik", 90.0), ("gro*", 95.0), ("grolm*", 60.0), ("mur*", 80.0), ("murk", 40.0), ("mu*", 50.0), ("solo", 70.0), ("sol*", 71.0)]
+    assert toxicity.chosen_terms(rated, 9) == ["grolik", "grolm*", "mur*", "solo"] or toxicity.chosen_terms(rated, 9) == ["grolik", "mur*", "solo", "grolm*"]
+
+
 def corpus(count=900, seed=3):
     draw = random.Random(seed)
     calm = [f"calm{k}" for k in range(300)]
@@ -81,6 +86,9 @@ def corpus(count=900, seed=3):
                     at = draw.randrange(len(term))
                     term = term[:at] + draw.choice("xyz") + term[at + 1 :]
                 w.insert(draw.randrange(len(w)), term)
+            if draw.random() < 0.3:  # words that only begin alike
+                w = [x for x in w if x.startswith("calm")]
+                w += ["drofl" + draw.choice("abcde") + draw.choice("fghij") + draw.choice("klmno") for _ in range(3)]
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
     return rows, labels
