@@ -126,7 +126,8 @@ def fragment_keys(sets: ShingleSets, wanted: np.ndarray, frequent: np.ndarray, s
         if up:
             asks &= 100 * sets.sizes >= similarity * lowest
         fragments = d + 2 + d // 2
-        for scheme in (0, 1, 2):  # rare shingles; all shingles; all, with small fragments too
+        # Rare shingles; all shingles; all, with fragments of one shingle too; the empty fragments.
+        for scheme in (0, 1, 2, 3):
             if not asks.any():
                 break
             use = asks[sets.owner] & (rare if scheme == 0 else True)
@@ -135,7 +136,9 @@ def fragment_keys(sets: ShingleSets, wanted: np.ndarray, frequent: np.ndarray, s
                 big = size >= 2
                 many = np.bincount(owner[big], minlength=len(sets.sizes))
                 owner, part, name, size = owner[big], part[big], name[big], size[big]
-            else:  # empty fragments too
+            elif scheme == 2:
+                many = np.bincount(owner, minlength=len(sets.sizes))
+            else:
                 rows = np.flatnonzero(asks)
                 total = fragments[rows]
                 cell = np.repeat(np.cumsum(total) - total, total)
