@@ -131,8 +131,9 @@ class Trie:
         self.levels = {k: EliasFano(v.count, v.low, view[f"{k}.lows"], view[f"{k}.highs"]) for k, v in levels.items()}
         self.parts = {n: view[n] for n in parts}
 
-    def query(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b) for each triple: its probability is ``a + b * p`` with ``p`` that of ``last`` alone."""
+    def query(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray, apart: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b) for each triple: its probability is ``a + b * p`` with ``p`` that of ``last`` alone;
+        where ``apart`` holds, with ``p`` that of ``last`` behind ``middle``, which is counted elsewhere."""
         a, b = np.zeros(len(middle)), np.ones(len(middle))
         if not self.levels["words"].count:
             return a, b
@@ -142,8 +143,9 @@ class Trie:
         start = self.levels["to_successors"].values().astype(np.int64)[word]
         pair, paired = self.levels["successors"].successors(word.astype(np.uint64) << wide | last.astype(np.uint64))
         paired &= known
-        a[paired] = probability(self.parts["pair"][pair[paired]])
-        b[known] = probability(self.parts["word_rest"][word[known]])
+        here, own = paired & ~np.asarray(apart), known & ~np.asarray(apart)
+        a[here] = probability(self.parts["pair"][pair[here]])
+        b[own] = probability(self.parts["word_rest"][word[own]])
         before, seen = self.levels["before"].successors(word.astype(np.uint64) << wide | first.astype(np.uint64))
         seen &= known
         rest = probability(self.parts["before_rest"][before[seen]])

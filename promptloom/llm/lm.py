@@ -11,8 +11,10 @@ is its own, which has all that their probabilities need but for the last word al
 3. Each batch meets its answers and adds up its texts.
 
 A very frequent middle word would make one shard large. Those words (a bounded list) are dealt out
-by the word before them as well; their pairs are then counted within each such class of words
-before, which is a proper distribution too. Their single counts are summed over all shards.
+by the word before them as well, so a shard has only some of their pairs with the next word. These
+pairs go, counted in each batch, to pair shards of their own, which count them over all texts and
+answer each batch too. The counts of frequent words, and of the different words behind each, are
+summed over all shards. Where a word is counted so makes no difference to any score.
 
 The batches must be the same in steps 1 and 3. A table read twice gives the same ones, also when a
 task is run again; each batch is named by its place and content, and a batch without its answers is
@@ -41,7 +43,7 @@ BASE_ADDED = 0.1
 SHARDS_PER_PARTITION = 2
 # Names of the start of a text, of what is before it, and of its end.
 _START, _BEFORE, _END = (np.uint64(x) for x in (0x5354415254000001, 0x4245464F52450002, 0x454E440000000003))
-_HALF = np.uint64(32)
+_HALF, _LAST = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class Tokens:
@@ -84,6 +86,24 @@ class Triples:
         self.edges = np.searchsorted(self.shard, np.arange(shards + 1))
 
 
+class Pairs:
+    """The different (frequent middle word, last word) among the triples of a batch by shard, and
+    which one each of the triples ``at`` has. A name is the place of the middle word among the
+    frequent ones (sorted) and 32 bits of the last word's hash."""
+
+    def __init__(self, triples: Triples, frequent: np.ndarray, shards: int):
+        place = np.minimum(np.searchsorted(frequent, triples.middle), len(frequent) - 1)
+        self.at = np.flatnonzero(frequent[place] == triples.middle)
+        names = place[self.at].astype(np.uint64) << _HALF | triples.sides[self.at] & _LAST
+        names, which = np.unique(names, return_inverse=True)
+        shard = ((mix(names) >> _HALF) * np.uint64(shards) >> _HALF).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.names, self.of_triple = names[order], rank[which]
+        self.edges = np.searchsorted(shard[order], np.arange(shards + 1))
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Batches of bounded size with a name made of place and content."""
     partition = TaskContext.get().partitionId()
@@ -113,11 +133,12 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT_MOST, share: float = FR
 
 
 _ASKED = "chunk long, shard int, words binary, sizes binary, sides binary, counts binary"
-_ANSWER = "chunk long, shard int, a binary, b binary, counts binary, tokens long, types long, frequent binary, frequent_counts binary"
+_ANSWER = "chunk long, shard int, a binary, b binary, counts binary, tokens long, types long, frequent binary, frequent_counts binary, frequent_kinds binary"
 
 
 def triples_of(docs: DataFrame, frequent, shards: int) -> DataFrame:
-    """Packed triples of each batch for each shard. ``docs``: doc_id, text, learned."""
+    """Packed triples of each batch for each shard, and its pairs for each pair shard (these have
+    the numbers -1, -2, ...). ``docs``: doc_id, text, learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, batch in _named(batches):
@@ -133,6 +154,12 @@ def triples_of(docs: DataFrame, frequent, shards: int) -> DataFrame:
                 row = (name, shard, pack(triples.middle[triples.word_starts[words]]), pack(sizes[words]), pack(triples.sides[own]), pack(counts[own]))
                 for column, value in zip(columns, row):
                     column.append(value)
+            pairs = Pairs(triples, frequent.value, shards)
+            counts = np.bincount(pairs.of_triple, weights=counts[pairs.at], minlength=len(pairs.names)).astype(np.uint32)
+            for shard in np.flatnonzero(np.diff(pairs.edges)).tolist():
+                own = slice(pairs.edges[shard], pairs.edges[shard + 1])
+                for column, value in zip(columns, (name, -1 - shard, b"", b"", pack(pairs.names[own]), pack(counts[own]))):
+                    column.append(value)
             kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 4
             names = ["chunk", "shard", "words", "sizes", "sides", "counts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -153,8 +180,9 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def answer_shard(rows: list[dict], frequent: np.ndarray, discount: float) -> list[dict]:
-    """Count the triples of a shard, build its trie and answer every batch; the first answer also
-    has the shard's tokens and types, and its share of the counts of frequent words."""
+    """Count the triples of a shard, build its trie and answer every batch (for frequent middle words
+    without what the pair says); the first answer also has the shard's tokens and types, and its
+    share of the counts of frequent words."""
     words = [unpack(r["words"], np.uint64) for r in rows]
     sizes = [unpack(r["sizes"], np.uint32) for r in rows]
     middle = np.concatenate([np.repeat(w, s) for w, s in zip(words, sizes)])
@@ -167,10 +195,9 @@ def answer_shard(rows: list[dict], frequent: np.ndarray, discount: float) -> lis
     heads = np.flatnonzero(new)
     totals = np.add.reduceat(counts[order], heads)
     m, x = m[heads], x[heads]
-    half = np.uint64(0xFFFFFFFF)
     seen = totals > 0
-    trie = Trie(m[seen], (x[seen] >> _HALF).astype(np.int64), (x[seen] & half).astype(np.int64), totals[seen], discount)
-    a, b = trie.query(m, x >> _HALF, x & half)
+    trie = Trie(m[seen], (x[seen] >> _HALF).astype(np.int64), (x[seen] & _LAST).astype(np.int64), totals[seen], discount)
+    a, b = trie.query(m, x >> _HALF, x & _LAST, np.isin(m, frequent))
     codes = np.stack([quantised(a), quantised(b)])
     of_row = np.empty(len(order), np.int64)
     of_row[order] = np.cumsum(new) - 1
@@ -195,6 +222,7 @@ def answer_shard(rows: list[dict], frequent: np.ndarray, discount: float) -> lis
                 "types": 0,
                 "frequent": b"",
                 "frequent_counts": b"",
+                "frequent_kinds": b"",
             }
         )
     found[0] |= {
@@ -202,6 +230,28 @@ def answer_shard(rows: list[dict], frequent: np.ndarray, discount: float) -> lis
         "types": int((plain > 0).sum()),
         "frequent": own_words[special].tobytes(),
         "frequent_counts": word_counts[special].tobytes(),
+        "frequent_kinds": bytes(8 * int(special.sum())),
+    }
+    return found
+
+
+def answer_pairs(rows: list[dict], frequent: np.ndarray) -> list[dict]:
+    """Count the pairs of a pair shard over all batches and answer each with the counts of its own;
+    the first answer also has the different words that the shard knows behind each frequent word."""
+    asked = [unpack(r["sides"], np.uint64) for r in rows]
+    names, which = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
+    totals = np.bincount(which, weights=counts, minlength=len(names)).astype(np.int64)
+    found, at = [], 0
+    empty = {"a": b"", "b": b"", "tokens": 0, "types": 0, "frequent": b"", "frequent_counts": b"", "frequent_kinds": b""}
+    for row, own in zip(rows, asked):
+        found.append({**empty, "chunk": row["chunk"], "shard": row["shard"], "counts": pack(totals[which[at : at + len(own)]])})
+        at += len(own)
+    places, kinds = np.unique((names[totals > 0] >> _HALF).astype(np.int64), return_counts=True)
+    found[0] |= {
+        "frequent": frequent[places].tobytes(),
+        "frequent_counts": bytes(8 * len(places)),
+        "frequent_kinds": kinds.astype(np.int64).tobytes(),
     }
     return found
 
@@ -211,19 +261,23 @@ def answers(triples: DataFrame, frequent, discount: float) -> DataFrame:
         schema = pa.schema(
             [("chunk", pa.int64()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("counts", pa.binary())]
             + [("tokens", pa.int64()), ("types", pa.int64()), ("frequent", pa.binary()), ("frequent_counts", pa.binary())]
+            + [("frequent_kinds", pa.binary())]
         )
         for rows in _shard_rows(batches):
-            yield pa.RecordBatch.from_pylist(answer_shard(rows, frequent.value, discount), schema)
+            own = answer_pairs(rows, frequent.value) if rows[0]["shard"] < 0 else answer_shard(rows, frequent.value, discount)
+            yield pa.RecordBatch.from_pylist(own, schema)
 
     partitions = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return triples.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER)
 
 
 class Totals:
-    """Tokens and types of the training texts, and the counts of frequent words (sorted)."""
+    """Tokens and types of the training texts, the counts of frequent words (sorted), and ``behind``:
+    of each frequent word and the start its count and that of the different words behind it."""
 
-    def __init__(self, tokens: int, types: int, words: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: int, types: int, words: np.ndarray, counts: np.ndarray, kinds: np.ndarray):
         start = words == _START
+        self.behind = words, counts, kinds
         self.ends = int(counts[start].sum())
         self.words, self.counts = words[~start], counts[~start]
         self.tokens = tokens + int(self.counts.sum()) + self.ends
@@ -233,33 +287,50 @@ class Totals:
         """Probability of single tokens by their counts."""
         return (counts + BASE_ADDED) / (self.tokens + BASE_ADDED * (self.types + 1))
 
+    def pair(self, middle: np.ndarray, counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b) for pairs with a frequent middle word and their counts: the probability of the last
+        word behind it is ``a + b * p`` with ``p`` that of the last word alone."""
+        words, totals, kinds = self.behind
+        a, b = np.zeros(len(middle)), np.ones(len(middle))
+        if len(words):
+            at = np.minimum(np.searchsorted(words, middle), len(words) - 1)
+            known = (words[at] == middle) & (totals[at] > 0)
+            at = at[known]
+            a[known] = np.maximum(counts[known] - discount, 0) / totals[at]
+            b[known] = discount * kinds[at] / totals[at]
+        return a, b
+
 
 def totals_of(answered: DataFrame) -> Totals:
     sums = answered.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, counts in zip(batch["frequent"].to_pylist(), batch["frequent_counts"].to_pylist()):
-                columns = [pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(counts, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "n"])
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[name], np.int64)) for name in names], ["word", "n", "kinds"])
 
-    shares = answered.where("octet_length(frequent) > 0").select("frequent", "frequent_counts").mapInArrow(run, "word long, n long")
-    rows = shares.groupBy("word").agg(F.sum("n").alias("n")).collect()  # as many as there are frequent words
+    names = ["frequent", "frequent_counts", "frequent_kinds"]
+    shares = answered.where("octet_length(frequent) > 0").select(*names).mapInArrow(run, "word long, n long, kinds long")
+    rows = shares.groupBy("word").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()  # as many as there are frequent words
     words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Totals(sums["n"] or 0, sums["v"] or 0, words[order], np.array([r["n"] for r in rows], np.int64)[order])
+    counts, kinds = (np.array([r[name] for r in rows], np.int64)[order] for name in ("n", "kinds"))
+    return Totals(sums["n"] or 0, sums["v"] or 0, words[order], counts, kinds)
 
 
-def _score_chunk(texts: pa.Table, answered: pa.Table, frequent: np.ndarray, totals: Totals, shards: int) -> pa.Table:
+def _score_chunk(texts: pa.Table, answered: pa.Table, frequent: np.ndarray, totals: Totals, shards: int, discount: float) -> pa.Table:
     texts = texts.sort_by("place").combine_chunks()
     tokens = Tokens(texts["text"].combine_chunks())
     triples = Triples(tokens, frequent, shards)
     rows = answered.sort_by("shard").to_pylist()
+    paired, rows = [r for r in reversed(rows) if r["shard"] < 0], [r for r in rows if r["shard"] >= 0]
     a, b, counts = (
         np.concatenate([np.zeros(0, kind), *(unpack(r[name], kind) for r in rows)])
         for name, kind in (("a", np.uint16), ("b", np.uint16), ("counts", np.int64))
     )
-    if len(a) != len(triples.shard) or len(counts) != len(triples.word_starts):
+    pairs = Pairs(triples, frequent, shards)
+    pair_counts = np.concatenate([np.zeros(0, np.int64), *(unpack(r["counts"], np.int64) for r in paired)])
+    if len(a) != len(triples.shard) or len(counts) != len(triples.word_starts) or len(pair_counts) != len(pairs.names):
         raise RuntimeError("the rows changed between two reads; store them first")
     words = triples.middle[triples.word_starts]
     order = np.argsort(words, kind="stable")
@@ -271,7 +342,11 @@ def _score_chunk(texts: pa.Table, answered: pa.Table, frequent: np.ndarray, tota
         at = np.minimum(np.searchsorted(totals.words, tokens.last), len(totals.words) - 1)
         own = np.where(totals.words[at] == tokens.last, totals.counts[at], own)
     single = totals.base(own)
-    p = probability(a)[triples.of_token] + probability(b)[triples.of_token] * single
+    a, b = probability(a), probability(b)
+    pair_a, pair_b = totals.pair(frequent[(pairs.names >> _HALF).astype(np.int64)], pair_counts, discount)
+    a[pairs.at] += b[pairs.at] * pair_a[pairs.of_triple]
+    b[pairs.at] *= pair_b[pairs.of_triple]
+    p = a[triples.of_token] + b[triples.of_token] * single
     starts = tokens.bounds[:-1]
     return pa.table(
         {
@@ -311,4 +386,4 @@ def score_documents(docs: DataFrame, held_out: str, discount: float = DISCOUNT,
     texts = own.mapInArrow(named, "chunk long, place long, doc_id long, text string, held_out boolean")
     parts = answered.select("chunk", "shard", "a", "b", "counts")
     together = texts.groupBy("chunk").cogroup(parts.groupBy("chunk"))
-    return together.applyInArrow(lambda t, p: _score_chunk(t, p, frequent.value, totals.value, shards), schema)
+    return together.applyInArrow(lambda t, p: _score_chunk(t, p, frequent.value, totals.value, shards, discount), schema)

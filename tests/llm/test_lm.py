@@ -89,6 +89,18 @@ def test_frequent_words_keep_the_counts(spark, nasty):
     compare(ours, expected(nasty), score_too=False)
 
 
+def test_scores_of_frequent_words_are_the_whole_models(spark, nasty):
+    for parts in (1, 3):
+        ours = lm.score_documents(table(spark, nasty).repartition(parts), HELD_OUT).collect()
+        compare(ours, expected(nasty))
+
+
+def test_query_at_production_parameters(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert len(lm.frequent_words(docs)) > 20
+    compare(QUERIES["op1_lm"](spark, sf).collect(), expected([tuple(r) for r in docs.collect()]))
+
+
 def test_empty_tables(spark):
     assert lm.score_documents(table(spark, []), HELD_OUT).count() == 0
     rows = [(i, "a b") for i in range(200) if is_held_out(i)][:3]  # nothing to learn from
