@@ -1,8 +1,9 @@
 """Toxicity by a learned lexicon that also catches misspelled terms.
 
 Learning, from a bounded sample of the labelled rows: words, and beginnings of words, that stand in
-toxic texts far more often than chance allows make the lexicon (a beginning is written with a star),
-and a logistic model weighs what the lexicon finds in a text.
+toxic texts far more often than chance allows make the lexicon (a beginning is written with a star;
+words under it stay, for their misspellings), and a logistic model weighs what the lexicon finds in
+a text.
 
 Scoring, map-only over all rows: the lexicon is a trie. Every different word of a batch is a
 Levenshtein automaton, run over the trie from its root; a branch is left as soon as no state is
@@ -57,6 +58,9 @@ class Lexicon:
             for letter in term.removesuffix("*"):
                 node = node.setdefault(letter, {})
             node["begin" if term.endswith("*") else "whole"] = number
+        begun = {t[:-1]: n for n, t in enumerate(terms) if t.endswith("*")}
+        #: For each term the shortest beginning that it is under, else itself: they count as one.
+        self.stands = [min([(k, begun[t[:k]]) for k in range(1, len(t) + 1) if t[:k] in begun], default=(0, n))[1] for n, t in enumerate(terms)]
         self.reach = max([0, *map(allowed_edits, terms)])
         self.known: dict[str, tuple[int, int] | None] = {}
         # A word within k edits of a term has one of k + 1 parts of the term in its place or close by.
@@ -174,7 +178,7 @@ def features(lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
         for (at, term, edits), text in zip(hits, places.tolist()):
             weight = context_weight(words, at, text)
             found[text, 2 if lexicon.terms[term].endswith("*") else 0 if edits == 0 else 1] += weight
-            terms.setdefault(text, set()).add(term)
+            terms.setdefault(text, set()).add(lexicon.stands[term])
         for text, own in terms.items():
             found[text, 3] = len(own)
         found[:, 4] = 100 * found[:, :3].sum(axis=1) / np.maximum(words.counts, 20)
@@ -284,7 +288,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
     """Terms over-represented in toxic texts beyond chance, by the likelihood ratio against all
-    words tested. Of the terms at most ``most`` come to the driver."""
+    words tested. At most ``most`` are chosen, the words under beginnings not counted."""
     sizes = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = float(sizes["t"] or 0), float(sizes["c"] or 0)
     if not n_toxic or not n_clean:
@@ -306,7 +310,14 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
     tested = sample.agg(F.sum(F.length("text")).alias("n")).first()["n"]  # more than there are terms
     strong = (F.col("a") >= LEAST_TEXTS) & (F.col("lift") >= 5) & (F.col("ratio") >= 2 * F.log(F.lit(float(tested))))
     best = rated.where(strong).orderBy(F.desc("ratio"), "term").limit(20 * most).collect()
-    return chosen_terms([(r["term"], r["ratio"]) for r in best], most)
+    rated = [(r["term"], r["ratio"]) for r in best]
+    return with_words(chosen_terms(rated, most), rated)
+
+
+def with_words(chosen: list[str], rated: list[tuple[str, float]]) -> list[str]:
+    """The chosen terms, then all other whole words."""
+    own = set(chosen)
+    return chosen + [term for term, _ in rated if not term.endswith("*") and term not in own]
 
 
 def chosen_terms(rated: list[tuple[str, float]], most: int) -> list[str]:

@@ -72,6 +72,19 @@ def test_beginnings_stand_for_their_words():
     assert toxicity.chosen_terms(rated, 9) == ["grolik", "grolm*", "mur*", "solo"] or toxicity.chosen_terms(rated, 9) == ["grolik", "mur*", "solo", "grolm*"]
 
 
+def test_words_under_a_beginning_keep_their_edits(spark):
+    draw = random.Random(5)
+    words = [f"calm{k}" for k in range(300)]
+    rows = [(" ".join([*draw.sample(words, 8), *(["quagmire" + draw.choice(["", "s", "d"])] if k % 10 == 0 else [])]), int(k % 10 == 0)) for k in range(600)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    lexicon = toxicity.Lexicon(terms)
+    assert any(t.endswith("*") and "quagmires".startswith(t[:-1]) for t in terms)
+    assert lexicon.nearest("qxagmire") and lexicon.nearest("quxgmires")
+    batch = pa.array(["a quagmire here", "a qxagmire here", "a quagmire, a qxagmire", "calm1"])
+    found = toxicity.features(lexicon, batch)[:, 3]
+    assert np.allclose(found, np.log1p([1, 1, 1, 0]))  # spelled so or so, it is one term
+
+
 def corpus(count=900, seed=3):
     draw = random.Random(seed)
     calm = [f"calm{k}" for k in range(300)]
