@@ -25,10 +25,13 @@ from promptloom.session import discard, stored
 
 #: Labelled rows that are learned from: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
-#: Terms of the lexicon at most, and toxic texts that a term must stand in.
-LEXICON_TERMS, LEAST_TEXTS = 200, 3
-#: Words of a shingle, and orders of shingles, by which near copies are told in the sample.
+#: Toxic texts that a term must stand in.
+LEAST_TEXTS = 3
+#: Words of a shingle, and orders of shingles, by which near copies are told in the sample: all
+#: orders but one must agree.
 SHINGLE, SKETCHES = 5, 4
+#: Patterns of one expression of the filter before the automata.
+FILTER_PATTERNS = 200
 #: Letters of a beginning of a word that can be a term.
 STEM_LETTERS = range(3, 9)
 #: Words on either side of a hit that make its context.
@@ -75,7 +78,9 @@ class Lexicon:
             # No more than k letters are too many or too few before a part; bytes are counted.
             patterns |= {f"^.{{{max(0, at - k)},{4 * (at + k)}}}{re.escape(part)}" for at, part in zip(cuts[1:], parts[1:-1])}
             patterns |= {f"^{re.escape(parts[0])}", f"{re.escape(parts[-1])}$"}
-        self.filter = "|".join(sorted(patterns))
+        ordered = sorted(patterns)
+        # In pieces, as one expression may be only so large.
+        self.filters = ["|".join(ordered[k : k + FILTER_PATTERNS]) for k in range(0, len(ordered), FILTER_PATTERNS)]
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the term nearest to the word, of equal ones the first; None if all are
@@ -128,7 +133,9 @@ class Lexicon:
             return []
         spelled = words.array().dictionary_encode()
         different = spelled.dictionary
-        wanted = pa.compute.match_substring_regex(different, self.filter).to_numpy(zero_copy_only=False)
+        wanted = np.zeros(len(different), bool)
+        for some in self.filters:
+            wanted |= pa.compute.match_substring_regex(different, some).to_numpy(zero_copy_only=False)
         found = {}
         for k in np.flatnonzero(wanted).tolist():
             near = self.nearest(different[k].as_py().decode("utf-8", errors="replace"))
@@ -217,29 +224,38 @@ def is_held_out(doc_id):
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, m0, m1, ...): the smallest shingle of each text under several orders, 0
-    without words. Near copies share most of them."""
+    """(doc_id, toxic, m0, m1, ...): the smallest shingle of each text under several orders, of a
+    text of fewer words than a shingle its whole sequence of words, 0 without words. Near copies
+    share most of them."""
     for batch in slices(batches):
         words = Words(batch["text"], PUNCTUATION, lower=True)
-        shingles, text = sequence_hashes(words.hashes(), SHINGLE), words.text_of()
+        hashes = words.hashes()
+        shingles, text = sequence_hashes(hashes, SHINGLE), words.text_of()
         at = np.flatnonzero(text[: len(shingles)] == text[SHINGLE - 1 :]) if len(shingles) else np.zeros(0, np.int64)
         shingles, text = shingles[at], text[at]
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
         some = np.flatnonzero(np.diff(bounds))
+        short = {}
+        for size in range(1, SHINGLE):
+            own = np.flatnonzero(words.counts == size)
+            if len(own):
+                short[size] = own, sequence_hashes(hashes, size)[words.bounds[own]]
         columns = [batch["doc_id"], batch["toxic"]]
         for salt in range(SKETCHES):
             least = np.zeros(batch.num_rows, np.uint64)
             if len(some):
                 order = mix(shingles ^ mix(np.full(1, salt + 1, np.uint64)))
                 least[some] = np.minimum.reduceat(order, bounds[some])
+            for own, whole in short.values():
+                least[own] = whole
             columns.append(pa.array(least.view(np.int64)))
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", *(f"m{k}" for k in range(SKETCHES))])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of at most ``rows`` labelled documents that aren't held out, of copies and near
-    copies mostly one: else the words of a text with many copies would look like terms. Texts of
-    fewer than SHINGLE words count once. The ids (12 bytes a row, ``rows`` of them) are broadcast,
+    copies mostly one: else the words of a text with many copies would look like terms. Near copies
+    agree in all sketches but one at least; a passage that texts share doesn't make them so. The ids (12 bytes a row, ``rows`` of them) are broadcast,
     the texts are not; they are only read again."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~is_held_out(F.col("doc_id")))
     ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -251,9 +267,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
     names = [f"m{k}" for k in range(SKETCHES)]
     left = with_text(ids).mapInArrow(_sketches, "doc_id long, toxic int, " + ", ".join(f"{n} long" for n in names))
-    for name in names:  # a toxic text stays rather than a clean one, of equal ones the smaller id
+    for other in names:  # a toxic text stays rather than a clean one, of equal ones the smaller id
         least = F.min(F.struct((-F.col("toxic")).alias("o"), "doc_id", "toxic", *names)).alias("r")
-        left = left.groupBy(name).agg(least).select("r.doc_id", "r.toxic", *(f"r.{n}" for n in names))
+        left = left.groupBy(*(n for n in names if n != other)).agg(least).select("r.doc_id", "r.toxic", *(f"r.{n}" for n in names))
     chosen = left.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = with_text(chosen.withColumnRenamed("doc_id", "labelled_id"))
     return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("text", "toxic")
@@ -286,9 +302,11 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], ["term", "n_toxic", "n_clean"])
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
-    """Terms over-represented in toxic texts beyond chance, by the likelihood ratio against all
-    words tested. At most ``most`` are chosen, the words under beginnings not counted."""
+def learn_lexicon(sample: DataFrame) -> list[str]:
+    """All terms over-represented in toxic texts beyond chance, by the likelihood ratio against all
+    words tested: the beginnings and words that ``chosen_terms`` keeps, then the words under these
+    beginnings, whose misspellings the beginnings don't catch. They come to the driver; the sample
+    bounds them."""
     sizes = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = float(sizes["t"] or 0), float(sizes["c"] or 0)
     if not n_toxic or not n_clean:
@@ -309,9 +327,8 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[str]:
     rated = counts.select("term", "a", "b", ratio.alias("ratio"), lift.alias("lift"))
     tested = sample.agg(F.sum(F.length("text")).alias("n")).first()["n"]  # more than there are terms
     strong = (F.col("a") >= LEAST_TEXTS) & (F.col("lift") >= 5) & (F.col("ratio") >= 2 * F.log(F.lit(float(tested))))
-    best = rated.where(strong).orderBy(F.desc("ratio"), "term").limit(20 * most).collect()
-    rated = [(r["term"], r["ratio"]) for r in best]
-    return with_words(chosen_terms(rated, most), rated)
+    best = [(r["term"], r["ratio"]) for r in rated.where(strong).orderBy(F.desc("ratio"), "term").collect()]
+    return with_words(chosen_terms(best, len(best)), best)
 
 
 def with_words(chosen: list[str], rated: list[tuple[str, float]]) -> list[str]:
@@ -323,14 +340,18 @@ def with_words(chosen: list[str], rated: list[tuple[str, float]]) -> list[str]:
 def chosen_terms(rated: list[tuple[str, float]], most: int) -> list[str]:
     """Of terms that say the same the best: a word before its beginnings, unless these are much
     better, and a beginning before the words and longer beginnings under it."""
-    kept: dict[str, float] = {}
-    for term, ratio in sorted(rated, key=lambda r: (-r[1] * (0.9 if r[0].endswith("*") else 1.0), r[0])):
+    kept: list[str] = []
+    begun, held = set(), set()  # kept beginnings, and all that kept terms begin with
+    for term, _ in sorted(rated, key=lambda r: (-r[1] * (0.9 if r[0].endswith("*") else 1.0), r[0])):
         stem = term.removesuffix("*")
-        under = any(k.endswith("*") and stem.startswith(k[:-1]) for k in kept)
-        above = term.endswith("*") and any(k.removesuffix("*").startswith(stem) for k in kept)
-        if not under and not above and len(kept) < most:
-            kept[term] = ratio
-    return list(kept)
+        begins = [stem[:k] for k in range(1, len(stem) + 1)]
+        above = term.endswith("*") and stem in held
+        if begun.isdisjoint(begins) and not above and len(kept) < most:
+            kept.append(term)
+            held.update(begins)
+            if term.endswith("*"):
+                begun.add(stem)
+    return kept
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -357,7 +378,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     """All columns of ``docs``, then toxic_score double and toxic_predicted int; one row per row.
 
     Null and empty texts are scored as texts without a hit. Names that ``docs`` has already get an
-    underscore. The model (a few hundred terms) is broadcast.
+    underscore. The model (the terms that the sample gave) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -85,6 +85,37 @@ def test_words_under_a_beginning_keep_their_edits(spark):
     assert np.allclose(found, np.log1p([1, 1, 1, 0]))  # spelled so or so, it is one term
 
 
+def test_every_significant_term_is_learned(spark):
+    draw = random.Random(6)
+    syllables = ["ba", "de", "fi", "go", "ku", "lam", "nev", "pir", "sot", "zul"]
+    bad = ["".join(draw.sample(syllables, 3)) for _ in range(600)]
+    bad = sorted({b[::-1] for b in bad})[:300]
+    rows = []
+    for _ in range(10):
+        draw.shuffle(bad)
+        rows += [(" ".join(bad[k : k + 30]), 1) for k in range(0, len(bad), 30)]
+    rows += [(" ".join(f"calm{draw.randrange(400)}" for _ in range(30)), 0) for _ in range(1000)]
+    lexicon = toxicity.Lexicon(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")))
+    assert len(bad) == 300 and all(b in lexicon.terms for b in bad)
+    assert len(lexicon.hits(Words(pa.array([" ".join(bad)]), PUNCTUATION, lower=True))) == 300
+
+
+def test_the_sample_loses_near_copies_only(spark):
+    draw = random.Random(7)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passage = words(30)
+    texts = ["you zorb", "you zorbel", "zorb", "You, zorb!", *(" ".join([*words(25), *passage, *words(25)]) for _ in range(40))]
+    long = words(400)
+    texts += [" ".join(long), " ".join([*long[:200], "other", *long[200:]])]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = list(zip(ids, texts))
+    marks = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int")
+    kept = [r.text for r in toxicity.labelled_sample(table(spark, rows), marks).collect()]
+    assert {"you zorbel", "zorb"} <= set(kept) and len({"you zorb", "You, zorb!"} & set(kept)) == 1
+    shared = [t for t in texts[4:44] if t in kept]
+    assert len(shared) >= 38 and len(kept) <= len(texts) - 1
+
+
 def corpus(count=900, seed=3):
     draw = random.Random(seed)
     calm = [f"calm{k}" for k in range(300)]
