@@ -10,6 +10,7 @@ alignment in a band around them reports how much of the template stands in the t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -116,14 +117,14 @@ class Index:
         self.place = (at - words.bounds[text])[kept][order]
 
     def candidates(self, words: Words) -> np.ndarray:
-        """Rows (text, template, diagonal) that shared fingerprints propose, each once."""
+        """Rows (text, template, diagonal, word of the text) that shared fingerprints propose, each once."""
         hashes, at, text = _grams(words)
         kept = winnowed(hashes, text)
         hashes, at, text = hashes[kept], at[kept], text[kept]
         lo, hi = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, "right")
         hit = np.flatnonzero(hi > lo)
         rows = [
-            (t, int(self.template[k]), int(w - words.bounds[t]) - int(self.place[k]))
+            (t, int(self.template[k]), int(w - words.bounds[t]) - int(self.place[k]), int(w - words.bounds[t]))
             for t, w, a, b in zip(text[hit].tolist(), at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist())
             for k in range(a, b)
         ]
@@ -166,6 +167,22 @@ def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = B
     return best
 
 
+def _occurrences(index: Index, own: list[int], template: int, diagonal: int, least: float) -> Iterator[Match]:
+    """All matches in the band of a diagonal: the best one, then those before and behind it."""
+    goal = index.words[template]
+    known = goal.tolist()
+    todo = [(max(0, diagonal - BAND), min(len(own), diagonal + len(goal) + 2 * BAND))]
+    while todo:
+        lo, hi = todo.pop()
+        here = set(own[lo:hi])
+        if sum(word in here for word in known) < least * len(goal):  # too few of its words for a match
+            continue
+        _, matched, start, end = aligned(own[lo:hi], goal, diagonal - lo + BAND // 2)
+        if matched and matched >= least * len(goal):
+            yield Match(index.licenses[template], template, matched, matched / len(goal), start + lo, end + lo)
+            todo += [(lo, start + lo), (end + lo, hi)]
+
+
 def find(index: Index, texts: pa.Array, least: float = LEAST_COVERAGE) -> list[list[Match]]:
     """Matches of each text by start. Of matches that overlap in the text the one with more matched
     words stays (of equal ones the better covered, then the first template)."""
@@ -174,18 +191,15 @@ def find(index: Index, texts: pa.Array, least: float = LEAST_COVERAGE) -> list[l
     if not len(words):
         return found
     hashes = words.hashes()
-    last: dict[tuple[int, int], int] = {}
-    for text, template, diagonal in index.candidates(words):
-        done = last.get((text, template))
-        if done is not None and diagonal - done <= BAND:  # inside the band that was aligned last
-            continue
-        last[text, template] = diagonal + BAND // 2
-        own = hashes[words.bounds[text] : words.bounds[text + 1]]
-        goal = index.words[template]
-        lo, hi = max(0, diagonal - BAND), min(len(own), diagonal + len(goal) + 2 * BAND)
-        _, matched, start, end = aligned(own[lo:hi].tolist(), goal, diagonal - lo + BAND // 2)
-        if matched >= least * len(goal):
-            found[text].append(Match(index.licenses[template], template, matched, matched / len(goal), start + lo, end + lo))
+    for (text, template), rows in groupby(index.candidates(words), key=lambda c: c[:2]):
+        own = hashes[words.bounds[text] : words.bounds[text + 1]].tolist()
+        spans: list[tuple[int, int]] = []
+        for diagonal, places in groupby(rows, key=lambda c: c[2]):
+            if all(any(a <= c[3] < b for a, b in spans) for c in places):  # lies in what is found already
+                continue
+            for m in _occurrences(index, own, template, diagonal, least):
+                found[text].append(m)
+                spans.append((m.start, m.end))
     for k, own in enumerate(found):
         kept: list[Match] = []
         for m in sorted(set(own), key=lambda m: (-m.matched, -m.coverage, m.template, m.start)):

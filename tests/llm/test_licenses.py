@@ -99,3 +99,11 @@ def test_query(spark, sf):
 def test_batches():
     found = licenses.find(licenses.Index(), pa.array([None, "", "Released under the MIT License."]))
     assert [len(f) for f in found] == [0, 0, 1]
+
+
+def test_repeated_lines_are_all_found():
+    line = "Released under the MIT License."
+    texts = [" ".join([line] * n) for n in (2, 4, 9)] + [f"{line} x {line} y z {line}"]
+    found = licenses.find(licenses.Index(), pa.array(texts))
+    assert [[(m.start, m.end) for m in f] for f in found[:3]] == [[(5 * k, 5 * k + 5) for k in range(n)] for n in (2, 4, 9)]
+    assert [(m.start, m.end) for m in found[3]] == [(0, 5), (6, 11), (13, 18)]
