@@ -1,10 +1,13 @@
-"""License scan: winnowed fingerprints pick candidate templates, banded alignment measures them.
+"""License scan: shared runs of words pick candidate templates, banded alignment measures them.
 
 Templates are few and of fixed size, so their inverted index goes to every task, and the scan needs
-no shuffle. Of each stretch of ``SPREAD`` fingerprints (hashes of ``GRAM`` words) the smallest is
-kept, in templates and documents alike; a stretch of ``GRAM + SPREAD - 1`` equal words therefore
-always shares one. Shared fingerprints on nearby diagonals make a candidate, and a Smith-Waterman
-alignment in a band around them reports how much of the template stands in the text, and where.
+no shuffle. A local alignment that scores 2 or more has two equal words in a row, as any other or
+missing word takes back what a single one gave; of those that score 1 the first end, a single word,
+is taken. So the index holds all
+runs of ``GRAM`` words of the templates (a template of fewer words as a whole), all those of a
+document are looked up, and no match is without a candidate. A candidate whose surroundings hold too
+few words of the template is left; for the others a Smith-Waterman alignment in a band around the
+diagonal reports how much of the template stands in the text, and where.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ from pyspark.sql import DataFrame
 
 from promptloom.llm.words import PUNCTUATION, Words, sequence_hashes, slices
 
-GRAM, SPREAD = 3, 3
+GRAM = 2
+#: Fingerprints of a stretch of which ``winnowed`` keeps the smallest.
+SPREAD = 3
 #: Diagonals on either side of a candidate's that the alignment may use.
 BAND = 8
 #: Share of the template's words that must be matched.
@@ -93,16 +98,16 @@ def winnowed(hashes: np.ndarray, text: np.ndarray, spread: int = SPREAD) -> np.n
     return kept
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, word, text) of the runs of GRAM words that lie in one text."""
-    hashes = sequence_hashes(words.hashes(), GRAM)
+def _grams(words: Words, size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word, text) of the runs of ``size`` words that lie in one text."""
+    hashes = sequence_hashes(words.hashes(), size)
     text = words.text_of()
-    at = np.flatnonzero(text[: len(hashes)] == text[GRAM - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+    at = np.flatnonzero(text[: len(hashes)] == text[size - 1 :]) if len(hashes) else np.zeros(0, np.int64)
     return hashes[at], at, text[at]
 
 
 class Index:
-    """Inverted index of the winnowed fingerprints of all templates."""
+    """Inverted index of all runs of words of all templates."""
 
     def __init__(self, templates=TEMPLATES):
         self.licenses = [name for name, _ in templates]
@@ -110,17 +115,19 @@ class Index:
         own = words.hashes()
         self.words = [own[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:])]
         hashes, at, text = _grams(words)
-        kept = winnowed(hashes, text)
-        order = np.argsort(hashes[kept], kind="stable")
-        self.keys = hashes[kept][order]
-        self.template = text[kept][order]
-        self.place = (at - words.bounds[text])[kept][order]
+        single, first, alone = _grams(words, 1)
+        self.sizes = [1, GRAM] if (words.counts == 1).any() else [GRAM]
+        lone = words.counts[alone] == 1
+        hashes, at, text = (np.concatenate([a, b[lone]]) for a, b in ((hashes, single), (at, first), (text, alone)))
+        order = np.argsort(hashes, kind="stable")
+        self.keys, self.template, self.place = hashes[order], text[order], (at - words.bounds[text])[order]
 
     def candidates(self, words: Words) -> np.ndarray:
-        """Rows (text, template, diagonal, word of the text) that shared fingerprints propose, each once."""
-        hashes, at, text = _grams(words)
-        kept = winnowed(hashes, text)
-        hashes, at, text = hashes[kept], at[kept], text[kept]
+        """Rows (text, template, diagonal, word of the text) that shared runs of words propose, each once."""
+        hashes, at, text = (np.concatenate(parts) for parts in zip(*(_grams(words, size) for size in self.sizes)))
+        among = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
+        own = self.keys[among] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        hashes, at, text = hashes[own], at[own], text[own]
         lo, hi = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, "right")
         hit = np.flatnonzero(hi > lo)
         rows = [
@@ -134,7 +141,7 @@ class Index:
 def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
     """Best local alignment within ``band`` of a diagonal: (score, matched words, start, end).
 
-    An equal word counts 1, another or a missing word -1. Of equal scores the first end is taken.
+    An equal word counts 1, another or a missing word -1; a start that comes to 0 stays. Of equal scores the first end is taken.
     """
     first, width = diagonal - band, 2 * band + 1
     before = [(0, 0, 0)] * (width + 1)  # score, matched, start, for each place of the band
@@ -150,14 +157,14 @@ def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = B
             else:
                 score, matched, start = before[k]  # (i - 1, j - 1)
                 if words[j] == word:
-                    cell = (score + 1, matched + 1, start if score else j)
+                    cell = (score + 1, matched + 1, start if matched else j)
                 else:
                     cell = (score - 1, matched, start)
                 up = before[k + 1] if k + 1 < width else (0, 0, 0)  # (i - 1, j)
                 for other in (up, left):
                     if other[0] - 1 > cell[0]:
                         cell = (other[0] - 1, other[1], other[2])
-                if cell[0] <= 0:
+                if cell[0] < 0:
                     cell = (0, 0, 0)
                 elif cell[0] > best[0]:
                     best = (cell[0], cell[1], cell[2], j + 1)

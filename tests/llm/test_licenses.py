@@ -107,3 +107,17 @@ def test_repeated_lines_are_all_found():
     found = licenses.find(licenses.Index(), pa.array(texts))
     assert [[(m.start, m.end) for m in f] for f in found[:3]] == [[(5 * k, 5 * k + 5) for k in range(n)] for n in (2, 4, 9)]
     assert [(m.start, m.end) for m in found[3]] == [(0, 5), (6, 11), (13, 18)]
+
+
+def test_a_changed_word_hides_no_short_template():
+    lines = [t for _, t in licenses.TEMPLATES if 5 <= len(words(t)) <= 12]
+    for line in lines:
+        own = words(line)
+        for k in range(len(own)):
+            text = own[:k] + ["zzz"] + own[k + 1 :]
+            found = licenses.find(licenses.Index((("L", line),)), pa.array(["q r s " + " ".join(text) + " t u"]))[0]
+            best = best_alignment(text, own)
+            assert [m.matched for m in found] == ([best] if best >= 0.8 * len(own) else []), text
+    found = licenses.find(licenses.Index(), pa.array(["Released under the MIT Licence", "Unlicensed"]))
+    assert [[m.license for m in f] for f in found] == [["MIT"], []]
+    assert len(licenses.find(licenses.Index((("U", "Unlicensed"),)), pa.array(["a Unlicensed b"]))[0]) == 1
