@@ -1,7 +1,8 @@
 """URL filter: rules for hosts and paths, and boosted trees on lexical features for all other URLs.
 
 The trees learn from labelled URLs; here the rules label those they decide. Everything runs as
-column expressions and MLlib stages; a bounded sample of labelled rows is learned from.
+column expressions and MLlib stages. The statistics of host endings count all labelled rows; only
+the trees are fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from promptloom.session import stored
+
 # The rules, as (verdict, host and path).
 RULES = (
     ("block", "net/"),
@@ -20,10 +23,10 @@ RULES = (
     ("block", "example.com/de/"),
     ("allow", "org/fr/"),
 )
-#: Labelled URLs that are learned from: those with the smallest hashes.
+#: Different labelled URLs that the trees learn from: those with the smallest hashes.
 SAMPLE_ROWS = 20_000
-#: Host endings with statistics at most; others get the overall rate.
-ENDINGS = 1_000
+#: Host endings with statistics that are broadcast; more are joined in so many salted copies.
+BROADCAST_ENDINGS, SALTS = 100_000, 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = (
@@ -104,10 +107,11 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """``trees`` is None if the labels were of one kind; then ``constant`` is the probability."""
+    """``trees`` is None if the labels were of one kind; then ``constant`` is the probability.
+    ``endings``: ending, ending_rate of every labelled host ending; others get ``constant``."""
 
     trees: object
-    endings: dict[str, float]
+    endings: DataFrame | None
     constant: float
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -119,28 +123,35 @@ class UrlModel:
         return scored.select(*urls.columns, vector_to_array("probability")[1].alias("block_score"))
 
 
-def _assembled(rows: DataFrame, endings: dict[str, float], rate: float) -> DataFrame:
-    known = F.create_map(*(F.lit(x) for pair in endings.items() for x in pair)) if endings else None
-    own = F.coalesce(F.element_at(known, _ending(F.col("host"))), F.lit(rate)) if endings else F.lit(rate)
-    rows = rows.withColumn("ending_rate", own)
+def _assembled(rows: DataFrame, endings: DataFrame, rate: float) -> DataFrame:
+    ending = _ending(F.col("host"))
+    if endings.count() <= BROADCAST_ENDINGS:
+        rows = rows.withColumn("ending", ending).join(F.broadcast(endings), "ending", "left")
+    else:  # a host of many URLs is dealt out
+        copies = endings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumns({"ending": ending, "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+        rows = rows.join(copies, ["ending", "salt"], "left").drop("salt")
+    rows = rows.withColumn("ending_rate", F.coalesce("ending_rate", F.lit(rate))).drop("ending")
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 20, depth: int = 4) -> UrlModel:
-    """Boosted trees from (url, host, path, label), label 1: block. At most ``rows`` of them, those
-    with the smallest hash of the URL, are used; the statistics of host endings are part of the
-    model and learned from the same rows."""
-    few = labelled.where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url", "label").limit(rows)
-    sample = lexical(few).cache()
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    rate = counts.get(1, 0) / total if total else 0.0
-    if len(counts) < 2:
+    """Boosted trees from (url, host, path, label), label 1: block. They are fitted on at most
+    ``rows`` different URLs, those with the smallest hashes; the statistics of host endings are part
+    of the model and count all labelled rows."""
+    labelled = labelled.where("label IS NOT NULL")
+    ends = labelled.groupBy(_ending(F.col("host")).alias("ending")).agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+    ends = stored(ends)
+    sums = ends.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
+    rate = sums["b"] / sums["n"] if sums["n"] else 0.0
+    if rate in (0.0, 1.0):
+        return UrlModel(None, None, rate)
+    few = labelled.select("url", "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(rows)
+    sample = lexical(few.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})).cache()
+    if sample.select("label").distinct().count() < 2:
         sample.unpersist()
-        return UrlModel(None, {}, rate)
-    ends = sample.groupBy(_ending(F.col("host")).alias("e")).agg(F.sum("label").alias("b"), F.count("*").alias("n"))
-    ends = ends.orderBy(F.desc("n"), "e").limit(ENDINGS).collect()
-    endings = {r["e"]: (r["b"] + 5 * rate) / (r["n"] + 5) for r in ends}
+        return UrlModel(None, None, rate)
+    endings = ends.select("ending", ((F.col("b") + 5 * rate) / (F.col("n") + 5)).alias("ending_rate"))
     ready = _assembled(sample, endings, rate)
     fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7).fit(ready)
     sample.unpersist()

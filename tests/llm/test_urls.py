@@ -71,6 +71,21 @@ def test_trees_on_held_out_urls(spark):
     assert np.mean([(r.block_score >= 0.5) == bool(r.label) for r in held]) > 0.97
 
 
+def test_statistics_count_all_rows_and_copies_do_not_fill_the_sample(spark, monkeypatch):
+    draw = random.Random(8)
+    urls_of = [(f"http://{''.join(draw.choices('abcdefgh', k=8))}.e{k % 1500}.io/", int(k % 1500 < 700)) for k in range(3000)]
+    frame = spark.createDataFrame(urls_of, "url string, label int")
+    least = frame.orderBy(F.xxhash64("url")).first()
+    frame = frame.unionByName(spark.createDataFrame([(least.url, least.label)] * 500, "url string, label int"))
+    frame = frame.withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    model = urls.learn(frame, rows=200, trees=2)
+    assert model.trees is not None and model.endings.count() == 1500
+    plain = rows_of(model.score(frame), "url", "block_score")
+    assert len(plain) == 3500
+    monkeypatch.setattr(urls, "BROADCAST_ENDINGS", 10)
+    assert rows_of(model.score(frame), "url", "block_score") == plain
+
+
 def test_entropy(spark):
     row = spark.sql("select 'abab' a, '' b, 'aaaa' c").select(*(urls.entropy(F.col(c)).alias(c) for c in "abc")).first()
     assert tuple(row) == (1.0, 0.0, 0.0)
