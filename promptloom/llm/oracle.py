@@ -79,3 +79,58 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+# crc32 of the decimal id, bit by bit.
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+        lambda c, step: xor(c >> 1, 3988292384 * (c & 1)))
+), 4294967295::BIGINT)"""
+
+CONVERSATIONS = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+    SELECT conv_id, r, x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(r), ':', r, x))) AS p
+    FROM turns
+),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+    SELECT i.conv_id, 0 AS part, p, r, x FROM ids i JOIN placed t ON t.conv_id = i.base WHERE p <= h
+    UNION ALL SELECT i.conv_id, 1, p, r, x FROM ids i JOIN placed t ON t.conv_id = i.conv_id WHERE p > h
+),
+whole AS (
+    SELECT conv_id, coalesce(seq, []) AS seq, len(coalesce(seq, [])) AS n
+    FROM ids LEFT JOIN (
+        SELECT conv_id, list(sha256(concat(length(r), ':', r, x)) ORDER BY part, p) AS seq FROM rebuilt GROUP BY conv_id
+    ) USING (conv_id)
+),
+steps AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS depth,
+        len(regexp_extract_all(x, '{_WHITE}')) AS words
+    FROM rebuilt
+),
+prefixes AS (
+    SELECT w.conv_id, w.depth, w.depth = n AS ends, coalesce(words, 0) AS words,
+        sha256(array_to_string(list_slice(seq, 1, w.depth), ' ')) AS node,
+        CASE WHEN w.depth > 0 THEN sha256(array_to_string(list_slice(seq, 1, w.depth - 1), ' ')) END AS parent
+    FROM (SELECT conv_id, seq, n, unnest(range(0, n + 1)) AS depth FROM whole) w LEFT JOIN steps USING (conv_id, depth)
+),
+nodes AS (
+    SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+        (count(*) - 1) * any_value(words) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY node
+),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+    SELECT a.node, sum(v.saved) AS saved_tokens, count(*) FILTER (WHERE c.node IS NULL) AS n_leaves
+    FROM nodes v JOIN prefixes a ON a.conv_id = v.conv_id AND a.depth <= v.depth LEFT JOIN children c ON c.node = v.node
+    GROUP BY a.node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent
+"""

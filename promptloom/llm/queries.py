@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from promptloom.llm import bpe, decontaminate, jaccard, licenses, lm, neighbours, oracle, pii, repeats, toxicity, urls
+from promptloom.llm import bpe, conversations, decontaminate, jaccard, licenses, lm, neighbours, oracle, pii, repeats, toxicity, urls
 from promptloom.llm.registry import QUERIES, SQL, query, read
 
 __all__ = ["QUERIES", "SQL"]
@@ -59,3 +59,8 @@ def op7_jaccard(spark, sf):
 @query("op1_lm")
 def op1_lm(spark, sf):
     return lm.score_documents(read(spark, sf, "documents"), "crc32(cast(doc_id AS string)) % 10 = 0")
+
+
+@query("op13_conversations", oracle.CONVERSATIONS)
+def op13_conversations(spark, sf):
+    return conversations.trie(read(spark, sf, "conversations"))
