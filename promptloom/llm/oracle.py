@@ -134,3 +134,41 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_ch
     saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
 FROM nodes n JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent
 """
+
+DIVERGENCE = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+words AS (SELECT id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+own AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+every AS (
+    SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, v
+    FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN own USING (lang, source, term)
+),
+shares AS (
+    SELECT lang, source, term, n,
+        1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+        1 + 1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 5)::HUGEINT
+            // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+    FROM every
+),
+apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+found AS (
+    SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+    LEFT JOIN apart a ON a.lang = g.lang AND a.source = g.source AND a.item = o.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from promptloom.llm import bpe, conversations, decontaminate, jaccard, licenses, lm, neighbours, oracle, pii, repeats, toxicity, urls
+from promptloom.llm import bpe, conversations, decontaminate, divergence, jaccard, licenses, lm, neighbours, oracle, pii, quality, repeats, toxicity, urls
 from promptloom.llm.registry import QUERIES, SQL, query, read
 
 __all__ = ["QUERIES", "SQL"]
@@ -64,3 +64,13 @@ def op1_lm(spark, sf):
 @query("op13_conversations", oracle.CONVERSATIONS)
 def op13_conversations(spark, sf):
     return conversations.trie(read(spark, sf, "conversations"))
+
+
+@query("op11_divergence", oracle.DIVERGENCE)
+def op11_divergence(spark, sf):
+    return divergence.audit(read(spark, sf, "documents"))
+
+
+@query("op12_quality")
+def op12_quality(spark, sf):
+    return quality.report(read(spark, sf, "documents"), read(spark, sf, "labels"))
