@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,10 +41,53 @@ def _quote(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# ---------------------------------------------------------------------- vocabularies
+# A vocabulary is never written into a plan: it is the value of a one-row relation, read by index.
+_HELD: dict[tuple, Column] = {}
+
+
+def held(values: Sequence) -> Column:
+    """A list (of words, numbers, or dicts with the same keys) as the value of a one-row relation.
+
+    The plan holds a scalar subquery, whose value is sent to each executor once, however long the
+    list is. Subqueries can't stand inside lambdas, and a row that carries the value is as wide as
+    the list: look up in a projection of its own (``with_computed``), then drop it.
+    """
+    spark = SparkSession.active()
+    app = spark.sparkContext.applicationId
+    if _HELD and next(iter(_HELD))[0] != app:
+        _HELD.clear()
+    key = (app, repr(values))
+    if key not in _HELD:
+        _HELD[key] = spark.createDataFrame(pa.table({"held": pa.array([list(values)])})).scalar()
+    return _HELD[key]
+
+
 # ------------------------------------------------------------------- one draw per row
-def digest(seed: int, key: Column, *slot: str) -> Column:
+# Draws are SQL text, so that building one is a single call of the JVM.
+def _name(key: Column | str) -> str:
+    name = key if isinstance(key, str) else key._jc.toString()
+    if not name.replace("_", "a").isalnum():
+        raise ValueError(f"draws need a column as their key, not an expression: {name}")
+    return f"`{name}`"
+
+
+def digest_sql(seed: int, key: Column | str, *slot: str) -> str:
+    parts = [_quote(f"{seed}:"), f"cast({_name(key)} as string)", *[_quote(":" + s) for s in slot]]
+    return f"md5(concat({', '.join(parts)}))"
+
+
+def number_sql(text: str, start: int = 1) -> str:
+    return f"cast(conv(substring({text}, {start}, 8), 16, 10) as bigint)"
+
+
+def draw_sql(seed: int, key: Column | str, slot: str) -> str:
+    return number_sql(digest_sql(seed, key, slot))
+
+
+def digest(seed: int, key: Column | str, *slot: str) -> Column:
     """md5 hex text of ``seed:key[:slot...]``."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), *[F.lit(":" + s) for s in slot]))
+    return F.expr(digest_sql(seed, key, *slot))
 
 
 def hex_number(text: Column, start: int = 1) -> Column:
@@ -51,23 +95,24 @@ def hex_number(text: Column, start: int = 1) -> Column:
     return F.conv(F.substring(text, start, 8), 16, 10).cast("bigint")
 
 
-def draw(seed: int, key: Column, slot: str) -> Column:
+def draw(seed: int, key: Column | str, slot: str) -> Column:
     """One 32-bit draw per key and slot."""
-    return hex_number(digest(seed, key, slot))
+    return F.expr(draw_sql(seed, key, slot))
 
 
-def draw_below(n: int | Column, seed: int, key: Column, slot: str) -> Column:
+def draw_below(n: int | Column, seed: int, key: Column | str, slot: str) -> Column:
     """Uniform integer in 0 .. n-1."""
-    bound = F.lit(n) if isinstance(n, int) else n
-    return (draw(seed, key, slot) % bound).cast("int")
+    if isinstance(n, int):
+        return F.expr(f"cast({draw_sql(seed, key, slot)} % {n} as int)")
+    return (draw(seed, key, slot) % n).cast("int")
 
 
-def chance(p: float, seed: int, key: Column, slot: str) -> Column:
+def chance(p: float, seed: int, key: Column | str, slot: str) -> Column:
     """True with probability ``p`` (resolution one millionth)."""
     return draw_below(1_000_000, seed, key, slot) < F.lit(round(p * 1_000_000))
 
 
-def pick(values: Column, seed: int, key: Column, slot: str) -> Column:
+def pick(values: Column, seed: int, key: Column | str, slot: str) -> Column:
     """One element of an array; NULL when it is empty."""
     return let(
         values,
@@ -76,56 +121,50 @@ def pick(values: Column, seed: int, key: Column, slot: str) -> Column:
 
 
 def word_at(words: Sequence[str], number: Column) -> Column:
-    """The word a drawn number falls on."""
+    """The word of a short fixed list that a drawn number falls on."""
     return F.get(text_array(words), (number % F.lit(len(words))).cast("int"))
 
 
-def pick_word(words: Sequence[str], seed: int, key: Column, slot: str) -> Column:
-    """One word of a literal list."""
-    return word_at(words, draw(seed, key, slot))
-
+def pick_word(words: Sequence[str], seed: int, key: Column | str, slot: str) -> Column:
+    """One word of a vocabulary. Not for use inside a lambda."""
+    return F.get(held(words), draw_below(len(words), seed, key, slot))
 
-class ChoiceTable:
-    """A list of word lists, laid out so that (row, number) is one array lookup.
 
-    Each list is repeated to the least common multiple of the list lengths, which
-    keeps its choices equally likely.
-    """
+def pick_short(words: Sequence[str], seed: int, key: Column | str, slot: str) -> Column:
+    """One word of a short fixed list, also inside a lambda."""
+    return word_at(words, draw(seed, key, slot))
 
-    def __init__(self, rows: Sequence[Sequence[str]]):
-        self.width = lcm(*[len(r) for r in rows])
-        self.words = text_array([r[i % len(r)] for r in rows for i in range(self.width)])
 
-    def at(self, row: Column, number: Column) -> Column:
-        place = row * F.lit(self.width) + (number % F.lit(self.width)).cast("int")
-        return F.get(self.words, place)
+def choice_width(rows: Sequence[Sequence]) -> int:
+    """How much of a drawn number is used up by a choice from any of the lists."""
+    return lcm(*[len(r) for r in rows])
 
 
 # ------------------------------------------------------------------ many draws per row
 # One md5 serves four numbers. The arrays are spelled out element by element, because
 # lambdas over arrays are interpreted and these expressions are the costly ones: keep
 # them in a projection of their own and let lambdas read the finished columns.
-def digests(seed: int, key: Column, slot: str, count: int) -> list[Column]:
-    """md5 of ``seed:key:slot:0``, ``...:1`` and so on."""
-    return [digest(seed, key, slot, str(j)) for j in range(count)]
+def _blocks(seed: int, key: Column | str, slot: str, count: int) -> list[str]:
+    return [digest_sql(seed, key, slot, str(j)) for j in range(count)]
+
+
+def digests(seed: int, key: Column | str, slot: str, count: int) -> Column:
+    """Array of md5 of ``seed:key:slot:0``, ``...:1`` and so on."""
+    return F.expr(f"array({', '.join(_blocks(seed, key, slot, count))})")
 
 
-def numbers(seed: int, key: Column, slot: str, count: int) -> Column:
+def numbers(seed: int, key: Column | str, slot: str, count: int) -> Column:
     """``count`` 32-bit numbers."""
-    blocks = digests(seed, key, slot, (count + 3) // 4)
-    return F.array(*[hex_number(blocks[k // 4], 1 + 8 * (k % 4)) for k in range(count)])
+    blocks = _blocks(seed, key, slot, (count + 3) // 4)
+    return F.expr("array(" + ", ".join(number_sql(blocks[k // 4], 1 + 8 * (k % 4)) for k in range(count)) + ")")
 
 
-def sort_keys(seed: int, key: Column, slot: str, count: int) -> Column:
+def sort_keys(seed: int, key: Column | str, slot: str, count: int) -> Column:
     """``count`` keys whose order is a drawn order; each ends in its index, as wide as it must be."""
     width = max(3, len(str(count - 1)))
-    blocks = digests(seed, key, slot, (count + 3) // 4)
-    return F.array(
-        *[
-            F.concat(F.substring(blocks[k // 4], 1 + 8 * (k % 4), 8), F.lit(f"{k:0{width}d}"))
-            for k in range(count)
-        ]
-    )
+    blocks = _blocks(seed, key, slot, (count + 3) // 4)
+    parts = [f"concat(substring({blocks[k // 4]}, {1 + 8 * (k % 4)}, 8), '{k:0{width}d}')" for k in range(count)]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def rest(number: Column, divisor: int) -> Column:
@@ -151,25 +190,23 @@ def strides(n: int) -> list[int]:
     return [s for s in range(1, max(n, 2)) if gcd(s, n) == 1]
 
 
-def sample_indices(n: int, count: Column, seed: int, key: Column, slot: str) -> Column:
+def sample_start(n: int, seed: int, key: Column | str, slot: str) -> tuple[Column, Column]:
+    """(start, step) of ``sample_indices``. Not for use inside a lambda."""
+    steps = strides(n)
+    at = draw_below(len(steps), seed, key, slot + "_stride")
+    step = at + 1 if steps == list(range(1, len(steps) + 1)) else F.get(held(steps), at).cast("int")
+    return draw_below(n, seed, key, slot + "_start"), step
+
+
+def sample_indices(n: int, count: Column, start: Column, step: Column) -> Column:
     """``count`` different indices below ``n`` (at most n), at O(1) per index.
 
     A drawn start and a drawn step coprime to ``n``. Each index is uniform; the
     joint distribution covers start/step pairs, not all permutations.
     """
-    steps = strides(n)
-    step = draw_below(len(steps), seed, key, slot + "_stride")
-    if steps == list(range(1, len(steps) + 1)):
-        step = step + 1
-    else:
-        step = F.get(F.expr("array(" + ",".join(map(str, steps)) + ")"), step)
     return let(
-        F.struct(
-            draw_below(n, seed, key, slot + "_start").alias("start"),
-            step.alias("step"),
-            count.alias("n"),
-        ),
+        F.struct(start.alias("start"), step.alias("step"), count.alias("n")),
         lambda b: F.transform(
-            indices(b["n"]), lambda k: (b["start"] + k * b["step"]) % F.lit(n)
+            indices(b["n"]), lambda k: ((b["start"] + k.cast("bigint") * b["step"]) % F.lit(n)).cast("int")
         ),
     )

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from promptloom.functions.draws import let, pick_word
+from promptloom.functions.draws import let, pick_short
 from promptloom.functions.text import (
     CONTEXT_MARK, INSTRUCTION_MARK, RESPONSE_MARK, after_first, before_first, replace_first,
 )
@@ -175,7 +175,7 @@ def rewrites(seed: int, key: Column, words=PAIRS.random_words) -> dict[str, Call
     """Rewrite name → function of the prompt column; random words are drawn per row."""
 
     def word(slot: str) -> Column:
-        return pick_word(words, seed, key, slot)
+        return pick_short(words, seed, key, slot)
 
     return {
         "SwapEng1": lambda t: swap_in_instruction(t, FIRST_SAID),

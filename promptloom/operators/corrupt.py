@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from promptloom.functions import names as N, text as T, tokens as K
 from promptloom.functions.draws import (
-    ChoiceTable, digest, draw, draw_below, let, numbers, pick, pick_word, sample_indices,
-    text_array, with_computed, word_at,
+    digest, draw, draw_below, held, let, numbers, pick, pick_short, sample_start, text_array, with_computed,
 )
 from promptloom.operators import generate as G
 from promptloom.sources import schemas as S
@@ -50,33 +49,42 @@ def make_base_items(
     With aggregates, the SELECT list, its English and ORDER BY come from the item
     generators, over the same small table.
     """
-    key, fields = F.col("item_id"), F.col("table_fields")
-    tables = ChoiceTable([[name, synonym] for name, synonym in words.tables.items()])
-    names = ChoiceTable([[name, synonym] for name, synonym in words.fields.items()])
-
-    def field(at: Column, number: Column) -> Column:
-        return F.struct(
-            names.at(at, F.lit(0)).alias("name"),
-            word_at(words.types, number).alias("type"),
-            names.at(at, F.lit(1)).alias("synonym"),
-            F.lit(use_synonyms_field).alias("use_synonym"),
-        )
-
-    place = draw_below(len(words.tables), seed, key, "b_table")
+    key, fields = "item_id", F.col("table_fields")
+    start, step = sample_start(len(words.fields), seed, key, "b_field")
     draws = {
-        "_at": sample_indices(len(words.fields), F.lit(num_fields), seed, key, "b_field"),
+        "_start": start,
+        "_step": step,
         "_field": numbers(seed, key, "b_field", num_fields),
-        "table_name": F.struct(
-            tables.at(place, F.lit(0)).alias("name"),
-            tables.at(place, F.lit(1)).alias("synonym"),
-            F.lit(use_synonyms_table).alias("use_synonym"),
-        ),
+        "_tab": draw(seed, key, "b_table"),
         **G.clause_draws(key, seed, num_fields, use_order_by, use_where),
     }
-    drawn = ids.select(F.col(id_col).alias("item_id")).withColumns(draws)
-    items = with_computed(
-        drawn, {"table_fields": F.zip_with(F.col("_at"), F.col("_field"), field)}
-    )
+    named = {
+        "tables": [{"name": n, "synonym": s} for n, s in words.tables.items()],
+        "fields": [{"name": n, "synonym": s} for n, s in words.fields.items()],
+        "types": words.types,
+    }
+    table = G.lookup("pair_tables", "_tab")
+    found = {"_tname": F.expr(f"{table}.name"), "_tsynonym": F.expr(f"{table}.synonym")}
+    rows = []
+    for k in range(num_fields):
+        row = G.lookup("pair_fields", f"(_start + {k} * _step)")
+        kind = G.lookup("pair_types", f"_field[{k}]")
+        rows.append(
+            f"named_struct('name', {row}.name, 'type', {kind}, 'synonym', {row}.synonym, "
+            f"'use_synonym', {str(use_synonyms_field).lower()})"
+        )
+    found["table_fields"] = F.expr(f"array({', '.join(rows)})")
+    drawn = ids.select(F.col(id_col).alias("item_id")).withColumns({f"_v_pair_{n}": held(v) for n, v in named.items()})
+    if use_aggregates:
+        drawn = G.with_vocabulary(drawn, vocab)
+        draws |= {"_ntpl": draw(seed, key, "tpl"), "_ncphr": draw(seed, key, "c_phrase"), "_ncagg": draw(seed, key, "c_aphr")}
+        found |= {"_template": F.expr(G.lookup("templates", "_ntpl")), **G.phrase_lookups(num_fields, use_order_by)}
+        # what takes the place of a phrase: one of either direction, one of each aggregate
+        found |= {f"_c_{d}": F.expr(G.lookup(d, "_ncphr")) for d in ("asc", "desc")}
+        found |= {f"_c_{a}": F.expr(G.lookup(a, "_ncagg")) for a in AGGREGATES}
+    items = G.without_vocabulary(with_computed(drawn.withColumns(draws), found))
+    shown = F.lit(use_synonyms_table).alias("use_synonym")
+    items = items.withColumn("table_name", F.struct(F.col("_tname").alias("name"), F.col("_tsynonym").alias("synonym"), shown))
     no_order = G.empty_array(S.ORDER)
     condition = f"struct<field:{S.FIELD},operator:string,literal:string>"
     conditions = (
@@ -111,21 +119,20 @@ def make_base_items(
     if use_aggregates:
         items = items.withColumns(
             {
-                "_agg_all": G.draw_agg_phrases(vocab, select),
+                "_agg_all": G.draw_agg_phrases(select),
                 "order_by": G.draw_order(select) if use_order_by else no_order,
             }
         ).withColumns(
             {
                 "order_by_phrase": (
-                    G.draw_order_phrases(vocab, order)
+                    G.draw_order_phrases(order)
                     if use_order_by
                     else F.array().cast("array<string>")
                 ),
                 "agg_phrases": F.filter(F.col("_agg_all"), lambda p: p.isNotNull()),
             }
         )
-        template = pick_word(vocab.select_templates, seed, key, "tpl")
-        said = G.english_select(template, table, select, F.col("_agg_all"))
+        said = G.english_select(F.col("_template"), table, select, F.col("_agg_all"))
         spoken_order = G.english_order(order, F.col("order_by_phrase"))
         english = F.concat(said, spaced_where, F.lit(" "), spoken_order)
         sql = F.concat(G.select_sql(table, select), sql_where, F.lit(" "), G.order_sql(order))
@@ -166,15 +173,26 @@ def make_base_items(
             "where": F.transform(F.col("_conditions"), G.condition_text),
             "join_table": F.lit(None).cast(S.TABLE),
         }
-    ).select(*BASE_COLUMNS)
+    ).select(*BASE_COLUMNS, *[c for c in ready.columns if c.startswith("_c_")])
 
 
 # ------------------------------------------------------------------------ the features
-def other_word(pool: list[str] | tuple, used: Column, seed: int, key: Column, slot: str) -> Column:
-    """A word of the pool that is not among the used ones."""
+def other_word(pool: list[str] | tuple, used: Column, seed: int, key: Column | str, slot: str) -> Column:
+    """A word of a short pool that is not among the used ones."""
     return pick(F.array_except(text_array(pool), used), seed, key, slot)
 
 
+def other_entry(items: DataFrame, column: str, pool: list[str], used: Column, seed: int, slot: str) -> DataFrame:
+    """Adds a word of a vocabulary of any length that is not the used one."""
+    words = list(dict.fromkeys(pool))
+    place = F.coalesce(F.array_position("_pool", used), F.lit(0))  # from 1; 0 if it is not there
+    drawn = items.withColumns({"_pool": held(words), "_number": draw(seed, "item_id", slot)}).withColumn("_place", place)
+    at = F.expr(f"cast(_number % greatest({len(words)} - if(_place > 0, 1, 0), 1) as int)")
+    drawn = drawn.withColumn("_at", at)
+    behind = F.expr("get(_pool, _at + if(_place > 0 AND _at >= _place - 1, 1, 0))")
+    return with_computed(drawn, {column: behind}).drop("_pool", "_number", "_place", "_at")
+
+
 def edit(clean: Column, corrupt: Column, answer: Column | None = None, **texts: Column) -> dict:
     return {"clean": clean, "corrupt": corrupt, "answer": clean if answer is None else answer, **texts}
 
@@ -191,7 +209,7 @@ class Features:
         self.seed, self.words, self.vocab = seed, words, vocab
         self.table_pool = list(words.novel_tables if novel else words.tables)
         self.field_pool = list(words.novel_fields if novel else words.fields)
-        self.key = F.col("item_id")
+        self.key = "item_id"
 
     def table_word(self, used: Column) -> Column:
         return other_word(self.table_pool, F.array(used), self.seed, self.key, "c_table")
@@ -215,7 +233,7 @@ class Features:
 
     # -- table definition
     def def_create_table(self) -> dict:
-        wrong = pick_word(CREATE_WORDS, self.seed, self.key, "c_create")
+        wrong = pick_short(CREATE_WORDS, self.seed, self.key, "c_create")
         clean = F.lit("CREATE")
         return edit(clean, wrong, wrong, create=F.replace("create_statement", clean, wrong))
 
@@ -230,7 +248,7 @@ class Features:
         return edit(clean, wrong, create=F.replace("create_statement", clean, wrong))
 
     def def_field_separator(self) -> dict:
-        clean, wrong = F.lit(","), pick_word(SEPARATORS, self.seed, self.key, "c_sep")
+        clean, wrong = F.lit(","), pick_short(SEPARATORS, self.seed, self.key, "c_sep")
         return edit(clean, wrong, create=F.replace("create_statement", clean, wrong))
 
     # -- ORDER BY
@@ -269,9 +287,7 @@ class Features:
         sql = replace_end(F.col("sql_statement"), G.order_sql(order), G.order_sql(turned))
         english = F.col("english_prompt")
         if phrases_spoken:
-            other = F.when(
-                asc, pick_word(self.vocab.desc_phrases(), self.seed, self.key, "c_phrase")
-            ).otherwise(pick_word(self.vocab.asc_phrases(), self.seed, self.key, "c_phrase"))
+            other = F.when(asc, F.col("_c_desc")).otherwise(F.col("_c_asc"))
             said = F.transform(phrases, lambda p, i: F.when(i == place, other).otherwise(p))
             english = replace_end(english, G.english_order(order, phrases), G.english_order(order, said))
         else:
@@ -292,15 +308,8 @@ class Features:
     def aggregate_function(self, second: bool) -> dict:
         agg, field, at = self._call(second)
         wrong = other_word(AGGREGATES, F.array(agg), self.seed, self.key, "c_agg")
-        number = draw(self.seed, self.key, "c_aphr")
         phrase = let(
-            F.struct(wrong.alias("w"), number.alias("n")),
-            lambda s: F.coalesce(
-                *[
-                    F.when(s["w"] == a, word_at(self.vocab.agg_phrases[a], s["n"]))
-                    for a in AGGREGATES
-                ]
-            ),
+            wrong, lambda w: F.coalesce(*[F.when(w == a, F.col(f"_c_{a}")) for a in AGGREGATES])
         )
 
         def call(name: Column) -> Column:
@@ -361,9 +370,7 @@ class Features:
         return edit(clean, wrong, sql=sql)
 
     def join_table(self) -> dict:
-        clean = F.col("join_table.name")
-        names = [t[0] for t in self.vocab.tables]
-        wrong = other_word(names, F.array(clean), self.seed, self.key, "c_join")
+        clean, wrong = F.col("join_table.name"), F.col("_c_join")
         sql = F.col("sql_statement")
         for before, after in (("JOIN ", " ON "), (" = ", ".")):
             sql = T.replace_first(
@@ -420,12 +427,14 @@ def corrupt_candidates(
     num_fields: int = 2,
     words: PairVocabulary = PAIRS,
     vocab: Vocabulary = DEFAULT,
+    tokenize: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """All base items of the features with their edits; ``kept`` tells whether the edit
     changed what its feature promises.
 
     Features that start from the same base items share them: the items are drawn once
-    and give one row per feature in place.
+    and give one row per feature in place. With ``tokenize`` a base item is also tokenised
+    once, and rows carry its tokens and where each of them stands (see ``placed_tokens``).
     """
     unknown = set(features) - set(FEATURES)
     if unknown:
@@ -439,14 +448,18 @@ def corrupt_candidates(
     for options, group in groups.items():
         if "use_join" in options:
             items = G.generate_items(ids, 5, seed, id_col=id_col, vocab=vocab, **synonyms)
-            base = items.select(*BASE_COLUMNS)
+            names = [t[0] for t in vocab.tables]
+            base = other_entry(items.select(*BASE_COLUMNS), "_c_join", names, F.col("join_table.name"), seed, "c_join")
         else:
             base = make_base_items(
                 ids, seed, id_col=id_col, num_fields=num_fields, words=words, vocab=vocab,
                 **synonyms, **dict.fromkeys(options, True),
             )
         rows = F.array(*[_edit_row(f, FEATURES[f][0](edits)) for f in group])
-        parts.append(base.select("*", F.inline(rows)))
+        if tokenize is not None:
+            base = placed_tokens(base, tokenize)
+        edited = base.select("*", F.inline(rows))
+        parts.append(edited.drop(*[c for c in base.columns if c.startswith("_c_")]))
 
     edited = with_changes(reduce(DataFrame.unionByName, parts))
     edited = edited.withColumn("use_novel_names", F.lit(use_novel_names))
@@ -552,6 +565,31 @@ def corrupt_view(pairs: DataFrame) -> DataFrame:
     return _view(pairs, "corrupt")
 
 
+def placed_tokens(items: DataFrame, tokenize=K.word_tokens) -> DataFrame:
+    """Adds ``tokens`` (of prompt and answer), ``prompt_length``, and for each side the places of
+    every token: an inverted list, in which all features of an item look up theirs."""
+    texts = F.struct("english_prompt", "create_statement")
+    prompt = T.prompt_text(texts["english_prompt"], texts["create_statement"])
+    split = with_computed(items, {"_prompt": tokenize(prompt), "_answer": tokenize(F.col("sql_statement"))})
+    placed = {
+        "tokens": F.concat("_prompt", "_answer"),
+        "prompt_length": F.size("_prompt"),
+        "_in_prompt": K.places(F.col("_prompt")),
+        "_in_answer": K.places(F.col("_answer")),
+    }
+    return with_computed(split, placed).drop("_prompt", "_answer")
+
+
+def corrupt_positions(
+    ids: DataFrame, features=tuple(FEATURES), seed: int = 7, *, tokenize=K.word_tokens, token=lambda word: word,
+    keep_tokens: bool = False, **options,
+) -> DataFrame:
+    """Clean/corrupt pairs with token positions (see ``with_token_positions``); every base item is
+    tokenised once, whatever the number of its features."""
+    pairs = corrupt_candidates(ids, features, seed, tokenize=tokenize, **options).where("kept").drop("kept")
+    return _looked_up(pairs, token, keep_tokens)
+
+
 def with_token_positions(
     pairs: DataFrame, tokenize=K.word_tokens, token=lambda word: word, keep_tokens: bool = False
 ) -> DataFrame:
@@ -564,37 +602,35 @@ def with_token_positions(
     prompt names them first), unless synonyms keep them out of the prompt; a separator
     may have one occurrence only. WHERE features search behind the keyword.
     """
-    clean = F.struct("english_prompt", "create_statement")
-    prompt = T.prompt_text(clean["english_prompt"], clean["create_statement"])
-    with_tokens = pairs.withColumns(
+    return _looked_up(placed_tokens(pairs, tokenize), token, keep_tokens)
+
+
+def _looked_up(pairs: DataFrame, token, keep_tokens: bool) -> DataFrame:
+    tokens = {"clean": token(F.col("clean_token")), "answer": token(F.col("answer_token")), "where": token(F.lit("WHERE"))}
+    rows = pairs.withColumns({f"_{name}": column for name, column in tokens.items()})
+    found = with_computed(
+        rows,
         {
-            "_prompt": tokenize(prompt),
-            "_answer": tokenize(F.col("sql_statement")),
-            "_clean": token(F.col("clean_token")),
-        }
+            "_at": F.try_element_at("_in_prompt", F.col("_clean")),
+            "_answers": F.try_element_at("_in_answer", F.col("_answer")),
+            "_cleans": F.try_element_at("_in_answer", F.col("_clean")),
+            "_behind": F.get(F.try_element_at("_in_answer", F.col("_where")), F.lit(0)),
+        },
     )
-    feature = F.col("feature_name")
+    feature, unknown = F.col("feature_name"), F.lit(K.UNKNOWN)
     synonyms = F.col("table_name.use_synonym") | F.get("table_fields", F.lit(0))["use_synonym"]
-    first = K.occurrence(F.col("_prompt"), F.col("_clean"))
-    second = K.occurrence(F.col("_prompt"), F.col("_clean"), 2)
-    fallback = F.when(feature == "DefFieldSeparator", first).otherwise(F.lit(K.UNKNOWN))
-    second = F.when(second >= 0, second).otherwise(fallback)
+    first, second = (F.get("_at", F.lit(k)) for k in (0, 1))
+    second = F.coalesce(second, F.when(feature == "DefFieldSeparator", first))
     prompt_at = F.when(feature.isin(*SECOND_OCCURRENCE) & ~synonyms, second).otherwise(first)
-    plain = K.occurrence(F.col("_answer"), token(F.col("answer_token")))
-    behind = K.position_after(F.col("_answer"), token(F.lit("WHERE")), F.col("_clean"))
-    in_answer = F.when(feature == "DefWhereField1", F.coalesce(behind, F.lit(K.UNKNOWN))).otherwise(
-        plain
-    )
-    return with_tokens.withColumns(
+    behind = F.get(F.filter("_cleans", lambda at: at > F.col("_behind")), F.lit(0))
+    in_answer = F.when(feature == "DefWhereField1", behind).otherwise(F.get("_answers", F.lit(0)))
+    used = ["_clean", "_answer", "_where", "_at", "_answers", "_cleans", "_behind", "_in_prompt", "_in_answer"]
+    return found.withColumns(
         {
-            "prompt_token_index": prompt_at,
-            "answer_token_index": F.when(
-                in_answer >= 0, F.size("_prompt") + in_answer - 1
-            ).otherwise(F.lit(K.UNKNOWN)),
-            "prompt_length": F.size("_prompt"),
-            **({"tokens": F.concat("_prompt", "_answer")} if keep_tokens else {}),
+            "prompt_token_index": F.coalesce(prompt_at, unknown),
+            "answer_token_index": F.coalesce(F.col("prompt_length") + in_answer - 1, unknown),
         }
-    ).drop("_prompt", "_answer", "_clean")
+    ).drop(*used, *([] if keep_tokens else ["tokens"]))
 
 
 def with_token_ids(pairs: DataFrame, encode, offset: int = 0) -> DataFrame:

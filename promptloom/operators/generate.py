@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptloom.functions import names as N
 from promptloom.functions.draws import (
-    ChoiceTable, chance, digests, draw, draw_below, hex_number, let, numbers, pick_word, rest,
-    sample_array, sample_indices, sort_keys, text_array, with_computed, word_at,
+    chance, choice_width, digests, draw, draw_below, held, hex_number, let, numbers,
+    pick_short, pick_word, rest, sample_array, sample_start, sort_keys, with_computed, word_at,
 )
 from promptloom.functions.text import base_type
 from promptloom.sources import schemas as S
@@ -28,51 +28,87 @@ def empty_array(element: str) -> Column:
     return F.expr(f"cast(array() as array<{element}>)")
 
 
+# ----------------------------------------------------------------------- vocabulary
+def _spaced(synonyms: list) -> list:
+    return [w.replace("_", " ") for w in synonyms]
+
+
+def with_vocabulary(ids: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Adds the lists of the vocabulary, each the value of a one-row relation. They are looked up
+    in the next projection; no row carries them further."""
+    fields = [{"name": f[0], "types": list(f[1]), "synonyms": _spaced(f[2])} for f in vocab.fields]
+    tables = [{"name": t[0], "synonyms": _spaced(t[1])} for t in vocab.tables]
+    lists = {"fields": fields, "tables": tables, "templates": vocab.select_templates}
+    lists |= {"asc": vocab.asc_phrases(), "desc": vocab.desc_phrases()}
+    lists |= {agg: vocab.agg_phrases[agg] for agg in AGGREGATES}
+    return ids.withColumns({f"_v_{name}": held(values) for name, values in lists.items()})
+
+
+def without_vocabulary(items: DataFrame) -> DataFrame:
+    return items.drop(*[c for c in items.columns if c.startswith("_v_")])
+
+
+def lookup(name: str, number: str) -> str:
+    """SQL text: the entry of a vocabulary list that a number falls on."""
+    return f"get(_v_{name}, cast({number} % size(_v_{name}) as int))"
+
+
 # ------------------------------------------------------------------ tables and fields
-def draw_table(key: Column, seed: int, vocab: Vocabulary, prefix: str = "") -> Column:
-    """A table and one of its synonyms (underscores read as spaces)."""
-    names = text_array([t[0] for t in vocab.tables])
-    synonyms = ChoiceTable([[s.replace("_", " ") for s in t[1]] for t in vocab.tables])
-    at = draw_below(len(vocab.tables), seed, key, prefix + "table")
-    return F.struct(
-        F.get(names, at).alias("name"),
-        synonyms.at(at, draw(seed, key, prefix + "table_syn")).alias("synonym"),
-        F.lit(False).alias("use_synonym"),
-    )
+def table_lookup(prefix: str = "") -> dict[str, Column]:
+    """Name of a table and one of its synonyms (underscores read as spaces)."""
+    row = lookup("tables", f"_{prefix}tab")
+    return {
+        f"_{prefix}tname": F.expr(f"{row}.name"),
+        f"_{prefix}tsynonym": F.expr(f"get({row}.synonyms, cast(_{prefix}tsyn % size({row}.synonyms) as int))"),
+    }
+
+
+def drawn_table(prefix: str = "") -> Column:
+    """The table that was looked up. Catalyst prunes fields of structs that a generator gives, so
+    ``with_computed`` gets its parts."""
+    name, synonym = F.col(f"_{prefix}tname").alias("name"), F.col(f"_{prefix}tsynonym").alias("synonym")
+    return F.struct(name, synonym, F.lit(False).alias("use_synonym"))
 
 
-def field_draws(
-    key: Column, seed: int, vocab: Vocabulary, count: Column, bound: int, prefix: str = ""
-) -> dict[str, Column]:
-    """What :func:`draw_fields` reads: places in the vocabulary and a number per field."""
+def field_draws(key, seed: int, vocab: Vocabulary, count: Column, bound: int, prefix: str = "") -> dict[str, Column]:
+    """What :func:`field_lookup` and :func:`draw_fields` read."""
+    start, step = sample_start(len(vocab.fields), seed, key, prefix + "field")
     return {
-        f"_{prefix}at": sample_indices(len(vocab.fields), count, seed, key, prefix + "field"),
+        f"_{prefix}start": start,
+        f"_{prefix}step": step,
+        f"_{prefix}count": count,
         f"_{prefix}field": numbers(seed, key, prefix + "field", bound),
+        f"_{prefix}tab": draw(seed, key, prefix + "table"),
+        f"_{prefix}tsyn": draw(seed, key, prefix + "table_syn"),
     }
 
 
+def field_lookup(bound: int, prefix: str = "") -> Column:
+    """Different vocabulary entries in drawn order."""
+    at = [f"cast(_{prefix}start as bigint) + {k} * cast(_{prefix}step as bigint)" for k in range(bound)]
+    return F.expr(f"slice(array({', '.join(lookup('fields', f'({a})') for a in at)}), 1, _{prefix}count)")
+
+
 def draw_fields(vocab: Vocabulary, table: Column, prefix: str = "") -> Column:
-    """Different fields in drawn order, each with one type and one synonym.
+    """The looked up fields, each with one type and one synonym.
 
     A field that has the table's name gets the ending ``_field``.
     """
-    names = text_array([f[0] for f in vocab.fields])
-    types = ChoiceTable([f[1] for f in vocab.fields])
-    synonyms = ChoiceTable([[s.replace("_", " ") for s in f[2]] for f in vocab.fields])
+    width = choice_width([f[1] for f in vocab.fields])
 
-    def one(at: Column, number: Column) -> Column:
-        name = F.get(names, at)
+    def one(entry: Column, number: Column) -> Column:
+        name, types, synonyms = entry["name"], entry["types"], entry["synonyms"]
         return F.struct(
             F.when(name == table["name"], F.concat(name, F.lit("_field")))
             .otherwise(name)
             .alias("name"),
-            types.at(at, number).alias("type"),
-            synonyms.at(at, rest(number, types.width)).alias("synonym"),
+            F.get(types, (number % F.size(types)).cast("int")).alias("type"),
+            F.get(synonyms, (rest(number, width) % F.size(synonyms)).cast("int")).alias("synonym"),
             F.lit(False).alias("use_synonym"),
         )
 
-    places = F.col(f"_{prefix}at")
-    return F.zip_with(places, first_of(F.col(f"_{prefix}field"), places), one)
+    entries = F.col(f"_{prefix}entries")
+    return F.zip_with(entries, first_of(F.col(f"_{prefix}field"), entries), one)
 
 
 def first_of(values: Column, like: Column) -> Column:
@@ -88,6 +124,18 @@ def create_statement(table: Column, fields: Column) -> Column:
     )
 
 
+def with_join_side(items: DataFrame, seed: int, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Adds the table that set 5 joins and its fields, ``_join_table`` and ``_join_fields``, also
+    where no pair of columns was found."""
+    count = draw_below(MAX_JOIN_COLUMNS, seed, "item_id", "j_ncols") + 1
+    drawn = with_vocabulary(items, vocab).withColumns(
+        field_draws("item_id", seed, vocab, count, MAX_JOIN_COLUMNS, "j_")
+    )
+    found = {**table_lookup("j_"), "_j_entries": field_lookup(MAX_JOIN_COLUMNS, "j_")}
+    looked_up = without_vocabulary(with_computed(drawn, found)).withColumn("_join_table", drawn_table("j_"))
+    return looked_up.withColumn("_join_fields", draw_fields(vocab, F.col("_join_table"), "j_"))
+
+
 # ------------------------------------------------------------------------- SELECT
 def drawn_aggregate(sql_type: Column, number: Column, by_base_type: bool = False) -> Column:
     """An aggregate the type label admits. Labels match whole unless ``by_base_type``."""
@@ -99,32 +147,43 @@ def drawn_aggregate(sql_type: Column, number: Column, by_base_type: bool = False
     )
 
 
-def clause_draws(
-    key: Column, seed: int, bound: int, order_by: bool, where: bool
-) -> dict[str, Column]:
+def clause_draws(key, seed: int, bound: int, order_by: bool, where: bool) -> dict[str, Column]:
     """Numbers and sort keys the clauses of a row read."""
     out = {
         "_sel": sort_keys(seed, key, "sel", bound),
         "_nsel": draw(seed, key, "nsel"),
         "_agg": numbers(seed, key, "agg", bound),
-        "_aphr": numbers(seed, key, "aphr", bound),
+        "_naphr": numbers(seed, key, "aphr", bound),
     }
     if order_by:
         out |= {
             "_osel": sort_keys(seed, key, "osel", bound),
             "_nord": draw(seed, key, "nord"),
             "_odir": draw(seed, key, "odir"),
-            "_ophr": numbers(seed, key, "ophr", bound),
+            "_nophr": numbers(seed, key, "ophr", bound),
         }
     if where:
         out |= {
             "_wsel": sort_keys(seed, key, "wsel", bound),
             "_nwhere": draw(seed, key, "nwhere"),
-            "_wval": F.array(*digests(seed, key, "wval", MAX_CONDITIONS)),
+            "_wval": digests(seed, key, "wval", MAX_CONDITIONS),
         }
     return out
 
 
+def phrase_lookups(bound: int, order_by: bool) -> dict[str, Column]:
+    """For each drawn number the phrase of every aggregate, and of both directions."""
+
+    def all_of(numbers: str, names: dict[str, str]) -> Column:
+        rows = [", ".join(f"{lookup(v, f'{numbers}[{k}]')} as `{a}`" for a, v in names.items()) for k in range(bound)]
+        return F.expr("array(" + ", ".join(f"struct({row})" for row in rows) + ")")
+
+    out = {"_aphr": all_of("_naphr", {agg: agg for agg in AGGREGATES})}
+    if order_by:
+        out["_ophr"] = all_of("_nophr", {"asc": "asc", "desc": "desc"})
+    return out
+
+
 def drawn_count(number: Column, most: Column) -> Column:
     """1 .. most."""
     return (1 + number % most).cast("int")
@@ -161,16 +220,11 @@ def select_sql(table: Column, select: Column) -> Column:
     )
 
 
-def draw_agg_phrases(vocab: Vocabulary, select: Column) -> Column:
+def draw_agg_phrases(select: Column) -> Column:
     """One phrase per select field, NULL where the field has no aggregate."""
 
-    def one(f: Column, n: Column) -> Column:
-        phrase = F.lit(None).cast("string")
-        for agg in AGGREGATES:
-            phrase = F.when(f["aggregate"] == agg, word_at(vocab.agg_phrases[agg], n)).otherwise(
-                phrase
-            )
-        return F.when(f["aggregate"] != "", phrase)
+    def one(f: Column, phrases: Column) -> Column:
+        return F.coalesce(*[F.when(f["aggregate"] == agg, phrases[agg]) for agg in AGGREGATES])
 
     return F.zip_with(select, first_of(F.col("_aphr"), select), one)
 
@@ -217,15 +271,11 @@ def order_sql(order: Column) -> Column:
     )
 
 
-def draw_order_phrases(vocab: Vocabulary, order: Column) -> Column:
+def draw_order_phrases(order: Column) -> Column:
     """One phrase of the field's direction per order field."""
-
-    def one(f: Column, n: Column) -> Column:
-        return F.when(f["asc"], word_at(vocab.asc_phrases(), n)).otherwise(
-            word_at(vocab.desc_phrases(), n)
-        )
-
-    return F.zip_with(order, first_of(F.col("_ophr"), order), one)
+    return F.zip_with(
+        order, first_of(F.col("_ophr"), order), lambda f, p: F.when(f["asc"], p["asc"]).otherwise(p["desc"])
+    )
 
 
 def english_order(order: Column, phrases: Column) -> Column:
@@ -392,21 +442,31 @@ def generate_items(
     if not 1 <= min_cols <= max_cols <= len(vocab.fields):
         raise ValueError("need 1 <= min_cols <= max_cols <= number of fields")
     aggregates = csn == 3 or (csn == 2 and use_aggregates)
-    key, table, fields = F.col("item_id"), F.col("_table"), F.col("table_fields")
+    key, table, fields = "item_id", F.col("_table"), F.col("table_fields")
     count = draw_below(max_cols - min_cols + 1, seed, key, "ncols") + min_cols
 
-    # All numbers a row draws, then its table; the clauses read finished columns.
+    # All numbers a row draws, what they fall on in the vocabulary, then its table; the clauses
+    # read finished columns.
     draws = {
-        "_table": draw_table(key, seed, vocab),
         **field_draws(key, seed, vocab, count, max_cols),
         **clause_draws(key, seed, max_cols, order_by=csn > 1, where=csn > 3),
+        "_ntpl": draw(seed, key, "tpl"),
+    }
+    found = {
+        **table_lookup(),
+        "_entries": field_lookup(max_cols),
+        "_template": F.expr(lookup("templates", "_ntpl")),
+        **phrase_lookups(max_cols, csn > 1),
     }
     if csn == 5:
         other_count = draw_below(MAX_JOIN_COLUMNS, seed, key, "j_ncols") + 1
-        draws["_join_table"] = draw_table(key, seed, vocab, "j_")
         draws["_j_pair"] = draw(seed, key, "j_pair")
         draws |= field_draws(key, seed, vocab, other_count, MAX_JOIN_COLUMNS, "j_")
-    items = ids.select(F.col(id_col).alias("item_id")).withColumns(draws)
+        found |= {**table_lookup("j_"), "_j_entries": field_lookup(MAX_JOIN_COLUMNS, "j_")}
+    drawn = with_vocabulary(ids.select(F.col(id_col).alias("item_id")), vocab).withColumns(draws)
+    items = without_vocabulary(with_computed(drawn, found)).withColumn("_table", drawn_table())
+    if csn == 5:
+        items = items.withColumn("_join_table", drawn_table("j_"))
     tables = {"table_fields": draw_fields(vocab, table)}
     if csn == 5:
         tables["_join_fields"] = draw_fields(vocab, F.col("_join_table"), "j_")
@@ -443,11 +503,11 @@ def generate_items(
     # Phrases and the join pair, drawn once the clauses stand.
     select, order = F.col("select"), F.col("order_by")
     phrases = {
-        "_agg_all": draw_agg_phrases(vocab, select),
+        "_agg_all": draw_agg_phrases(select),
         "order_by_phrase": F.lit(None).cast("array<string>"),
     }
     if csn > 1:
-        phrases["order_by_phrase"] = draw_order_phrases(vocab, order)
+        phrases["order_by_phrase"] = draw_order_phrases(order)
     if csn == 5:
         pairs = F.col("_pairs")
         place = F.col("_j_pair") % F.greatest(F.size(pairs), F.lit(1))
@@ -456,8 +516,7 @@ def generate_items(
 
     # Texts. Double spaces and the trailing space of sets 2/3 without ORDER BY stay.
     conditions, order_phrases = F.col("_conditions"), F.col("order_by_phrase")
-    template = pick_word(vocab.select_templates, seed, key, "tpl")
-    english = english_select(template, F.col("table_name"), select, F.col("_agg_all"))
+    english = english_select(F.col("_template"), F.col("table_name"), select, F.col("_agg_all"))
     sql = select_sql(table, select)
     space = F.lit(" ")
     if csn in (2, 3):
@@ -524,18 +583,11 @@ def seed_columns(
     )
 
 
-def draw_aggregate_phrase(
-    key: Column, seed: int, vocab: Vocabulary = DEFAULT, slot: str = "agg_or_none"
-) -> Column:
+def draw_aggregate_phrase(key, seed: int, vocab: Vocabulary = DEFAULT, slot: str = "agg_or_none") -> Column:
     """(aggregate or none, phrase), drawn over the five aggregates and none."""
-
-    def with_phrase(aggregate: Column) -> Column:
-        phrases = [
-            F.when(aggregate == agg, pick_word(vocab.agg_phrases[agg], seed, key, slot + "_phrase"))
-            for agg in AGGREGATES
-        ]
-        return F.struct(
-            aggregate.alias("aggregate"), F.coalesce(*phrases, F.lit("")).alias("phrase")
-        )
-
-    return let(pick_word([*AGGREGATES, ""], seed, key, slot), with_phrase)
+    aggregate = pick_short([*AGGREGATES, ""], seed, key, slot)
+    phrases = [
+        F.when(aggregate == agg, pick_word(vocab.agg_phrases[agg], seed, key, slot + "_phrase"))
+        for agg in AGGREGATES
+    ]
+    return F.struct(aggregate.alias("aggregate"), F.coalesce(*phrases, F.lit("")).alias("phrase"))

@@ -157,8 +157,8 @@ def _positions_sql(**options) -> str:
     )
 
 
-def _positions(pairs):
-    found = C.with_token_positions(pairs, keep_tokens=True)
+def _positions(ids, **options):
+    found = C.corrupt_positions(ids, keep_tokens=True, **options)
     cut = C.truncate_at_answer(F.col("tokens"), F.col("answer_token_index"))
     return found.select(
         "feature_name", "item_id", "prompt_token_index", "answer_token_index", "prompt_length",
@@ -168,7 +168,7 @@ def _positions(pairs):
 
 @check("corrupt_token_positions", "K20 K21 N13 P8 X3", _positions_sql)
 def corrupt_token_positions(spark, sf):
-    return _positions(C.corrupt_items(order_ids(spark, sf)))
+    return _positions(order_ids(spark, sf))
 
 
 @check(
@@ -177,8 +177,7 @@ def corrupt_token_positions(spark, sf):
     lambda: _positions_sql(syn_field=True, syn_table=True),
 )
 def corrupt_positions_with_synonyms(spark, sf):
-    pairs = C.corrupt_items(order_ids(spark, sf), use_synonyms_field=True, use_synonyms_table=True)
-    return _positions(pairs)
+    return _positions(order_ids(spark, sf), use_synonyms_field=True, use_synonyms_table=True)
 
 
 @check(

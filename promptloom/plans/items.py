@@ -50,14 +50,8 @@ def _standard(csn: int):
         if csn >= 4:
             out.append(F.array_join("where", "|").alias("conditions"))
         if csn == 5:
-            count = draw_below(G.MAX_JOIN_COLUMNS, 7, F.col("item_id"), "j_ncols") + 1
-            df = df.withColumns(
-                {
-                    "_join_table": G.draw_table(F.col("item_id"), 7, V.DEFAULT, "j_"),
-                    **G.field_draws(F.col("item_id"), 7, V.DEFAULT, count, G.MAX_JOIN_COLUMNS, "j_"),
-                }
-            )
-            other = G.draw_fields(V.DEFAULT, F.col("_join_table"), "j_")
+            df = G.with_join_side(df, 7)
+            other = F.col("_join_fields")
             pairs = G.equal_type_pairs(F.col("table_fields"), other)
             out += [F.col("join_table.name").alias("join_name"), F.size(pairs).alias("equal_type_pairs")]
         return df.select(*out)

@@ -11,6 +11,7 @@ def local_session(app: str = "promptloom", cores: str = "*", **conf: str) -> Spa
     """Session for tests and the bench; a cluster brings its own session."""
     settings = {
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else each Column call asks the JVM twice
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from promptloom.functions import tokens as K
 from promptloom.functions.draws import sample_array, sort_keys
-from promptloom.operators import corrupt as C, probe as B, rewrite as W, runs as R
+from promptloom.operators import corrupt as C, generate as G, probe as B, rewrite as W, runs as R
 from promptloom.session import stored
+from promptloom.sources import vocabulary as V
 
 PROMPT = "### Instruction: show me the {} and {} from the {} table ### Context: CREATE TABLE {} ( {} INT, {} TEXT ) ### Response: "
 
@@ -60,6 +62,53 @@ def test_second_phrase_is_edited_where_it_stands(spark):
     assert both > 50
 
 
+def big_vocabulary(fields=50_000):
+    return V.Vocabulary(
+        fields=[(f"field_{k}", ["INTEGER", f"VARCHAR({k % 90 + 1})"][: 1 + k % 2], [f"word_{k}", f"other_{k}"]) for k in range(fields)],
+        tables=[(f"table_{k}", [f"set_{k}"]) for k in range(2_000)],
+    )
+
+
+def test_large_vocabulary_is_no_part_of_the_plan(spark):
+    vocab = big_vocabulary()
+    ids = spark.range(300).withColumnRenamed("id", "item_id")
+    for csn in (2, 5):
+        items = G.generate_items(ids, csn, vocab=vocab, max_cols=6)
+        plan = items._jdf.queryExecution().toString()
+        assert len(plan) < 250_000 and "field_49" not in plan and "word_49" not in plan
+    named = {n: (types, synonyms) for n, types, synonyms in vocab.fields}
+    rows = items.select("table_fields", "table_name", "join_table").collect()
+    fields = [f for r in rows for f in r.table_fields]
+    assert all(f.type in named[f.name][0] and f.synonym in [s.replace("_", " ") for s in named[f.name][1]] for f in fields)
+    assert len({f.name for f in fields}) > 900  # of some 1 200 draws
+    assert all(len({f.name for f in r.table_fields}) == len(r.table_fields) for r in rows)
+    pairs = C.corrupt_items(ids, ("DefJoinTable1",), vocab=vocab).select("clean_token", "corrupt_token").collect()
+    assert pairs and all(r.clean_token != r.corrupt_token and r.corrupt_token.startswith("table_") for r in pairs)
+
+
+def test_other_entry_is_even(spark):
+    items = spark.range(6000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 2 == 0, "b").alias("used"))
+    rows = C.other_entry(items, "other", ["a", "b", "a", "c", "d"], F.col("used"), 7, "s").groupBy("used", "other").count().collect()
+    found = {(r.used, r.other): r["count"] for r in rows}
+    assert set(found) == {("b", w) for w in "acd"} | {(None, w) for w in "abcd"}
+    assert all(abs(n - 3000 / (3 if used else 4)) < 120 for (used, _), n in found.items())
+
+
+def test_places_of_tokens(spark):
+    texts = ["a b a , a b", "", "x", None, "a " * 3000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = {r.k: r.p for r in rows.select("k", K.places(K.word_tokens(F.col("t"))).alias("p")).collect()}
+    assert found == {0: {"a": [0, 2, 4], "b": [1, 5], ",": [3]}, 1: {}, 2: {"x": [0]}, 3: {}, 4: {"a": list(range(3000))}}
+
+
+def test_positions_of_stored_pairs_are_those_of_new_ones(spark):
+    ids = spark.range(60).withColumnRenamed("id", "item_id")
+    names = ("feature_name", "item_id", "prompt_token_index", "answer_token_index", "prompt_length")
+    new = C.corrupt_positions(ids).select(*names)
+    kept = C.with_token_positions(stored(C.corrupt_items(ids))).select(*names)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, kept.collect()))
+
+
 def test_rotation_with_gaps(spark):
     rows = [(0, 1, "a"), (0, 2, "b"), (1, 0, "c"), (1, 2, "d"), (1, 7, None), (2, 5, "e")]
     df = spark.createDataFrame(rows, "batch int, place int, value string")

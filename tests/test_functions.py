@@ -55,8 +55,10 @@ def test_draw_values(spark):
 @pytest.mark.parametrize("n", [1, 2, 12, 18, 311])
 def test_sampled_indices_differ(spark, n):
     take = min(n, 12)
-    picked = D.sample_indices(n, F.lit(take), 3, F.col("id"), "s")
-    for row in spark.range(200).select(picked.alias("v")).collect():
+    start, step = D.sample_start(n, 3, "id", "s")
+    drawn = spark.range(200).select(start.alias("start"), step.alias("step"))
+    picked = D.sample_indices(n, F.lit(take), F.col("start"), F.col("step"))
+    for row in drawn.select(picked.alias("v")).collect():
         assert len(set(row.v)) == take and all(0 <= i < n for i in row.v)
 
 
