@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from promptloom.functions.draws import chance
+from promptloom.operators.ranges import numbered
 from promptloom.session import stored
 
+#: Rounds of Newton's method; features that it is used up to; the largest change of a weight.
+NEWTON_ROUNDS, NEWTON_FEATURES, LONGEST_STEP = 12, 200, 4.0
+
 
 def labelled(correct: DataFrame, errors: DataFrame, text: str, prompt: str = "prompt") -> DataFrame:
     """Correct rows with label 1 and error rows with label 0, the text as ``prompt``."""
@@ -23,22 +28,9 @@ def labelled(correct: DataFrame, errors: DataFrame, text: str, prompt: str = "pr
 
 
 def feature_index(rows: DataFrame, representation: str = "representation") -> DataFrame:
-    """(feature, idx): all feature keys, sorted, numbered from 0.
-
-    Keys are dealt out by ranges; each range is numbered in a task of its own and moved by
-    the number of keys in the ranges before it.
-    """
+    """(feature, idx): all feature keys, sorted, numbered from 0 range by range."""
     keys = rows.select(F.explode(F.map_keys(representation)).alias("feature")).distinct()
-    keys = stored(keys.repartitionByRange("feature").withColumn("_range", F.spark_partition_id()))
-    # One row per range, so one task can add them up and a broadcast can carry them.
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    moved = keys.groupBy("_range").agg(F.count("*").alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_moved")
-    )
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("feature"))
-    return keys.withColumn("_place", place).join(F.broadcast(moved), "_range").select(
-        "feature", (F.col("_moved") + F.col("_place") - 1).cast("int").alias("idx")
-    )
+    return numbered(keys, ["feature"], "idx").select("feature", F.col("idx").cast("int").alias("idx"))
 
 
 # Fixed value: how a sparse vector is stored (type 0).
@@ -89,11 +81,62 @@ def accuracy(predictions: DataFrame, label: str = "label") -> DataFrame:
     return predictions.agg(F.avg(hit).alias("accuracy"), F.count("*").alias("rows"))
 
 
+@dataclass
+class NewtonModel:
+    """Weights of a logistic probe for labels 0 and 1, and its constant."""
+
+    weights: list[float]
+    intercept: float
+
+    def margin(self, features: str = "features") -> Column:
+        """Of a sparse vector, the logarithm of the odds of label 1."""
+        weights = F.array(*[F.lit(w) for w in self.weights]) if self.weights else F.array(F.lit(0.0))
+        pairs = F.arrays_zip(F.col(features)["indices"].alias("i"), F.col(features)["values"].alias("x"))
+        return F.aggregate(pairs, F.lit(self.intercept), lambda total, p: total + p["x"] * F.get(weights, p["i"]))
+
+
+def newton_probe(
+    rows: DataFrame, size: int, label: str = "label", rounds: int = NEWTON_ROUNDS, ridge: float = 1.0
+) -> NewtonModel:
+    """Logistic regression for labels 0 and 1 by a fixed number of Newton rounds.
+
+    ``rows`` hold sparse vectors as structs (:func:`feature_entries`). A round is one aggregation:
+    the slope and the weighted Gram matrix, summed in each task before the shuffle, come to the
+    driver ((size + 1) * (size + 4) / 2 numbers) and give the next step, at most ``LONGEST_STEP``
+    in any weight. The penalty is half of ``ridge`` times the squared weights, the constant is free.
+    """
+    model = NewtonModel([0.0] * size, 0.0)
+    zipped = F.arrays_zip(F.col("features")["indices"].alias("i"), F.col("features")["values"].alias("x"))
+    constant = F.array(F.struct(F.lit(size).alias("i"), F.lit(1.0).alias("x")))
+    penalty = np.diag([ridge] * size + [0.0])
+    for _ in range(rounds):
+        chance_of_1 = 1 / (1 + F.exp(-F.least(F.greatest(model.margin(), F.lit(-30.0)), F.lit(30.0))))
+        slopes = rows.select(F.concat(zipped, constant).alias("f"), F.col(label).cast("double").alias("y"), chance_of_1.alias("p"))
+        slope = F.struct(F.lit(-1).alias("i"), (F.col("p") - F.col("y")).alias("x"))
+        curve = F.transform("f", lambda e: F.struct(e["i"].alias("i"), (e["x"] * F.col("p") * (1 - F.col("p"))).alias("x")))
+        entry = "array<struct<i:int,x:double>>"
+        others = F.concat(F.array(slope).cast(entry), curve.cast(entry))
+        one = slopes.select(F.explode("f").alias("e"), others.alias("others"))
+        both = one.select(F.col("e.i").alias("i"), F.col("e.x").alias("x"), F.inline("others").alias("j", "z"))
+        sums = both.where("j <= i").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("z")).alias("s")).collect()
+        gram, gradient = np.zeros((size + 1, size + 1)), np.zeros(size + 1)
+        for i, j, s in sorted((r["i"], r["j"], r["s"]) for r in sums):
+            if j < 0:
+                gradient[i] = s
+            else:
+                gram[i, j] = gram[j, i] = s
+        weights = np.array([*model.weights, model.intercept])
+        step = np.linalg.solve(gram + penalty + 1e-9 * np.eye(size + 1), gradient + penalty @ weights)
+        step *= min(1.0, LONGEST_STEP / max(np.abs(step).max(), 1e-300))
+        model = NewtonModel([float(w) for w in (weights - step)[:-1]], float((weights - step)[-1]))
+    return model
+
+
 @dataclass
 class Probe:
     """A trained probe with its test predictions and strongest features."""
 
-    model: LogisticRegressionModel
+    model: NewtonModel | LogisticRegressionModel
     predictions: DataFrame
     accuracy: DataFrame
     top_features: DataFrame
@@ -106,19 +149,30 @@ def train_probe(
     """Logistic regression on feature maps: accuracy on a seeded fifth of the rows, and
     the features with the largest absolute weight (mean over classes when there are
     more than two). The penalty matches one unit of squared weights against the summed
-    loss, so it shrinks with the number of training rows."""
+    loss, so it shrinks with the number of training rows.
+
+    Labels 0 and 1 with at most ``NEWTON_FEATURES`` features are fitted by Newton's method, which
+    any engine can repeat; more classes or features by MLlib's quasi-Newton method, to the
+    same optimum."""
     index = stored(feature_index(rows, representation))
     size = index.count()
     entries = feature_entries(rows, index, key, label, size, representation)
     table = stored(entries.withColumn("test", is_test(F.col(key), seed, test)))
-    data = as_vectors(table, key, label, "features", "test")
-    train = data.where("NOT test")
-    model = LogisticRegression(
-        labelCol=label, maxIter=max_iter, regParam=1.0 / max(train.count(), 1), standardization=False
-    ).fit(train)
-    predictions = model.transform(data.where("test")).select(key, label, "prediction")
-    # The weights of a model come to the driver in one piece; their ranking doesn't stay there.
-    weights = abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    labels = {r[0] for r in table.select(label).distinct().limit(3).collect()}
+    if size <= NEWTON_FEATURES and labels <= {0, 1}:
+        model = newton_probe(table.where("NOT test"), size, label)
+        hit = (model.margin() > 0).cast("double").alias("prediction")
+        predictions = table.where("test").select(key, label, hit)
+        weights = np.abs(model.weights)
+    else:
+        data = as_vectors(table, key, label, "features", "test")
+        train = data.where("NOT test")
+        model = LogisticRegression(
+            labelCol=label, maxIter=max_iter, regParam=1.0 / max(train.count(), 1), standardization=False
+        ).fit(train)
+        predictions = model.transform(data.where("test")).select(key, label, "prediction")
+        # The weights of a model come to the driver in one piece; their ranking doesn't stay there.
+        weights = abs(model.coefficientMatrix.toArray()).mean(axis=0)
     rows_of = [(i, float(w)) for i, w in enumerate(weights)]
     top = strongest(rows.sparkSession.createDataFrame(rows_of, "idx int, importance double"), top_k)
     top_features = top.join(index, "idx").select("feature", "importance")

@@ -6,12 +6,17 @@ map-side before they are shuffled; windows run on rows that are already one per
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptloom.functions.text import head_label, rename_node
 from promptloom.functions.vectors import norm, round_nested
+from promptloom.operators.ranges import next_in_circle, running_sum
 
 LOGIT_CLIP = 1e-6  # fixed value: probabilities are clipped by it before the logit
+ROUNDING = 1e-12  # sums of shares that differ by less are equal
 DROP_LIMIT = 0.5  # fixed value: probabilities below it count as a drop
 
 
@@ -197,26 +202,19 @@ def important_heads(heads: DataFrame, threshold: float, *by: str) -> DataFrame:
 
     A head contributes its magnitude above the group's smallest one. Heads are kept, by
     falling magnitude, until their cumulative share reaches the threshold; all are kept
-    when nothing contributes. One row per head and group comes in.
+    when nothing contributes. One row per head and group comes in. Running sums go over ranges
+    (``running_sum``), so a group may be larger than a task.
     """
-    group = Window.partitionBy(*by)
-    order = group.orderBy(F.desc("magnitude"), "head")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    share = F.coalesce(F.try_divide("_above", F.sum("_above").over(group)), F.lit(0.0))
-    return (
-        heads.withColumn("_above", F.col("magnitude") - F.min("magnitude").over(group))
-        .withColumn("contribution", share)
-        .withColumns(
-            {
-                "cumulative": F.sum("contribution").over(
-                    order.rowsBetween(Window.unboundedPreceding, 0)
-                ),
-                "_before": F.coalesce(F.sum("contribution").over(before), F.lit(0.0)),
-            }
-        )
-        .where(F.col("_before") < threshold)
-        .drop("_above", "_before")
+    sizes = heads.groupBy(*by).agg(
+        F.min("magnitude").alias("_least"), F.sum("magnitude").alias("_sum"), F.count("magnitude").alias("_n")
     )
+    named = sizes.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_least", "_sum", "_n")
+    matches = reduce(and_, [heads[c].eqNullSafe(named[f"_g{k}"]) for k, c in enumerate(by)], F.lit(True))
+    share = F.try_divide(F.col("magnitude") - F.col("_least"), F.col("_sum") - F.col("_n") * F.col("_least"))
+    shared = heads.join(named, matches).withColumn("contribution", F.coalesce(share, F.lit(0.0)))
+    shared = shared.select(*heads.columns, "contribution")
+    summed = running_sum(shared, by, [F.desc("magnitude"), F.col("head")], "contribution", "cumulative")
+    return summed.where(F.col("cumulative") - F.col("contribution") < threshold - ROUNDING)
 
 
 def stopping_point(
@@ -261,17 +259,10 @@ def sweep_curve(similarities: DataFrame) -> DataFrame:
 def rotated_partner(rows: DataFrame, batch: str, place: str, value: str) -> DataFrame:
     """Adds ``partner``: the value of the next row of the batch by place, the first for the last.
 
-    Places may have gaps and start anywhere; equal places go by value. One window: a batch is
-    what a model takes in at once, so it fits a task.
+    Places may have gaps and start anywhere; equal places go by value. Ranges hand over their
+    edges (``next_in_circle``), so a batch may be larger than a task.
     """
-    order = Window.partitionBy(batch).orderBy(place, value)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.struct(F.lead(value).over(order).alias("v"), F.lead(F.lit(1)).over(order).alias("there"))
-    return (
-        rows.withColumns({"_next": following, "_first": F.first(value).over(whole)})
-        .withColumn("partner", F.when(F.col("_next.there") == 1, F.col("_next.v")).otherwise(F.col("_first")))
-        .drop("_next", "_first")
-    )
+    return next_in_circle(rows, [batch], [place, value], value, "partner")
 
 
 def target_ranks(logits: DataFrame, target: Column, *by: str, salts: int = 32) -> DataFrame:

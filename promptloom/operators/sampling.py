@@ -11,9 +11,26 @@ def quick_rows(df: DataFrame, order_col: str, n: int = 100) -> DataFrame:
     return df.orderBy(order_col).limit(n)
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 7) -> DataFrame:
-    """All rows in an order drawn from the seed (a range-partitioned sort)."""
-    return df.withColumn("_h", digest(seed, F.col(key))).orderBy("_h", key).drop("_h")
+def shuffled(df: DataFrame, key: str, seed: int = 7, place: str | None = None) -> DataFrame:
+    """All rows in an order drawn from the seed (a range-partitioned sort); with ``place`` the rows
+    in no order, but each with its place in it, from 0.
+
+    Places need no global sort: the first four hex digits of the digest name a bucket, the rows
+    of a bucket are ranked in a task, and move by the sizes of the buckets before (65536 at most,
+    so one task can add them up and a broadcast can carry them).
+    """
+    hashed = df.withColumn("_h", digest(seed, key))
+    if place is None:
+        return hashed.orderBy("_h", key).drop("_h")
+    dealt = hashed.withColumn("_bucket", F.substring("_h", 1, 4))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    moved = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
+        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_moved")
+    )
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
+    return dealt.withColumn("_own", own).join(F.broadcast(moved), "_bucket").select(
+        *df.columns, (F.col("_moved") + F.col("_own") - 1).alias(place)
+    )
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:

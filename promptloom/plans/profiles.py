@@ -303,9 +303,13 @@ def quick_rows(spark, sf):
     return M.quick_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
-@check("seeded_shuffle", "T5", "SELECT p_partkey, p_name FROM part")
+@check(
+    "seeded_shuffle",
+    "T5",
+    "SELECT p_partkey, p_name, row_number() OVER (ORDER BY " + md5_of(7, "p_partkey") + ", p_partkey) - 1 AS place FROM part",
+)
 def seeded_shuffle(spark, sf):
-    return M.shuffled(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    return M.shuffled(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", place="place")
 
 
 @check(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import tokens as K
 from promptloom.functions.draws import sample_array, sort_keys
-from promptloom.operators import corrupt as C, generate as G, probe as B, rewrite as W, runs as R
+from promptloom.operators import corrupt as C, generate as G, probe as B, ranges as P, rewrite as W, runs as R, sampling as M
 from promptloom.session import stored
 from promptloom.sources import vocabulary as V
 
@@ -116,6 +116,86 @@ def test_rotation_with_gaps(spark):
     assert found == {(0, 1): "b", (0, 2): "a", (1, 0): "d", (1, 2): None, (1, 7): "c", (2, 5): "e"}
 
 
+@pytest.fixture
+def cut_finely(spark):
+    """Many more ranges than groups, so that groups lie across ranges."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def grouped_rows(seed=3, count=900):
+    draw = np.random.default_rng(seed)
+    group = draw.choice([0, 0, 0, 0, 0, 0, 1, 2, 3], count).tolist()  # one group holds most rows
+    group = [None if g == 2 else g for g in group] + [7, 8, 9]
+    value = [None if v < 0.05 else round(v, 3) for v in draw.uniform(size=count).tolist()] + [0.5, None, 0.25]
+    return [(g, int(k), v) for g, k, v in zip(group, draw.permutation(count + 3), value)]
+
+
+def test_group_larger_than_a_range(spark, cut_finely):
+    rows = grouped_rows()
+    df = spark.createDataFrame(rows, "batch int, place int, value double")
+    parts = P.ranged(df, "batch", "place").groupBy("_range").agg(F.count_distinct("batch").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(parts) > 15 and max(r["rows"] for r in parts) < 150  # no task sees the hot group
+    sums, circle = {}, {}
+    for g in {g for g, _, _ in rows}:
+        own = sorted((k, v) for b, k, v in rows if b == g)
+        total = 0.0
+        for (k, v), (_, after) in zip(own, own[1:] + own[:1]):
+            total += v or 0.0
+            sums[g, k], circle[g, k] = total, after
+    found = {(r.batch, r.place): r.total for r in P.running_sum(df.fillna(0.0, ["value"]), ["batch"], ["place"], "value", "total").collect()}
+    assert found.keys() == sums.keys() and all(v == pytest.approx(sums[k]) for k, v in found.items())
+    found = {(r.batch, r.place): r.partner for r in R.rotated_partner(df, "batch", "place", "value").collect()}
+    assert found == circle
+    assert P.running_sum(df.limit(0), ["batch"], ["place"], "value", "total").count() == 0
+    assert R.rotated_partner(df.limit(0), "batch", "place", "value").count() == 0
+
+
+def test_numbers_and_shuffle_places(spark, cut_finely):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"))
+    assert {(r.id, r.place) for r in P.numbered(df, ["id"]).collect()} == {(k, k) for k in range(1000)}
+    places = {r.id: r.place for r in M.shuffled(df, "id", 5, place="place").collect()}
+    in_order = [r.id for r in M.shuffled(df, "id", 5).collect()]
+    assert [places[i] for i in in_order] == list(range(1000))
+
+
+def test_important_heads_of_a_large_group(spark, cut_finely):
+    draw = np.random.default_rng(4)
+    rows = [(label, head, float(m)) for label in ("a", None) for head, m in enumerate(draw.integers(0, 50, 400))]
+    rows += [("flat", 0, 1.0), ("flat", 1, 1.0)]
+    df = spark.createDataFrame(rows, "label string, head int, magnitude double")
+    found = {(r.label, r.head) for r in R.important_heads(df, 0.6, "label").collect()}
+    kept = {("flat", 0), ("flat", 1)}
+    for label in ("a", None):
+        own = sorted((-m, h) for g, h, m in rows if g == label)
+        least, total, so_far = -own[-1][0], sum(-m for m, _ in own) + len(own) * own[-1][0], 0.0
+        for m, h in own:
+            if so_far / total < 0.6 - 1e-12:
+                kept.add((label, h))
+            so_far += -m - least
+    assert found == kept
+    alone = df.where("label = 'a'").drop("label")
+    assert {r.head for r in R.important_heads(alone, 0.6).collect()} == {h for g, h in kept if g == "a"}
+
+
+def test_newton_probe_is_at_the_optimum(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(400, 3)) * (draw.uniform(size=(400, 3)) < 0.7)
+    y = (draw.uniform(size=400) < 1 / (1 + np.exp(-(x @ [1.5, -1.0, 0.0] + 0.3)))).astype(int)
+    rows = [(k, int(v), {f"f{j}": float(e) for j, e in enumerate(r) if e}) for k, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, label int, representation map<string,double>")
+    index = B.feature_index(df)
+    model = B.newton_probe(stored(B.feature_entries(df, index, "id", "label", 3)), 3)
+    w = np.array([*model.weights, model.intercept])
+    full = np.hstack([x, np.ones((400, 1))])
+    slope = full.T @ (1 / (1 + np.exp(-full @ w)) - y) + w * [1, 1, 1, 0]
+    assert np.abs(slope).max() < 1e-6 and w[0] > 0.8 and w[1] < -0.4
+
+
 def test_more_than_a_thousand_elements(spark):
     n = 1200
     df = spark.range(3).withColumns(
