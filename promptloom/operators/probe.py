@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from promptloom.functions.draws import chance
 from promptloom.operators.ranges import numbered
-from promptloom.session import stored
+from promptloom.session import reread, stored
 
 #: Rounds of Newton's method; features that it is used up to; the largest change of a weight.
 NEWTON_ROUNDS, NEWTON_FEATURES, LONGEST_STEP = 12, 200, 4.0
@@ -63,7 +63,7 @@ def as_vectors(table: DataFrame, *columns: str) -> DataFrame:
     """A table of :func:`feature_entries` that was stored, its structs read as vectors."""
     kinds = {f.name: f.dataType for f in table.schema.fields}
     schema = StructType([StructField(c, VectorUDT() if c == "features" else kinds[c]) for c in columns])
-    return table.sparkSession.read.schema(schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    return reread(table, schema)
 
 
 def is_test(key: Column, seed: int, share: float) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,13 +12,33 @@ from promptloom.operators.dataset import checked_set
 from promptloom.plans.base import ITEM_OPTIONS, check, items, order_ids, r6
 from promptloom.plans.oracle.items import items_ctes
 from promptloom.plans.oracle.scores import score_ctes
+from promptloom.session import delete_on_exit, shared_folder
+from promptloom.sources.corpus import write_bucketed
 
 SYN = {"syn_table": True, "syn_field": True}
 ALL_KINDS = (*SC.KINDS, "noise_before", "empty")
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_items(spark, sf, csn):
+    """The items of a set, made once a session and stored by buckets of their id."""
+    app = spark.sparkContext.applicationId
+    if _STORED and next(iter(_STORED))[0] != app:
+        _STORED.clear()
+    if (app, sf, csn) not in _STORED:
+        path = f"{shared_folder(spark)}/items-{app}-{csn}-{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        kept = items(spark, sf, csn).select(*SC.ITEM_INPUT)
+        _STORED[app, sf, csn] = write_bucketed(kept, path, "item_id", buckets)
+        delete_on_exit(spark, path)
+    return _STORED[app, sf, csn]
+
+
 def scored(spark, sf, csn, kinds=ALL_KINDS):
-    df = items(spark, sf, csn)
+    """Scores of predictions that stand in a table of their own, joined to stored items."""
+    df = stored_items(spark, sf, csn)
     return SC.score_predictions(df, SC.perturbed_predictions(df, kinds))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from promptloom.sources import schemas as S
@@ -107,6 +109,26 @@ def version_of(spark: SparkSession, path: str) -> list:
     return [path, status.getModificationTime(), files.getContentSummary(place).getLength()]
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _publish(spark: SparkSession, built: str, path: str) -> bool:
+    """Rename a finished folder to its place, in one step; False if another one stands there."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        context = fs.FileContext.getFileContext(jvm.java.net.URI.create(_files(spark, path)[1].getUri().toString()))
+        context.rename(fs.Path(built), fs.Path(path), options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName() or _files(spark, path)[1].exists(fs.Path(path)):
+            return False
+        raise
+    return True
+
+
 def cached_result(
     spark: SparkSession, folder: str, name: str, arguments: dict, build: Callable[[], DataFrame],
     inputs: tuple[str, ...] = (),
@@ -114,12 +136,53 @@ def cached_result(
     """The stored result of ``name`` with these arguments, built and stored when missing.
 
     The folder must be shared by all executors; the key is a hash of the arguments and of
-    the versions of the ``inputs`` (paths), so changed inputs are computed anew.
+    the versions of the ``inputs`` (paths), so changed inputs are computed anew. A result is
+    built beside its place and renamed to it when it is whole: readers never see a part of one,
+    and of several builders at the same time the first one's result stands, the others use it.
+    Using a result renews its age (see :func:`evict`).
     """
     versions = [version_of(spark, path) for path in inputs]
     text = json.dumps([name, arguments, versions], sort_keys=True, default=str)
     path = f"{folder}/{name}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
+    place, files = _files(spark, path)
+    if not files.exists(place):
+        building = f"{folder}/_building-{uuid.uuid4().hex}"
+        build().write.parquet(building)
+        if not _publish(spark, building, path):
+            files.delete(_files(spark, building)[0], True)
+    now = spark._jvm.java.lang.System.currentTimeMillis()
+    files.setTimes(place, now, -1)
     return spark.read.parquet(path)
+
+
+def evict(spark: SparkSession, folder: str, seconds: float) -> list[str]:
+    """Delete the cached results, and builds left by lost drivers, that weren't used for so long;
+    gives their names. Choose more than the longest job takes: a plan made before reads its files
+    later."""
+    place, files = _files(spark, folder)
+    if not files.exists(place):
+        return []
+    oldest = spark._jvm.java.lang.System.currentTimeMillis() - seconds * 1000
+    gone = [s.getPath() for s in files.listStatus(place) if s.isDirectory() and s.getModificationTime() < oldest]
+    for path in gone:
+        files.delete(path, True)
+    return sorted(path.getName() for path in gone)
+
+
+# -------------------------------------------------------------------- bucketed tables
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a table by buckets of its key, sorted in each: tables with as many buckets of the same
+    key join without a shuffle or sort of either, however often. Gives the stored table."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int, schema: str) -> DataFrame:
+    """A table of :func:`write_bucketed`, also one of an earlier session; ``schema`` as DDL."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+        f"INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
