@@ -93,3 +93,23 @@ def test_redacted_rows_keep_their_columns(spark):
     assert done.schema.simpleString() == docs.schema.simpleString()
     rows = rows_of(done, "doc_id", "text", "n_chars", "score")
     assert rows == [(1, "write to [EMAIL] now", 20, 0.5), (2, None, None, 0.5), (3, "clean", 5, 0.5), (3, "clean", 5, 0.5)]
+
+
+def test_account_codes_end_with_their_country_s_length():
+    for text in (
+        "DE89 3704 0044 0532 0130 00 is my account",
+        "Account DE89 3704 0044 0532 0130 00 IBAN",
+        "GB82WEST12345698765432 OK",
+        "IBAN: DE89370400440532013000 BIC COBADEFF",
+        "pay AB12 DE89 3704 0044 0532 0130 00 7 EUR",  # a false beginning before it, digits behind
+        "NO93 8601 1117 947",
+    ):
+        (start, end), = pii.account_codes(text)
+        assert pii.mod_97(text[start:end].replace(" ", "")) and text[start:end][:2] in ("DE", "GB", "NO")
+        assert len(text[start:end].replace(" ", "")) == pii.IBAN_LENGTHS[text[start : start + 2]]
+        assert [s for s in pii.find("account " + text) if s.kind == "iban"]
+    for text in ("DE89 3704 0044 0532 0130 01", "DE89370400440532013000X", "xDE89370400440532013000", "DE89 3704"):
+        assert not list(pii.account_codes(text))
+    code = "ZZ" + str(98 - int("0" * 16 + "353500") % 97).zfill(2) + "0" * 16  # no known country
+    assert list(pii.account_codes(f"{code} ABC")) == [(0, 20)]
+    assert not list(pii.account_codes("AB12 " * 20000))  # read in pieces of bounded size
