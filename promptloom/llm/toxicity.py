@@ -32,6 +32,8 @@ LEAST_TEXTS = 3
 SHINGLE, SKETCHES = 5, 4
 #: Patterns of one expression of the filter before the automata.
 FILTER_PATTERNS = 200
+#: Letters of one expression (one pattern at least), and letters before a part that are counted.
+FILTER_LETTERS, FILTER_PLACE = 8000, 40
 #: Letters of a beginning of a word that can be a term.
 STEM_LETTERS = range(3, 9)
 #: Words on either side of a hit that make its context.
@@ -75,12 +77,21 @@ class Lexicon:
             k = allowed_edits(term)
             cuts = [round(j * len(term) / (k + 1)) for j in range(k + 2)]
             parts = [term[a:b] for a, b in zip(cuts, cuts[1:])]
-            # No more than k letters are too many or too few before a part; bytes are counted.
-            patterns |= {f"^.{{{max(0, at - k)},{4 * (at + k)}}}{re.escape(part)}" for at, part in zip(cuts[1:], parts[1:-1])}
+            # No more than k letters are too many or too few before a part; bytes are counted. Far from
+            # the beginning a part may stand anywhere: the expression would be too large.
+            for at, part in zip(cuts[1:], parts[1:-1]):
+                near = f"^.{{{max(0, at - k)},{4 * (at + k)}}}" if at + k <= FILTER_PLACE else ""
+                patterns.add(near + re.escape(part))
             patterns |= {f"^{re.escape(parts[0])}", f"{re.escape(parts[-1])}$"}
-        ordered = sorted(patterns)
         # In pieces, as one expression may be only so large.
-        self.filters = ["|".join(ordered[k : k + FILTER_PATTERNS]) for k in range(0, len(ordered), FILTER_PATTERNS)]
+        pieces, letters = [[]], 0
+        for pattern in sorted(patterns):
+            if pieces[-1] and (len(pieces[-1]) == FILTER_PATTERNS or letters + len(pattern) > FILTER_LETTERS):
+                pieces.append([])
+                letters = 0
+            pieces[-1].append(pattern)
+            letters += len(pattern)
+        self.filters = ["|".join(piece) for piece in pieces if piece]
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the term nearest to the word, of equal ones the first; None if all are

@@ -172,3 +172,24 @@ def test_query_on_held_out_rows(spark):
     toxic, clean = [s for s, t in held if t], [s for s, t in held if not t]
     better = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
     assert better > 0.75 and np.mean([s >= 0.3 for s in clean]) < 0.05
+
+
+def test_very_long_terms():
+    draw = random.Random(3)
+    terms = ["".join(draw.choices("abcdefgh", k=n)) for n in (5, 9, 60, 300, 800, 900, 1500)]
+    terms += ["".join(draw.choices("ijklm", k=800)) for _ in range(60)]
+    lexicon = toxicity.Lexicon(terms)
+    for number, term in enumerate(terms):
+        at = len(term) // 2
+        for word in (term, term[:at] + "z" + term[at + 1 :], "z" + term, term[:-1]):
+            found = lexicon.hits(toxicity.Words(pa.array([f"so {word} there"]), toxicity.PUNCTUATION, lower=True))
+            assert [h[1] for h in found] == [number], len(term)
+    assert not lexicon.hits(toxicity.Words(pa.array(["q" * 5000 + " " + "a" * 800]), toxicity.PUNCTUATION, lower=True))
+
+
+def test_toxic_texts_that_share_a_very_long_word(spark):
+    run = "".join(random.Random(6).choices("abcdefgh", k=800))
+    rows = [(k, f"some plain words {k} of text" + (f" with {run}" if k % 10 == 0 else "")) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    found = toxicity.report(table(spark, rows), labels).collect()
+    assert len(found) == 400 and all(r.predicted == (r.doc_id % 10 == 0) for r in found)
