@@ -9,6 +9,9 @@ import numpy as np
 
 #: Codes of quantised probabilities for each factor of ten.
 CODES_PER_TEN = 4096
+#: Values of a block; blocks that are read at once, at most; values that are packed at once; blocks
+#: that nothing asks for between two that are read together.
+BLOCK, SPAN, PACKED, GAP = 64, 2048, 1 << 17, 8
 _ZERO = 65535
 
 
@@ -27,12 +30,15 @@ def probability(codes: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A sequence that never falls, in about ``2 + log2(largest / count)`` bits for each value.
 
-    The low bits of each value stand packed side by side. The high bits are a bit vector: value
-    ``i`` with high part ``h`` sets bit ``h + i``.
+    The low bits of each value stand packed side by side in 64-bit words. The high bits are a bit
+    vector: value ``i`` with high part ``h`` sets bit ``h + i``. Every ``BLOCK``-th value is kept as
+    it is, with the place of its bit, so a search goes to one block and reads no other.
     """
 
-    def __init__(self, count: int, low: int, lows: np.ndarray, highs: np.ndarray):
-        self.count, self.low, self.lows, self.highs = count, low, lows, highs
+    PARTS = ("lows", "highs", "samples", "places")
+
+    def __init__(self, count: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray, places: np.ndarray):
+        self.count, self.low, self.lows, self.highs, self.samples, self.places = count, low, lows, highs, samples, places
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -40,26 +46,103 @@ class EliasFano:
         n = len(values)
         most = int(values[-1]) if n else 0
         low = max(0, (most // max(n, 1)).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-        highs = np.zeros((most >> low) + n + 1, np.uint8)
-        highs[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low, np.packbits(bits.ravel()), np.packbits(highs))
+        lows = np.zeros((n * low + 63) // 64 + 1, np.uint64)
+        highs = np.zeros(((most >> low) + n) // 8 + 1, np.uint8)
+        places = np.empty(-(-n // BLOCK), np.int64)
+        for at in range(0, n, PACKED):  # some values at a time
+            part, index = values[at : at + PACKED], np.arange(at, min(at + PACKED, n))
+            bit = (part >> np.uint64(low)).astype(np.int64) + index
+            places[at // BLOCK : -(-(at + len(part)) // BLOCK)] = bit[::BLOCK]
+            _set_bits(highs, bit)
+            if low:
+                _put(lows, index * low, part & np.uint64((1 << low) - 1), low)
+        return cls(n, low, lows, highs, values[::BLOCK].copy(), places)
+
+    def _span(self, lo: int, hi: int) -> np.ndarray:
+        """The values of blocks ``lo`` to ``hi``."""
+        first, last = lo * BLOCK, min(hi * BLOCK, self.count)
+        start = int(self.places[lo]) // 8
+        end = int(self.places[hi]) // 8 + 1 if hi < len(self.places) else len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[start:end], bitorder="little")) + start * 8
+        ones = ones[np.searchsorted(ones, self.places[lo]) :][: last - first]
+        index = np.arange(first, last)
+        found = (ones - index).astype(np.uint64) << np.uint64(self.low)
+        return found | _get(self.lows, index * self.low, self.low) if self.low else found
+
+    def _blocks(self, wanted: np.ndarray):
+        """(lo, hi, values) of stretches of blocks that hold all ``wanted`` (sorted) blocks, each of
+        bounded size; blocks that nothing asks for are read only in small gaps."""
+        if not len(wanted):
+            return
+        breaks = np.flatnonzero(np.diff(wanted) > GAP) + 1
+        for part in np.split(wanted, breaks):
+            for lo in range(int(part[0]), int(part[-1]) + 1, SPAN):
+                hi = min(lo + SPAN, int(part[-1]) + 1)
+                yield lo, hi, self._span(lo, hi)
 
     def values(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.highs))[: self.count] - np.arange(self.count)
-        found = high.astype(np.uint64) << np.uint64(self.low)
-        bits = np.unpackbits(self.lows)[: self.count * self.low].reshape(self.count, self.low)
-        for k in range(self.low):
-            found |= bits[:, k].astype(np.uint64) << np.uint64(k)
+        """The whole sequence as it was."""
+        parts = [v for _, _, v in self._blocks(np.arange(len(self.samples)))]
+        return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+    def at(self, index: np.ndarray) -> np.ndarray:
+        """The values at some places."""
+        found = np.empty(len(index), np.uint64)
+        order = np.argsort(index, kind="stable")
+        ordered = index[order]
+        for lo, hi, own in self._blocks(np.unique(ordered // BLOCK)):
+            a, b = np.searchsorted(ordered, [lo * BLOCK, hi * BLOCK])
+            found[order[a:b]] = own[ordered[a:b] - lo * BLOCK]
         return found
 
     def successors(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it is equal) of the first value that isn't below each wanted one."""
-        own = self.values()
-        at = np.searchsorted(own, wanted.astype(np.uint64))
-        if not self.count:
-            return at, np.zeros(len(wanted), bool)
-        return at, own[np.minimum(at, self.count - 1)] == wanted
+        wanted = np.asarray(wanted, np.uint64)
+        found, equal = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if not self.count or not len(wanted):
+            return found, equal
+        order = np.arange(len(wanted)) if (wanted[1:] >= wanted[:-1]).all() else np.argsort(wanted, kind="stable")
+        ordered = wanted[order]
+        # The block before the first sample that isn't below: its values, or that sample, are the answer.
+        block = np.maximum(np.searchsorted(self.samples, ordered) - 1, 0)
+        for lo, hi, own in self._blocks(np.unique(block)):
+            a, b = np.searchsorted(block, [lo, hi])
+            at = np.searchsorted(own, ordered[a:b])
+            inside = at < len(own)
+            found[order[a:b]] = at + lo * BLOCK
+            equal[order[a:b]] = inside & (own[np.minimum(at, len(own) - 1)] == ordered[a:b])
+            beyond = np.flatnonzero(~inside)
+            if len(beyond) and hi < len(self.samples):
+                equal[order[a:b][beyond]] = self.samples[hi] == ordered[a:b][beyond]
+        return found, equal
+
+
+def _starts(words: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(words, prepend=-1))
+
+
+def _set_bits(target: np.ndarray, bits: np.ndarray) -> None:
+    """Set bits at rising places."""
+    word = bits >> 3
+    starts = _starts(word)
+    target[word[starts]] |= np.bitwise_or.reduceat((1 << (bits & 7)).astype(np.uint8), starts)
+
+
+def _put(target: np.ndarray, bit: np.ndarray, values: np.ndarray, width: int) -> None:
+    """Write values of ``width`` bits, one behind the other, from the given bits on."""
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    starts = _starts(word)
+    target[word[starts]] |= np.bitwise_or.reduceat(values << shift, starts)
+    over = np.flatnonzero((bit & 63) + width > 64)  # at most one value reaches over from a word
+    target[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+
+
+def _get(source: np.ndarray, bit: np.ndarray, width: int) -> np.ndarray:
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    found = source[word] >> shift
+    over = np.flatnonzero((bit & 63) + width > 64)
+    found[over] |= source[word[over] + 1] << (np.uint64(64) - shift[over])
+    return found & np.uint64((1 << width) - 1)
 
 
 class Trie:
@@ -115,7 +198,7 @@ class Trie:
         self._map(levels, parts)
 
     def _map(self, levels: dict[str, EliasFano], parts: dict[str, np.ndarray]) -> None:
-        arrays = {f"{k}.{p}": getattr(v, p) for k, v in levels.items() for p in ("lows", "highs")} | parts
+        arrays = {f"{k}.{p}": getattr(v, p) for k, v in levels.items() for p in EliasFano.PARTS} | parts
         with tempfile.TemporaryFile() as file:
             places, at = {}, 0
             for name, array in arrays.items():
@@ -128,7 +211,7 @@ class Trie:
             file.flush()
             self.memory = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         view = {n: np.frombuffer(self.memory, a.dtype, len(a), places[n]) for n, a in arrays.items()}
-        self.levels = {k: EliasFano(v.count, v.low, view[f"{k}.lows"], view[f"{k}.highs"]) for k, v in levels.items()}
+        self.levels = {k: EliasFano(v.count, v.low, *(view[f"{k}.{p}"] for p in EliasFano.PARTS)) for k, v in levels.items()}
         self.parts = {n: view[n] for n in parts}
 
     def query(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray, apart: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +223,7 @@ class Trie:
         wide = np.uint64(32)
         word, known = self.levels["words"].successors(middle)
         word = np.where(known, word, 0)
-        start = self.levels["to_successors"].values().astype(np.int64)[word]
+        start = self.levels["to_successors"].at(word).astype(np.int64)
         pair, paired = self.levels["successors"].successors(word.astype(np.uint64) << wide | last.astype(np.uint64))
         paired &= known
         here, own = paired & ~np.asarray(apart), known & ~np.asarray(apart)

@@ -125,7 +125,24 @@ def test_elias_fano():
         at, equal = kept.successors(wanted)
         assert (at == np.searchsorted(values, wanted)).all() and (equal == np.isin(wanted, values)).all()
         if n >= 1000:
-            assert 8 * (len(kept.lows) + len(kept.highs)) <= n * (3 + max(1, math.log2(max(2, most / n)))) + 64
+            assert 8 * (kept.lows.nbytes + kept.highs.nbytes) <= n * (3 + max(1, math.log2(max(2, most / n)))) + 128
+            assert kept.samples.nbytes + kept.places.nbytes <= n / 4 + 16
+        some = draw.integers(0, n, 20) if n else np.zeros(0, np.int64)
+        assert (kept.at(some) == values[some]).all()
+
+
+def test_a_search_reads_its_block_only(monkeypatch):
+    draw = np.random.default_rng(4)
+    values = np.sort(draw.integers(0, 2**60, 300_000, dtype=np.uint64))
+    kept, read = EliasFano.of(values), []
+    plain = EliasFano._span
+    monkeypatch.setattr(EliasFano, "_span", lambda self, lo, hi: read.append(hi - lo) or plain(self, lo, hi))
+    wanted = values[[5, 100_000, 299_999]]
+    assert kept.successors(wanted)[0].tolist() == [5, 100_000, 299_999]
+    assert sum(read) <= 2 * len(wanted)  # blocks of 64 values
+    read.clear()
+    assert (kept.successors(values)[0] == np.searchsorted(values, values)).all()
+    assert max(read) <= 2048 and sum(read) <= len(values) / 64 + 1  # all blocks once, a few at a time
 
 
 def test_probabilities_sum_to_one():
