@@ -12,6 +12,7 @@ rows is many groups. Equal vectors of a group are ranked once and share their sc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +27,25 @@ GRAPH_EDGES = 10
 #: Vectors of a group that one task ranks at once.
 GROUP_ROWS = 8_000
 #: Share of the sample's true neighbours that the probed parts must hold.
-WANTED_RECALL = 0.96
+WANTED_RECALL = 0.93
+#: Parts, at most. Beyond some ten million rows a part, and with it a query's work, grows with the
+#: rows; more parts need a larger sample (eight rows a part).
+MOST_PARTS = 512
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, embedding) without ids or vectors that are null, zero or hold null or non-finite
-    components, and without vectors of another length than most have (of equal counts the longer)."""
+    components."""
     vector = F.col("embedding")
     fine = embeddings.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fine = fine.where(~bad & F.exists(vector, lambda x: x != 0))
-    sizes = fine.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return fine.where(F.size(vector) == (sizes["size"] if sizes else 0))
+    return fine.where(~bad & F.exists(vector, lambda x: x != 0))
+
+
+def usual_length(vectors: DataFrame) -> int:
+    """The length that most vectors have, of equal counts the longer; 0 without any."""
+    sizes = vectors.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return sizes["size"] if sizes else 0
 
 
 def neighbour_graph(vectors: np.ndarray, edges: int) -> np.ndarray:
@@ -46,7 +54,10 @@ def neighbour_graph(vectors: np.ndarray, edges: int) -> np.ndarray:
     for at in range(0, len(vectors), 1024):
         scores = vectors[at : at + 1024] @ vectors.T
         scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
-        found[at : at + 1024] = np.argsort(-scores, axis=1, kind="stable")[:, : found.shape[1]]
+        if found.shape[1]:
+            near = np.argpartition(-scores, found.shape[1] - 1, axis=1)[:, : found.shape[1]]
+            own = np.take_along_axis(scores, near, axis=1)
+            found[at : at + 1024] = np.take_along_axis(near, np.argsort(-own, axis=1, kind="stable"), axis=1)
     return found
 
 
@@ -201,9 +212,9 @@ def rank_group(queries: pd.DataFrame, vectors: pd.DataFrame, top: int) -> pd.Dat
     )[columns]
 
 
-def parts_for(rows: int) -> int:
-    """A power of two that grows as the square root of the rows, 8 at least, 512 at most."""
-    return 1 << min(9, max(3, int(np.sqrt(max(rows, 1)) / 16).bit_length()))
+def parts_for(rows: int, most: int = MOST_PARTS) -> int:
+    """A power of two near two thirds of the square root of the rows, 8 at least."""
+    return min(most, max(8, 1 << max(0, round(math.log2(max(rows, 1) ** 0.5 * 2 / 3)))))
 
 
 def search(embeddings: DataFrame, is_query: str, top: int = 20, group_rows: int = GROUP_ROWS, sample_rows: int = SAMPLE_ROWS,
@@ -213,12 +224,13 @@ def search(embeddings: DataFrame, is_query: str, top: int = 20, group_rows: int
 
     Rows that ``valid_vectors`` leaves out take no part. Ties go to the smaller vec_id. Ids are
     meant to be unique: rows with the same id are one vector (the first as an array). An empty table gives an empty
-    result; other columns aren't read.
+    result; other columns aren't read. Vectors are compared with those of their own length: the usual
+    length by the index, of any other length all (a part for each length, whose number is below 0).
     """
     vectors = valid_vectors(embeddings).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = vectors.count()
-    parts = parts_for(rows)
-    router = learn(vectors, parts, top, sample_rows, wanted)
+    parts, length = parts_for(rows), usual_length(vectors)
+    router = learn(vectors.where(F.size("embedding") == length), parts, top, sample_rows, wanted)
     shared = embeddings.sparkSession.sparkContext.broadcast(router)
     probes = router.probes
 
@@ -226,8 +238,13 @@ def search(embeddings: DataFrame, is_query: str, top: int = 20, group_rows: int
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
-                    ranked = shared.value.rank(np.array(frame["embedding"].tolist(), np.float64))[:, :count]
-                    frame["parts"] = ranked.astype("int32").tolist()
+                    sizes = frame["embedding"].map(len).to_numpy()
+                    routes, usual = [[-int(n)] for n in sizes], np.flatnonzero(sizes == length)
+                    if len(usual):
+                        ranked = shared.value.rank(np.array(frame["embedding"].iloc[usual].tolist(), np.float64))[:, :count]
+                        for at, own in zip(usual.tolist(), ranked.astype("int32").tolist()):
+                            routes[at] = own
+                    frame["parts"] = routes
                     yield frame[["vec_id", "embedding", "parts"]]
 
         return run

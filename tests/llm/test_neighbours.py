@@ -23,7 +23,7 @@ def exact(rows, top=20):
     found = {}
     for q, v in own:
         if q % 20 == 0:
-            near = sorted(((-float(np.add.reduce(x * v)), i) for i, x in own if i != q))[:top]
+            near = sorted(((-float(np.add.reduce(x * v)), i) for i, x in own if i != q and len(x) == len(v)))[:top]
             found[q] = [(i, -s) for s, i in near]
     return found
 
@@ -47,10 +47,16 @@ def random_rows(n, size, seed=0, groups=0):
 def test_everything_probed_is_exact(spark):
     rows = random_rows(300, 6)
     rows += [(1000 + i, rows[0][1]) for i in range(50)]  # ties
-    rows += [(2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2060, [float("nan")] * 6), (2080, [float("inf")] * 6), (None, rows[1][1]), (2100, [1.0])]
+    rows += [(2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2060, [float("nan")] * 6), (2080, [float("inf")] * 6), (None, rows[1][1])]
+    rows += [(2100 + i, [1.0, float(i)]) for i in range(70)] + [(2200, [1.0])]  # other lengths, each among its own
     ours = by_query(neighbours.search(vectors(spark, rows), QUERY, group_rows=60, wanted=2.0))
-    want = exact([r for r in rows if r[0] != 2100])
-    assert ours == {k: v for k, v in want.items()}
+    want = exact(rows)
+    assert ours == {k: v for k, v in want.items() if v}
+    assert [i for i, _ in ours[2100]][:1] == [2101] and 2200 not in ours  # no other of its length
+
+
+def test_parts_grow_with_the_square_root_of_the_rows():
+    assert [neighbours.parts_for(n) for n in (0, 100, 2_000, 10_000, 160_000, 10**12)] == [8, 8, 32, 64, 256, 512]
 
 
 def test_few_rows(spark):
