@@ -7,25 +7,31 @@ occurrences. Words that no item has can't be part of a match, so they end a stre
 out nothing.
 
 The benchmark is the query set. Its text is measured first; blocks of at most ``BLOCK_BYTES`` on
-average go to the tasks one after another, each in a pass of its own over the rows. No pass
-shuffles: a document's result is made where the document is read.
+average go to the tasks one after another, each in a pass of its own over the rows. A benchmark of
+one block needs no shuffle: a document's result is made where the document is read. A batch is
+searched only for windows whose runs of three words it may hold, so that a pass costs what the
+batch shares with the block, not what the block holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from promptloom.llm.words import PUNCTUATION, Words, list_array, ragged, slices
+from promptloom.llm.words import PUNCTUATION, Words, list_array, ragged, sequence_hashes, slices
+from promptloom.session import stored
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
 #: Benchmark text that is searched in one pass.
 BLOCK_BYTES = 16 << 20
+#: Words of the runs by which windows are told that can't be in a batch, and bits of their codes.
+GRAM, FLAG_BITS = 3, 24
 
 
 class TestSuffixes:
@@ -57,6 +63,7 @@ class TestSuffixes:
         self.first_owner = np.cumsum(self.per_window) - self.per_window
         self.owner = np.array([i for o in owners for i in o], np.int64)
         self.place = np.array([p for o in places for p in o], np.int64)
+        self.grams = _gram_codes(self.sequence)
 
     def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word of the batch, window) for every occurrence of every window."""
@@ -83,24 +90,37 @@ class TestSuffixes:
         text = numbers[np.minimum(stretch, len(numbers) - 1)]
         text[ends] = 0
         suffixes = suffix_array(text, self.depth)
-        first, last = self.find(text, suffixes)
+        asked = self.possible(text)
+        first, last = self.find(text, suffixes, asked)
         counts = last - first
-        return stretch[suffixes[ragged(first, counts)]], np.repeat(np.arange(len(counts)), counts)
-
-    def find(self, text: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Binary search of all windows: the range of suffixes that begin with each of them."""
-        bounds = []
+        return stretch[suffixes[ragged(first, counts)]], np.repeat(asked, counts)
+
+    def possible(self, text: np.ndarray) -> np.ndarray:
+        """The windows whose runs of ``GRAM`` words may all be in the text. Runs are looked up in a
+        table of flags, so this costs little for each window, and only the others are searched."""
+        flags = np.zeros(1 << FLAG_BITS, bool)
+        flags[_gram_codes(text)] = True
+        missing = np.zeros(len(self.sequence) + 1, np.int64)
+        missing[1 : len(self.grams) + 1] = ~flags[self.grams]
+        missing[len(self.grams) + 1 :] = 0
+        before = np.cumsum(missing)
+        runs = np.maximum(self.sizes - GRAM + 1, 0)  # none in a shorter window, which is always asked
+        return np.flatnonzero(before[self.starts + runs] == before[self.starts])
+
+    def find(self, text: np.ndarray, suffixes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Binary search of some windows: the range of suffixes that begin with each of them."""
+        bounds, starts, sizes = [], self.starts[asked], self.sizes[asked]
         for beyond_equal in (False, True):
-            lo = np.zeros(len(self.starts), np.int64)
-            hi = np.full(len(self.starts), len(suffixes), np.int64)
+            lo = np.zeros(len(starts), np.int64)
+            hi = np.full(len(starts), len(suffixes), np.int64)
             while (open_ := lo < hi).any():
                 middle = (lo + hi) // 2
                 at = suffixes[np.minimum(middle, len(suffixes) - 1)]
                 order = np.zeros(len(lo), np.int8)
                 for k in range(self.depth):
-                    live = (order == 0) & (k < self.sizes)
+                    live = (order == 0) & (k < sizes)
                     theirs = text[np.minimum(at + k, len(text) - 1)]
-                    ours = self.sequence[np.minimum(self.starts + k, len(self.sequence) - 1)]
+                    ours = self.sequence[np.minimum(starts + k, len(self.sequence) - 1)]
                     order = np.where(live, np.sign(theirs - ours), order)
                 right = open_ & ((order < 0) | (beyond_equal & (order == 0)))
                 lo = np.where(right, middle + 1, lo)
@@ -109,6 +129,11 @@ class TestSuffixes:
         return bounds[0], bounds[1]
 
 
+def _gram_codes(numbers: np.ndarray) -> np.ndarray:
+    """A code of ``FLAG_BITS`` bits for each run of ``GRAM`` words."""
+    return (sequence_hashes(numbers.astype(np.uint64), GRAM) >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` words or more, by doubling; 0 ends a stretch."""
     rank, k = text, 1
@@ -142,17 +167,33 @@ def spans_of(words: Words, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     return text, lo - words.bounds[text], hi - words.bounds[text]
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of the benchmark. Items without id or text hold no window."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    blocks = []
-    for k in range(count):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
-        block = TestSuffixes([r[0] for r in own], [r[1] for r in own], window)
-        blocks.append(benchmark.sparkSession.sparkContext.broadcast(block))
-    return blocks
+def matches_of(tests: TestSuffixes, words: Words) -> np.ndarray:
+    """Longest verbatim matches, sorted rows (text, item_id, start, item_start, n_words): windows
+    that follow each other in the document and in the item are one match."""
+    at, number = tests.occurrences(words)
+    many = tests.per_window[number]
+    which = ragged(tests.first_owner[number], many)
+    at, size = np.repeat(at, many), np.repeat(tests.sizes[number], many)
+    owner, place = tests.owner[which], tests.place[which]
+    text = np.searchsorted(words.bounds, at, "right") - 1
+    order = np.lexsort((at, at - place, owner, text))
+    at, size, owner, place, text = (x[order] for x in (at, size, owner, place, text))
+    new = np.ones(len(at), bool)
+    if len(at):
+        same = (text[1:] == text[:-1]) & (owner[1:] == owner[:-1]) & (at[1:] - place[1:] == at[:-1] - place[:-1])
+        new[1:] = ~(same & (at[1:] == at[:-1] + 1))
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at)) - 1 if len(at) else head
+    length = at[tail] + size[tail] - at[head]
+    found = np.stack([text[head], tests.items[owner[head]], at[head] - words.bounds[text[head]], place[head], length], axis=1)
+    return np.unique(found, axis=0) if len(found) else found.astype(np.int64)
+
+
+def block_of(items: DataFrame, number: int, count: int, window: int):
+    """One of ``count`` blocks of the benchmark, broadcast."""
+    own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number).collect()
+    block = TestSuffixes([r[0] for r in own], [r[1] for r in own], window)
+    return items.sparkSession.sparkContext.broadcast(block)
 
 
 def _fresh(name: str, taken: list[str]) -> str:
@@ -162,57 +203,59 @@ def _fresh(name: str, taken: list[str]) -> str:
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, schema: str, finish: Callable, window: int, block_bytes: int):
-    """Search all blocks, one pass each, and make the last pass return ``finish(batch, ...)``."""
-    blocks = blocks_of(benchmark, window, block_bytes)
-    spans, items = _fresh("spans", docs.columns), _fresh("items", docs.columns)
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    between = f"{plain}, {spans} array<bigint>, {items} array<bigint>"
+    """Rows of ``finish(batch, words, matches)`` for all batches. A benchmark of one block is searched
+    in one pass that shuffles nothing. A larger one takes a pass for each block, one after another,
+    so that one block at a time is on the driver and the executors; the rows are stored with numbers
+    for it, and what the passes find in a few of them is joined by number."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-total // block_bytes))
+    if count == 1:
+        block = block_of(items, 0, 1, window)
 
-    def one_pass(block, first: bool, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = block.value
+        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 words = Words(batch["text"], PUNCTUATION, lower=True)
-                at, number = tests.occurrences(words)
-                size = tests.sizes[number]
-                text = np.searchsorted(words.bounds, at, "right") - 1
-                pair = np.unique(text * max(1, len(tests.starts)) + number)
-                windows = pair % max(1, len(tests.starts))
-                owners = tests.owner[ragged(tests.first_owner[windows], tests.per_window[windows])]
-                item = tests.items[owners]
-                item_text = np.repeat(pair // max(1, len(tests.starts)), tests.per_window[windows])
-                if not first:  # add what earlier blocks found
-                    seen = pa.compute.list_flatten(batch[spans]).to_numpy().reshape(-1, 2)
-                    rows = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch[spans]).to_numpy() // 2)
-                    at = np.concatenate([at, seen[:, 0] + words.bounds[rows]])
-                    size = np.concatenate([size, seen[:, 1] - seen[:, 0]])
-                    more = pa.compute.list_value_length(batch[items]).to_numpy()
-                    item = np.concatenate([item, pa.compute.list_flatten(batch[items]).to_numpy()])
-                    item_text = np.concatenate([item_text, np.repeat(np.arange(batch.num_rows), more)])
-                found = np.unique(np.stack([item_text, item]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
-                covered = spans_of(words, at, size)
-                if last:
-                    yield finish(batch, words, covered, found)
-                else:
-                    names = [n for n in batch.schema.names if n not in (spans, items)]
-                    pairs = list_array(
-                        np.stack(covered[1:], axis=1).ravel(),
-                        2 * np.bincount(covered[0], minlength=batch.num_rows),
-                        pa.int64(),
-                    )
-                    lists = list_array(found[1], np.bincount(found[0], minlength=batch.num_rows), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pairs, lists], [*names, spans, items])
-
-        return run
-
-    rows = docs
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        rows = rows.mapInArrow(one_pass(block, k == 0, last), schema if last else between)
-    return rows
-
-
-def _hits(words: Words, covered, rows: int) -> np.ndarray:
+                yield finish(batch, words, matches_of(block.value, words))
+
+        return docs.mapInArrow(one_pass, schema)
+
+    row, held = _fresh("row", docs.columns), _fresh("matches", docs.columns)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+
+    def in_block(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = matches_of(block.value, Words(batch["text"], PUNCTUATION, lower=True))
+                per_text = np.bincount(found[:, 0], minlength=batch.num_rows)
+                hit = per_text > 0
+                lists = list_array(found[:, 1:].ravel(), 4 * per_text[hit], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch[row].filter(pa.array(hit)), lists], [row, held])
+
+        return rows.select(row, "text").mapInArrow(run, f"`{row}` long, `{held}` array<bigint>")
+
+    parts = []
+    for k in range(count):
+        block = block_of(items, k, count, window)
+        parts.append(stored(in_block(block)))
+        block.unpersist()
+    united = reduce(DataFrame.unionByName, parts).groupBy(row).agg(F.flatten(F.collect_list(held)).alias(held))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lists = batch[held].fill_null([])
+            values = pa.compute.list_flatten(lists).to_numpy().reshape(-1, 4)
+            text = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy() // 4)
+            yield finish(batch, Words(batch["text"], PUNCTUATION, lower=True), np.unique(np.column_stack([text, values]), axis=0))
+
+    return rows.join(united, row, "left").mapInArrow(last, schema)
+
+
+def _covered(words: Words, matches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spans_of(words, matches[:, 2] + words.bounds[matches[:, 0]], matches[:, 4])
+
+
+def _hits(covered, rows: int) -> np.ndarray:
     return np.bincount(covered[0], weights=covered[2] - covered[1], minlength=rows).astype(np.int64)
 
 
@@ -220,9 +263,13 @@ def is_contaminated(hits: np.ndarray, words: np.ndarray, share: int) -> np.ndarr
     return (hits > 0) & (share * hits >= words)
 
 
+_MATCH = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())])
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES):
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    items (sorted as text), spans (covered stretches of words, [start, end) pairs).
+    items (sorted as text), spans (covered stretches of words, [start, end) pairs), matches (longest
+    verbatim matches: item_id, start, item_start, n_words) and n_longest (words of the longest one).
 
     A document is contaminated if ``share * n_hit >= n_words`` with a hit. Null and empty texts
     have no words and no hits; repeated rows give repeated results; an empty benchmark hits
@@ -231,19 +278,26 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
     """
     schema = (
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-        "items array<string>, spans array<struct<start: bigint, end: bigint>>"
+        "items array<string>, spans array<struct<start: bigint, end: bigint>>, "
+        "matches array<struct<item_id: bigint, start: bigint, item_start: bigint, n_words: bigint>>, n_longest long"
     )
 
-    def finish(batch, words, covered, found):
-        hits = _hits(words, covered, batch.num_rows)
-        per_text = np.bincount(found[0], minlength=batch.num_rows)
+    def finish(batch, words, matches):
+        covered = _covered(words, matches)
+        hits = _hits(covered, batch.num_rows)
+        found = np.unique(matches[:, :2], axis=0)
+        per_text = np.bincount(found[:, 0], minlength=batch.num_rows)
         names: list[list[str]] = [[] for _ in range(batch.num_rows)]
-        for text, item in zip(found[0].tolist(), found[1].tolist()):
+        for text, item in found.tolist():
             names[text].append(str(item))
         names = [sorted(n) for n in names]
         stretches: list[list[dict]] = [[] for _ in range(batch.num_rows)]
         for text, lo, hi in zip(*(c.tolist() for c in covered)):
             stretches[text].append({"start": lo, "end": hi})
+        longest = np.zeros(batch.num_rows, np.int64)
+        np.maximum.at(longest, matches[:, 0], matches[:, 4])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(matches[:, 0], minlength=batch.num_rows))]).astype(np.int32)
+        structs = pa.StructArray.from_arrays([pa.array(matches[:, k].astype(np.int64)) for k in range(1, 5)], fields=list(_MATCH))
         return pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"],
@@ -254,70 +308,29 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
                 pa.array(is_contaminated(hits, words.counts, share)),
                 pa.array(names, pa.list_(pa.string())),
                 pa.array(stretches, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.ListArray.from_arrays(pa.array(offsets), structs),
+                pa.array(longest),
             ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "matches", "n_longest"],
         )
 
     return _search(docs.select("doc_id", "text"), benchmark, schema, finish, window, block_bytes)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20):
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES):
     """The rows of ``docs``, all columns, whose text isn't contaminated (see ``report``)."""
 
     names = docs.columns
 
-    def finish(batch, words, covered, found):
-        clean = ~is_contaminated(_hits(words, covered, batch.num_rows), words.counts, share)
+    def finish(batch, words, matches):
+        clean = ~is_contaminated(_hits(_covered(words, matches), batch.num_rows), words.counts, share)
         return batch.select(names).filter(pa.array(clean))
 
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _search(docs, benchmark, plain, finish, window, BLOCK_BYTES)
+    return _search(docs, benchmark, plain, finish, window, block_bytes)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-    """Maximal verbatim matches: doc_id, item_id, doc_start, item_start, n_words (in words).
-
-    Windows that follow each other in the document and in the item are one match. The passes over
-    blocks of the benchmark are united; a match lies in one item and so in one block.
-    """
-    schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long"
-    rows = docs.select("doc_id", "text")
-
-    def one(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = block.value
-            for batch in slices(batches):
-                words = Words(batch["text"], PUNCTUATION, lower=True)
-                at, number = tests.occurrences(words)
-                many = tests.per_window[number]
-                which = ragged(tests.first_owner[number], many)
-                at, size = np.repeat(at, many), np.repeat(tests.sizes[number], many)
-                owner, place = tests.owner[which], tests.place[which]
-                text = np.searchsorted(words.bounds, at, "right") - 1
-                order = np.lexsort((at, at - place, owner, text))
-                at, size, owner, place, text = (x[order] for x in (at, size, owner, place, text))
-                new = np.ones(len(at), bool)
-                if len(at):
-                    same = (text[1:] == text[:-1]) & (owner[1:] == owner[:-1]) & (at[1:] - place[1:] == at[:-1] - place[:-1])
-                    new[1:] = ~(same & (at[1:] == at[:-1] + 1))
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(at)) - 1 if len(at) else head
-                length = at[tail] + size[tail] - at[head]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"].take(pa.array(text[head])),
-                        pa.array(tests.items[owner[head]], pa.int64()),
-                        pa.array(at[head] - words.bounds[text[head]], pa.int64()),
-                        pa.array(place[head], pa.int64()),
-                        pa.array(length, pa.int64()),
-                    ],
-                    ["doc_id", "item_id", "doc_start", "item_start", "n_words"],
-                )
-
-        return run
-
-    united = None
-    for block in blocks_of(benchmark, window, block_bytes):
-        found = rows.mapInArrow(one(block), schema)
-        united = found if united is None else united.unionByName(found)
-    return united
+    """One row for each longest verbatim match: doc_id, item_id, doc_start, item_start, n_words."""
+    found = report(docs, benchmark, window, block_bytes=block_bytes).select("doc_id", F.inline("matches"))
+    return found.withColumnRenamed("start", "doc_start")

@@ -38,7 +38,7 @@ def op5_neighbours(spark, sf):
 @query("op6_decontamination", oracle.DECONTAMINATION)
 def op6_decontamination(spark, sf):
     found = decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
-    return found.drop("items", "spans")
+    return found.drop("items", "spans", "matches", "n_longest")
 
 
 @query("op8_urls")

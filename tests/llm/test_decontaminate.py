@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from promptloom.llm import decontaminate
 from promptloom.llm.queries import QUERIES
 
@@ -101,3 +102,32 @@ def test_spans(spark):
     items = [(1, "a b c"), (2, "c d")]
     rows = decontaminate.report(table(spark, [(1, "a b c d x a b c"), (2, "a b c"), (3, "a b")]), benchmark(spark, items)).collect()
     assert [[tuple(s) for s in r.spans] for r in sorted(rows)] == [[(0, 4), (5, 8)], [(0, 3)], []]
+
+
+def test_matches_of_many_blocks(spark):
+    w = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(w[7 * k : 7 * k + 40])) for k in range(40)]
+    rows = [(1, " ".join(w[3:90])), (1, " ".join(w[100:130])), (None, " ".join(w[50:70])), (2, "x"), (3, None)]
+    found = [
+        rows_of(decontaminate.report(table(spark, rows), benchmark(spark, items), block_bytes=size), "doc_id", "n_longest", "matches")
+        for size in (1 << 24, 900)
+    ]
+    assert found[0] == found[1]
+    longest = {(d, n) for d, n, _ in found[0]}
+    assert longest == {(1, 40), (1, 30), (None, 20), (2, 0), (3, 0)}
+    for doc, n, matches in found[0]:
+        assert max([0, *(m.n_words for m in matches)]) == n
+
+
+def test_windows_that_can_t_be_there_are_not_searched(monkeypatch):
+    draw = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    items = [" ".join(draw.choices(vocabulary, k=60)) for _ in range(2000)]
+    tests = decontaminate.TestSuffixes(list(range(2000)), items, 13)
+    text = " ".join(draw.choices(vocabulary, k=100_000)) + " " + " ".join(items[7].split()[10:40])
+    asked = []
+    plain = tests.find
+    monkeypatch.setattr(tests, "find", lambda text, suffixes, some: asked.append(len(some)) or plain(text, suffixes, some))
+    found = decontaminate.matches_of(tests, decontaminate.Words(pa.array([text]), decontaminate.PUNCTUATION, lower=True))
+    assert found.tolist() == [[0, 7, 100_000, 10, 30]]
+    assert len(tests.starts) > 90_000 and asked[0] < 100  # all but the windows of the passage are left out
