@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from promptloom.llm.words import PUNCTUATION, Words, mix, sequence_hashes, slices
+from promptloom.llm.words import HALF_BATCH_BYTES, PUNCTUATION, Words, mix, sequence_hashes, slices
 from promptloom.session import discard, stored
 
 #: Labelled rows that are learned from: those with the smallest hashes of their ids.
@@ -238,7 +238,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, m0, m1, ...): the smallest shingle of each text under several orders, of a
     text of fewer words than a shingle its whole sequence of words, 0 without words. Near copies
     share most of them."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=HALF_BATCH_BYTES):
         words = Words(batch["text"], PUNCTUATION, lower=True)
         hashes = words.hashes()
         shingles, text = sequence_hashes(hashes, SHINGLE), words.text_of()
@@ -288,7 +288,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n_toxic, n_clean): texts of each kind that hold each word, and each beginning."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=HALF_BATCH_BYTES):
         words = Words(batch["text"], PUNCTUATION, lower=True)
         if not len(words):
             continue
@@ -373,7 +373,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     lexicon = docs.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HALF_BATCH_BYTES):
             values = features(lexicon.value, batch["text"])
             yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in values.T), batch["toxic"]], [*FEATURES, "toxic"])
 
@@ -400,7 +400,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
         own.append(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HALF_BATCH_BYTES):
             score = shared.value.score(batch["text"])
             columns = [*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *own])

@@ -7,6 +7,8 @@ pieces, and none drops a text: null counts as empty, an empty text has no words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,10 @@ import pyarrow.compute  # noqa: F401
 
 #: Bytes of text that a task handles at once; a longer text makes a batch of its own.
 BATCH_BYTES = 8 << 20
+#: The same for tasks that hold many figures for each word.
+HALF_BATCH_BYTES = 4 << 20
+#: Bytes of words that are hashed at once (one word at least).
+HASHED_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,6 +65,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return free memory to the system: the worker waits for its next task beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class Words:
@@ -78,7 +95,8 @@ class Words:
         starts = np.flatnonzero(begins)
         self.raw, self.starts = raw, starts
         self.data = raw[kept]
-        self.offsets = np.append((np.cumsum(kept) - 1)[starts], len(self.data)).astype(np.int64)
+        parted = np.flatnonzero(~kept)  # kept bytes before a word: all before it but those that part words
+        self.offsets = np.append(starts - np.searchsorted(parted, starts), len(self.data)).astype(np.int64)
         self.bounds = np.searchsorted(starts, ends)
         self.counts = np.diff(self.bounds)
 
@@ -100,9 +118,16 @@ class Words:
         if not len(self):
             return np.zeros(0, np.uint64)
         lengths = np.diff(self.offsets)
-        place = np.arange(len(self.data)) - np.repeat(self.offsets[:-1], lengths)
-        values = (self.data.astype(np.uint64) + np.uint64(1)) * _powers(seed, int(lengths.max()))[place]
-        return mix(np.add.reduceat(values, self.offsets[:-1]) + lengths.astype(np.uint64))
+        powers, found = _powers(seed, int(lengths.max())), np.empty(len(self), np.uint64)
+        at = 0
+        while at < len(self):  # some bytes at a time: each takes 40 bytes of working memory
+            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + HASHED_BYTES, "right")) - 1)
+            data, offsets = self.data[self.offsets[at] : self.offsets[to]], self.offsets[at:to] - self.offsets[at]
+            place = np.arange(len(data)) - np.repeat(offsets, lengths[at:to])
+            values = (data.astype(np.uint64) + np.uint64(1)) * powers[place]
+            found[at:to] = np.add.reduceat(values, offsets)
+            at = to
+        return mix(found + lengths.astype(np.uint64))
 
     def joined(self, kept: np.ndarray) -> list[bytes]:
         """The kept words of each text joined by single spaces."""
