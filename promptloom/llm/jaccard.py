@@ -11,39 +11,37 @@ set where ``F - d`` or more are small: else one of the equal ones is not. Shingl
 sets say nothing; they are left out of the fragments (a set with too little left names fragments of
 all its shingles as well). Which shingles count as frequent changes the work, never the result.
 
-Within blocks, overlaps are counted fragment by fragment and summed per pair, a few sets against all
-others at a time. Blocks of bounded size are handled whole. Larger ones are cut into chunks: first
-each chunk with a few hubs of its block, then what has not joined the block's largest component
-against every chunk. So a large group of near copies costs its size, not its square, and no link
-between components is left out.
+Sets that share a name are pairs to be counted. The overlap of a pair is counted in each fragment of
+the order on its own, by (pair, fragment) in separate tasks, and summed by pair; no task sees a whole
+group. First every holder of a name is counted with its first holder. What is linked so is one
+component, and only under names whose holders are not yet in one component are holders of different
+components counted as well. So a group of near copies costs its size, not its square, as far as its
+members link with its first one or with each other's neighbours; a pair that shares a name and is not
+in one component is counted, whatever their number, so no link between components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from promptloom.llm import keys
 from promptloom.llm.components import components
-from promptloom.llm.words import WHITE, Words, mix, pack, ragged, sequence_hashes, slices, unpack
-from promptloom.session import discard, stored
+from promptloom.llm.words import HALF_BATCH_BYTES, WHITE, Words, mix, pack, sequence_hashes, slices, unpack
+from promptloom.session import stored
 
 #: Words of a shingle, and the similarity that links, in hundredths.
 SHINGLE, SIMILARITY = 4, 85
 #: Shingles that are kept out of fragments: those in this share of a batch's sets or more, at most
 #: so many of them (8 bytes each are broadcast).
 FREQUENT_SHARE, FREQUENT_MOST = 0.004, 50_000
-#: Shingles of a block, or of a chunk of a larger one, that a task handles at once.
-TASK_SHINGLES = 1_000_000
-#: Sets that every chunk of a large block is compared with first.
-HUBS = 32
-#: Fragments in which the overlaps within a block are counted.
-COUNT_FRAGMENTS = 8
+#: Fragments in which overlaps are counted: 2 ** 2 ranges of the global order.
+FRAGMENT_BITS = 2
+#: Pairs of one node that are counted under one key, on average.
+HUB_PAIRS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,7 +162,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, frequent_share: float = FREQU
     row of a batch has the shingles, packed, that are frequent in it; the others have null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HALF_BATCH_BYTES):
             sets = ShingleSets(batch["text"], size)
             a, b = sets.names()
             _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
@@ -194,9 +192,9 @@ def frequent_shingles(described: DataFrame, most: int = FREQUENT_MOST) -> np.nda
     return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
 
 
-def candidates(docs: DataFrame, frequent: np.ndarray, size: int, similarity: int) -> DataFrame:
-    """(a, b), a > b: documents that share a fragment; those that share one are connected."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def shared_fragments(docs: DataFrame, frequent: np.ndarray, size: int, similarity: int) -> DataFrame:
+    """(key, owner): documents that look for sets like theirs under the same name."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def keys_of(batch: pa.RecordBatch):
         sets = ShingleSets(batch["text"], size)
@@ -204,9 +202,9 @@ def candidates(docs: DataFrame, frequent: np.ndarray, size: int, similarity: int
         _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
         wanted = np.zeros(len(a), bool)
         wanted[first] = True  # equal sets of a batch ask once
-        return _by_row(*fragment_keys(sets, wanted, shared.value, similarity))
+        return _by_row(*fragment_keys(sets, wanted, known.value, similarity))
 
-    return keys.links(keys.pairs(docs, "doc_id", keys_of))
+    return keys.shared(keys.pairs(docs, "doc_id", keys_of, HALF_BATCH_BYTES))
 
 
 def _by_row(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,158 +212,84 @@ def _by_row(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[order], rows[order]
 
 
-class Sets:
-    """Forest of the sets that one task compares."""
+_SEGMENT = "node long, name long, n long, fragment int, hashes binary"
 
-    def __init__(self, count: int):
-        self.parent = np.arange(count)
 
-    def root(self, node: int) -> int:
-        while self.parent[node] != node:
-            self.parent[node] = self.parent[self.parent[node]]
-            node = self.parent[node]
-        return int(node)
-
-    def roots(self) -> np.ndarray:
-        found = self.parent
-        while (found[found] != found).any():
-            found = found[found]
-        self.parent = found
-        return found
-
-
-def link_block(hashes: np.ndarray, bounds: np.ndarray, similarity: int, joined: np.ndarray | None = None) -> np.ndarray:
-    """Components (index of a member) of the sets of a block, given by sorted hashes.
-
-    Sets outside the largest component are compared with all others, one after another, until none
-    is left that hasn't been: of any two components one is outside, so no link is missed. The
-    overlaps are counted in fragments of the order and summed. ``joined``: components known before.
-    """
-    count = len(bounds) - 1
-    forest = Sets(count)
-    if joined is not None:
-        forest.parent = joined.copy()
-    sizes = np.diff(bounds)
-    owner = np.repeat(np.arange(count), sizes)
-    order = np.argsort(hashes, kind="stable")
-    _, token = np.unique(hashes, return_inverse=True)
-    token_starts = np.searchsorted(token[order], np.arange(token.max(initial=-1) + 2))
-    posting = owner[order]
-    done = np.zeros(count, bool)
-    while True:
-        roots = forest.roots()
-        largest = np.bincount(roots, minlength=count).argmax()
-        rest = np.flatnonzero(~done & (roots != largest))
-        if not len(rest):
-            if done.any() or len(np.unique(roots)) == 1:
-                break
-            rest = np.array([0])
-        x = int(rest[0])
-        done[x] = True
-        tokens = token[bounds[x] : bounds[x + 1]]
-        overlap = np.zeros(count, np.int64)
-        for part in np.array_split(tokens, COUNT_FRAGMENTS if len(tokens) > 1000 else 1):
-            near = posting[ragged(token_starts[part], token_starts[part + 1] - token_starts[part])]
-            overlap += np.bincount(near, minlength=count)
-        linked = 100 * overlap >= similarity * (sizes + sizes[x] - overlap)
-        linked[x] = True
-        same = np.unique(roots[linked])
-        forest.parent[same] = same.min()
-    return forest.roots()
-
-
-def _blocks(members: DataFrame, described: DataFrame) -> DataFrame:
-    """Adds the shingles and sets of each block to its members."""
-    sizes = described.select(F.col("doc_id").alias("size_id"), "n_shingles")
-    own = members.join(sizes, F.col("node") == F.col("size_id")).select("node", "block", "n_shingles")
-    totals = own.groupBy("block").agg(F.sum("n_shingles").alias("total"))
-    totals = totals.withColumnRenamed("block", "block_id")
-    return own.join(totals, F.col("block") == F.col("block_id")).select("node", "block", "total")
-
-
-def _set_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(node, block, total, hashes): the packed sets of documents that are in a block."""
+def segments(texts: DataFrame, size: int) -> DataFrame:
+    """(node, name, n, fragment, hashes): the sets of documents cut by ranges of the global order, one
+    row for each fragment that isn't empty; ``name`` tells the sets of a node apart, ``n`` is the
+    size of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HALF_BATCH_BYTES):
             sets = ShingleSets(batch["text"], size)
-            offsets = (sets.bounds * 8).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(sets.hashes.tobytes())])
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("node", "block", "total")), blobs], ["node", "block", "total", "hashes"])
-
-    return texts.select("node", "block", "total", "text").mapInArrow(run, "node long, block long, total long, hashes binary")
-
-
-def _compare(similarity: int):
-    """For a group of rows (node, block, hashes): links (a, b) that connect what is linked within
-    each block. With a column ``component``, sets of one component are connected already."""
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes, blocks = table["node"].to_pylist(), table["block"].to_pylist()
-        known = table["component"].to_pylist() if "component" in table.column_names else nodes
-        rows = sorted(set(zip(blocks, nodes, known, table["hashes"].to_pylist())), key=lambda r: r[:2])
-        a, b = [], []
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            group = list(group)
-            own = np.array([r[1] for r in group], np.int64)
-            sets = [np.frombuffer(r[3], np.uint64) for r in group]
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            _, first, which = np.unique([r[2] for r in group], return_index=True, return_inverse=True)
-            root = link_block(np.concatenate(sets), bounds, similarity, first[which.ravel()])
-            lower = own[root]  # nodes come sorted, and a root is the first member
-            a.append(own[own > lower])
-            b.append(lower[own > lower])
-        ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
-
-    return run
-
-
-def verified_links(rows: DataFrame, similarity: int, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(a, b): links enough to connect all that are linked. ``rows``: node, block, total, hashes,
-    stored, with ``total`` the shingles of the block."""
-    whole = rows.agg(F.sum(F.octet_length("hashes") / 8).alias("s"), F.max("total").alias("m")).first()
-    bins = max(1, int((whole["s"] or 0) // task_shingles) + 1)
-    small = rows.where(F.col("total") <= task_shingles)
-    bin_of = F.pmod(F.xxhash64("block"), F.lit(bins))
-    found = small.groupBy(bin_of.alias("bin")).applyInArrow(_compare(similarity), "a long, b long")
-    if (whole["m"] or 0) <= task_shingles:
-        return found
-    large = rows.where(F.col("total") > task_shingles)
-    chunks = F.ceil(F.col("total") / F.lit(task_shingles // 2)).cast("int")
-    large = large.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    hub_rank = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("node"), "node"))
-    hubs = large.withColumn("hub", hub_rank).where(F.col("hub") <= HUBS).drop("hub")
-    hubs = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    first = large.unionByName(hubs).groupBy("block", "chunk").applyInArrow(_compare(similarity), "a long, b long")
-    first = stored(first)
-    joined = components(first).withColumnsRenamed({"node": "joined"})
-    state = large.join(joined, F.col("node") == F.col("joined"), "left")
-    state = state.withColumn("component", F.coalesce("component", "node"))
-    state = stored(state.select("node", "block", "chunk", "chunks", "hashes", "component"))
-    sizes = state.groupBy("block", "component").count()
-    main = sizes.groupBy("block").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"))
-    main = main.withColumnRenamed("block", "main_block")
-    rest = state.join(main, (F.col("block") == F.col("main_block")) & (F.col("component") != F.col("main")))
-    # What is left goes, in groups of bounded size, to every chunk of its block.
-    left = rest.groupBy("block").agg(F.sum(F.octet_length("hashes") / 8).alias("left")).withColumnRenamed("block", "left_block")
-    groups = F.ceil(F.col("left") / F.lit(task_shingles // 2)).cast("int")
-    asked = rest.join(left, F.col("block") == F.col("left_block")).withColumn("groups", groups)
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int"))
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    full = state.join(left.withColumn("groups", groups), F.col("block") == F.col("left_block"))
-    full = full.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    columns = ["node", "block", "chunk", "group", "hashes", "component"]
-    second = asked.select(columns).unionByName(full.select(columns)).groupBy("block", "chunk", "group")
-    second = second.applyInArrow(_compare(similarity), "a long, b long")
-    return reduce(DataFrame.unionByName, [found, first, second])
+            part = (sets.hashes >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
+            cell = sets.owner * (1 << FRAGMENT_BITS) + part  # rises, as hashes of a set do
+            heads = np.flatnonzero(np.diff(cell, prepend=-1))
+            offsets = (np.append(heads, len(cell)) * 8).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(sets.hashes.tobytes())])
+            own = sets.owner[heads]
+            columns = [batch["node"].take(pa.array(own)), pa.array(sets.names()[0][own]), pa.array(sets.sizes[own], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(part[heads], pa.int32()), blobs], ["node", "name", "n", "fragment", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, _SEGMENT)
+
+
+def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """For each row how many hashes both hold; both sorted."""
+    flat, rows = [], []
+    for column in (a, b):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+        flat.append(data.view(np.uint64))
+        rows.append(np.repeat(np.arange(len(column)), np.diff(offsets) // 8))
+    # Rows follow each other and hashes rise in each, so this order rises over all of them.
+    ranks = [row.astype(np.uint64) << np.uint64(44) | hashes << np.uint64(FRAGMENT_BITS) >> np.uint64(20) for row, hashes in zip(rows, flat)]
+    found, at = np.zeros(len(a), np.int64), np.searchsorted(ranks[1], ranks[0])
+    open_ = np.arange(len(at))
+    while len(open_):  # equal ranks are rare unless the hashes are equal
+        open_ = open_[at[open_] < len(ranks[1])]
+        open_ = open_[ranks[1][at[open_]] == ranks[0][open_]]
+        equal = flat[1][at[open_]] == flat[0][open_]
+        np.add.at(found, rows[0][open_[equal]], 1)
+        open_ = open_[~equal]
+        at[open_] += 1
+    return found
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """The (a, b) of ``pairs`` that link. The overlap of two sets is counted fragment by fragment, by
+    (pair, fragment) in separate tasks, and summed by pair. The segments of a node in very many
+    pairs go to several keys, each with a bounded number of its pairs."""
+    times = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / hub_pairs).alias("salts"))
+    dealt = pairs.join(times, F.col("b") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    mine = sets.select(F.col("node").alias("a"), F.col("name").alias("x"), F.col("n").alias("n_a"), "fragment", F.col("hashes").alias("own"))
+    theirs = times.join(sets, F.col("hub") == F.col("node")).select(
+        F.col("node").alias("b"), F.col("name").alias("y"), F.col("n").alias("n_b"), "fragment", F.col("hashes").alias("other"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+    )
+    near = dealt.join(mine, "a").join(theirs, ["b", "salt", "fragment"])
+    # As similar as asked they differ little in size.
+    near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
+    names = ["a", "x", "n_a", "b", "y", "n_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 16):
+                part = batch.slice(at, 1 << 16)
+                both = pa.array(_common(part["own"], part["other"]))
+                yield pa.RecordBatch.from_arrays([*(part[n] for n in names), both], [*names, "both"])
+
+    counted = near.select(*names, "own", "other").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))
+    sums = counted.groupBy(*names).agg(F.sum("both").alias("both"))
+    return sums.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
 
 def near_duplicates(
     docs: DataFrame,
     size: int = SHINGLE,
     similarity: int = SIMILARITY,
-    task_shingles: int = TASK_SHINGLES,
+    hub_pairs: int = HUB_PAIRS,
     frequent_share: float = FREQUENT_SHARE,
     frequent_most: int = FREQUENT_MOST,
 ) -> DataFrame:
@@ -388,18 +312,36 @@ def near_duplicates(
     member = own.alias("own").join(classes.alias("class"), names).select("own.doc_id", "class.first")
     equal = member.where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
 
-    proposed = stored(candidates(texts, frequent, size, similarity))
-    # Candidate links between classes: documents stand for their first equal.
-    firsts = stored(member.distinct())
-    as_a = firsts.select(F.col("doc_id").alias("id_a"), F.col("first").alias("first_a"))
-    as_b = firsts.select(F.col("doc_id").alias("id_b"), F.col("first").alias("first_b"))
-    between = proposed.join(as_a, F.col("a") == F.col("id_a")).join(as_b, F.col("b") == F.col("id_b"))
-    between = between.where("first_a != first_b").select(F.greatest("first_a", "first_b").alias("a"), F.least("first_a", "first_b").alias("b")).distinct()
-    blocks = components(between).withColumnRenamed("component", "block")
-    placed = _blocks(blocks, own.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")))
-    rows = stored(_set_rows(texts.join(placed, F.col("doc_id") == F.col("node")), size))
-    discard(proposed)
-    connected = components(verified_links(rows, similarity, task_shingles).unionByName(equal))
+    # Documents stand for the first of their equals; one with several texts for all it is equal to.
+    others = member.where("doc_id != first").select("doc_id").distinct()
+    moved = member.join(others, "doc_id", "left_semi").distinct().select(F.col("doc_id").alias("moved"), "first")
+    named = shared_fragments(texts, frequent, size, similarity).join(moved, F.col("owner") == F.col("moved"), "left")
+    held = stored(named.select("key", F.coalesce("first", "owner").alias("node")).distinct())
+    nodes = held.select(F.col("node").alias("wanted")).distinct()
+    wanted = texts.join(nodes, F.col("doc_id") == F.col("wanted"), "left_semi")
+    sets = stored(segments(wanted.withColumnRenamed("doc_id", "node"), size))
+
+    # First each holder of a name with the first holder: this connects most of what is linked.
+    hubs = held.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
+    tied = held.join(hubs, "key").where("node > b").select(F.col("node").alias("a"), "b").distinct()
+    tied = stored(tied)
+    links = stored(linked(tied, sets, similarity, hub_pairs))
+    joined = components(links)
+    # Then, under names whose holders are not yet one component, holders of different ones.
+    state = held.join(joined.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left")
+    state = state.select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = stored(state.join(apart, "key", "left_semi"))
+    spread = sets.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = stored(left.join(spread, "node"))
+    x, y = sized.alias("x"), sized.alias("y")
+    near = (100 * F.col("x.most") >= similarity * F.col("y.least")) & (100 * F.col("y.most") >= similarity * F.col("x.least"))
+    rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & near)
+    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    rest = stored(rest.join(tied, ["a", "b"], "left_anti"))
+    more = stored(linked(rest, sets, similarity, hub_pairs))
+    known = joined.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    connected = components(known.unionByName(more).unionByName(equal))
     labels = connected.select(F.col("node").alias("label_id"), "component")
     found = described.join(labels, F.col("doc_id") == F.col("label_id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from promptloom.llm.words import pack, slices, unpack
+from promptloom.llm.words import BATCH_BYTES, pack, slices, unpack
 
 SCHEMA = "shard int, keys binary, owners binary, leaders binary, followed binary"
 _NAMES = ["shard", "keys", "owners", "leaders", "followed"]
-#: Shards for each shuffle partition, so that partitions come out even.
-SHARDS_PER_PARTITION = 2
+#: Shards for each shuffle partition: a task holds one at a time, and partitions come out even.
+SHARDS_PER_PARTITION = 8
 
 
 def shards_of(df: DataFrame) -> int:
@@ -68,12 +68,12 @@ def pack_pairs(batch: pa.RecordBatch, owner: str, keys_of: Callable, shards: int
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], _NAMES)
 
 
-def pairs(docs: DataFrame, owner: str, keys_of: Callable) -> DataFrame:
-    """Packed pairs of all batches of (owner, text); see ``pack_pairs``."""
+def pairs(docs: DataFrame, owner: str, keys_of: Callable, most: int = BATCH_BYTES) -> DataFrame:
+    """Packed pairs of all batches of (owner, text), of ``most`` bytes of text; see ``pack_pairs``."""
     shards = shards_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=most):
             packed = pack_pairs(batch, owner, keys_of, shards)
             if packed is not None:
                 yield packed
@@ -151,7 +151,7 @@ def _by_bucket(owners: np.ndarray, values: np.ndarray, buckets: int) -> list[tup
 
 
 #: Pairs that a task gathers over its shards before it deals them out to buckets.
-GATHERED = 4_000_000
+GATHERED = 1_000_000
 
 
 def _dealt(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +190,20 @@ def held(entries: DataFrame, later: bool) -> DataFrame:
     return _by_shard(entries, run, "bucket int, owners binary, keys binary")
 
 
+def shared(entries: DataFrame) -> DataFrame:
+    """(key, owner) of the keys that several owners hold; owners more than once, if batches repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shards(batches):
+            keys, owners, _, several = _leaders(rows)
+            rest = [r for r in rows if r["leaders"]]
+            keys = np.concatenate([keys[several], _joined(rest, "keys", np.uint64)]).view(np.int64)
+            owners = np.concatenate([owners[several], _joined(rest, "owners", np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "owner"])
+
+    return _by_shard(entries, run, "key long, owner long")
+
+
 class Found:
     """The keys that were found for the owners of a bucket."""
 

@@ -87,7 +87,7 @@ def test_near_copies(spark, seed):
     assert len({r[2] for r in want}) < len(rows)
 
 
-def test_blocks_larger_than_a_task(spark):
+def test_chains_and_hot_hubs(spark):
     draw = random.Random(11)
     base = [f"b{k}" for k in range(60)]
     texts = []
@@ -96,10 +96,43 @@ def test_blocks_larger_than_a_task(spark):
         texts.append(" ".join(base))
     rows = list(enumerate(texts + copies(5, groups=4)))
     draw.shuffle(rows)
-    ours = jaccard.near_duplicates(table(spark, rows).repartition(3), task_shingles=1500)
+    ours = jaccard.near_duplicates(table(spark, rows).repartition(3), hub_pairs=3)
     assert rows_of(ours, *NAMES) == expected(rows)
 
 
+def test_common_hashes_of_rows():
+    draw = np.random.default_rng(6)
+    rows = []
+    for size in (0, 1, 5, 300, 300):
+        a = np.unique(draw.integers(0, 2**62, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[::2], draw.integers(0, 2**62, size, dtype=np.uint64), a[:3] ^ np.uint64(1)]))  # near misses
+        rows.append((a, b))
+    columns = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+    found = jaccard._common(*columns)
+    assert found.tolist() == [len(set(a.tolist()) & set(b.tolist())) for a, b in rows]
+    assert jaccard._common(*(c.slice(2, 2) for c in columns)).tolist() == found[2:4].tolist()
+
+
+def test_overlaps_are_summed_over_fragments(spark):
+    rows = list(enumerate(copies(4, groups=10)))
+    texts = table(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "node")
+    sets = jaccard.segments(texts, 4)
+    assert sets.select("fragment").distinct().count() == 4
+    pairs = [(a, b) for a, _ in rows for b, _ in rows if a > b]
+    own = dict((i, shingles(t)) for i, t in rows)
+    for hub_pairs in (2, 1000):
+        found = rows_of(jaccard.linked(spark.createDataFrame(pairs, "a long, b long"), sets, 85, hub_pairs), "a", "b")
+        assert found == sorted(((a, b) for a, b in pairs if own[a] and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])), key=repr)
+
+
+def test_one_document_id_with_several_texts(spark):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choices([f"w{k}" for k in range(500)], k=60)) for _ in range(4)]
+    near = [t + " more" for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[0]), (8, near[1]), (9, texts[2]), (2, near[2]), (2, texts[3]), (11, near[3])]
+    assert rows_of(jaccard.near_duplicates(table(spark, rows)), *NAMES) == expected(rows)
+
+
 def test_frequent_shingles_do_not_matter(spark):
     rows = list(enumerate(copies(3, groups=12)))
     want = expected(rows)
