@@ -1,17 +1,19 @@
 """License scan: shared runs of words pick candidate templates, banded alignment measures them.
 
 Templates are few and of fixed size, so their inverted index goes to every task, and the scan needs
-no shuffle. A local alignment that scores 2 or more has two equal words in a row, as any other or
-missing word takes back what a single one gave; of those that score 1 the first end, a single word,
-is taken. So the index holds all
-runs of ``GRAM`` words of the templates (a template of fewer words as a whole), all those of a
-document are looked up, and no match is without a candidate. A candidate whose surroundings hold too
+no shuffle. Fingerprints are runs of ``GRAM`` words, of which a template and the texts keep the smallest
+of each stretch; how long a stretch may be follows from the coverage that is asked for, so that
+every match has a fingerprint (``stretch_for``). A local alignment that scores 2 or more has two equal
+words in a row, as any other or missing word takes back what a single one gave; of those that score
+1 the first end, a single word, is taken. So where a fifth of the words may be changed at any
+place the stretch is 1. A candidate whose surroundings hold too
 few words of the template is left; for the others a Smith-Waterman alignment in a band around the
 diagonal reports how much of the template stands in the text, and where.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from promptloom.llm.words import PUNCTUATION, Words, sequence_hashes, slices
+from promptloom.llm.words import PUNCTUATION, Words, ragged, sequence_hashes, slices
 
 GRAM = 2
 #: Fingerprints of a stretch of which ``winnowed`` keeps the smallest.
@@ -106,36 +108,70 @@ def _grams(words: Words, size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.n
     return hashes[at], at, text[at]
 
 
+def stretch_for(size: int, least: float) -> int:
+    """Of how many neighbouring fingerprints one is enough for a template of ``size`` words.
+
+    A match leaves out at most ``u`` of the template's words, and in a band of ``BAND`` diagonals at most
+    ``2 * BAND + u`` words stand between its others: so its words stand in ``2 * (u + BAND) + 1`` runs
+    at most, and one of them is at least as long as that share of them. Where half of the words or
+    more may be changed at any place this gives 1, all fingerprints.
+    """
+    matched = math.ceil(least * size)
+    run = -(-matched // (2 * (size - matched + BAND) + 1))
+    return max(1, run - GRAM + 1)
+
+
 class Index:
-    """Inverted index of all runs of words of all templates."""
+    """Inverted index of the fingerprints of all templates: all runs of ``GRAM`` words of those that a
+    match may share no longer run with, the winnowed ones of others, by their stretch."""
 
-    def __init__(self, templates=TEMPLATES):
+    def __init__(self, templates=TEMPLATES, least: float = LEAST_COVERAGE):
         self.licenses = [name for name, _ in templates]
         words = Words(pa.array([t for _, t in templates], pa.large_string()), PUNCTUATION, lower=True)
         own = words.hashes()
         self.words = [own[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+        spread = np.array([stretch_for(int(n), least) for n in words.counts], np.int64)
         hashes, at, text = _grams(words)
         single, first, alone = _grams(words, 1)
-        self.sizes = [1, GRAM] if (words.counts == 1).any() else [GRAM]
-        lone = words.counts[alone] == 1
-        hashes, at, text = (np.concatenate([a, b[lone]]) for a, b in ((hashes, single), (at, first), (text, alone)))
-        order = np.argsort(hashes, kind="stable")
-        self.keys, self.template, self.place = hashes[order], text[order], (at - words.bounds[text])[order]
+        self.lone = bool((words.counts == 1).any())
+        #: For each stretch: (hashes, sorted; template; place in it).
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for stretch in np.unique(spread).tolist():
+            kept = spread[text] == stretch
+            h, w, t = hashes[kept], at[kept], text[kept]
+            if stretch > 1:
+                some = winnowed(h, t, stretch)
+                h, w, t = h[some], w[some], t[some]
+            else:
+                lone = words.counts[alone] == 1
+                h, w, t = (np.concatenate([x, y[lone]]) for x, y in ((h, single), (w, first), (t, alone)))
+            order = np.argsort(h, kind="stable")
+            self.keys[stretch] = h[order], t[order], (w - words.bounds[t])[order]
 
     def candidates(self, words: Words) -> np.ndarray:
-        """Rows (text, template, diagonal, word of the text) that shared runs of words propose, each once."""
-        hashes, at, text = (np.concatenate(parts) for parts in zip(*(_grams(words, size) for size in self.sizes)))
-        among = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
-        own = self.keys[among] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
-        hashes, at, text = hashes[own], at[own], text[own]
-        lo, hi = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, "right")
-        hit = np.flatnonzero(hi > lo)
-        rows = [
-            (t, int(self.template[k]), int(w - words.bounds[t]) - int(self.place[k]), int(w - words.bounds[t]))
-            for t, w, a, b in zip(text[hit].tolist(), at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist())
-            for k in range(a, b)
-        ]
-        return sorted(set(rows))
+        """Rows (text, template, diagonal, word of the text) that shared fingerprints propose, each once."""
+        rows = set()
+        grams = _grams(words)
+        alone = _grams(words, 1) if self.lone else None
+        for stretch, (keys, template, place) in self.keys.items():
+            hashes, at, text = grams
+            if stretch > 1:
+                some = winnowed(hashes, text, stretch)
+                hashes, at, text = hashes[some], at[some], text[some]
+            elif alone is not None:
+                hashes, at, text = (np.concatenate(parts) for parts in zip(grams, alone))
+            if not len(keys):
+                continue
+            among = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            own = keys[among] == hashes
+            hashes, at, text = hashes[own], at[own], text[own]
+            lo, hi = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, "right")
+            many = hi - lo
+            which = ragged(lo, many)
+            t, w = np.repeat(text, many), np.repeat(at, many)
+            inside = w - words.bounds[t]
+            rows.update(zip(t.tolist(), template[which].tolist(), (inside - place[which]).tolist(), inside.tolist()))
+        return sorted(rows)
 
 
 def aligned(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
@@ -181,6 +217,11 @@ def _occurrences(index: Index, own: list[int], template: int, diagonal: int, lea
     todo = [(max(0, diagonal - BAND), min(len(own), diagonal + len(goal) + 2 * BAND))]
     while todo:
         lo, hi = todo.pop()
+        whole = next((j for j in range(lo, hi - len(known) + 1) if own[j : j + len(known)] == known), None)
+        if whole is not None:  # no alignment is better than all words in order
+            yield Match(index.licenses[template], template, len(known), 1.0, whole, whole + len(known))
+            todo += [(lo, whole), (whole + len(known), hi)]
+            continue
         here = set(own[lo:hi])
         if sum(word in here for word in known) < least * len(goal):  # too few of its words for a match
             continue
@@ -200,18 +241,20 @@ def find(index: Index, texts: pa.Array, least: float = LEAST_COVERAGE) -> list[l
     hashes = words.hashes()
     for (text, template), rows in groupby(index.candidates(words), key=lambda c: c[:2]):
         own = hashes[words.bounds[text] : words.bounds[text + 1]].tolist()
-        spans: list[tuple[int, int]] = []
+        seen = bytearray(len(own))  # words that lie in what is found already
         for diagonal, places in groupby(rows, key=lambda c: c[2]):
-            if all(any(a <= c[3] < b for a, b in spans) for c in places):  # lies in what is found already
+            if all(seen[c[3]] for c in places):
                 continue
             for m in _occurrences(index, own, template, diagonal, least):
                 found[text].append(m)
-                spans.append((m.start, m.end))
+                seen[m.start : m.end] = b"\1" * (m.end - m.start)
     for k, own in enumerate(found):
         kept: list[Match] = []
+        taken = bytearray(max((m.end for m in own), default=0))
         for m in sorted(set(own), key=lambda m: (-m.matched, -m.coverage, m.template, m.start)):
-            if all(m.end <= o.start or m.start >= o.end for o in kept):
+            if taken.find(1, m.start, m.end) < 0:
                 kept.append(m)
+                taken[m.start : m.end] = b"\1" * (m.end - m.start)
         found[k] = sorted(kept, key=lambda m: m.start)
     return found
 
@@ -224,7 +267,7 @@ def report(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COVERAGE)
     Null and empty texts hold nothing; repeated rows give repeated results; other columns aren't
     read. The templates are a parameter; their index is broadcast.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(templates, least))
     kind = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

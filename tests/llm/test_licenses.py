@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,35 @@ def test_a_changed_word_hides_no_short_template():
     found = licenses.find(licenses.Index(), pa.array(["Released under the MIT Licence", "Unlicensed"]))
     assert [[m.license for m in f] for f in found] == [["MIT"], []]
     assert len(licenses.find(licenses.Index((("U", "Unlicensed"),)), pa.array(["a Unlicensed b"]))[0]) == 1
+
+
+def test_winnowed_templates_are_found():
+    """Of long templates that must be there nearly whole a winnowed index finds what a full one does."""
+    draw = random.Random(7)
+    long = tuple((f"L{k}", " ".join(f"v{draw.randrange(300)}" for _ in range(n))) for k, n in enumerate((300, 500)))
+    few, every = licenses.Index(long, 0.95), licenses.Index(long, 0.8)
+    assert licenses.stretch_for(300, 0.95) > 1 and licenses.stretch_for(300, 0.8) == licenses.stretch_for(5, 0.95) == 1
+    assert sum(len(k[0]) for k in few.keys.values()) < 0.7 * sum(len(k[0]) for k in every.keys.values())
+    found = 0
+    for name, text in long * 8:
+        w = text.split()
+        for _ in range(draw.randrange(len(w) // 30)):
+            at = draw.randrange(len(w))
+            w[at : at + draw.randint(0, 1)] = draw.choice([[], ["zz"], ["zz", "yy"]])
+        body = pa.array([" ".join(["a", "b", *w, "c"])])
+        ours, full = (licenses.find(index, body, 0.95)[0] for index in (few, every))
+        assert ours == full
+        found += len(ours)
+    assert found >= 10
+
+
+def test_many_repeats_cost_their_number():
+    line = "Released under the MIT License."
+    texts = [pa.array([" ".join([line] * n)]) for n in (1000, 4000)]
+    index, took = licenses.Index(), []
+    for text, n in zip(texts, (1000, 4000)):
+        start = time.process_time()
+        found = licenses.find(index, text)[0]
+        took.append(time.process_time() - start)
+        assert [(m.start, m.end) for m in found] == [(5 * k, 5 * k + 5) for k in range(n)]
+    assert took[1] < 8 * took[0] + 0.5
