@@ -27,6 +27,8 @@ RULES = (
 SAMPLE_ROWS = 20_000
 #: Host endings with statistics that are broadcast; more are joined in so many salted copies.
 BROADCAST_ENDINGS, SALTS = 100_000, 16
+#: Parts of the labelled URLs; the rate of an ending that a tree learns from leaves out the row's own part.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = (
@@ -123,6 +125,22 @@ class UrlModel:
         return scored.select(*urls.columns, vector_to_array("probability")[1].alias("block_score"))
 
 
+def _fold():
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
+def _out_of_fold(sample: DataFrame, counts: DataFrame, rate: float) -> DataFrame:
+    """The sample with the rate of each row's ending over all rows but those of its own fold, so that
+    no row's label is in its features. ``counts``: ending, fold, b, n."""
+    whole = counts.groupBy("ending").agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+    others = counts.join(whole, "ending").select(
+        "ending", "fold", ((F.col("all_b") - F.col("b") + 5 * rate) / (F.col("all_n") - F.col("n") + 5)).alias("ending_rate")
+    )
+    rows = sample.withColumns({"ending": _ending(F.col("host")), "fold": _fold()}).join(others, ["ending", "fold"], "left")
+    ready = rows.withColumn("ending_rate", F.coalesce("ending_rate", F.lit(rate))).drop("ending", "fold")
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(ready)
+
+
 def _assembled(rows: DataFrame, endings: DataFrame, rate: float) -> DataFrame:
     ending = _ending(F.col("host"))
     if endings.count() <= BROADCAST_ENDINGS:
@@ -140,8 +158,9 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 20, depth:
     ``rows`` different URLs, those with the smallest hashes; the statistics of host endings are part
     of the model and count all labelled rows."""
     labelled = labelled.where("label IS NOT NULL")
-    ends = labelled.groupBy(_ending(F.col("host")).alias("ending")).agg(F.sum("label").alias("b"), F.count("*").alias("n"))
-    ends = stored(ends)
+    counts = labelled.groupBy(_ending(F.col("host")).alias("ending"), _fold().alias("fold"))
+    counts = stored(counts.agg(F.sum("label").alias("b"), F.count("*").alias("n")))
+    ends = counts.groupBy("ending").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
     sums = ends.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
     rate = sums["b"] / sums["n"] if sums["n"] else 0.0
     if rate in (0.0, 1.0):
@@ -152,7 +171,7 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 20, depth:
         sample.unpersist()
         return UrlModel(None, None, rate)
     endings = ends.select("ending", ((F.col("b") + 5 * rate) / (F.col("n") + 5)).alias("ending_rate"))
-    ready = _assembled(sample, endings, rate)
+    ready = _out_of_fold(sample, counts, rate)
     fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7).fit(ready)
     sample.unpersist()
     return UrlModel(fitted, endings, rate)

@@ -71,6 +71,21 @@ def test_trees_on_held_out_urls(spark):
     assert np.mean([(r.block_score >= 0.5) == bool(r.label) for r in held]) > 0.97
 
 
+def test_trees_on_held_out_endings(spark):
+    """Endings that occur once say nothing of others, though they know their own label."""
+    draw = random.Random(12)
+    rows = []
+    for k in range(900):
+        bad = int(draw.random() < 0.5)
+        name = "".join(draw.choices("abcdefgh", k=10))
+        rows.append((k, f"http://{name}.e{k}/" + (f"p{draw.randint(1000, 99999)}?a=1&b=2" if bad else "articles/one/two/"), bad))
+    frame = spark.createDataFrame(rows, "page_id long, url string, label int")
+    frame = frame.withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    model = urls.learn(frame.where("page_id % 3 != 0"), trees=5)
+    held = model.score(frame.where("page_id % 3 = 0")).collect()
+    assert np.mean([(r.block_score >= 0.5) == bool(r.label) for r in held]) > 0.97
+
+
 def test_statistics_count_all_rows_and_copies_do_not_fill_the_sample(spark, monkeypatch):
     draw = random.Random(8)
     urls_of = [(f"http://{''.join(draw.choices('abcdefgh', k=8))}.e{k % 1500}.io/", int(k % 1500 < 700)) for k in range(3000)]
