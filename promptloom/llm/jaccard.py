@@ -13,9 +13,10 @@ all its shingles as well). Which shingles count as frequent changes the work, ne
 
 Sets that share a name are pairs to be counted. The overlap of a pair is counted in each fragment of
 the order on its own, by (pair, fragment) in separate tasks, and summed by pair; no task sees a whole
-group. First every holder of a name is counted with its first holder. What is linked so is one
-component, and only under names whose holders are not yet in one component are holders of different
-components counted as well. So a group of near copies costs its size, not its square, as far as its
+group. First every document is counted with the hub (the first holder of a name) that it shares most
+names with. What is linked so is one
+component; it is counted with its other hubs, and under names whose holders are not yet in one component
+with all holders of other components, only as far as that is needed. So a group of near copies costs its size, not its square, as far as its
 members link with its first one or with each other's neighbours; a pair that shares a name and is not
 in one component is counted, whatever their number, so no link between components is left out.
 """
@@ -193,7 +194,8 @@ def frequent_shingles(described: DataFrame, most: int = FREQUENT_MOST) -> np.nda
 
 
 def shared_fragments(docs: DataFrame, frequent: np.ndarray, size: int, similarity: int) -> DataFrame:
-    """(key, owner): documents that look for sets like theirs under the same name."""
+    """(key, owner, hub): documents that look for sets like theirs under the same name; all that hold
+    a name are tied to its smallest holder by their hubs."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def keys_of(batch: pa.RecordBatch):
@@ -285,6 +287,15 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int =
     return sums.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
 
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    for end in ("a", "b"):
+        own = joined.select(F.col("node").alias(f"node_{end}"), F.col("component").alias(f"component_{end}"))
+        pairs = pairs.join(own, F.col(end) == F.col(f"node_{end}"), "left")
+    ends = [F.coalesce(f"component_{end}", end) for end in ("a", "b")]
+    return pairs.where(ends[0] != ends[1]).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = SHINGLE,
@@ -315,30 +326,38 @@ def near_duplicates(
     # Documents stand for the first of their equals; one with several texts for all it is equal to.
     others = member.where("doc_id != first").select("doc_id").distinct()
     moved = member.join(others, "doc_id", "left_semi").distinct().select(F.col("doc_id").alias("moved"), "first")
-    named = shared_fragments(texts, frequent, size, similarity).join(moved, F.col("owner") == F.col("moved"), "left")
-    held = stored(named.select("key", F.coalesce("first", "owner").alias("node")).distinct())
+    named = shared_fragments(texts, frequent, size, similarity)
+    for column in ("owner", "hub"):
+        firsts = moved.withColumnsRenamed({"moved": f"{column}_moved", "first": f"{column}_first"})
+        named = named.join(firsts, F.col(column) == F.col(f"{column}_moved"), "left")
+    held = stored(named.select("key", F.coalesce("owner_first", "owner").alias("node"), F.coalesce("hub_first", "hub").alias("hub")))
     nodes = held.select(F.col("node").alias("wanted")).distinct()
     wanted = texts.join(nodes, F.col("doc_id") == F.col("wanted"), "left_semi")
     sets = stored(segments(wanted.withColumnRenamed("doc_id", "node"), size))
 
-    # First each holder of a name with the first holder: this connects most of what is linked.
-    hubs = held.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
-    tied = held.join(hubs, "key").where("node > b").select(F.col("node").alias("a"), "b").distinct()
-    tied = stored(tied)
-    links = stored(linked(tied, sets, similarity, hub_pairs))
+    # First every document with the hub it shares most names with: this connects most of what is linked.
+    ends = [F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")]
+    ties = stored(held.where("node != hub").groupBy(*ends).agg(F.count("*").alias("times")))
+    best = F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best")
+    first = stored(ties.groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b")))
+    links = stored(linked(first, sets, similarity, hub_pairs))
+    joined = components(links)
+    # Then with its other hubs, if these are not in its component yet.
+    others = _apart(ties.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
+    links = stored(links.unionByName(linked(stored(others), sets, similarity, hub_pairs)))
     joined = components(links)
     # Then, under names whose holders are not yet one component, holders of different ones.
     state = held.join(joined.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left")
     state = state.select("key", "node", F.coalesce("component", "node").alias("component"))
     apart = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stored(state.join(apart, "key", "left_semi"))
+    left = state.join(apart, "key", "left_semi").distinct()
     spread = sets.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     sized = stored(left.join(spread, "node"))
     x, y = sized.alias("x"), sized.alias("y")
     near = (100 * F.col("x.most") >= similarity * F.col("y.least")) & (100 * F.col("y.most") >= similarity * F.col("x.least"))
     rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & near)
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = stored(rest.join(tied, ["a", "b"], "left_anti"))
+    rest = stored(rest.join(ties, ["a", "b"], "left_anti"))
     more = stored(linked(rest, sets, similarity, hub_pairs))
     known = joined.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     connected = components(known.unionByName(more).unionByName(equal))

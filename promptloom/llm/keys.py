@@ -191,17 +191,21 @@ def held(entries: DataFrame, later: bool) -> DataFrame:
 
 
 def shared(entries: DataFrame) -> DataFrame:
-    """(key, owner) of the keys that several owners hold; owners more than once, if batches repeat."""
+    """(key, owner, hub) of the keys that several owners hold: the hub is the smallest owner of the
+    key, or of the batch, which is tied to the smallest itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches):
-            keys, owners, _, several = _leaders(rows)
+            keys, owners, least, several = _leaders(rows)
             rest = [r for r in rows if r["leaders"]]
-            keys = np.concatenate([keys[several], _joined(rest, "keys", np.uint64)]).view(np.int64)
-            owners = np.concatenate([owners[several], _joined(rest, "owners", np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "owner"])
+            columns = (
+                np.concatenate([keys[several], _joined(rest, "keys", np.uint64)]).view(np.int64),
+                np.concatenate([owners[several], _joined(rest, "owners", np.int64)]),
+                np.concatenate([least[several], _joined(rest, "leaders", np.int64)]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "owner", "hub"])
 
-    return _by_shard(entries, run, "key long, owner long")
+    return _by_shard(entries, run, "key long, owner long, hub long")
 
 
 class Found:
@@ -220,12 +224,25 @@ class Found:
         return self.keys[lo:hi]
 
 
-def meet(docs: DataFrame, owner: str, found: DataFrame, run: Callable, schema: str) -> DataFrame:
+#: Bytes of text of a group of documents that one call holds, on average.
+GROUP_BYTES = 32 << 20
+
+
+def salts_for(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
+    """In how many groups the documents of a bucket are to be dealt out."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // (buckets_of(docs) * group_bytes)))
+
+
+def meet(docs: DataFrame, owner: str, found: DataFrame, run: Callable, schema: str, salts: int = 1) -> DataFrame:
     """Rows of ``run(batch, found)`` for all batches of (owner, text), each with what ``held`` has
-    found for their owners. Rows without an owner are spread by their text and find nothing."""
+    found for their owners. Rows without an owner are spread by their text and find nothing. The
+    rows of a bucket, those of one owner too, are dealt out to ``salts`` groups by their content and
+    place; what was found for the bucket goes to each."""
     buckets = buckets_of(docs)
     by_owner = F.pmod(F.col(owner), F.lit(buckets))
     bucket = F.coalesce(by_owner, F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("int")
+    salt = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
 
     def together(texts: pa.Table, rows: pa.Table) -> pa.Table:
         own = Found(rows)
@@ -233,8 +250,9 @@ def meet(docs: DataFrame, owner: str, found: DataFrame, run: Callable, schema: s
         return pa.Table.from_batches([p for p in parts if p is not None], schema=empty)
 
     empty = to_arrow_schema(_parse_datatype_string(schema))
-    texts = docs.select(bucket.alias("bucket"), owner, "text")
-    return texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(together, schema)
+    texts = docs.select(bucket.alias("bucket"), salt.alias("salt"), owner, "text")
+    everywhere = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0))
+    return texts.groupBy("bucket", "salt").cogroup(everywhere.groupBy("bucket", "salt")).applyInArrow(together, schema)
 
 
 def links(entries: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def _flagged(words: Words, names: np.ndarray, starts: np.ndarray, ids: pa.Array,
     return flags
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, group_bytes: int = keys.GROUP_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of every row of ``docs``.
 
     A word is removed if a window of 13 words over it, its words in the same order, also begins in a
@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     take none from others. Other columns aren't read; an empty table gives an empty one.
     """
     texts = docs.select("doc_id", "text")
-    shards = keys.shards_of(docs)
+    shards, salts = keys.shards_of(docs), keys.salts_for(texts, group_bytes)
 
     def candidates(batch: pa.RecordBatch, found: keys.Found) -> pa.RecordBatch | None:
         def keys_of(own: pa.RecordBatch):
@@ -146,7 +146,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return keys.pack_pairs(batch, "doc_id", keys_of, shards)
 
     shared = stored(keys.held(keys.pairs(texts, "doc_id", _anchor_keys), later=False))
-    later = stored(keys.held(keys.meet(texts, "doc_id", shared, candidates, keys.SCHEMA), later=True))
+    later = stored(keys.held(keys.meet(texts, "doc_id", shared, candidates, keys.SCHEMA, salts), later=True))
     discard(shared)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
@@ -174,4 +174,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             names.append("kept")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return keys.meet(texts, "doc_id", later, cleaned, schema)
+    return keys.meet(texts, "doc_id", later, cleaned, schema, salts)

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from promptloom.llm import repeats
+from promptloom.llm import keys, repeats
 from promptloom.llm.queries import QUERIES
 from promptloom.llm.words import WHITE, Words
 
@@ -89,6 +89,15 @@ def test_shared_passages(spark):
         assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in ours.collect())
 
 
+def test_buckets_in_many_groups(spark):
+    """Rows of one bucket, and of one id, lie in several groups."""
+    rows = list(enumerate(passages(4, list("abcdefgh"), 60)))
+    rows += [(7, t) for _, t in rows[10:30]] + [(7, rows[3][1])] * 5 + [(None, rows[0][1])]
+    docs = table(spark, rows).repartition(4)
+    assert keys.salts_for(docs, 50) > 3
+    assert rows_of(repeats.remove_repeats(docs, group_bytes=50), *NAMES) == expected(rows)
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(table(spark, [])).count() == 0
     rows = [(1, None), (2, ""), (3, "a b")]
