@@ -66,9 +66,12 @@ def held(values: Sequence) -> Column:
 # ------------------------------------------------------------------- one draw per row
 # Draws are SQL text, so that building one is a single call of the JVM.
 def _name(key: Column | str) -> str:
+    """SQL text of a key: a column, or a number."""
     name = key if isinstance(key, str) else key._jc.toString()
+    if name.lstrip("-").isdigit():
+        return name
     if not name.replace("_", "a").isalnum():
-        raise ValueError(f"draws need a column as their key, not an expression: {name}")
+        raise ValueError(f"draws need a column or a number as their key, not an expression: {name}")
     return f"`{name}`"
 
 
