@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from promptloom.llm import keys
 from promptloom.llm.components import components
 from promptloom.llm.words import HALF_BATCH_BYTES, WHITE, Words, mix, pack, sequence_hashes, slices, unpack
-from promptloom.session import stored
+from promptloom.session import discard, stored
 
 #: Words of a shingle, and the similarity that links, in hundredths.
 SHINGLE, SIMILARITY = 4, 85
@@ -41,6 +41,8 @@ SHINGLE, SIMILARITY = 4, 85
 FREQUENT_SHARE, FREQUENT_MOST = 0.004, 50_000
 #: Fragments in which overlaps are counted: 2 ** 2 ranges of the global order.
 FRAGMENT_BITS = 2
+#: Documents that stand for others, with these (16 bytes a row), that are broadcast; more are joined.
+BROADCAST_MOVED = 500_000
 #: Pairs of one node that are counted under one key, on average.
 HUB_PAIRS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -325,7 +327,9 @@ def near_duplicates(
 
     # Documents stand for the first of their equals; one with several texts for all it is equal to.
     others = member.where("doc_id != first").select("doc_id").distinct()
-    moved = member.join(others, "doc_id", "left_semi").distinct().select(F.col("doc_id").alias("moved"), "first")
+    moved = stored(member.join(others, "doc_id", "left_semi").distinct().select(F.col("doc_id").alias("moved"), "first"))
+    if moved.count() <= BROADCAST_MOVED:
+        moved = F.broadcast(moved)
     named = shared_fragments(texts, frequent, size, similarity)
     for column in ("owner", "hub"):
         firsts = moved.withColumnsRenamed({"moved": f"{column}_moved", "first": f"{column}_first"})
@@ -353,11 +357,13 @@ def near_duplicates(
     left = state.join(apart, "key", "left_semi").distinct()
     spread = sets.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     sized = stored(left.join(spread, "node"))
+    discard(held)
     x, y = sized.alias("x"), sized.alias("y")
     near = (100 * F.col("x.most") >= similarity * F.col("y.least")) & (100 * F.col("y.most") >= similarity * F.col("x.least"))
     rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & near)
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     rest = stored(rest.join(ties, ["a", "b"], "left_anti"))
+    discard(sized, ties)
     more = stored(linked(rest, sets, similarity, hub_pairs))
     known = joined.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     connected = components(known.unionByName(more).unionByName(equal))
