@@ -24,6 +24,7 @@ in one component is counted, whatever their number, so no link between component
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,14 +268,6 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int =
     pairs go to several keys, each with a bounded number of its pairs."""
     times = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / hub_pairs).alias("salts"))
     dealt = pairs.join(times, F.col("b") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
-    mine = sets.select(F.col("node").alias("a"), F.col("name").alias("x"), F.col("n").alias("n_a"), "fragment", F.col("hashes").alias("own"))
-    theirs = times.join(sets, F.col("hub") == F.col("node")).select(
-        F.col("node").alias("b"), F.col("name").alias("y"), F.col("n").alias("n_b"), "fragment", F.col("hashes").alias("other"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-    )
-    near = dealt.join(mine, "a").join(theirs, ["b", "salt", "fragment"])
-    # As similar as asked they differ little in size.
-    near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
     names = ["a", "x", "n_a", "b", "y", "n_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +277,19 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int =
                 both = pa.array(_common(part["own"], part["other"]))
                 yield pa.RecordBatch.from_arrays([*(part[n] for n in names), both], [*names, "both"])
 
-    counted = near.select(*names, "own", "other").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))
+    parts = []
+    for fragment in range(1 << FRAGMENT_BITS):  # one after another, so that one is shuffled at a time
+        some = sets.where(F.col("fragment") == fragment)
+        mine = some.select(F.col("node").alias("a"), F.col("name").alias("x"), F.col("n").alias("n_a"), F.col("hashes").alias("own"))
+        theirs = times.join(some, F.col("hub") == F.col("node")).select(
+            F.col("node").alias("b"), F.col("name").alias("y"), F.col("n").alias("n_b"), F.col("hashes").alias("other"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        )
+        near = dealt.join(mine, "a").join(theirs, ["b", "salt"])
+        # As similar as asked they differ little in size.
+        near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
+        parts.append(stored(near.select(*names, "own", "other").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))))
+    counted = reduce(DataFrame.unionByName, parts)
     sums = counted.groupBy(*names).agg(F.sum("both").alias("both"))
     return sums.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
