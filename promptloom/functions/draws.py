@@ -26,10 +26,12 @@ def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that later filters and projections read but never repeat.
 
     ``withColumns`` would do, but Catalyst copies a column's expression into every
-    filter on it that it pushes down, stage by stage. A one-row generator stops that.
+    filter on it that it pushes down, stage by stage. A condition on the partition's number,
+    true in every row, stops that; columns nobody reads are left out all the same, and its
+    lambda has Spark compile the projection piece by piece (see ``_list``).
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    here = F.exists(F.array(F.spark_partition_id()), lambda number: number >= 0)
+    return df.withColumns({name: F.when(here, column) for name, column in columns.items()})
 
 
 def text_array(values: Sequence[str]) -> Column:
@@ -147,6 +149,14 @@ def choice_width(rows: Sequence[Sequence]) -> int:
 # One md5 serves four numbers. The arrays are spelled out element by element, because
 # lambdas over arrays are interpreted and these expressions are the costly ones: keep
 # them in a projection of their own and let lambdas read the finished columns.
+def _list(parts: Sequence[str], kind: str) -> str:
+    """SQL text of an array of drawn values. A long one is joined with an empty array that a lambda makes:
+    Spark then compiles the projection in many small methods. One method for all of it, as in whole-stage
+    code, takes more than 64 KB or is too long for the JVM to optimise."""
+    array = f"array({', '.join(parts)})"
+    return array if len(parts) <= 4 else f"concat({array}, filter(array(cast(null as {kind})), v -> v is not null))"
+
+
 def _blocks(seed: int, key: Column | str, slot: str, count: int) -> list[str]:
     return [digest_sql(seed, key, slot, str(j)) for j in range(count)]
 
@@ -159,7 +169,7 @@ def digests(seed: int, key: Column | str, slot: str, count: int) -> Column:
 def numbers(seed: int, key: Column | str, slot: str, count: int) -> Column:
     """``count`` 32-bit numbers."""
     blocks = _blocks(seed, key, slot, (count + 3) // 4)
-    return F.expr("array(" + ", ".join(number_sql(blocks[k // 4], 1 + 8 * (k % 4)) for k in range(count)) + ")")
+    return F.expr(_list([number_sql(blocks[k // 4], 1 + 8 * (k % 4)) for k in range(count)], "bigint"))
 
 
 def sort_keys(seed: int, key: Column | str, slot: str, count: int) -> Column:
@@ -167,7 +177,7 @@ def sort_keys(seed: int, key: Column | str, slot: str, count: int) -> Column:
     width = max(3, len(str(count - 1)))
     blocks = _blocks(seed, key, slot, (count + 3) // 4)
     parts = [f"concat(substring({blocks[k // 4]}, {1 + 8 * (k % 4)}, 8), '{k:0{width}d}')" for k in range(count)]
-    return F.expr(f"array({', '.join(parts)})")
+    return F.expr(_list(parts, "string"))
 
 
 def rest(number: Column, divisor: int) -> Column:
