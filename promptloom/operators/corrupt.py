@@ -529,6 +529,15 @@ def sanity_violations(pairs: DataFrame) -> DataFrame:
     return with_changes(pairs).where(~kept_promise())
 
 
+def violation_counts(pairs: DataFrame) -> DataFrame:
+    """Per feature: the rows of :func:`sanity_violations` and all rows, in one pass."""
+    return (
+        with_changes(pairs)
+        .groupBy("feature_name")
+        .agg(F.count_if(~kept_promise()).alias("violations"), F.count("*").alias("candidates"))
+    )
+
+
 def _sides() -> dict[str, Column]:
     """Prompt and answer of both sides; each corrupt text where there is one, else the clean one."""
     english = F.coalesce("corrupt_english_prompt", "english_prompt")

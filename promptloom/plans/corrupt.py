@@ -110,11 +110,7 @@ def corrupt_sanity(spark, sf):
         "feature_name", "english_prompt", "create_statement", "sql_statement",
         "corrupt_english_prompt", "corrupt_create_statement", "corrupt_sql_statement",
     )
-    bad = C.sanity_violations(rows).groupBy("feature_name").agg(F.count("*").alias("violations"))
-    every = rows.groupBy("feature_name").agg(F.count("*").alias("candidates"))
-    return every.join(bad, "feature_name", "left").select(
-        "feature_name", F.coalesce("violations", F.lit(0)).alias("violations"), "candidates"
-    )
+    return C.violation_counts(rows)
 
 
 @check(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from promptloom.functions.draws import numbers, with_computed
+from promptloom.operators import corrupt as C
 from promptloom.operators.generate import generate_items
 
 
@@ -26,3 +27,14 @@ def test_many_draws_are_no_single_method(spark):
     plan = plan_of(df)
     assert not any(line.lstrip(" +-:").startswith("*") and "md5" in line for line in plan.splitlines())
     assert [len(r.n) for r in df.collect()] == [12] * 3
+
+
+def test_violations_are_counted_in_one_pass(spark):
+    rows = C.corrupt_candidates(spark.range(20).withColumnRenamed("id", "item_id"), ("DefWhereField1", "EngTableName"))
+    counts = C.violation_counts(rows)
+    assert plan_of(counts).count("Range (") == plan_of(rows).count("Range (")
+    bad = {r.feature_name: r["count"] for r in C.sanity_violations(rows).groupBy("feature_name").count().collect()}
+    every = {r.feature_name: r["count"] for r in rows.groupBy("feature_name").count().collect()}
+    assert {r.feature_name: (r.violations, r.candidates) for r in counts.collect()} == {
+        name: (bad.get(name, 0), n) for name, n in every.items()
+    }
