@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from promptloom.functions.draws import numbers, with_computed
+from promptloom.functions.text import BLANKS
 from promptloom.operators import corrupt as C
 from promptloom.operators.generate import generate_items
 
@@ -38,3 +39,25 @@ def test_violations_are_counted_in_one_pass(spark):
     assert {r.feature_name: (r.violations, r.candidates) for r in counts.collect()} == {
         name: (bad.get(name, 0), n) for name, n in every.items()
     }
+
+
+def test_edits_are_columns_before_they_become_rows(spark):
+    rows = C.corrupt_candidates(spark.range(5).withColumnRenamed("id", "item_id"), ("DefTableName", "DefFieldName"))
+    generators = [line for line in plan_of(rows).splitlines() if "Generate inline(" in line]
+    assert generators and all("md5" not in line and "replace(" not in line for line in generators)
+
+
+def test_prepared_prompts_give_the_same_lengths_and_views(spark):
+    ids, features = spark.range(30).withColumnRenamed("id", "item_id"), ("EngTableName", "DefFieldName", "DefWhereField1")
+    pairs = C.corrupt_items(ids, features)
+    for job, prepare in ((C.length_check, C.with_clean_length), (C.both_views, C.with_clean_prompt)):
+        once = job(C.corrupt_items(ids, features, prepare=prepare)).collect()
+        assert sorted(once) == sorted(job(pairs).collect()) and once
+
+
+def test_blanks_are_the_listed_ones(spark):
+    blanks = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+    every = spark.createDataFrame([(chr(c),) for c in range(1, 0x3100)], "c string")
+    assert every.where(F.regexp_replace("c", blanks, "#") != F.regexp_replace("c", BLANKS, "#")).isEmpty()
+    # a visible character is ruled out first
+    assert BLANKS.startswith("[[^!-~]&&")
