@@ -21,12 +21,18 @@ from promptloom.llm.words import BATCH_BYTES, pack, slices, unpack
 
 SCHEMA = "shard int, keys binary, owners binary, leaders binary, followed binary"
 _NAMES = ["shard", "keys", "owners", "leaders", "followed"]
-#: Shards for each shuffle partition: a task holds one at a time, and partitions come out even.
+#: Shards for each shuffle partition, at most: a task holds one at a time, and partitions come out even.
 SHARDS_PER_PARTITION = 8
+#: Bytes of text behind a shard: each batch has a row for each shard, so small tables get fewer of them.
+SHARD_BYTES = 4 << 20
 
 
-def shards_of(df: DataFrame) -> int:
-    return SHARDS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shards_of(df: DataFrame, text_bytes: int | None = None) -> int:
+    """Shards of keys: one for each ``SHARD_BYTES`` of text, but one for each shuffle partition at
+    least and ``SHARDS_PER_PARTITION`` at most; the most where the size of the text isn't known."""
+    partitions = _partitions(df)
+    most = SHARDS_PER_PARTITION * partitions
+    return most if text_bytes is None else min(most, max(partitions, -(-text_bytes // SHARD_BYTES)))
 
 
 def _groups(values: np.ndarray) -> np.ndarray:
@@ -68,9 +74,9 @@ def pack_pairs(batch: pa.RecordBatch, owner: str, keys_of: Callable, shards: int
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], _NAMES)
 
 
-def pairs(docs: DataFrame, owner: str, keys_of: Callable, most: int = BATCH_BYTES) -> DataFrame:
+def pairs(docs: DataFrame, owner: str, keys_of: Callable, most: int = BATCH_BYTES, shards: int | None = None) -> DataFrame:
     """Packed pairs of all batches of (owner, text), of ``most`` bytes of text; see ``pack_pairs``."""
-    shards = shards_of(docs)
+    shards = shards or shards_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=most):
@@ -228,9 +234,13 @@ class Found:
 GROUP_BYTES = 32 << 20
 
 
-def salts_for(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
-    """In how many groups the documents of a bucket are to be dealt out."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_bytes_of(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def salts_for(docs: DataFrame, group_bytes: int = GROUP_BYTES, total: int | None = None) -> int:
+    """In how many groups the documents of a bucket are to be dealt out; ``total``: bytes of text, if known."""
+    total = text_bytes_of(docs) if total is None else total
     return max(1, -(-total // (buckets_of(docs) * group_bytes)))
 
 

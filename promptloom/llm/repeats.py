@@ -134,7 +134,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, group_bytes: int =
     take none from others. Other columns aren't read; an empty table gives an empty one.
     """
     texts = docs.select("doc_id", "text")
-    shards, salts = keys.shards_of(docs), keys.salts_for(texts, group_bytes)
+    total = keys.text_bytes_of(texts)
+    shards, salts = keys.shards_of(docs, total), keys.salts_for(texts, group_bytes, total)
 
     def candidates(batch: pa.RecordBatch, found: keys.Found) -> pa.RecordBatch | None:
         def keys_of(own: pa.RecordBatch):
@@ -145,7 +146,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, group_bytes: int =
 
         return keys.pack_pairs(batch, "doc_id", keys_of, shards)
 
-    shared = stored(keys.held(keys.pairs(texts, "doc_id", _anchor_keys), later=False))
+    shared = stored(keys.held(keys.pairs(texts, "doc_id", _anchor_keys, shards=shards), later=False))
     later = stored(keys.held(keys.meet(texts, "doc_id", shared, candidates, keys.SCHEMA, salts), later=True))
     discard(shared)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text

@@ -113,3 +113,17 @@ def test_query(spark, sf):
 
 def test_texts_are_nasty():
     assert None in nasty_texts() and "" in nasty_texts()
+
+
+def test_rows_of_packed_pairs_follow_the_text_not_the_square_of_partitions(spark):
+    docs = table(spark, [(k, " ".join(f"w{k % 7}x{j}" for j in range(300))) for k in range(40)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        shards = keys.shards_of(docs, keys.text_bytes_of(docs))
+        assert shards == 16 and keys.shards_of(docs, 40 * keys.SHARD_BYTES) == 40
+        assert keys.shards_of(docs, 1 << 50) == keys.shards_of(docs) == 128
+        got = rows_of(repeats.remove_repeats(docs), *NAMES)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got, key=repr) == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
