@@ -62,3 +62,13 @@ def test_ids_and_text(spark):
     rows = bpe.encode_documents(table(spark, [(1, "Hello there"), (2, None)]), PATH, with_ids=True).orderBy("doc_id").collect()
     assert rows[0].ids == by_library(["Hello there"])[0][0] and rows[0].decoded == "Hello there"
     assert rows[1].ids == [] and rows[1].decoded == ""
+
+
+def test_batches_are_bounded_in_bytes(monkeypatch):
+    texts = ["word " * 60_000] * 20 + ["a" * 3_000_000, None, "b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    seen = []
+    monkeypatch.setattr(bpe, "encode_batch", lambda encoder, some: seen.append(some) or [(0, "", b"")] * len(some))
+    rows = [i for part, done in bpe.encoded(None, [batch]) for i, _ in zip(part["doc_id"].to_pylist(), done)]
+    assert rows == list(range(len(texts)))
+    assert all(len(some) == 1 or sum(len(t or "") for t in some.to_pylist()) <= 2 << 20 for some in seen)
