@@ -183,18 +183,38 @@ def digests(seed: int, key: Column | str, slot: str, count: int) -> Column:
     return F.expr(f"array({', '.join(_blocks(seed, key, slot, count))})")
 
 
-def numbers(seed: int, key: Column | str, slot: str, count: int) -> Column:
-    """``count`` 32-bit numbers."""
-    blocks = _blocks(seed, key, slot, (count + 3) // 4)
-    return F.expr(_list([number_sql(blocks[k // 4], 1 + 8 * (k % 4)) for k in range(count)], "bigint"))
+def block_columns(seed: int, key: Column | str, slot: str, count: int) -> dict[str, Column]:
+    """The digests that ``count`` numbers or sort keys of a slot are read from, as columns of an earlier projection."""
+    return {f"_d_{slot}_{j}": F.expr(sql) for j, sql in enumerate(_blocks(seed, key, slot, (count + 3) // 4))}
 
 
-def sort_keys(seed: int, key: Column | str, slot: str, count: int) -> Column:
-    """``count`` keys whose order is a drawn order; each ends in its index, as wide as it must be."""
+def _values(seed: int, key: Column | str, slot: str, count: int, used: str | None, kind: str, value: Callable[[str, int], str]) -> Column:
+    """An array of values read from digests. With ``used`` (SQL text: how many of them the row reads) the digests are
+    ``block_columns``, and the values behind are NULL and cost nothing."""
+    if used is None:
+        blocks = _blocks(seed, key, slot, (count + 3) // 4)
+    else:
+        blocks = [f"`{name}`" for name in block_columns(seed, key, slot, count)]
+    parts = [value(blocks[k // 4], k) for k in range(count)]
+    if used is not None:
+        parts = [f"if({k} < {used}, {part}, null)" for k, part in enumerate(parts)]
+    return F.expr(_list(parts, kind))
+
+
+def numbers(seed: int, key: Column | str, slot: str, count: int, used: str | None = None) -> Column:
+    """``count`` 32-bit numbers; NULL behind the first ``used`` of them."""
+    return _values(seed, key, slot, count, used, "bigint", lambda block, k: number_sql(block, 1 + 8 * (k % 4)))
+
+
+def sort_keys(seed: int, key: Column | str, slot: str, count: int, used: str | None = None) -> Column:
+    """``count`` keys whose order is a drawn order; each ends in its index, as wide as it must be. NULL behind the
+    first ``used`` of them."""
     width = max(3, len(str(count - 1)))
-    blocks = _blocks(seed, key, slot, (count + 3) // 4)
-    parts = [f"concat(substring({blocks[k // 4]}, {1 + 8 * (k % 4)}, 8), '{k:0{width}d}')" for k in range(count)]
-    return F.expr(_list(parts, "string"))
+
+    def value(block: str, k: int) -> str:
+        return f"concat(substring({block}, {1 + 8 * (k % 4)}, 8), '{k:0{width}d}')"
+
+    return _values(seed, key, slot, count, used, "string", value)
 
 
 def rest(number: Column, divisor: int) -> Column:

@@ -7,14 +7,12 @@ the same rows and two clusters agree.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptloom.functions import names as N
 from promptloom.functions.draws import (
-    chance, choice_width, digests, draw, draw_below, each, elements, held, hex_number, joined, let, numbers,
-    pick_short, pick_word, rest, sample_array, sample_order, sample_start, sampled, sort_keys, with_computed, word_at,
+    block_columns, chance, choice_width, digests, draw, draw_below, each, elements, held, hex_number, joined, let,
+    numbers, pick_short, pick_word, rest, sample_array, sample_order, sample_start, sampled, sort_keys, with_computed, word_at,
 )
 from promptloom.functions.text import base_type
 from promptloom.sources import schemas as S
@@ -70,45 +68,37 @@ def drawn_table(prefix: str = "") -> Column:
     return F.struct(name, synonym, F.lit(False).alias("use_synonym"))
 
 
-def field_draws(key, seed: int, vocab: Vocabulary, count: Column, bound: int, prefix: str = "") -> dict[str, Column]:
-    """What :func:`field_lookup` and :func:`draw_fields` read."""
+def field_draws(key, seed: int, vocab: Vocabulary, count: Column, bound: int, prefix: str = "") -> tuple[dict, dict]:
+    """What :func:`field_lookup` reads: numbers drawn first, and numbers that read those."""
     start, step = sample_start(len(vocab.fields), seed, key, prefix + "field")
-    return {
+    first = {
         f"_{prefix}start": start,
         f"_{prefix}step": step,
         f"_{prefix}count": count,
-        f"_{prefix}field": numbers(seed, key, prefix + "field", bound),
         f"_{prefix}tab": draw(seed, key, prefix + "table"),
         f"_{prefix}tsyn": draw(seed, key, prefix + "table_syn"),
+        **block_columns(seed, key, prefix + "field", bound),
     }
+    return first, {f"_{prefix}field": numbers(seed, key, prefix + "field", bound, f"_{prefix}count")}
 
 
-def field_lookup(bound: int, prefix: str = "") -> Column:
-    """Different vocabulary entries in drawn order."""
-    at = [f"cast(_{prefix}start as bigint) + {k} * cast(_{prefix}step as bigint)" for k in range(bound)]
-    return F.expr(f"slice(array({', '.join(lookup('fields', f'({a})') for a in at)}), 1, _{prefix}count)")
-
-
-def draw_fields(vocab: Vocabulary, table: Column, prefix: str = "") -> Column:
-    """The looked up fields, each with one type and one synonym.
+def field_lookup(vocab: Vocabulary, bound: int, prefix: str = "") -> Column:
+    """Different vocabulary entries in drawn order, each with one type and one synonym.
 
-    A field that has the table's name gets the ending ``_field``.
+    A field that has the table's name gets the ending ``_field``. Only the drawn type and synonym
+    of an entry are copied, and nothing behind the last field of the table is looked up.
     """
-    width = choice_width([f[1] for f in vocab.fields])
-
-    def one(entry: Column, number: Column) -> Column:
-        name, types, synonyms = entry["name"], entry["types"], entry["synonyms"]
-        return F.struct(
-            F.when(name == table["name"], F.concat(name, F.lit("_field")))
-            .otherwise(name)
-            .alias("name"),
-            F.get(types, (number % F.size(types)).cast("int")).alias("type"),
-            F.get(synonyms, (rest(number, width) % F.size(synonyms)).cast("int")).alias("synonym"),
-            F.lit(False).alias("use_synonym"),
-        )
-
-    entries = F.col(f"_{prefix}entries")
-    return F.zip_with(entries, first_of(F.col(f"_{prefix}field"), entries), one)
+    width = choice_width([f[1] for f in vocab.fields]).bit_length()  # see ``rest``
+    table, parts = lookup("tables", f"_{prefix}tab"), []
+    for k in range(bound):
+        row = lookup("fields", f"(cast(_{prefix}start as bigint) + {k} * cast(_{prefix}step as bigint))")
+        number = f"get(_{prefix}field, {k})"
+        name = f"if({row}.name = {table}.name, concat({row}.name, '_field'), {row}.name)"
+        kind = f"get({row}.types, cast({number} % size({row}.types) as int))"
+        synonym = f"get({row}.synonyms, cast(shiftright({number}, {width}) % size({row}.synonyms) as int))"
+        field = f"named_struct('name', {name}, 'type', {kind}, 'synonym', {synonym}, 'use_synonym', false)"
+        parts.append(f"if({k} < _{prefix}count, {field}, null)")
+    return F.expr(f"slice(array({', '.join(parts)}), 1, _{prefix}count)")
 
 
 def first_of(values: Column, like: Column) -> Column:
@@ -143,12 +133,10 @@ def with_join_side(items: DataFrame, seed: int, vocab: Vocabulary = DEFAULT) ->
     """Adds the table that set 5 joins and its fields, ``_join_table`` and ``_join_fields``, also
     where no pair of columns was found."""
     count = draw_below(MAX_JOIN_COLUMNS, seed, "item_id", "j_ncols") + 1
-    drawn = with_vocabulary(items, vocab).withColumns(
-        field_draws("item_id", seed, vocab, count, MAX_JOIN_COLUMNS, "j_")
-    )
-    found = {**table_lookup("j_"), "_j_entries": field_lookup(MAX_JOIN_COLUMNS, "j_")}
-    looked_up = without_vocabulary(with_computed(drawn, found)).withColumn("_join_table", drawn_table("j_"))
-    return looked_up.withColumn("_join_fields", draw_fields(vocab, F.col("_join_table"), "j_"))
+    first, draws = field_draws("item_id", seed, vocab, count, MAX_JOIN_COLUMNS, "j_")
+    drawn = with_vocabulary(items.withColumns(first).withColumns(draws), vocab)
+    found = {**table_lookup("j_"), "_join_fields": field_lookup(vocab, MAX_JOIN_COLUMNS, "j_")}
+    return without_vocabulary(with_computed(drawn, found)).withColumn("_join_table", drawn_table("j_"))
 
 
 # ------------------------------------------------------------------------- SELECT
@@ -162,36 +150,51 @@ def drawn_aggregate(sql_type: Column, number: Column, by_base_type: bool = False
     )
 
 
-def clause_draws(key, seed: int, bound: int, order_by: bool, where: bool) -> dict[str, Column]:
-    """Numbers and sort keys the clauses of a row read."""
+def clause_blocks(key, seed: int, bound: int, order_by: bool, where: bool) -> dict[str, Column]:
+    """Numbers and digests that :func:`clause_draws` reads where it is told how many fields a row has."""
+    slots, out = ["sel", "agg", "aphr"], {"_nsel": draw(seed, key, "nsel")}
+    if order_by:
+        slots, out = [*slots, "osel", "ophr"], out | {"_nord": draw(seed, key, "nord")}
+    for slot in [*slots, *(["wsel"] if where else [])]:
+        out |= block_columns(seed, key, slot, bound)
+    return out
+
+
+def clause_draws(key, seed: int, bound: int, order_by: bool, where: bool, fields: str | None = None) -> dict[str, Column]:
+    """Numbers and sort keys the clauses of a row read; with ``fields`` (a column: how many fields the row has, next to
+    :func:`clause_blocks`) only those that it reads."""
+    chosen, ordered = (None if fields is None else f"(1 + {n} % {fields})" for n in ("_nsel", "_nord"))
     out = {
-        "_sel": sort_keys(seed, key, "sel", bound),
-        "_nsel": draw(seed, key, "nsel"),
-        "_agg": numbers(seed, key, "agg", bound),
-        "_naphr": numbers(seed, key, "aphr", bound),
+        "_sel": sort_keys(seed, key, "sel", bound, fields),
+        "_agg": numbers(seed, key, "agg", bound, chosen),
+        "_naphr": numbers(seed, key, "aphr", bound, chosen),
     }
     if order_by:
         out |= {
-            "_osel": sort_keys(seed, key, "osel", bound),
-            "_nord": draw(seed, key, "nord"),
+            "_osel": sort_keys(seed, key, "osel", bound, fields),
             "_odir": draw(seed, key, "odir"),
-            "_nophr": numbers(seed, key, "ophr", bound),
+            "_nophr": numbers(seed, key, "ophr", bound, ordered),
         }
     if where:
         out |= {
-            "_wsel": sort_keys(seed, key, "wsel", bound),
+            "_wsel": sort_keys(seed, key, "wsel", bound, fields),
             "_nwhere": draw(seed, key, "nwhere"),
             "_wval": digests(seed, key, "wval", MAX_CONDITIONS),
         }
+    if fields is None:
+        out |= {"_nsel": draw(seed, key, "nsel")} | ({"_nord": draw(seed, key, "nord")} if order_by else {})
     return out
 
 
 def phrase_lookups(bound: int, order_by: bool) -> dict[str, Column]:
-    """For each drawn number the phrase of every aggregate, and of both directions."""
+    """For each drawn number the phrase of every aggregate, and of both directions; NULL for none."""
 
     def all_of(numbers: str, names: dict[str, str]) -> Column:
-        rows = [", ".join(f"{lookup(v, f'{numbers}[{k}]')} as `{a}`" for a, v in names.items()) for k in range(bound)]
-        return F.expr("array(" + ", ".join(f"struct({row})" for row in rows) + ")")
+        rows = []
+        for k in range(bound):
+            row = ", ".join(f"{lookup(v, f'{numbers}[{k}]')} as `{a}`" for a, v in names.items())
+            rows.append(f"if({numbers}[{k}] is null, null, struct({row}))")
+        return F.expr("array(" + ", ".join(rows) + ")")
 
     out = {"_aphr": all_of("_naphr", {agg: agg for agg in AGGREGATES})}
     if order_by:
@@ -444,9 +447,14 @@ def english_join(other: Column, pair: Column) -> Column:
 
 
 # --------------------------------------------------------------------- command sets
-def generate_items(
+def generate_items(ids: DataFrame, csn: int, seed: int = 7, **options) -> DataFrame:
+    """Items of one command set (1 select, 2 order by, 3 aggregates, 4 where, 5 join); see :func:`generate_sets`."""
+    return generate_sets(ids, (csn,), seed, **options)
+
+
+def generate_sets(
     ids: DataFrame,
-    csn: int,
+    csns: tuple[int, ...],
     seed: int = 7,
     *,
     id_col: str = "item_id",
@@ -460,105 +468,130 @@ def generate_items(
     use_synonyms_field: bool = False,
     aggregates_by_base_type: bool = False,
     vocab: Vocabulary = DEFAULT,
+    columns: tuple[str, ...] = tuple(S.ITEM_COLUMNS),
 ) -> DataFrame:
-    """Items of one command set (1 select, 2 order by, 3 aggregates, 4 where, 5 join).
+    """Items of several command sets, one item per id and set. Sets draw the same numbers for an id, so
+    they share its table and clauses, and each set is a row made from them in place.
 
     Sets 2-4 place ORDER BY on the first ``order_by_probability`` of the rows by
     index when ``total`` is given (ids 0 .. total-1), else by a draw per row; set 5
     always draws. ``use_aggregates`` reaches set 2 only; set 3 always has them.
     """
-    if csn not in (1, 2, 3, 4, 5):
-        raise ValueError(f"unknown command set: {csn}")
+    if not csns or any(csn not in (1, 2, 3, 4, 5) for csn in csns):
+        raise ValueError(f"unknown command set: {csns}")
     if not 1 <= min_cols <= max_cols <= len(vocab.fields):
         raise ValueError("need 1 <= min_cols <= max_cols <= number of fields")
-    aggregates = csn == 3 or (csn == 2 and use_aggregates)
+    top = max(csns)
+    with_aggregates = {csn: csn == 3 or (csn == 2 and use_aggregates) for csn in csns}
     key, table, fields = "item_id", F.col("_table"), F.col("table_fields")
     count = draw_below(max_cols - min_cols + 1, seed, key, "ncols") + min_cols
 
     # All numbers a row draws, what they fall on in the vocabulary, then its table; the clauses
     # read finished columns.
-    draws = {
-        **field_draws(key, seed, vocab, count, max_cols),
-        **clause_draws(key, seed, max_cols, order_by=csn > 1, where=csn > 3),
-        "_ntpl": draw(seed, key, "tpl"),
-    }
+    first, draws = field_draws(key, seed, vocab, count, max_cols)
+    first |= clause_blocks(key, seed, max_cols, order_by=top > 1, where=top > 3)
+    draws |= clause_draws(key, seed, max_cols, order_by=top > 1, where=top > 3, fields="_count")
+    draws["_ntpl"] = draw(seed, key, "tpl")
     found = {
         **table_lookup(),
-        "_entries": field_lookup(max_cols),
+        "table_fields": field_lookup(vocab, max_cols),
         "_template": F.expr(lookup("templates", "_ntpl")),
-        **phrase_lookups(max_cols, csn > 1),
+        **phrase_lookups(max_cols, top > 1),
     }
-    if csn == 5:
+    if top == 5:
         other_count = draw_below(MAX_JOIN_COLUMNS, seed, key, "j_ncols") + 1
         draws["_j_pair"] = draw(seed, key, "j_pair")
-        draws |= field_draws(key, seed, vocab, other_count, MAX_JOIN_COLUMNS, "j_")
-        found |= {**table_lookup("j_"), "_j_entries": field_lookup(MAX_JOIN_COLUMNS, "j_")}
-    drawn = with_vocabulary(ids.select(F.col(id_col).alias("item_id")), vocab).withColumns(draws)
+        for mine, own in zip((first, draws), field_draws(key, seed, vocab, other_count, MAX_JOIN_COLUMNS, "j_")):
+            mine |= own
+        found |= {**table_lookup("j_"), "_join_fields": field_lookup(vocab, MAX_JOIN_COLUMNS, "j_")}
+    drawn = with_vocabulary(ids.select(F.col(id_col).alias("item_id")).withColumns(first).withColumns(draws), vocab)
     items = without_vocabulary(with_computed(drawn, found)).withColumn("_table", drawn_table())
-    if csn == 5:
+    if top == 5:
         items = items.withColumn("_join_table", drawn_table("j_"))
-    tables = {"table_fields": draw_fields(vocab, table)}
-    if csn == 5:
-        tables["_join_fields"] = draw_fields(vocab, F.col("_join_table"), "j_")
-    items = with_computed(items, tables)
 
     # Clauses: each draws from the table's own fields.
     as_synonym = draw_below(10, seed, key, "use_tsyn") < 8 if use_synonyms_table else F.lit(False)
+    kinds = sorted(set(with_aggregates.values()))
     clauses = {
         "create_statement": create_statement(table, fields),
-        "select": draw_select(fields, aggregates, use_synonyms_field, aggregates_by_base_type),
         "table_name": F.struct(
             table["name"].alias("name"),
             table["synonym"].alias("synonym"),
             as_synonym.alias("use_synonym"),
         ),
-        "order_by": F.lit(None).cast(f"array<{S.ORDER}>"),
     }
-    if csn > 1:
+    for rich in kinds:
+        clauses[f"_select_{rich}"] = draw_select(fields, rich, use_synonyms_field, aggregates_by_base_type)
+    by_index = {csn: total is not None and csn != 5 for csn in csns if csn > 1}
+    for indexed in sorted(set(by_index.values())):
         has_order = (
             F.col("item_id") < F.lit(total * order_by_probability)
-            if total is not None and csn != 5
+            if indexed
             else chance(order_by_probability, seed, key, "has_order")
         )
-        clauses["order_by"] = F.when(has_order, draw_order(fields)).otherwise(empty_array(S.ORDER))
-    if csn >= 4:
+        clauses[f"_order_{indexed}"] = F.when(has_order, draw_order(fields)).otherwise(empty_array(S.ORDER))
+    if top >= 4:
         kind = f"struct<field:{S.FIELD},operator:string,literal:string>"
         clauses["_conditions"] = F.when(
             chance(where_probability, seed, key, "has_where"), draw_conditions(fields)
         ).otherwise(empty_array(kind))
-    if csn == 5:
+    if top == 5:
         clauses["_pairs"] = equal_type_pairs(fields, F.col("_join_fields"))
     items = items.withColumns(clauses)
 
     # Phrases and the join pair, drawn once the clauses stand.
-    select, order = F.col("select"), F.col("order_by")
-    phrases = {
-        "_agg_all": draw_agg_phrases(select),
-        "order_by_phrase": F.lit(None).cast("array<string>"),
-    }
-    if csn > 1:
-        phrases["order_by_phrase"] = draw_order_phrases(order)
-    if csn == 5:
+    phrases, conditions = {}, F.col("_conditions")
+    for rich in kinds:
+        select = F.col(f"_select_{rich}")
+        none = F.array_repeat(F.lit(None).cast("string"), F.size(select))
+        phrases[f"_agg_all_{rich}"] = draw_agg_phrases(select) if rich else none
+    for indexed in set(by_index.values()):
+        phrases[f"_order_phrase_{indexed}"] = draw_order_phrases(F.col(f"_order_{indexed}"))
+    if top == 5:
         pairs = F.col("_pairs")
         place = F.col("_j_pair") % F.greatest(F.size(pairs), F.lit(1))
-        phrases["join_condition"] = F.get(pairs, place.cast("int"))
+        phrases["_join_condition"] = F.get(pairs, place.cast("int"))
     items = items.withColumns(phrases)
 
-    # Texts. Double spaces and the trailing space of sets 2/3 without ORDER BY stay.
-    conditions, order_phrases = F.col("_conditions"), F.col("order_by_phrase")
-    english = english_select(F.col("_template"), F.col("table_name"), select, F.col("_agg_all"))
-    sql = select_sql(table, select)
-    space = F.lit(" ")
+    # Texts of the clauses, then those of the sets.
+    texts = {}
+    for rich in kinds:
+        select = F.col(f"_select_{rich}")
+        texts[f"_said_{rich}"] = english_select(F.col("_template"), F.col("table_name"), select, F.col(f"_agg_all_{rich}"))
+        texts[f"_written_{rich}"] = select_sql(table, select)
+    for indexed in set(by_index.values()):
+        order = F.col(f"_order_{indexed}")
+        texts[f"_said_order_{indexed}"] = english_order(order, F.col(f"_order_phrase_{indexed}"))
+        texts[f"_written_order_{indexed}"] = order_sql(order)
+    if top >= 4:
+        texts |= {"_said_where": english_where(conditions), "_written_where": where_sql(conditions)}
+    items = items.withColumns(texts)
+    rows = {}
+    for csn in csns:
+        made = _set_columns(csn, with_aggregates[csn], by_index.get(csn))
+        rows[csn] = [made.get(name, F.col(name)).alias(name) for name in columns]
+    if len(rows) == 1:
+        return items.select(*rows[csns[0]])
+    # A generator interprets what it holds, so the rows are columns before.
+    sets = items.withColumns({f"_set{csn}": F.struct(*row) for csn, row in rows.items()})
+    return sets.select(F.inline(F.array(*[f"_set{csn}" for csn in rows])))
+
+
+def _set_columns(csn: int, rich: bool, indexed: bool | None) -> dict[str, Column]:
+    """The columns of one set's item, from the clauses that sets share. Double spaces and the trailing
+    space of sets 2/3 without ORDER BY stay."""
+    conditions, space = F.col("_conditions"), F.lit(" ")
+    english, sql = F.col(f"_said_{rich}"), F.col(f"_written_{rich}")
     if csn in (2, 3):
-        english = F.concat(english, space, english_order(order, order_phrases))
-        sql = F.concat(sql, space, order_sql(order))
+        english = F.concat(english, space, F.col(f"_said_order_{indexed}"))
+        sql = F.concat(sql, space, F.col(f"_written_order_{indexed}"))
     elif csn >= 4:
-        spoken = [english_where(conditions), english_order(order, order_phrases)]
-        written = [where_sql(conditions), order_sql(order)]
+        spoken = [F.col("_said_where"), F.col(f"_said_order_{indexed}")]
+        written = [F.col("_written_where"), F.col(f"_written_order_{indexed}")]
         if csn == 5:
-            pair, other = F.col("join_condition"), F.col("_join_table")
+            pair, other = F.col("_join_condition"), F.col("_join_table")
             spoken.insert(0, F.coalesce(english_join(other, pair), F.lit("")))
-            written.insert(0, F.coalesce(join_sql(table, other, pair), F.lit("")))
+            written.insert(0, F.coalesce(join_sql(F.col("_table"), other, pair), F.lit("")))
         english = F.trim(F.concat_ws(" ", english, *spoken))
         sql = F.trim(F.concat_ws(" ", sql, *written))
 
@@ -566,31 +599,33 @@ def generate_items(
     final = {
         "source_csn": F.lit(csn),
         "command_set": F.lit(2 if csn == 3 else csn),
-        "agg_phrases": F.filter(F.col("_agg_all"), lambda p: p.isNotNull()),
+        "select": F.col(f"_select_{rich}"),
+        "order_by": F.col(f"_order_{indexed}") if csn > 1 else F.lit(None).cast(f"array<{S.ORDER}>"),
+        "order_by_phrase": F.col(f"_order_phrase_{indexed}") if csn > 1 else no_texts,
+        "agg_phrases": F.filter(F.col(f"_agg_all_{rich}"), lambda p: p.isNotNull()),
         "english_prompt": english,
         "sql_statement": sql,
         "where": F.transform(conditions, condition_text) if csn >= 4 else no_texts,
-        "where_fields": F.lit(None).cast(f"array<{S.FIELD}>"),
-        "where_literals": no_texts,
     }
     if csn == 5:
-        found = F.col("join_condition").isNotNull()
+        found = F.col("_join_condition").isNotNull()
         other, other_fields = F.col("_join_table"), F.col("_join_fields")
-        final |= {
+        return final | {
             "where_fields": conditions["field"],
             "where_literals": conditions["literal"],
             "join_table": F.when(found, other),
             "join_fields": F.when(found, other_fields).otherwise(empty_array(S.FIELD)),
+            "join_condition": F.col("_join_condition"),
             "join_create_statement": F.when(found, create_statement(other, other_fields)),
         }
-    else:
-        final |= {
-            "join_table": F.lit(None).cast(S.TABLE),
-            "join_fields": F.lit(None).cast(f"array<{S.FIELD}>"),
-            "join_condition": F.lit(None).cast(S.PAIR),
-            "join_create_statement": F.lit(None).cast("string"),
-        }
-    return items.withColumns(final).select(*S.ITEM_COLUMNS)
+    return final | {
+        "where_fields": F.lit(None).cast(f"array<{S.FIELD}>"),
+        "where_literals": no_texts,
+        "join_table": F.lit(None).cast(S.TABLE),
+        "join_fields": F.lit(None).cast(f"array<{S.FIELD}>"),
+        "join_condition": F.lit(None).cast(S.PAIR),
+        "join_create_statement": F.lit(None).cast("string"),
+    }
 
 
 def generate_range(spark: SparkSession, n: int, csn: int, seed: int = 7, **options) -> DataFrame:
@@ -600,8 +635,7 @@ def generate_range(spark: SparkSession, n: int, csn: int, seed: int = 7, **optio
 
 def generate_all_sets(ids: DataFrame, seed: int = 7, **options) -> DataFrame:
     """Items of all five command sets, one item per id and set."""
-    parts = [generate_items(ids, csn, seed, **options) for csn in range(1, 6)]
-    return reduce(DataFrame.unionByName, parts)
+    return generate_sets(ids, (1, 2, 3, 4, 5), seed, **options)
 
 
 def seed_columns(

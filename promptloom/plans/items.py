@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from promptloom.functions import text as T
 from promptloom.functions.draws import draw_below, pick_word
 from promptloom.operators import generate as G
-from promptloom.plans.base import check, items, order_ids, r6
+from promptloom.plans.base import ITEM_OPTIONS, check, items, order_ids, r6
 from promptloom.plans.oracle import items as O
 from promptloom.sources import vocabulary as V
 from promptloom.sources.tables import table
@@ -75,15 +75,14 @@ for _csn in range(1, 6):
     + ") GROUP BY source_csn",
 )
 def clause_shares(spark, sf):
-    parts = [items(spark, sf, c).select("source_csn", "sql_statement") for c in range(1, 6)]
+    rows = G.generate_all_sets(order_ids(spark, sf), columns=("source_csn", "sql_statement"), **ITEM_OPTIONS)
     sql = F.col("sql_statement")
 
     def share(word):
         return r6(F.avg(F.contains(sql, F.lit(word)).cast("int")))
 
     return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("source_csn")
+        rows.groupBy("source_csn")
         .agg(
             F.count("*").alias("n"),
             share(" ORDER BY ").alias("order_share"),

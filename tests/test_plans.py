@@ -61,3 +61,33 @@ def test_blanks_are_the_listed_ones(spark):
     assert every.where(F.regexp_replace("c", blanks, "#") != F.regexp_replace("c", BLANKS, "#")).isEmpty()
     # a visible character is ruled out first
     assert BLANKS.startswith("[[^!-~]&&")
+
+
+def test_command_sets_share_one_pass(spark):
+    """Queries over several sets, or several columns of one set, read and make their items once."""
+    from promptloom.plans import CHECKS
+
+    for name in ("clause_shares",):
+        plan = CHECKS[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("o_orderkey#") and plan.count("Relation [o_orderkey") == 1, name
+
+
+def test_sets_made_together_are_the_sets_made_alone(spark):
+    from promptloom.operators import generate as G
+
+    ids = spark.range(60).withColumnRenamed("id", "item_id")
+    options = {"use_synonyms_table": True, "use_synonyms_field": True, "use_aggregates": True, "total": 60}
+    together = G.generate_sets(ids, (1, 2, 3, 4, 5), **options)
+    for csn in range(1, 6):
+        alone = G.generate_items(ids, csn, **options)
+        own = together.where(f"source_csn = {csn}").select(*alone.columns)
+        assert sorted(map(str, own.collect())) == sorted(map(str, alone.collect()))
+
+
+def test_numbers_nobody_reads_are_not_drawn(spark):
+    from promptloom.functions import draws as D
+
+    ids = spark.range(9).selectExpr("id AS item_id", "cast(id AS int) AS n").withColumns(D.block_columns(7, "item_id", "s", 9))
+    both = ids.select("n", D.numbers(7, "item_id", "s", 9, "n").alias("some"), D.numbers(7, "item_id", "s", 9).alias("every"))
+    for row in both.collect():
+        assert row.some == row.every[: row.n] + [None] * (9 - row.n)
