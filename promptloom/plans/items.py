@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from promptloom.functions import text as T
 from promptloom.functions.draws import draw_below, pick_word
@@ -154,20 +153,17 @@ _PRODUCT = math.prod(
 def vocabulary_coverage(spark, sf):
     df = items(spark, sf, 3)
 
-    def words(name, column):
-        return df.select(F.lit(name).alias("vocabulary"), column.alias("word"))
-
-    field = F.explode(F.transform("table_fields", lambda f: F.regexp_replace(f["name"], "_field$", "")))
-    used = reduce(
-        DataFrame.unionByName,
-        [
-            words("tables", F.col("table_name.name")),
-            words("fields", field),
-            words("order_phrases", F.explode("order_by_phrase")),
-            words("agg_phrases", F.explode("agg_phrases")),
-        ],
-    )
-    counts = used.groupBy("vocabulary").agg(F.count_distinct("word").alias("used"))
+    # Items are made once, and give their words of all vocabularies; equal words meet before any is edited.
+    words = {
+        "tables": F.array("table_name.name"),
+        "fields": F.col("table_fields")["name"],
+        "order_phrases": F.col("order_by_phrase"),
+        "agg_phrases": F.col("agg_phrases"),
+    }
+    lists = F.array(*[F.struct(F.lit(name).alias("vocabulary"), F.coalesce(w, F.array().cast("array<string>")).alias("words")) for name, w in words.items()])
+    every = df.select(F.inline(lists)).select("vocabulary", F.explode("words").alias("word")).distinct()
+    plain = F.when(F.col("vocabulary") == "fields", F.regexp_replace("word", "_field$", "")).otherwise(F.col("word"))
+    counts = every.groupBy("vocabulary").agg(F.count_distinct(plain).alias("used"))
     return (
         V.vocabulary_sizes(spark)
         .join(counts, "vocabulary", "left")  # items don't keep their template
