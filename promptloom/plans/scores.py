@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from promptloom.operators import score as SC
+from promptloom.operators import generate as G, score as SC
 from promptloom.operators.dataset import checked_set
 from promptloom.plans.base import ITEM_OPTIONS, check, items, order_ids, r6
 from promptloom.plans.oracle.items import items_ctes
@@ -80,7 +80,8 @@ _scores(5, "C11 C12 J2")
 
 
 def _three(spark, sf):
-    return reduce(DataFrame.unionByName, [scored_in_place(spark, sf, c) for c in (1, 2, 3)])
+    made = G.generate_sets(order_ids(spark, sf), (1, 2, 3), columns=SC.ITEM_INPUT, **ITEM_OPTIONS)
+    return SC.score_rows(SC.with_perturbed(made, ALL_KINDS))
 
 
 def _three_sql() -> str:
