@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from promptloom.operators.generate import generate_items
+from promptloom.operators.generate import generate_items, generate_sets
 from promptloom.operators.sampling import split_by_hash, split_exact
 from promptloom.operators.score import score_rows, self_check
 from promptloom.session import discard, stored
@@ -16,6 +16,7 @@ from promptloom.sources.corpus import from_flat, read_corpus, to_flat, write_cor
 SPLITS = ("train", "validation", "test")  # fixed values
 # Generators by name (ids → items) and scorers by name (rows with predictions → scores).
 GENERATORS = {f"cs{csn}": partial(generate_items, csn=csn) for csn in range(1, 6)}
+GENERATORS["cs1-3"] = partial(generate_sets, csns=(1, 2, 3))  # the sets with points, in one pass
 SCORERS = {"points": score_rows}
 
 

@@ -67,7 +67,7 @@ def test_command_sets_share_one_pass(spark):
     """Queries over several sets, or several columns of one set, read and make their items once."""
     from promptloom.plans import CHECKS
 
-    for name in ("clause_shares", "vocabulary_coverage", "mean_scores", "error_partition"):
+    for name in ("clause_shares", "vocabulary_coverage", "mean_scores", "error_partition", "ground_truth_check"):
         plan = CHECKS[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("o_orderkey#") and plan.count("Relation [o_orderkey") == 1, name
 
