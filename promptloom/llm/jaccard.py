@@ -23,6 +23,7 @@ in one component is counted, whatever their number, so no link between component
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,6 +47,8 @@ FRAGMENT_BITS = 2
 BROADCAST_MOVED = 500_000
 #: Pairs of one node that are counted under one key, on average.
 HUB_PAIRS = 256
+#: Longs that hold the parities of a set, 64 bits each.
+PARITIES = [f"p{k}" for k in range(8)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,6 +86,19 @@ class ShingleSets:
             found.append(sums.view(np.int64))
         return found[0], found[1]
 
+    def parities(self) -> np.ndarray:
+        """A row of longs for each text. Each shingle falls on one of their bits, which is 1 if an odd
+        number has. Bits that tell two sets apart are so at most as many as shingles that do."""
+        bits = 64 * len(PARITIES)
+        found = np.zeros((len(self.sizes), len(PARITIES)), np.int64)
+        for at in range(0, len(self.sizes), 2048):
+            some = slice(self.bounds[at], self.bounds[min(at + 2048, len(self.sizes))])
+            cell = (self.owner[some] - at) * bits + (self.hashes[some] & np.uint64(bits - 1)).astype(np.int64)
+            rows = len(found[at : at + 2048])
+            odd = (np.bincount(cell, minlength=rows * bits) & 1).astype(np.uint8)
+            found[at : at + 2048] = np.packbits(odd).view(np.int64).reshape(rows, -1)
+        return found
+
 
 def size_classes(most: int) -> np.ndarray:
     """First size of each class; a set and one as similar as asked lie in one class or in two
@@ -217,13 +233,13 @@ def _by_row(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[order], rows[order]
 
 
-_SEGMENT = "node long, name long, n long, fragment int, hashes binary"
+_SEGMENT = "node long, name long, n long, fragment int, hashes binary, " + ", ".join(f"{p} long" for p in PARITIES)
 
 
 def segments(texts: DataFrame, size: int) -> DataFrame:
-    """(node, name, n, fragment, hashes): the sets of documents cut by ranges of the global order, one
-    row for each fragment that isn't empty; ``name`` tells the sets of a node apart, ``n`` is the
-    size of the whole set."""
+    """(node, name, n, fragment, hashes, parities): the sets of documents cut by ranges of the global
+    order, one row for each fragment that isn't empty; ``name`` tells the sets of a node apart, ``n`` is
+    the size of the whole set. The first row of a set has its parities, the others have null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=HALF_BATCH_BYTES):
@@ -235,7 +251,10 @@ def segments(texts: DataFrame, size: int) -> DataFrame:
             blobs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(sets.hashes.tobytes())])
             own = sets.owner[heads]
             columns = [batch["node"].take(pa.array(own)), pa.array(sets.names()[0][own]), pa.array(sets.sizes[own], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(part[heads], pa.int32()), blobs], ["node", "name", "n", "fragment", "hashes"])
+            columns += [pa.array(part[heads], pa.int32()), blobs]
+            later, parities = np.diff(own, prepend=-1) == 0, sets.parities()
+            columns += [pa.array(parities[own, k], pa.int64(), mask=later) for k in range(len(PARITIES))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "name", "n", "fragment", "hashes", *PARITIES])
 
     return texts.select("node", "text").mapInArrow(run, _SEGMENT)
 
@@ -262,12 +281,39 @@ def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
     return found
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
-    """The (a, b) of ``pairs`` that link. The overlap of two sets is counted fragment by fragment, by
-    (pair, fragment) in separate tasks, and summed by pair. The segments of a node in very many
-    pairs go to several keys, each with a bounded number of its pairs."""
+def _may_link(x: str, y: str, similarity: int):
+    """Whether sets of two rows can be as similar as asked, by their sizes and parities: a condition
+    that every linked pair meets."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = reduce(operator.add, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES])
+    sizes = (100 * n >= similarity * m) & (100 * m >= similarity * n)
+    return sizes & ((100 + similarity) * differ <= (100 - similarity) * (n + m))
+
+
+def _whole(sets: DataFrame) -> DataFrame:
+    """(node, n, parities): one row for each set."""
+    return sets.where(F.col(PARITIES[0]).isNotNull()).select("node", "n", *PARITIES)
+
+
+def _ends(pairs: DataFrame, sets: DataFrame, hub_pairs: int) -> DataFrame:
+    """(a, b) of ``pairs`` as ``own`` and ``other``, with the rows of ``sets`` of both ends. The rows of a
+    node in very many pairs go to several keys, each with a bounded number of its pairs."""
     times = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / hub_pairs).alias("salts"))
     dealt = pairs.join(times, F.col("b") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt_of")
+    theirs = times.join(sets, F.col("hub") == F.col("node")).select(sets["*"], salts).alias("other")
+    mine = dealt.join(sets.alias("own"), F.col("a") == F.col("own.node"))
+    return mine.join(theirs, (F.col("b") == F.col("other.node")) & (F.col("salt") == F.col("other.salt_of")))
+
+
+def likely(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """The (a, b) of ``pairs`` that can link by their parities; only these are worth counting."""
+    return _ends(pairs, _whole(sets), hub_pairs).where(_may_link("own", "other", similarity)).select("a", "b").distinct()
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """The (a, b) of ``pairs`` that link. The overlap of two sets is counted fragment by fragment, by
+    (pair, fragment) in separate tasks, and summed by pair."""
     names = ["a", "x", "n_a", "b", "y", "n_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,16 +325,14 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int =
 
     parts = []
     for fragment in range(1 << FRAGMENT_BITS):  # one after another, so that one is shuffled at a time
-        some = sets.where(F.col("fragment") == fragment)
-        mine = some.select(F.col("node").alias("a"), F.col("name").alias("x"), F.col("n").alias("n_a"), F.col("hashes").alias("own"))
-        theirs = times.join(some, F.col("hub") == F.col("node")).select(
-            F.col("node").alias("b"), F.col("name").alias("y"), F.col("n").alias("n_b"), F.col("hashes").alias("other"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        some = sets.where(F.col("fragment") == fragment).select("node", "name", "n", "hashes")
+        near = _ends(pairs, some, hub_pairs).select(
+            "a", F.col("own.name").alias("x"), F.col("own.n").alias("n_a"), "b", F.col("other.name").alias("y"),
+            F.col("other.n").alias("n_b"), F.col("own.hashes").alias("own"), F.col("other.hashes").alias("other"),
         )
-        near = dealt.join(mine, "a").join(theirs, ["b", "salt"])
         # As similar as asked they differ little in size.
         near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
-        parts.append(stored(near.select(*names, "own", "other").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))))
+        parts.append(stored(near.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))))
     counted = reduce(DataFrame.unionByName, parts)
     sums = counted.groupBy(*names).agg(F.sum("both").alias("both"))
     return sums.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
@@ -349,23 +393,22 @@ def near_duplicates(
     ties = stored(held.where("node != hub").groupBy(*ends).agg(F.count("*").alias("times")))
     best = F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best")
     first = stored(ties.groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b")))
-    links = stored(linked(first, sets, similarity, hub_pairs))
+    links = stored(linked(stored(likely(first, sets, similarity, hub_pairs)), sets, similarity, hub_pairs))
     joined = components(links)
     # Then with its other hubs, if these are not in its component yet.
     others = _apart(ties.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
-    links = stored(links.unionByName(linked(stored(others), sets, similarity, hub_pairs)))
+    others = stored(likely(stored(others), sets, similarity, hub_pairs))
+    links = stored(links.unionByName(linked(others, sets, similarity, hub_pairs)))
     joined = components(links)
     # Then, under names whose holders are not yet one component, holders of different ones.
     state = held.join(joined.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left")
     state = state.select("key", "node", F.coalesce("component", "node").alias("component"))
     apart = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = state.join(apart, "key", "left_semi").distinct()
-    spread = sets.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sized = stored(left.join(spread, "node"))
+    sized = stored(left.join(_whole(sets), "node"))
     discard(held)
     x, y = sized.alias("x"), sized.alias("y")
-    near = (100 * F.col("x.most") >= similarity * F.col("y.least")) & (100 * F.col("y.most") >= similarity * F.col("x.least"))
-    rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & near)
+    rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & _may_link("x", "y", similarity))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     rest = stored(rest.join(ties, ["a", "b"], "left_anti"))
     discard(sized, ties)

@@ -113,6 +113,42 @@ def test_common_hashes_of_rows():
     assert jaccard._common(*(c.slice(2, 2) for c in columns)).tolist() == found[2:4].tolist()
 
 
+def far_copies(seed, copies, words=150, edits=9):
+    """Copies of one text with so many edits that most share names of fragments but don't link."""
+    draw = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    return [" ".join(base)] + [
+        " ".join(f"c{draw.randrange(10**6)}" if k in spots else w for k, w in enumerate(base))
+        for spots in (set(draw.sample(range(words), draw.randint(2, edits))) for _ in range(copies))
+    ]
+
+
+def test_a_group_that_mostly_does_not_link_costs_its_size(spark, monkeypatch):
+    counted, real = [], jaccard.linked
+
+    def linked(pairs, *others):
+        counted.append(pairs.count())
+        return real(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "linked", linked)
+    rows = list(enumerate(far_copies(6, 300)))
+    want = expected(rows)
+    assert rows_of(jaccard.near_duplicates(table(spark, rows)), *NAMES) == want
+    assert 50 < len({r[2] for r in want}) < 280
+    assert sum(counted) < 5 * len(rows)
+
+
+def test_parities_differ_no_more_than_sets():
+    texts = copies(12, groups=6) + far_copies(3, 30) + ["", "a", None]
+    sets = jaccard.ShingleSets(pa.array(texts))
+    bits = np.unpackbits(sets.parities().view(np.uint8), axis=1)
+    own = [set(sets.hashes[sets.owner == k].tolist()) for k in range(len(texts))]
+    for i, x in enumerate(own):
+        for j, y in enumerate(own):
+            differ = int((bits[i] != bits[j]).sum())
+            assert differ <= len(x ^ y) and (differ - len(x ^ y)) % 2 == 0
+
+
 def test_overlaps_are_summed_over_fragments(spark):
     rows = list(enumerate(copies(4, groups=10)))
     texts = table(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "node")
