@@ -295,15 +295,19 @@ def _whole(sets: DataFrame) -> DataFrame:
     return sets.where(F.col(PARITIES[0]).isNotNull()).select("node", "n", *PARITIES)
 
 
-def _ends(pairs: DataFrame, sets: DataFrame, hub_pairs: int) -> DataFrame:
-    """(a, b) of ``pairs`` as ``own`` and ``other``, with the rows of ``sets`` of both ends. The rows of a
-    node in very many pairs go to several keys, each with a bounded number of its pairs."""
+def _ends(pairs: DataFrame, sets: DataFrame, hub_pairs: int, *also: str) -> DataFrame:
+    """(a, b) of ``pairs`` with the rows of ``sets`` of both ends, as ``own`` and ``other``, that agree in
+    ``also``. The rows of a node in very many pairs go to several keys, each with a bounded number of its
+    pairs."""
     times = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / hub_pairs).alias("salts"))
     dealt = pairs.join(times, F.col("b") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt_of")
     theirs = times.join(sets, F.col("hub") == F.col("node")).select(sets["*"], salts).alias("other")
     mine = dealt.join(sets.alias("own"), F.col("a") == F.col("own.node"))
-    return mine.join(theirs, (F.col("b") == F.col("other.node")) & (F.col("salt") == F.col("other.salt_of")))
+    meet = (F.col("b") == F.col("other.node")) & (F.col("salt") == F.col("other.salt_of"))
+    for column in also:
+        meet &= F.col(f"own.{column}") == F.col(f"other.{column}")
+    return mine.join(theirs, meet)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
@@ -323,17 +327,14 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int =
                 both = pa.array(_common(part["own"], part["other"]))
                 yield pa.RecordBatch.from_arrays([*(part[n] for n in names), both], [*names, "both"])
 
-    parts = []
-    for fragment in range(1 << FRAGMENT_BITS):  # one after another, so that one is shuffled at a time
-        some = sets.where(F.col("fragment") == fragment).select("node", "name", "n", "hashes")
-        near = _ends(pairs, some, hub_pairs).select(
-            "a", F.col("own.name").alias("x"), F.col("own.n").alias("n_a"), "b", F.col("other.name").alias("y"),
-            F.col("other.n").alias("n_b"), F.col("own.hashes").alias("own"), F.col("other.hashes").alias("other"),
-        )
-        # As similar as asked they differ little in size.
-        near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
-        parts.append(stored(near.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))))
-    counted = reduce(DataFrame.unionByName, parts)
+    some = sets.select("node", "name", "n", "fragment", "hashes")
+    near = _ends(pairs, some, hub_pairs, "fragment").select(
+        "a", F.col("own.name").alias("x"), F.col("own.n").alias("n_a"), "b", F.col("other.name").alias("y"),
+        F.col("other.n").alias("n_b"), F.col("own.hashes").alias("own"), F.col("other.hashes").alias("other"),
+    )
+    # As similar as asked they differ little in size.
+    near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
+    counted = near.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))
     sums = counted.groupBy(*names).agg(F.sum("both").alias("both"))
     return sums.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
@@ -395,8 +396,13 @@ def near_duplicates(
     first = stored(ties.groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b")))
     links = stored(linked(stored(likely(first, sets, similarity, hub_pairs)), sets, similarity, hub_pairs))
     joined = components(links)
-    # Then with its other hubs, if these are not in its component yet.
-    others = _apart(ties.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
+    # Then with its other hubs, and with one other holder of each name, drawn by name and node, so that the
+    # names of a document bring it together with different ones; if these are not in its component yet.
+    drawn = held.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("other"), F.count("*").alias("holders"))
+    drawn = held.join(drawn.where("holders > 2").select("key", "other"), "key").where("node != other")
+    drawn = drawn.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    met = stored(ties.select("a", "b").unionByName(drawn).distinct())
+    others = _apart(met.join(first, ["a", "b"], "left_anti"), joined)
     others = stored(likely(stored(others), sets, similarity, hub_pairs))
     links = stored(links.unionByName(linked(others, sets, similarity, hub_pairs)))
     joined = components(links)
@@ -410,8 +416,8 @@ def near_duplicates(
     x, y = sized.alias("x"), sized.alias("y")
     rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & _may_link("x", "y", similarity))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = stored(rest.join(ties, ["a", "b"], "left_anti"))
-    discard(sized, ties)
+    rest = stored(rest.join(met, ["a", "b"], "left_anti"))
+    discard(sized, ties, met)
     more = stored(linked(rest, sets, similarity, hub_pairs))
     known = joined.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     connected = components(known.unionByName(more).unionByName(equal))
