@@ -91,3 +91,11 @@ def test_numbers_nobody_reads_are_not_drawn(spark):
     both = ids.select("n", D.numbers(7, "item_id", "s", 9, "n").alias("some"), D.numbers(7, "item_id", "s", 9).alias("every"))
     for row in both.collect():
         assert row.some == row.every[: row.n] + [None] * (9 - row.n)
+
+
+def test_flat_round_trip_makes_items_once(spark, sf):
+    from promptloom.plans import CHECKS
+
+    df = CHECKS["flat_round_trip"].run(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "from_json" in plan
