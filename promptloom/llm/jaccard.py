@@ -13,12 +13,13 @@ all its shingles as well). Which shingles count as frequent changes the work, ne
 
 Sets that share a name are pairs to be counted. The overlap of a pair is counted in each fragment of
 the order on its own, by (pair, fragment) in separate tasks, and summed by pair; no task sees a whole
-group. First every document is counted with the hub (the first holder of a name) that it shares most
-names with. What is linked so is one
-component; it is counted with its other hubs, and under names whose holders are not yet in one component
-with all holders of other components, only as far as that is needed. So a group of near copies costs its size, not its square, as far as its
-members link with its first one or with each other's neighbours; a pair that shares a name and is not
-in one component is counted, whatever their number, so no link between components is left out.
+group. Only pairs that can link by their parities are counted: 512 bits of each set, of which two sets
+differ in no more than in shingles. First every document is counted with the hub (the first holder of a
+name) that it shares most names with. What is linked so is one component; it is counted with its other
+hubs and with a drawn holder of each of its names, and under names whose holders are not yet in one
+component with all holders of other components that the parities leave. So a group of near copies costs
+its size in counting, not its square, as far as its members link with these; elsewhere the parities of all
+its pairs are compared, whatever their number, so no link between components is left out.
 """
 
 from __future__ import annotations
