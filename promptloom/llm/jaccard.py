@@ -14,7 +14,9 @@ all its shingles as well). Which shingles count as frequent changes the work, ne
 Sets that share a name are pairs to be counted. The overlap of a pair is counted in each fragment of
 the order on its own, by (pair, fragment) in separate tasks, and summed by pair; no task sees a whole
 group. Only pairs that can link by their parities are counted: 512 bits of each set, of which two sets
-differ in no more than in shingles. First every document is counted with the hub (the first holder of a
+differ in no more than in shingles, and for larger sets a sketch of two to four such bits for each shingle,
+compared for the pairs that the 512 leave. Only what is left is counted, and only the texts in these
+pairs are cut into shingles once more. First every document is counted with the hub (the first holder of a
 name) that it shares most names with. What is linked so is one component; it is counted with its other
 hubs and with a drawn holder of each of its names, and under names whose holders are not yet in one
 component with all holders of other components that the parities leave. So a group of near copies costs
@@ -30,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from promptloom.llm import keys
 from promptloom.llm.components import components
@@ -48,8 +50,17 @@ FRAGMENT_BITS = 2
 BROADCAST_MOVED = 500_000
 #: Pairs of one node that are counted under one key, on average.
 HUB_PAIRS = 256
+#: Other holders of its names that a document is counted with before all that are in other components.
+ASKED = 8
 #: Longs that hold the parities of a set, 64 bits each.
 PARITIES = [f"p{k}" for k in range(8)]
+#: Bits of a sketch for each shingle of the set, at least; it has a power of two of them.
+SKETCH_BITS = 2
+#: Bytes of sketches that are compared at once.
+SKETCH_BYTES = 4 << 20
+#: Bits for each document of a map of those that are looked for, about, and bits of a row of the map; its
+#: rows at most (4 KB each are broadcast).
+MAP_BITS, MAP_ROW, MAP_ROWS = 8, 1 << 15, 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +111,19 @@ class ShingleSets:
             found[at : at + 2048] = np.packbits(odd).view(np.int64).reshape(rows, -1)
         return found
 
+    def sketches(self) -> pa.Array:
+        """The same with more bits, for each text whose set is large enough to need them; empty for the others.
+        Half of the bits laid over the other half, by exclusive or, are the sketch of half as many."""
+        bits = np.left_shift(1, np.ceil(np.log2(np.maximum(SKETCH_BITS * self.sizes, 1))).astype(np.int64))
+        bits[bits <= 64 * len(PARITIES)] = 0
+        ends = np.cumsum(bits)
+        some = bits[self.owner] > 0
+        own = self.owner[some]
+        cell = (ends - bits)[own] + (self.hashes[some] & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8)
+        offsets = (np.append(0, ends) // 8).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd).tobytes())])
+
 
 def size_classes(most: int) -> np.ndarray:
     """First size of each class; a set and one as similar as asked lie in one class or in two
@@ -179,8 +203,8 @@ def fragment_keys(sets: ShingleSets, wanted: np.ndarray, frequent: np.ndarray, s
 
 
 def describe(docs: DataFrame, size: int = SHINGLE, frequent_share: float = FREQUENT_SHARE) -> DataFrame:
-    """(doc_id, n_shingles, name_a, name_b, frequent): the set of each document in brief. The first
-    row of a batch has the shingles, packed, that are frequent in it; the others have null."""
+    """(doc_id, n_shingles, name_a, name_b, frequent, parities, sketch): the set of each document in brief. The
+    first row of a batch has the shingles, packed, that are frequent in it; the others have null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=HALF_BATCH_BYTES):
@@ -193,9 +217,10 @@ def describe(docs: DataFrame, size: int = SHINGLE, frequent_share: float = FREQU
             frequent = shingles[many >= max(8, frequent_share * len(first))]
             blobs = [pack(frequent) if len(frequent) else None] + [None] * (batch.num_rows - 1)
             columns = [batch["doc_id"], pa.array(sets.sizes, pa.int64()), pa.array(a), pa.array(b), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "name_a", "name_b", "frequent"])
+            columns += [*(pa.array(p) for p in sets.parities().T.copy()), sets.sketches()]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "name_a", "name_b", "frequent", *PARITIES, "sketch"])
 
-    schema = "doc_id long, n_shingles long, name_a long, name_b long, frequent binary"
+    schema = f"doc_id long, n_shingles long, name_a long, name_b long, frequent binary, {', '.join(f'{p} long' for p in PARITIES)}, sketch binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -234,13 +259,26 @@ def _by_row(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[order], rows[order]
 
 
-_SEGMENT = "node long, name long, n long, fragment int, hashes binary, " + ", ".join(f"{p} long" for p in PARITIES)
+def among(docs: DataFrame, nodes: DataFrame, many: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is a ``node``, and a few others: the nodes are marked in a map of
+    bits that is broadcast, so the texts stay where they are. ``many``: how many documents there are, about."""
+    rows = min(max(1, -(-MAP_BITS * many // MAP_ROW)), MAP_ROWS)
+    place, row = (lambda column, k=k, n=n: F.pmod(F.xxhash64(column, F.lit(k)), F.lit(n)) for k, n in ((1, MAP_ROW), (2, rows)))
+    marks = nodes.select(row("node").alias("map_row"), place("node").alias("place")).repartition("map_row")
+    marks = marks.groupBy("map_row").agg(F.bitmap_construct_agg("place").alias("map"))
+    placed = docs.withColumns({"own_row": row("doc_id"), "place": place("doc_id")})
+    found = placed.join(F.broadcast(marks), F.col("own_row") == F.col("map_row"))
+    byte = F.expr("cast(conv(hex(substring(map, cast(place div 8 as int) + 1, 1)), 16, 10) as int)")
+    return found.where(F.getbit(byte, F.expr("cast(place % 8 as int)")) == 1).select(*docs.columns)
+
+
+_SEGMENT = "node long, name long, n long, fragment int, hashes binary"
 
 
 def segments(texts: DataFrame, size: int) -> DataFrame:
-    """(node, name, n, fragment, hashes, parities): the sets of documents cut by ranges of the global
-    order, one row for each fragment that isn't empty; ``name`` tells the sets of a node apart, ``n`` is
-    the size of the whole set. The first row of a set has its parities, the others have null."""
+    """(node, name, n, fragment, hashes): the sets of documents cut by ranges of the global order, one row
+    for each fragment that isn't empty; ``name`` tells the sets of a node apart, ``n`` is the size of the
+    whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=HALF_BATCH_BYTES):
@@ -252,20 +290,43 @@ def segments(texts: DataFrame, size: int) -> DataFrame:
             blobs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(sets.hashes.tobytes())])
             own = sets.owner[heads]
             columns = [batch["node"].take(pa.array(own)), pa.array(sets.names()[0][own]), pa.array(sets.sizes[own], pa.int64())]
-            columns += [pa.array(part[heads], pa.int32()), blobs]
-            later, parities = np.diff(own, prepend=-1) == 0, sets.parities()
-            columns += [pa.array(parities[own, k], pa.int64(), mask=later) for k in range(len(PARITIES))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "name", "n", "fragment", "hashes", *PARITIES])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(part[heads], pa.int32()), blobs], ["node", "name", "n", "fragment", "hashes"])
 
     return texts.select("node", "text").mapInArrow(run, _SEGMENT)
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values, offsets of each value in them) of a binary array."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) and offsets[-1] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+
+
+def _differing_bits(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """For each row in how many bits the sketches differ, the larger one laid over to the size of the smaller;
+    0 if one is empty."""
+    found = np.zeros(len(a), np.int64)
+    (x, from_x), (y, from_y) = _bytes(a), _bytes(b)
+    sizes = np.stack([np.diff(from_x), np.diff(from_y)], axis=1)
+    for p, q in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes[:, 0] == p) & (sizes[:, 1] == q)) if p and q else []
+        step = max(1, SKETCH_BYTES // max(p, q, 1))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            sides = [np.stack([data[lo : lo + n] for lo in starts[some]]) for data, starts, n in ((x, from_x, p), (y, from_y, q))]
+            for k in (0, 1):
+                while sides[k].shape[1] > min(p, q):
+                    half = sides[k].shape[1] // 2
+                    sides[k] = sides[k][:, :half] ^ sides[k][:, half:]
+            found[some] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+    return found
+
+
 def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
     """For each row how many hashes both hold; both sorted."""
     flat, rows = [], []
     for column in (a, b):
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+        data, offsets = _bytes(column)
         flat.append(data.view(np.uint64))
         rows.append(np.repeat(np.arange(len(column)), np.diff(offsets) // 8))
     # Rows follow each other and hashes rise in each, so this order rises over all of them.
@@ -291,9 +352,10 @@ def _may_link(x: str, y: str, similarity: int):
     return sizes & ((100 + similarity) * differ <= (100 - similarity) * (n + m))
 
 
-def _whole(sets: DataFrame) -> DataFrame:
-    """(node, n, parities): one row for each set."""
-    return sets.where(F.col(PARITIES[0]).isNotNull()).select("node", "n", *PARITIES)
+def outlines(described: DataFrame) -> DataFrame:
+    """(node, n, parities, sketch): one row for each set."""
+    some = described.where("doc_id IS NOT NULL AND n_shingles > 0")
+    return some.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), *PARITIES, "sketch")
 
 
 def _ends(pairs: DataFrame, sets: DataFrame, hub_pairs: int, *also: str) -> DataFrame:
@@ -312,8 +374,24 @@ def _ends(pairs: DataFrame, sets: DataFrame, hub_pairs: int, *also: str) -> Data
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
-    """The (a, b) of ``pairs`` that can link by their parities; only these are worth counting."""
-    return _ends(pairs, _whole(sets), hub_pairs).where(_may_link("own", "other", similarity)).select("a", "b").distinct()
+    """The (a, b) of ``pairs`` that can link by the parities of their ``outlines``; only these are worth counting."""
+    near = _ends(pairs, sets.drop("sketch"), hub_pairs).where(_may_link("own", "other", similarity))
+    return sifted(stored(near.select("a", "b").distinct()), sets, similarity, hub_pairs)
+
+
+def sifted(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """The (a, b) of ``pairs`` that can link by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+            kept = (100 + similarity) * _differing_bits(batch["own"], batch["other"]) <= (100 - similarity) * (n + m)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    both = _ends(pairs, sets.select("node", "n", "sketch"), hub_pairs).select(
+        "a", F.col("own.n").alias("n_a"), "b", F.col("other.n").alias("n_b"), F.col("own.sketch").alias("own"), F.col("other.sketch").alias("other"),
+    )
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int = HUB_PAIRS) -> DataFrame:
@@ -326,16 +404,17 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: int, hub_pairs: int =
             for at in range(0, batch.num_rows, 1 << 16):
                 part = batch.slice(at, 1 << 16)
                 both = pa.array(_common(part["own"], part["other"]))
-                yield pa.RecordBatch.from_arrays([*(part[n] for n in names), both], [*names, "both"])
+                yield pa.RecordBatch.from_arrays([*(part[n] for n in names), part["fragment"], both], [*names, "fragment", "both"])
 
-    some = sets.select("node", "name", "n", "fragment", "hashes")
-    near = _ends(pairs, some, hub_pairs, "fragment").select(
+    near = _ends(pairs, sets, hub_pairs, "fragment").select(
         "a", F.col("own.name").alias("x"), F.col("own.n").alias("n_a"), "b", F.col("other.name").alias("y"),
-        F.col("other.n").alias("n_b"), F.col("own.hashes").alias("own"), F.col("other.hashes").alias("other"),
+        F.col("other.n").alias("n_b"), F.col("own.fragment").alias("fragment"), F.col("own.hashes").alias("own"),
+        F.col("other.hashes").alias("other"),
     )
     # As similar as asked they differ little in size.
     near = near.where((100 * F.col("n_a") >= similarity * F.col("n_b")) & (100 * F.col("n_b") >= similarity * F.col("n_a")))
-    counted = near.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "both"]))
+    counted = near.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", fragment int, both long")
+    counted = counted.dropDuplicates([*names, "fragment"])  # a row that comes twice counts once
     sums = counted.groupBy(*names).agg(F.sum("both").alias("both"))
     return sums.where(100 * F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct()
 
@@ -369,6 +448,7 @@ def near_duplicates(
         raise ValueError("similarity must be 80 to 100 hundredths")
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     described = stored(describe(docs.select("doc_id", "text"), size, frequent_share))
+    documents = described.count()
     frequent = frequent_shingles(described, frequent_most)
     own = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(own.groupBy("name_a", "name_b", "n_shingles").agg(F.min("doc_id").alias("first")))
@@ -386,40 +466,49 @@ def near_duplicates(
         firsts = moved.withColumnsRenamed({"moved": f"{column}_moved", "first": f"{column}_first"})
         named = named.join(firsts, F.col(column) == F.col(f"{column}_moved"), "left")
     held = stored(named.select("key", F.coalesce("owner_first", "owner").alias("node"), F.coalesce("hub_first", "hub").alias("hub")))
-    nodes = held.select(F.col("node").alias("wanted")).distinct()
-    wanted = texts.join(nodes, F.col("doc_id") == F.col("wanted"), "left_semi")
-    sets = stored(segments(wanted.withColumnRenamed("doc_id", "node"), size))
+    sets = outlines(described)
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        cut = stored(segments(among(texts, ends, documents).withColumnRenamed("doc_id", "node"), size))
+        links = stored(linked(pairs, cut, similarity, hub_pairs))
+        discard(cut)
+        return links
 
     # First every document with the hub it shares most names with: this connects most of what is linked.
     ends = [F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")]
     ties = stored(held.where("node != hub").groupBy(*ends).agg(F.count("*").alias("times")))
     best = F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best")
     first = stored(ties.groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b")))
-    links = stored(linked(stored(likely(first, sets, similarity, hub_pairs)), sets, similarity, hub_pairs))
+    links = counted(stored(likely(first, sets, similarity, hub_pairs)))
     joined = components(links)
     # Then with its other hubs, and with one other holder of each name, drawn by name and node, so that the
-    # names of a document bring it together with different ones; if these are not in its component yet.
+    # names of a document bring it together with different ones; with those of them that it shares most names
+    # with, if these are not in its component yet.
     drawn = held.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("other"), F.count("*").alias("holders"))
     drawn = held.join(drawn.where("holders > 2").select("key", "other"), "key").where("node != other")
-    drawn = drawn.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    met = stored(ties.select("a", "b").unionByName(drawn).distinct())
+    asked = drawn.groupBy("node", "other").agg(F.count("*").alias("times"))
+    asked = asked.unionByName(ties.select(F.col("a").alias("node"), F.col("b").alias("other"), "times"))
+    order = Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64("node", "other"), "other")
+    asked = asked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ASKED)
+    met = stored(asked.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
     others = _apart(met.join(first, ["a", "b"], "left_anti"), joined)
     others = stored(likely(stored(others), sets, similarity, hub_pairs))
-    links = stored(links.unionByName(linked(others, sets, similarity, hub_pairs)))
+    links = stored(links.unionByName(counted(others)))
     joined = components(links)
     # Then, under names whose holders are not yet one component, holders of different ones.
     state = held.join(joined.withColumnRenamed("node", "joined"), F.col("node") == F.col("joined"), "left")
     state = state.select("key", "node", F.coalesce("component", "node").alias("component"))
     apart = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = state.join(apart, "key", "left_semi").distinct()
-    sized = stored(left.join(_whole(sets), "node"))
+    sized = stored(left.join(sets.drop("sketch"), "node"))
     discard(held)
     x, y = sized.alias("x"), sized.alias("y")
     rest = x.join(y, "key").where((F.col("x.component") < F.col("y.component")) & _may_link("x", "y", similarity))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     rest = stored(rest.join(met, ["a", "b"], "left_anti"))
     discard(sized, ties, met)
-    more = stored(linked(rest, sets, similarity, hub_pairs))
+    more = counted(stored(sifted(rest, sets, similarity, hub_pairs)))
     known = joined.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     connected = components(known.unionByName(more).unionByName(equal))
     labels = connected.select(F.col("node").alias("label_id"), "component")

@@ -149,6 +149,70 @@ def test_parities_differ_no_more_than_sets():
             assert differ <= len(x ^ y) and (differ - len(x ^ y)) % 2 == 0
 
 
+def test_sketches_differ_no_more_than_sets():
+    draw = random.Random(8)
+    long = [f"v{k}" for k in range(3000)]
+    texts = [" ".join(draw.sample(long, n)) for n in (0, 100, 140, 260, 270, 500, 600, 1500)] + copies(12, groups=3) + [" ".join(long)]
+    texts += [" ".join(w for k, w in enumerate(long) if k % 97) + " more", None]
+    sets = jaccard.ShingleSets(pa.array(texts))
+    sketches = sets.sketches()
+    sizes = [len(x) for x in sketches.to_pylist()]
+    assert all(8 * b >= 2 * n if b else n <= 256 for b, n in zip(sizes, sets.sizes.tolist())) and max(sizes) == 1024
+    own = [set(sets.hashes[sets.owner == k].tolist()) for k in range(len(texts))]
+    at = np.array([(i, j) for i in range(len(texts)) for j in range(len(texts))])
+    found = jaccard._differing_bits(*(sketches.take(pa.array(at[:, k])) for k in (0, 1)))
+    assert found.tolist() == jaccard._differing_bits(*(sketches.take(pa.array(at[:, k])).slice(0) for k in (1, 0))).tolist()
+    for (i, j), differ in zip(at.tolist(), found.tolist()):
+        assert differ <= len(own[i] ^ own[j])
+        assert not sizes[i] or not sizes[j] or (differ - len(own[i] ^ own[j])) % 2 == 0
+    far = at[found == found.max()][0].tolist()
+    assert found.max() > 0.8 * min(len(own[far[0]] ^ own[far[1]]), 4 * min(sizes[far[0]], sizes[far[1]]))
+
+
+def test_only_texts_of_likely_pairs_are_cut(spark, monkeypatch):
+    """Long texts that share names but don't link by their sketches are not counted, and are not cut for those that are."""
+    cut, counted, real = [], [], jaccard.linked
+
+    def linked(pairs, sets, *others):
+        cut.append(sets.select("node").distinct().count())
+        counted.append(pairs.count())
+        return real(pairs, sets, *others)
+
+    monkeypatch.setattr(jaccard, "linked", linked)
+    rows = list(enumerate(far_copies(7, 40, words=1600, edits=260)))
+    rows += [(100, rows[5][1] + " and"), (101, rows[9][1] + " more")]
+    want = expected(rows)
+    assert rows_of(jaccard.near_duplicates(table(spark, rows)), *NAMES) == want
+    assert 25 < len({r[2] for r in want}) < 40
+    assert sum(counted) < 20 and max(cut) < 30
+
+
+def test_texts_among_nodes(spark):
+    rows = [(k, f"text {k}") for k in range(-203, 3000, 7)] + [(14, "again")]
+    docs = table(spark, rows)
+    nodes = spark.createDataFrame([(k,) for k in range(0, 2000, 14)], "node long")
+    for many in (0, 10, 100_000, 10**9):
+        found = jaccard.among(docs, nodes, many)
+        assert found.columns == docs.columns
+        ids = [r.doc_id for r in found.collect()]
+        assert set(range(0, 2000, 14)) & {k for k, _ in rows} <= set(ids)
+        assert ids.count(14) == 2
+    assert len(ids) < 160
+    assert jaccard.among(docs, nodes.limit(0), 100).count() == 0
+
+
+def test_rows_that_come_twice_count_once(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = words[:60] + [f"x{k}" for k in range(17)] + words[77:]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (2, " ".join(near)), (1, " ".join(words))]
+    texts = table(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "node")
+    own = [shingles(t) for _, t in rows[:2]]
+    assert 0.8 < len(own[0] & own[1]) / len(own[0] | own[1]) < 0.85
+    pairs = spark.createDataFrame([(2, 1)], "a long, b long")
+    assert jaccard.linked(pairs, jaccard.segments(texts, 4), 85).count() == 0
+    assert jaccard.linked(pairs, jaccard.segments(texts, 4), 80).count() == 1
+
+
 def test_overlaps_are_summed_over_fragments(spark):
     rows = list(enumerate(copies(4, groups=10)))
     texts = table(spark, rows).select("doc_id", "text").withColumnRenamed("doc_id", "node")
