@@ -424,7 +424,7 @@ def token_prefixes(spark, sf):
         "item_id", T.table_names_of(text).alias("names"), K.word_tokens(text).alias("toks")
     )
     return (
-        rows.select("item_id", "names", F.inline(K.prefixes(F.col("toks"))))
+        K.prefixes(rows, "toks", "item_id", "names")
         .select(
             "item_id", "position", "next_token",
             F.length(F.array_join("prefix", " ")).alias("prefix_chars"),

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from promptloom.functions import tokens as K
 from promptloom.operators import (
     corrupt as C, dataset as DS, generate as G, profile as P, rewrite as W, runs as R,
     sampling as M, score as SC,
@@ -245,3 +246,14 @@ def test_rewrite_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     streamed = sorted(r.rewritten for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert streamed == sorted(r.rewritten for r in W.rewrite_prompts(prompts, ("SwapEng1",)).collect())
+
+
+def test_prefixes_of_long_and_odd_rows(spark):
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["x"]), (5, ["y", None])]
+    df = spark.createDataFrame(rows, "k int, toks array<string>")
+    found = sorted(map(tuple, K.prefixes(df, "toks", "k").collect()))
+    assert found == [(1, 1, ["a"], "b"), (1, 2, ["a", "b"], "a"), (5, 1, ["y"], None)]
+    # All prefixes of a row at once would be 72 million tokens.
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(12_000)), lambda k: k.cast("string")).alias("toks"))
+    row = K.prefixes(long, "toks").agg(F.count("*").alias("n"), F.sum(F.size("prefix")).alias("tokens")).first()
+    assert (row.n, row.tokens) == (11_999, 11_999 * 12_000 // 2)
